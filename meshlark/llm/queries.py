@@ -24,6 +24,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).drop("locator")
 
 
+def op3_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_zip import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -32,12 +44,30 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_text import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import render_chats
 
@@ -90,5 +120,38 @@ WHERE turns NOT IN (SELECT turns FROM begun) GROUP BY turns, n""",
 }
 
 
+ORACLES["op3_warc_packages"] = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT page_id, octet_length(h) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS keep FROM p),
+c AS (SELECT *, array_to_string([['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', x[i])] for i in range(1, 41)], '') AS bits FROM b)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(['ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * bits[5*i+1]::INT + 8 * bits[5*i+2]::INT + 4 * bits[5*i+3]::INT + 2 * bits[5*i+4]::INT + bits[5*i+5]::INT] for i in range(32)], '') AS payload_digest,
+  CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to FROM c"""
+
+ORACLES["op4_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE e IS NOT NULL AND list_max([abs(x) for x in e]) > 0 AND len([x for x in e if x IS NULL OR NOT isfinite(x)]) = 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x),
+c AS (SELECT x, min(y) AS c FROM r GROUP BY x)
+SELECT x AS vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, x = c AS kept FROM c LEFT JOIN n USING (x)"""
+
+ORACLES["op8_ngram_jaccard"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, 1 + CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, len(w) - 4) END)) AS i)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS h FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM i JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE k / (a.n + b.n - k)::DOUBLE >= 0.8),
+r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS c FROM r GROUP BY x),
+m AS (SELECT x, count(*) AS m FROM l GROUP BY x),
+e AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS set_id FROM n)
+SELECT d.doc_id, c AS class_id, coalesce(e.set_id, d.doc_id) AS set_id, coalesce(m, 0)::BIGINT AS n_links, d.doc_id = c AS kept
+FROM d JOIN c ON d.doc_id = c.x LEFT JOIN m ON d.doc_id = m.x LEFT JOIN e ON d.doc_id = e.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    from .licenses import oracle
+
+    return ORACLES | {"op6_license_scan": oracle()}
