@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from .words import split_words
 
 LENGTH, STRIDE = 48, 24
-WORDS, GRAMS, WORD_DIM, GRAM_DIM, STATE, ATTEND = 1 << 14, 1 << 12, 16, 8, 12, 8
-SAMPLE, SPOTS, ROUNDS, BATCH, RATE = 1600, 32, 8, 64, 0.01
+WORDS, GRAM_BITS, WORD_DIM, GRAM_DIM, STATE, ATTEND = 1 << 14, 15, 8, 12, 12, 8
+#: Lengths of the character runs; share of words whose own vector is hidden in training, so that their characters count.
+RUNS, HIDDEN = (3, 5, 7), 0.5
+SAMPLE, SPOTS, ROUNDS, WARM, BATCH, RATE = 3000, 32, 6, 2, 64, 0.01
 LONGEST, REMEMBERED = 24, 200_000
 LIMIT = 0.7
 F32 = np.float32
@@ -49,12 +51,19 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def word_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word, hashes of its trigrams (ends marked; of its first LONGEST bytes), and which are there."""
+    """Hash of each word, hashes of its character runs (ends marked; of its first LONGEST bytes), and their weights."""
     ids = np.fromiter((zlib.crc32(w) % (WORDS - 1) + 1 for w in words), np.int64, len(words))
     raw = np.array([b"<" + w[:LONGEST] + b">" for w in words], f"S{LONGEST + 2}").view(np.uint8).reshape(len(words), -1).astype(np.uint32)
-    there = raw[:, 2:] > 0
-    there[:, 0] = True
-    return ids, ((raw[:, :-2] * 961 + raw[:, 1:-1] * 31 + raw[:, 2:]) * np.uint32(2654435761) >> np.uint32(20)).astype(np.int64), there.astype(F32)
+    runs, there = [], []
+    for n in RUNS:
+        h = np.full((len(words), raw.shape[1] - n + 1), n, np.uint32)
+        for i in range(n):
+            h = (h ^ raw[:, i : i + h.shape[1]]) * np.uint32(16777619)
+            h ^= h >> np.uint32(15)
+        runs.append((h * np.uint32(2654435761)) >> np.uint32(32 - GRAM_BITS))
+        there.append(raw[:, n - 1 :] > 0)
+    weight = np.concatenate(there, 1).astype(F32)
+    return ids, np.concatenate(runs, 1).astype(np.int64), weight / np.sqrt(np.maximum(weight.sum(1, keepdims=True), 1))
 
 
 class Network:
@@ -62,14 +71,14 @@ class Network:
         rng = np.random.default_rng(seed)
         draw = lambda *s, by=None: (rng.standard_normal(s) * (by or s[0] ** -0.5)).astype(F32)
         n = WORD_DIM + GRAM_DIM
-        self.p = {"word": draw(WORDS, WORD_DIM, by=0.1), "gram": draw(GRAMS, GRAM_DIM, by=0.1), "A": draw(2 * STATE, ATTEND), "v": draw(ATTEND), "o": draw(2 * STATE), "c": np.zeros(1, F32)}
+        self.p = {"word": draw(WORDS, WORD_DIM, by=0.1), "gram": draw(1 << GRAM_BITS, GRAM_DIM, by=0.1), "A": draw(2 * STATE, ATTEND), "v": draw(ATTEND), "o": draw(2 * STATE), "c": np.zeros(1, F32)}
         for d in "fb":
             self.p |= {f"W{d}": draw(n, 3 * STATE), f"U{d}": draw(STATE, 3 * STATE), f"b{d}": np.zeros(3 * STATE, F32)}
 
-    def gates(self, ids, grams, there) -> tuple[np.ndarray, np.ndarray]:
+    def gates(self, ids, grams, there, seen=F32(1)) -> tuple[np.ndarray, np.ndarray]:
         """Inputs of distinct words, and what they add to the gates of both directions (a row of zeros first)."""
         p = self.p
-        x = np.concatenate([p["word"][ids], (p["gram"][grams] * there[:, :, None]).sum(1) / there.sum(1, keepdims=True)], 1)
+        x = np.concatenate([p["word"][ids] * seen, np.einsum("nkd,nk->nd", p["gram"][grams], there)], 1)
         g = np.concatenate([x @ p["Wf"] + p["bf"], x @ p["Wb"] + p["bb"]], 1)
         return x, np.concatenate([np.zeros((1, g.shape[1]), F32), g])
 
@@ -102,9 +111,9 @@ class Network:
         logits = pooled @ p["o"] + p["c"]
         return (logits, states, trail, a, w, pooled) if keep else logits
 
-    def gradients(self, inputs, at: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, inputs, at: np.ndarray, y: np.ndarray, seen: np.ndarray) -> dict[str, np.ndarray]:
         p, (ids, grams, there) = self.p, inputs
-        x, gates = self.gates(ids, grams, there)
+        x, gates = self.gates(ids, grams, there, seen)
         logits, states, trail, a, w, pooled = self.run(gates, at, keep=True)
         d = ((1 / (1 + np.exp(-logits)) - y) / len(y)).astype(F32)
         out = {"o": pooled.T @ d, "c": d.sum(keepdims=True)}
@@ -133,8 +142,8 @@ class Network:
             out |= {f"U{k}": du, f"W{k}": x.T @ dg, f"b{k}": dg.sum(0)}
         dx = dgates[1:, : 3 * STATE] @ p["Wf"].T + dgates[1:, 3 * STATE :] @ p["Wb"].T
         out["word"], out["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
-        np.add.at(out["word"], ids, dx[:, :WORD_DIM])
-        np.add.at(out["gram"], grams, (dx[:, WORD_DIM:] / there.sum(1, keepdims=True))[:, None, :] * there[:, :, None])
+        np.add.at(out["word"], ids, dx[:, :WORD_DIM] * seen)
+        np.add.at(out["gram"], grams, dx[:, None, WORD_DIM:] * there[:, :, None])
         return out
 
 
@@ -156,7 +165,7 @@ def fit(samples: list[tuple[int, list[list[bytes]]]], rounds: int = ROUNDS, seed
     net, rng = Network(seed), np.random.default_rng(seed)
     words = sorted({w for _, spans in samples for s in spans for w in s})
     row = {w: i + 1 for i, w in enumerate(words)}
-    ids, grams, there = word_inputs(words) if words else (np.zeros(0, np.int64), np.zeros((0, LONGEST), np.int64), np.zeros((0, LONGEST), F32))
+    ids, grams, there = word_inputs(words) if words else word_inputs([b"-"])
     at, owner, label = [], [], np.array([y for y, _ in samples], F32)
     for i, (_, spans) in enumerate(samples):
         for s in spans:
@@ -167,19 +176,24 @@ def fit(samples: list[tuple[int, list[list[bytes]]]], rounds: int = ROUNDS, seed
     share = min(0.95, max(0.05, float(label.mean())))
     net.p["c"][:] = np.log(share / (1 - share))
     for turn in range(rounds):
-        if turn % 2 == 0:
+        blind = turn < WARM
+        if not blind:
             gates = net.gates(ids, grams, there)[1]
-            score = np.concatenate([net.run(gates, at[i : i + 2048]) for i in range(0, len(at), 2048)]) + rng.random(len(at)) * (1e-3 if turn else 10)
+            score = np.concatenate([net.run(gates, at[i : i + 2048]) for i in range(0, len(at), 2048)])
             order = np.lexsort((score, owner))
             worst = order[np.append(owner[order][1:] != owner[order][:-1], True)]
-        for part in np.array_split(rng.permutation(worst), max(1, len(worst) // BATCH)):
+        luck = np.lexsort((rng.random(len(at)), owner))
+        rank = np.arange(len(at)) - np.searchsorted(owner[luck], owner[luck])
+        some = luck[rank < np.where(label[owner[luck]] == 1, 4 * blind, 2 if blind else 1)]
+        chosen = some if blind else np.unique(np.concatenate([worst, some]))
+        for part in np.array_split(rng.permutation(chosen), max(1, len(chosen) // BATCH)):
             used, local = np.unique(at[part], return_inverse=True)
             local = local.reshape(len(part), LENGTH)
             if used[0] == 0:
                 used = used[1:]
             else:
                 local = local + 1
-            g = net.gradients((ids[used - 1], grams[used - 1], there[used - 1]), local, label[owner[part]])
+            g = net.gradients((ids[used - 1], grams[used - 1], there[used - 1]), local, label[owner[part]], (rng.random((len(used), 1)) >= HIDDEN).astype(F32))
             step += 1
             for k, v in g.items():
                 np.clip(v, -1, 1, out=v)
