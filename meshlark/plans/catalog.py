@@ -1,4 +1,6 @@
-"""The registered queries over the driver's tables and their SQL twins."""
+"""All registered queries. Importing the modules registers them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import graphs, market, names, signals, telemetry  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
