@@ -54,6 +54,23 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
+#: Buckets of 32,768 bits in a bitmap filter: 1 MB in all.
+FILTER_BUCKETS = 256
+
+
+def bitmap_filter(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """rows whose key is in wanted, and a few more: those whose bit is set in a bitmap of FILTER_BUCKETS * 4 KB.
+
+    The bitmap has one size at any input, so it may be broadcast, and the plan is the same at any size; rows that it lets
+    through in vain cost only work, so an exact join has to follow.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BUCKETS * 32768))
+    bucket, place = (bit / 32768).cast("int"), (bit % 32768).cast("int")
+    maps = wanted.select(bucket.alias("__bucket"), place.alias("__place")).groupBy("__bucket").agg(F.bitmap_construct_agg("__place").alias("__map"))
+    is_set = F.expr("getbit(cast(conv(hex(substring(__map, __place div 8 + 1, 1)), 16, 10) as int), __place % 8) = 1")
+    return rows.withColumn("__bucket", bucket).withColumn("__place", place).join(F.broadcast(maps), "__bucket").filter(is_set).select(*rows.columns)
+
+
 def source_key(c: Column) -> Column:
     """A null-free form of a grouping value: null differs from every text."""
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("?"))

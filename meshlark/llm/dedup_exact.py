@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_groups, new_path, saved
+from .common import bitmap_filter, join_groups, new_path, saved
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -27,8 +27,6 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-#: Buckets of 32,768 bits in the filter of digests that came more than once: 1 MB in all.
-FILTER_BUCKETS = 256
 
 
 def sha256(text: Column) -> Column:
@@ -62,18 +60,6 @@ def keyed_state(spark: SparkSession, arrivals_path: str, schema, files_per_batch
     return spark.read.schema(fields).parquet(out)
 
 
-def filtered(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rows whose digest is in wanted, and a few more: those whose bit is set in a bitmap of FILTER_BUCKETS * 4 KB.
-
-    The bitmap has one size at any input, so it may be broadcast; rows that it lets through in vain cost only work.
-    """
-    bit = F.pmod(F.xxhash64("digest"), F.lit(FILTER_BUCKETS * 32768))
-    bucket, place = (bit / 32768).cast("int"), (bit % 32768).cast("int")
-    maps = wanted.select(bucket.alias("bucket"), place.alias("place")).groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("map"))
-    is_set = F.expr("getbit(cast(conv(hex(substring(map, place div 8 + 1, 1)), 16, 10) as int), place % 8) = 1")
-    return rows.withColumn("bucket", bucket).withColumn("place", place).join(F.broadcast(maps), "bucket").filter(is_set).select(*rows.columns)
-
-
 def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, locator of the copy that stays."""
     spark = docs.sparkSession
@@ -88,7 +74,7 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, f
     rows = arrivals.select("doc_id", "digest", "sha")
 
     # full bytes on hits: copies of a text collapse before the shuffle, so no task gets all of them
-    hits = filtered(read, state.filter("group_size > 1"))
+    hits = bitmap_filter(read, state.filter("group_size > 1"), "digest")
     texts = hits.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     clashes = saved(texts.groupBy("digest").count().filter("count > 1").select("digest"), "dedup-clashes")
 

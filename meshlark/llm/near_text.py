@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, saved
+from .common import bitmap_filter, join_groups, saved
 from .components import components
 from .words import WordHashes, grams, split_words
 
@@ -215,7 +215,8 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, k: int = SHINGLE, targe
             same = pa.array([set_key(s) == c for s, c in zip(sets, rest["cls"].to_pylist(), strict=True)], pa.bool_())
             yield rest.append_column("shingles", pa.array([s.tobytes() for s in sets], pa.binary())).filter(same)
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # only the texts of classes that may link are shuffled
+    wanted = bitmap_filter(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), placed.select(F.col("rep").alias("doc_id")), "doc_id")
     wanted = wanted.join(placed, wanted["doc_id"].eqNullSafe(placed["rep"])).select("text", "cls", "copies", "root", "tiles")
     tile_type = placed.schema["tiles"].dataType.simpleString()
     cut = wanted.mapInArrow(cut_up, f"cls binary, copies long, root binary, tiles {tile_type}, shingles binary")
