@@ -63,7 +63,7 @@ def word_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         runs.append((h * np.uint32(2654435761)) >> np.uint32(32 - GRAM_BITS))
         there.append(raw[:, n - 1 :] > 0)
     weight = np.concatenate(there, 1).astype(F32)
-    return ids, np.concatenate(runs, 1).astype(np.int64), weight / np.sqrt(np.maximum(weight.sum(1, keepdims=True), 1))
+    return ids, np.concatenate(runs, 1).astype(np.int32), weight / np.sqrt(np.maximum(weight.sum(1, keepdims=True), 1))
 
 
 class Network:
@@ -82,6 +82,11 @@ class Network:
         g = np.concatenate([x @ p["Wf"] + p["bf"], x @ p["Wb"] + p["bb"]], 1)
         return x, np.concatenate([np.zeros((1, g.shape[1]), F32), g])
 
+    def all_gates(self, ids, grams, there) -> np.ndarray:
+        """The gates of many words, some at a time."""
+        parts = [self.gates(ids[i : i + 4096], grams[i : i + 4096], there[i : i + 4096])[1][1:] for i in range(0, len(ids), 4096)]
+        return np.concatenate([np.zeros((1, 6 * STATE), F32), *parts])
+
     def run(self, gates: np.ndarray, at: np.ndarray, keep: bool = False):
         """at: windows of rows of gates (0: no word). The windows' logits, and with keep what backward needs."""
         p, (n, length) = self.p, at.shape
@@ -169,16 +174,16 @@ def fit(samples: list[tuple[int, list[list[bytes]]]], rounds: int = ROUNDS, seed
     at, owner, label = [], [], np.array([y for y, _ in samples], F32)
     for i, (_, spans) in enumerate(samples):
         for s in spans:
-            at.append([row[w] for w in s] + [0] * (LENGTH - len(s)))
+            at.append(np.pad(np.fromiter((row[w] for w in s), np.int32, len(s)), (0, LENGTH - len(s))))
             owner.append(i)
-    at, owner = np.array(at, np.int64).reshape(-1, LENGTH), np.array(owner, np.int64)
+    at, owner = np.array(at, np.int32).reshape(-1, LENGTH), np.array(owner, np.int64)
     mean, var, step = {k: np.zeros_like(v) for k, v in net.p.items()}, {k: np.zeros_like(v) for k, v in net.p.items()}, 0
     share = min(0.95, max(0.05, float(label.mean())))
     net.p["c"][:] = np.log(share / (1 - share))
     for turn in range(rounds):
         blind = turn < WARM
         if not blind:
-            gates = net.gates(ids, grams, there)[1]
+            gates = net.all_gates(ids, grams, there)
             score = np.concatenate([net.run(gates, at[i : i + 2048]) for i in range(0, len(at), 2048)])
             order = np.lexsort((score, owner))
             worst = order[np.append(owner[order][1:] != owner[order][:-1], True)]
@@ -222,7 +227,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int, spots: int)
     # at most `sample` narrow rows
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))), "doc_id").mapInArrow(cut, "doc_id long, toxic int, spans array<binary>")
     rows = sorted(found.limit(2 * sample).collect(), key=lambda r: (r.doc_id, r.spans))
-    return [(r.toxic, [bytes(s).split() for s in r.spans]) for r in rows]
+    seen: dict[bytes, bytes] = {}  # one object per word
+    return [(r.toxic, [[seen.setdefault(w, w) for w in bytes(s).split()] for s in r.spans]) for r in rows]
 
 
 class Scorer:
@@ -240,8 +246,7 @@ class Scorer:
             new = list(set().union(*lists))
         if new:
             first = len(self.known)
-            gates = [self.net.gates(*word_inputs(new[i : i + 4096]))[1][1:] for i in range(0, len(new), 4096)]
-            self.known = np.concatenate([self.known, *gates])
+            self.known = np.concatenate([self.known, self.net.all_gates(*word_inputs(new))[1:]])
             self.row.update(zip(new, range(first, first + len(new)), strict=True))
         at, owner = window_rows([list(map(self.row.__getitem__, ws)) for ws in lists])
         logits = np.concatenate([self.net.run(self.known, at[i : i + 1024]) for i in range(0, len(at), 1024)]) if len(at) else np.zeros(0)
