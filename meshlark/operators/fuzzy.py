@@ -116,7 +116,7 @@ def confusion(df: DataFrame, predicted: Column, actual: Column, by=()) -> DataFr
 
 def sweep(pairs: DataFrame, score: str, same: str, start: int = 20, stop: int = 95, step: int = 5) -> DataFrame:
     """Confusion at each threshold (in hundredths), and whether it lies on the plateau of the best F1."""
-    t = pairs.withColumn("threshold", F.explode(F.sequence(F.lit(start), F.lit(stop), F.lit(step))) / F.lit(100.0))
+    t = pairs.withColumn("_h", F.explode(F.sequence(F.lit(start), F.lit(stop), F.lit(step)))).withColumn("threshold", F.col("_h") / F.lit(100.0))
     out = confusion(t, F.col(score) >= F.col("threshold"), F.col(same), ["threshold"])
     return out.withColumn("plateau", F.col("f1") == F.max("f1").over(Window.partitionBy()))
 

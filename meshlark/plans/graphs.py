@@ -1 +1,183 @@
-"""Registered queries."""
+"""Graph queries over the star tables as a supply network, and what-if scenarios.
+
+Nodes: regions r, nations n, suppliers s, parts p, orders o. Edges: region hosts nation, nation hosts supplier, part
+produced_by supplier (so reversed for flow), part formulated_into order.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import graph, whatif
+from .names import sql_values
+from .registry import Tables, query, r6
+
+
+def nid(prefix: str, c) -> F.Column:
+    return F.concat(F.lit(prefix), F.col(c).cast("string"))
+
+
+def edges(t: Tables, parts: int = 400) -> DataFrame:
+    line = t.lineitem.filter(F.col("l_partkey") < parts)
+    return (
+        t.nation.select(nid("r", "n_regionkey").alias("src"), nid("n", "n_nationkey").alias("dst"), F.lit("hosts").alias("rel"))
+        .unionByName(t.supplier.select(nid("n", "s_nationkey").alias("src"), nid("s", "s_suppkey").alias("dst"), F.lit("hosts").alias("rel")))
+        .unionByName(line.select(nid("p", "l_partkey").alias("src"), nid("s", "l_suppkey").alias("dst"), F.lit("produced_by").alias("rel")).distinct())
+        .unionByName(line.select(nid("p", "l_partkey").alias("src"), nid("o", "l_orderkey").alias("dst"), F.lit("formulated_into").alias("rel")).distinct())
+    )
+
+
+E = """e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'hosts' AS rel FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'hosts' FROM supplier
+UNION ALL SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey, 'produced_by' FROM lineitem WHERE l_partkey < 400 UNION ALL SELECT DISTINCT 'p' || l_partkey, 'o' || l_orderkey, 'formulated_into' FROM lineitem WHERE l_partkey < 400),
+f AS (SELECT CASE WHEN rel = 'produced_by' THEN dst ELSE src END AS src, CASE WHEN rel = 'produced_by' THEN src ELSE dst END AS dst, rel FROM e)"""
+
+
+def seeds(t: Tables, *ids: str) -> DataFrame:
+    return t.spark.createDataFrame([(i,) for i in ids], "seed string")
+
+
+@query("q25_reach_from_node", f"WITH RECURSIVE {E}, x(id, depth) AS (SELECT 'n3', 0 UNION SELECT f.dst, depth + 1 FROM x JOIN f ON x.id = f.src WHERE depth < 6) SELECT id, min(depth)::INT AS depth FROM x GROUP BY 1")
+def q25(t):
+    return graph.reach(graph.oriented(edges(t)), seeds(t, "n3")).select("id", "depth")
+
+
+@query("q26_downstream_rel_filtered", f"WITH RECURSIVE {E}, x(seed, id) AS (SELECT s, s FROM (SELECT unnest(['p7', 'p8', 'n1']) AS s) UNION SELECT x.seed, f.dst FROM x JOIN f ON x.id = f.src AND f.rel IN ('feeds', 'active_in', 'formulated_into')) SELECT * FROM x")
+def q26(t):
+    return graph.reach(graph.oriented(edges(t)), seeds(t, "p7", "p8", "n1"), ["feeds", "active_in", "formulated_into"]).select("seed", "id")
+
+
+@query("q70_undirected_spine", f"WITH RECURSIVE {E}, u AS (SELECT src, dst FROM e WHERE rel = 'hosts' UNION SELECT dst, src FROM e WHERE rel = 'hosts'), x(id) AS (SELECT 'n2' UNION SELECT u.dst FROM x JOIN u ON x.id = u.src) SELECT * FROM x")
+def q70(t):
+    return graph.component(edges(t), seeds(t, "n2"), ["hosts"]).select("id")
+
+
+def scores(t: Tables) -> DataFrame:
+    return t.supplier.filter("s_suppkey % 3 = 0").select(nid("s", "s_suppkey").alias("node_id"), F.round(F.pmod(F.col("s_acctbal"), F.lit(97.0)) / 97, 6).alias("p12"))
+
+
+def graph_nodes(t: Tables) -> DataFrame:
+    e = edges(t)
+    return e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
+
+
+@query("q27_propagate_worst_risk", f"""WITH RECURSIVE {E}, sc AS (SELECT 's' || s_suppkey AS id, round((s_acctbal - 97 * floor(s_acctbal / 97)) / 97, 6) AS p FROM supplier WHERE s_suppkey % 3 = 0),
+x(origin, id) AS (SELECT id, id FROM sc UNION SELECT x.origin, f.dst FROM x JOIN f ON x.id = f.src AND f.rel NOT IN ('marketed_as', 'formulated_into')),
+st AS (SELECT x.id, max(p) AS p12, 'inherited' AS attribution FROM x JOIN sc ON x.origin = sc.id WHERE x.id NOT IN (SELECT id FROM sc) GROUP BY 1),
+k AS (SELECT id, p AS p12, 'direct' AS attribution FROM sc UNION ALL SELECT * FROM st),
+wk AS (SELECT f.dst AS id, max(p12) AS p12, 'molecule' AS attribution FROM k JOIN f ON k.id = f.src AND f.rel = 'formulated_into' GROUP BY 1)
+SELECT id AS node_id, p12, attribution FROM k UNION ALL SELECT * FROM wk""")
+def q27(t):
+    return graph.propagate_max(edges(t), scores(t), graph_nodes(t)).select("node_id", "p12", "attribution")
+
+
+@query("q28_weak_fill_attribution", f"""WITH RECURSIVE {E}, sc AS (SELECT 's' || s_suppkey AS id, round((s_acctbal - 97 * floor(s_acctbal / 97)) / 97, 6) AS p FROM supplier WHERE s_suppkey % 3 = 0),
+st AS (SELECT f.dst AS id, arg_min(sc.id, (-p, sc.id)) AS origin FROM sc JOIN f ON sc.id = f.src WHERE f.rel = 'produced_by' GROUP BY 1),
+sp AS (SELECT st.id, st.origin, p FROM st JOIN sc ON st.origin = sc.id)
+SELECT f.dst AS node_id, arg_min(sp.origin, (-p, sp.origin)) AS origin FROM sp JOIN f ON sp.id = f.src AND f.rel = 'formulated_into' GROUP BY 1""")
+def q28(t):
+    return graph.propagate_max(edges(t), scores(t), graph_nodes(t)).filter("attribution = 'molecule'").select("node_id", "origin")
+
+
+@query("q71_coverage", f"""WITH {E}, n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), sc AS (SELECT 's' || s_suppkey AS id FROM supplier WHERE s_suppkey % 3 = 0), st AS (SELECT DISTINCT dst AS id FROM f WHERE rel = 'produced_by' AND src IN (SELECT id FROM sc)), wk AS (SELECT DISTINCT dst AS id FROM f WHERE rel = 'formulated_into' AND src IN (SELECT id FROM st))
+SELECT CASE WHEN id IN (SELECT id FROM sc) THEN 'direct' WHEN id IN (SELECT id FROM st) THEN 'inherited' WHEN id IN (SELECT id FROM wk) THEN 'molecule' ELSE 'uncovered' END AS basis, count(*) AS nodes FROM n GROUP BY 1""")
+def q71(t):
+    n = graph_nodes(t)
+    return graph.coverage(n, graph.propagate_max(edges(t), scores(t), n))
+
+
+@query("q29_upstream_plant_count", f"WITH {E} SELECT id, count(DISTINCT plant) AS plants FROM (SELECT src AS id, src AS plant FROM f WHERE rel = 'produced_by' UNION ALL SELECT dst, src FROM f WHERE rel = 'produced_by' UNION ALL SELECT g.dst, f.src FROM f JOIN f g ON f.dst = g.src WHERE f.rel = 'produced_by' AND g.rel = 'formulated_into') GROUP BY 1")
+def q29(t):
+    e = edges(t)
+    producers = e.filter("rel = 'produced_by'").select(F.col("dst").alias("id")).distinct().withColumn("fei", F.col("id"))
+    return graph.upstream_sets(e, producers)
+
+
+@query("q72_lowest_layer_country", """WITH x AS (SELECT l_suppkey AS id, l_linenumber % 3 + 1 AS layer, 'country:c' || (l_partkey % 9) AS dst FROM lineitem WHERE l_suppkey % 2 = 0 AND l_orderkey < 1000), m AS (SELECT id, arg_min(dst, (layer, dst)) AS dst FROM x GROUP BY 1)
+SELECT 's' || s_suppkey AS id, coalesce(replace(dst, 'country:', ''), 'n' || s_nationkey) AS country FROM supplier LEFT JOIN m ON s_suppkey = m.id""")
+def q72(t):
+    e = t.lineitem.filter("l_suppkey % 2 = 0 AND l_orderkey < 1000").select(nid("s", "l_suppkey").alias("src"), F.lit("incorporated_in").alias("rel"), F.concat(F.lit("country:c"), (F.col("l_partkey") % 9).cast("string")).alias("dst"), (F.col("l_linenumber") % 3 + 1).alias("layer"))
+    n = t.supplier.select(nid("s", "s_suppkey").alias("id"), F.lit("company").alias("type"), nid("n", "s_nationkey").alias("country"))
+    return graph.lowest_layer_country(e, n).select("id", "country")
+
+
+@query("q73_guarded_inverse", """SELECT 's' || ((a.s_suppkey + 25) % 100) AS src, 's' || a.s_suppkey AS dst, 'hosts' AS rel FROM supplier a JOIN supplier b ON b.s_suppkey = (a.s_suppkey + 25) % 100 WHERE a.s_nationkey % 2 = b.s_nationkey % 2 AND a.s_nationkey <> 4 AND b.s_nationkey <> 4""")
+def q73(t):
+    s = t.supplier
+    e = s.select(nid("s", "s_suppkey").alias("src"), F.concat(F.lit("s"), ((F.col("s_suppkey") + 25) % 100).cast("string")).alias("dst"), F.lit("operated_by").alias("rel"))
+    n = s.select(nid("s", "s_suppkey").alias("id"), F.when(F.col("s_nationkey") != 4, F.col("s_nationkey") % 2).alias("country"))
+    return graph.guarded_inverse(e, n)
+
+
+# an invented bill of materials: two drugs, three apis, gates, suppliers in both tiers
+BOM = [
+    ("api:a", "active_in", "drug:x"), ("api:b", "active_in", "drug:x"), ("api:c", "active_in", "drug:y"),
+    ("precursor:k", "feeds", "api:a"), ("precursor:m", "feeds", "api:a"), ("precursor:k", "feeds", "api:c"),
+    ("api:a", "produced_by", "company:name:s1"), ("api:a", "produced_by", "company:name:s2"), ("api:b", "produced_by", "company:name:s3"), ("api:c", "produced_by", "company:name:s1"), ("api:c", "produced_by", "company:name:s4"),
+    ("precursor:k", "produced_by", "company:name:s5"), ("precursor:m", "produced_by", "company:name:s5"), ("precursor:m", "produced_by", "company:name:s1"),
+    ("company:name:s1", "incorporated_in", "country:aa"), ("company:name:s2", "incorporated_in", "country:bb"), ("company:name:s3", "incorporated_in", "country:aa"), ("company:name:s5", "incorporated_in", "country:cc"),
+]
+SCENARIOS = [("none", None), ("one", "company:name:s1"), ("land", "country:aa"), ("gate", "company:name:s5"), ("both", "company:name:s5"), ("both", "company:name:s1"), ("api", "api:a"), ("root", "drug:y")]
+TREE_SQL = f"""e(src, rel, dst) AS (VALUES {sql_values(BOM)}), sc(scenario_id, off_id) AS (VALUES {sql_values(SCENARIOS)}), ids AS (SELECT DISTINCT scenario_id FROM sc),
+iso AS (SELECT src AS id, replace(dst, 'country:', '') AS iso FROM e WHERE rel = 'incorporated_in'),
+dr AS (SELECT 'drug:x' AS key, 'drug:x' AS id UNION ALL SELECT 'drug:y', 'drug:y'),
+ap AS (SELECT dr.key || '|' || src AS key, src AS id, dr.key AS parent_key FROM dr JOIN e ON rel = 'active_in' AND dst = dr.id),
+pr AS (SELECT ap.key || '|' || src AS key, src AS id, ap.key AS parent_key FROM ap JOIN e ON rel = 'feeds' AND dst = ap.id),
+sa AS (SELECT ap.key || '|' || dst AS key, dst AS id, ap.key AS parent_key FROM ap JOIN e ON rel = 'produced_by' AND src = ap.id),
+sp AS (SELECT pr.key || '|' || dst AS key, dst AS id, pr.key AS parent_key FROM pr JOIN e ON rel = 'produced_by' AND src = pr.id),
+off AS (SELECT i.scenario_id, x.id FROM ids i, (SELECT DISTINCT id FROM (SELECT id FROM dr UNION SELECT id FROM ap UNION SELECT id FROM pr UNION SELECT id FROM sa UNION SELECT id FROM sp)) x LEFT JOIN iso ON iso.id = x.id WHERE EXISTS (SELECT 1 FROM sc WHERE sc.scenario_id = i.scenario_id AND (off_id = x.id OR off_id = 'country:' || iso.iso))),
+ddr AS (SELECT scenario_id, key, id, NULL AS parent_key, 'drug' AS kind, (scenario_id, id) IN (SELECT (scenario_id, id) FROM off) AS dead FROM dr, ids),
+dap AS (SELECT d.scenario_id, ap.key, ap.id, ap.parent_key, 'api' AS kind, d.dead OR (d.scenario_id, ap.id) IN (SELECT (scenario_id, id) FROM off) AS dead FROM ap JOIN ddr d ON d.key = ap.parent_key),
+dpr AS (SELECT d.scenario_id, pr.key, pr.id, pr.parent_key, 'precursor' AS kind, d.dead OR (d.scenario_id, pr.id) IN (SELECT (scenario_id, id) FROM off) AS dead FROM pr JOIN dap d ON d.key = pr.parent_key),
+g AS (SELECT i.scenario_id, pr.parent_key AS key, bool_and((i.scenario_id, pr.id) IN (SELECT (scenario_id, id) FROM off) OR coalesce((SELECT bool_and((i.scenario_id, sp.id) IN (SELECT (scenario_id, id) FROM off)) FROM sp WHERE sp.parent_key = pr.key), false)) AS gated FROM pr, ids i GROUP BY 1, 2),
+dsa AS (SELECT d.scenario_id, sa.key, sa.id, sa.parent_key, 'supplier' AS kind, d.dead OR coalesce(g.gated, false) OR (d.scenario_id, sa.id) IN (SELECT (scenario_id, id) FROM off) AS dead FROM sa JOIN dap d ON d.key = sa.parent_key LEFT JOIN g ON g.scenario_id = d.scenario_id AND g.key = d.key),
+dsp AS (SELECT d.scenario_id, sp.key, sp.id, sp.parent_key, 'supplier' AS kind, d.dead OR (d.scenario_id, sp.id) IN (SELECT (scenario_id, id) FROM off) AS dead FROM sp JOIN dpr d ON d.key = sp.parent_key),
+cut AS (SELECT * FROM ddr UNION ALL SELECT * FROM dap UNION ALL SELECT * FROM dpr UNION ALL SELECT * FROM dsa UNION ALL SELECT * FROM dsp)"""
+
+
+def cut(t: Tables) -> DataFrame:
+    e = t.spark.createDataFrame(BOM, "src string, rel string, dst string")
+    tree = whatif.build_tree(e, t.spark.createDataFrame([("drug:x",), ("drug:y",)], "id string"))
+    return whatif.cut_set(tree, t.spark.createDataFrame(SCENARIOS, "scenario_id string, off_id string"))
+
+
+@query("q37_cut_set", f"WITH {TREE_SQL} SELECT scenario_id, key, id, kind, dead FROM cut")
+def q37(t):
+    return cut(t).select("scenario_id", "key", "id", "kind", "dead")
+
+
+@query("q36_tree_rollup", f"""WITH {TREE_SQL}, lf AS (SELECT scenario_id, key, parent_key, 1 AS total, (NOT dead)::INT AS up FROM cut WHERE kind = 'supplier'),
+p AS (SELECT d.scenario_id, d.key, d.id, d.parent_key, count(lf.key) AS t, CASE WHEN d.dead THEN 0 ELSE sum(lf.up) END AS u FROM dpr d LEFT JOIN lf ON lf.scenario_id = d.scenario_id AND lf.parent_key = d.key GROUP BY d.scenario_id, d.key, d.id, d.parent_key, d.dead),
+a AS (SELECT d.scenario_id, d.key, d.id, d.parent_key, count(lf.key) AS t, CASE WHEN d.dead THEN 0 ELSE sum(lf.up) END AS u FROM dap d LEFT JOIN lf ON lf.scenario_id = d.scenario_id AND lf.parent_key = d.key GROUP BY d.scenario_id, d.key, d.id, d.parent_key, d.dead),
+r AS (SELECT d.scenario_id, d.key, d.id, 'drug' AS kind, sum(a.t) AS total, CASE WHEN d.dead THEN 0 ELSE sum(a.u) END AS up FROM ddr d JOIN a ON a.scenario_id = d.scenario_id AND a.parent_key = d.key GROUP BY d.scenario_id, d.key, d.id, d.dead
+ UNION ALL SELECT scenario_id, key, id, 'api', t, u FROM a UNION ALL SELECT scenario_id, key, id, 'precursor', t, u FROM p UNION ALL SELECT scenario_id, key, id, 'supplier', 1, (NOT dead)::INT FROM cut WHERE kind = 'supplier')
+SELECT scenario_id, key, id, kind, total::BIGINT AS total, up::BIGINT AS up, CASE WHEN up = 0 THEN 'down' WHEN up < total THEN 'at-risk' ELSE 'ok' END AS health FROM r""")
+def q36(t):
+    return whatif.rollup(cut(t)).select("scenario_id", "key", "id", "kind", "total", "up", "health")
+
+
+@query("q38_allocate_share", f"""WITH {TREE_SQL}, p AS (SELECT scenario_id, coalesce(iso, 'unknown') AS iso, count(*) AS total, count(*) FILTER (NOT dead) AS up FROM cut LEFT JOIN iso USING (id) WHERE kind = 'supplier' GROUP BY 1, 2)
+SELECT scenario_id, iso, total, up, round(coalesce(up / nullif(sum(up) OVER (PARTITION BY scenario_id), 0)::DOUBLE, 0), 6) AS share FROM p""")
+def q38(t):
+    return whatif.allocate(cut(t)).withColumn("share", r6("share"))
+
+
+@query("q40_rerank_against_failure", """WITH a AS (SELECT s_nationkey AS node, s_name AS holder, CASE WHEN s_suppkey % 5 = 0 THEN [] WHEN s_suppkey % 5 < 3 THEN ['c' || (s_suppkey % 5)] ELSE ['c1', 'c' || (s_suppkey % 5)] END AS iso2, round(s_acctbal / 1000, 1) AS score, s_acctbal > 0 AS viable, s_suppkey % 6 <> 0 AS standing FROM supplier),
+f(scenario_id, isos) AS (VALUES ('a', ['c1']), ('b', ['c2', 'c4'])),
+d AS (SELECT *, CASE WHEN len(iso2) = 0 THEN 0.0::DOUBLE WHEN list_has_any(iso2, isos) THEN -2.0 ELSE 2.0 END AS delta FROM a, f),
+r AS (SELECT *, CASE WHEN standing THEN row_number() OVER (PARTITION BY scenario_id, node, standing ORDER BY score + delta DESC, score DESC, holder) END AS rank FROM d)
+SELECT scenario_id, node, holder, delta, round(score + delta, 6) AS adjusted, rank::INT AS rank, coalesce(rank = 1 AND viable, false) AS best FROM r""")
+def q40(t):
+    k = F.col("s_suppkey") % 5
+    arr = lambda *v: F.array(*v)
+    a = t.supplier.select(F.col("s_nationkey").alias("node"), F.col("s_name").alias("holder"), F.when(k == 0, F.array().cast("array<string>")).when(k < 3, arr(F.concat(F.lit("c"), k.cast("string")))).otherwise(arr(F.lit("c1"), F.concat(F.lit("c"), k.cast("string")))).alias("iso2"), F.round(F.col("s_acctbal") / 1000, 1).alias("score"), (F.col("s_acctbal") > 0).alias("viable"), (F.col("s_suppkey") % 6 != 0).alias("standing"))
+    f = t.spark.createDataFrame([("a", ["c1"]), ("b", ["c2", "c4"])], "scenario_id string, isos array<string>")
+    return whatif.rerank(a, f).select("scenario_id", "node", "holder", "delta", r6("adjusted").alias("adjusted"), "rank", "best")
+
+
+@query("q52_great_circle_partner", """WITH s AS (SELECT s_suppkey AS id, s_nationkey AS tier, (s_suppkey * 37 % 180 - 90)::DOUBLE AS lat, (s_suppkey * 73 % 360 - 180)::DOUBLE AS lng, s_acctbal / 1000 AS score FROM supplier),
+p AS (SELECT a.tier, a.id, b.id AS partner, degrees(2 * asin(least(1, sqrt(pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2))))) AS deg, b.score AS sc FROM s a JOIN s b ON a.tier = b.tier AND a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY tier, id ORDER BY sc - deg / 36 DESC, partner) AS rn FROM p) SELECT tier, id, partner, round(deg, 6) AS degrees, round(sc - deg / 36, 6) AS value FROM r WHERE rn = 1""")
+def q52(t):
+    s = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("tier"), (F.col("s_suppkey") * 37 % 180 - 90).cast("double").alias("lat"), (F.col("s_suppkey") * 73 % 360 - 180).cast("double").alias("lng"), (F.col("s_acctbal") / 1000).alias("score"))
+    return whatif.partner(s.drop("score"), s, by=["tier"]).withColumns({"degrees": r6("degrees"), "value": r6("value")})

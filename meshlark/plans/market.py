@@ -136,11 +136,11 @@ def q10(t):
     return stats.permutation_p(scored_suppliers(t), "score", "label", "id", 300, key).select(r6("auc").alias("auc"), "hits", r6("p").alias("p"))
 
 
-@query("q17_dedupe_entry_lines", """SELECT l_orderkey, l_shipdate::DATE AS day, l_returnflag, count(*) AS entry_lines, arg_min(l_suppkey, l_linenumber::BIGINT * 1000000000 + l_partkey) AS l_suppkey FROM lineitem GROUP BY 1, 2, 3""")
+@query("q17_dedupe_entry_lines", """SELECT l_orderkey, l_shipdate::DATE::VARCHAR AS day, l_returnflag, count(*) AS entry_lines, arg_min(l_suppkey, l_linenumber::BIGINT * 1000000000 + l_partkey) AS l_suppkey FROM lineitem GROUP BY 1, 2, 3""")
 def q17(t):
     from ..operators.merge import dedupe_lines
 
-    d = t.lineitem.withColumn("day", F.col("l_shipdate").cast("date")).withColumn("ord", F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey"))
+    d = t.lineitem.withColumn("day", F.col("l_shipdate").cast("date").cast("string")).withColumn("ord", F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey"))
     return dedupe_lines(d, ["l_orderkey", "day", "l_returnflag"], "ord", ["l_suppkey"])
 
 

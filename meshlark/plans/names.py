@@ -1 +1,180 @@
-"""Registered queries."""
+"""Names, tokens, identifiers, prose and the audit chain."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import lists, text, values
+from ..operators import audit, fuzzy
+from .market import CONF, rounded_confusion
+from .registry import Tables, query, r6
+
+# invented pairs: (id, same, a, a's country, b, b's country, fei of a, fei of b)
+PAIRS = [
+    (1, True, "Orvane Laboratories Ltd", "in", "Orvane Labs Limited", "in", None, None),
+    (2, True, "Quillby Pharma GmbH", "de", "QUILLBY PHARMACEUTICALS AG", "de", None, None),
+    (3, False, "Tessmark Chemicals", "in", "Tessmark Chemicals", "cn", None, None),
+    (4, False, "Wuxi Bremolin Co", "cn", "Wuxi Castorel Co", "cn", None, None),
+    (5, True, "Fénixa Química S.A.", "es", "Fenixa Quimica SA", "es", None, None),
+    (6, True, "Global Health Sciences Inc", "us", "Global Health Sciences Corp", "us", None, None),
+    (7, False, "Global Health Sciences Inc", "us", "International Drug Works Inc", "us", None, None),
+    (8, True, "Marbelo Biotech", "fr", "Something Else", "fr", "77", "77"),
+    (9, False, "Marbelo Biotech", "fr", "Marbelo Biotech", "fr", "77", "78"),
+    (10, True, "Dastrin (formerly Kelvor) Industries", "it", "Kelvor Dastrin", "it", None, None),
+    (11, False, "Pellorin Life Sciences", None, "Ostrava Drug Group", None, None, None),
+    (12, True, "Inner Mongolia Vantreo", "cn", "Vantreo Pharmaceutical Co Ltd", "cn", None, None),
+]
+PAIR_SCHEMA = "id int, same boolean, an string, ac string, bn string, bc string, af string, bf string"
+
+
+def sql_values(rows) -> str:
+    lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
+    return ", ".join(f"({', '.join(map(lit, r))})" for r in rows)
+
+
+def sql_list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]"
+
+
+def pairs(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(PAIRS, PAIR_SCHEMA)
+
+
+def side(p: str) -> Column:
+    return F.struct(F.col(f"{p}n").alias("name"), F.col(f"{p}c").alias("country"), F.col(f"{p}f").alias("fei"), F.lit(None).cast("string").alias("duns"))
+
+
+TOK = lambda c: f"list_filter(string_split_regex(regexp_replace(lower(strip_accents({c})), '[^a-z0-9]+', ' ', 'g'), ' +'), lambda w: w <> '' AND NOT list_contains({sql_list(lists.STOP)}, w))"
+CORE = sql_list(lists.LEGAL + lists.INDUSTRY + lists.GEO)
+COMPARED = f"""p(id, same, an, ac, bn, bc, af, bf) AS (VALUES {sql_values(PAIRS)}),
+k AS (SELECT *, list_distinct({TOK('an')}) AS ta, list_distinct({TOK('bn')}) AS tb FROM p),
+c AS (SELECT *, list_filter(ta, lambda w: NOT list_contains({CORE}, w)) AS ca, list_filter(tb, lambda w: NOT list_contains({CORE}, w)) AS cb, list_filter(ta, lambda w: NOT list_contains({sql_list(lists.LEGAL)}, w)) AS la, list_filter(tb, lambda w: NOT list_contains({sql_list(lists.LEGAL)}, w)) AS lb FROM k),
+s AS (SELECT *, CASE WHEN len(ca) > 0 AND len(cb) > 0 THEN greatest(len(list_intersect(ca, cb)) / len(list_distinct(ca || cb))::DOUBLE, 0.9::DOUBLE * (len(list_intersect(ca, cb)) / least(len(ca), len(cb))::DOUBLE)) ELSE 0 END AS core,
+ CASE WHEN len(la) > 0 AND len(lb) > 0 THEN len(list_intersect(la, lb)) / len(list_distinct(la || lb))::DOUBLE ELSE 0 END AS generic FROM c),
+v AS (SELECT id, same AS actual, CASE WHEN af IS NOT NULL AND bf IS NOT NULL THEN 'fei' WHEN lower(ac) <> lower(bc) THEN 'country' WHEN len(ca) = 0 OR len(cb) = 0 THEN 'generic' ELSE 'core' END AS method, core, generic, af, bf FROM s),
+w AS (SELECT id, actual, method, CASE method WHEN 'fei' THEN (af = bf)::INT::DOUBLE WHEN 'country' THEN 0 WHEN 'generic' THEN generic ELSE core END AS score FROM v)"""
+
+
+@query("q21_compare_names", f"WITH {COMPARED} SELECT id, actual, method, round(score, 6) AS score, CASE method WHEN 'fei' THEN score = 1 WHEN 'country' THEN false WHEN 'generic' THEN score >= 0.85 ELSE score >= 0.6 END AS same FROM w")
+def q21(t):
+    return pairs(t).withColumn("v", fuzzy.compare(side("a"), side("b"))).select("id", F.col("same").alias("actual"), "v.method", r6("v.score").alias("score"), F.col("v.same").alias("same"))
+
+
+@query("q22_er_threshold_sweep", f"""WITH {COMPARED}, x AS (SELECT h / 100.0::DOUBLE AS threshold, actual, score >= h / 100.0::DOUBLE AS pred FROM w, range(20, 96, 5) AS g(h)),
+c AS (SELECT threshold, count(*) FILTER (pred AND actual) AS tp, count(*) FILTER (pred AND NOT actual) AS fp, count(*) FILTER (NOT pred AND NOT actual) AS tn, count(*) FILTER (NOT pred AND actual) AS fn FROM x GROUP BY 1),
+m AS (SELECT *, {CONF} FROM c) SELECT *, f1 = max(f1) OVER () AS plateau FROM m""")
+def q22(t):
+    scored = pairs(t).select("same", fuzzy.compare(side("a"), side("b"))["score"].alias("score"))
+    return rounded_confusion(fuzzy.sweep(scored, "score", "same"))
+
+
+@query("q64_resolve_with_refusal", f"""WITH {COMPARED}, n AS (SELECT * FROM (VALUES (1, 1, 0.9), (1, 2, 0.88), (2, 1, 0.9), (2, 3, 0.7), (3, 5, 0.95), (3, 6, 0.93), (3, 7, 0.92)) AS q(l, r, s))
+SELECT l AS id_l, CASE l WHEN 2 THEN 1 WHEN 3 THEN 6 END AS id_r, max(s)::DOUBLE AS score, CASE WHEN l = 1 THEN 'refused' ELSE 'matched' END AS outcome FROM n GROUP BY l""")
+def q64(t):
+    """A near tie is refused; one candidate that holds the whole name settles it."""
+    scored = t.spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.88), (2, 1, 0.9), (2, 3, 0.7), (3, 5, 0.95), (3, 6, 0.93), (3, 7, 0.92)], "id_l int, id_r int, score double")
+    return fuzzy.refuse_ties(scored, "id_l", "id_r", superset=F.col("id_r") == 6)
+
+
+@query("q65_resolve_parts", """WITH a AS (SELECT p_partkey AS name_id, p_name AS name FROM part WHERE p_partkey < 300), b AS (SELECT min(p_partkey) AS match_id, p_name AS name FROM part GROUP BY p_name)
+SELECT name_id, match_id, 1.0::DOUBLE AS score, 'matched' AS outcome FROM a JOIN b USING (name)""")
+def q65(t):
+    """Part names among the distinct part names: equal words match, one shared word of two does not reach the threshold."""
+    none = F.lit(None).cast("string")
+    extra = [none.alias("country"), none.alias("fei"), none.alias("duns")]
+    a = t.part.filter("p_partkey < 300").select(F.col("p_partkey").alias("name_id"), F.col("p_name").alias("name"), *extra)
+    b = t.part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("match_id")).select("match_id", "name", *extra)
+    return fuzzy.resolve(a, b)
+
+
+WORDS = lambda c: f"list_distinct(list_filter(string_split_regex(regexp_replace(lower(strip_accents({c})), '[^a-z0-9]+', ' ', 'g'), ' +'), lambda w: w <> ''))"
+
+
+@query("q20_token_block_join_best", f"""WITH d AS (SELECT doc_id, {WORDS('text')} AS w FROM documents), b AS (SELECT item_id, {WORDS('text')} AS w FROM benchmark),
+x AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d), y AS (SELECT item_id, len(w) AS m, unnest(w) AS t FROM b),
+j AS (SELECT doc_id, item_id, count(*) / (n + m - count(*))::DOUBLE AS score FROM x JOIN y USING (t) GROUP BY doc_id, item_id, n, m),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS rn FROM j WHERE score >= 0.1) SELECT doc_id, item_id, round(score, 6) AS score FROM r WHERE rn = 1""")
+def q20(t):
+    d = t.documents.select("doc_id", text.tokens(F.col("text"), ()).alias("core_l"))
+    b = t.benchmark.select("item_id", text.tokens(F.col("text"), ()).alias("core_r"))
+    return fuzzy.token_block_join(d, b, "doc_id", "item_id", "core_l", "core_r", 0.1).withColumn("score", r6("score"))
+
+
+@query("q66_register_search", """WITH a AS (SELECT DISTINCT p_name AS name FROM part), x AS (SELECT name, unnest(string_split(name, ' ')) AS w FROM a), n AS (SELECT name, count(DISTINCT w) AS n FROM x GROUP BY 1),
+j AS (SELECT l.name AS l, r.name AS r, count(DISTINCT l.w) AS s FROM x l JOIN x r USING (w) GROUP BY ALL), k AS (SELECT l, r, s / (a.n + b.n - s)::DOUBLE AS score FROM j JOIN n a ON l = a.name JOIN n b ON r = b.name)
+SELECT l, r, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS rank FROM k WHERE score >= 0.3) WHERE rank <= 3""")
+def q66(t):
+    n = t.part.select("p_name").distinct().withColumn("w", F.split("p_name", " "))
+    return fuzzy.search(n.select(F.col("p_name").alias("l"), F.col("w").alias("wl")), n.select(F.col("p_name").alias("r"), F.col("w").alias("wr")), "l", "r", "wl", "wr", 0.3, 3).withColumn("score", r6("score"))
+
+
+@query("q23_normalize_tokens", f"SELECT doc_id, array_to_string({TOK('text')}, ' ') AS toks FROM documents")
+def q23(t):
+    return t.documents.select("doc_id", F.array_join(text.tokens(F.col("text")), " ").alias("toks"))
+
+
+@query("q24_id_normalizers", r"""SELECT p_partkey, trim(regexp_replace(lower(p_name || ' -- ' || p_brand), '[^\p{L}\p{N}]+', '-', 'g'), '-') AS slug, regexp_replace(upper(p_brand), '[^A-Z0-9]', '', 'g') AS squash,
+ coalesce(nullif(ltrim(p_partkey::VARCHAR, '0'), ''), '0') AS fei, lpad((p_partkey % 10000)::VARCHAR, 5, '0') || lpad((p_size)::VARCHAR, 4, '0') || '0' || (p_partkey % 10) AS ndc, 'ABC' AS iso3, p_type AS bare FROM part""")
+def q24(t):
+    k = F.col("p_partkey").cast("string")
+    code = F.concat_ws("-", (F.col("p_partkey") % 10000).cast("string"), F.col("p_size").cast("string"), (F.col("p_partkey") % 10).cast("string"))
+    return t.part.select("p_partkey", text.slug(F.concat("p_name", F.lit(" -- "), "p_brand")).alias("slug"), text.squash(F.col("p_brand")).alias("squash"), text.fei(F.concat(F.lit("FEI 000"), k)).alias("fei"), text.ndc11(code).alias("ndc"), text.last_iso3(F.concat("p_name", F.lit(" (XYZ), "), "p_brand", F.lit(" (ABC)"))).alias("iso3"), text.strip_parenthetical(F.concat("p_type", F.lit(" (old) "))).alias("bare"))
+
+
+@query("q19_same_substance_pairs", """WITH n AS (SELECT DISTINCT p_name AS x FROM part) SELECT a.x AS q, b.x AS c,
+ len(list_filter(string_split(a.x, ' '), lambda w: NOT list_contains(string_split(b.x, ' '), w))) = 0 OR len(list_filter(string_split(b.x, ' '), lambda w: NOT list_contains(string_split(a.x, ' '), w))) = 0
+ OR starts_with(replace(b.x, ' ', ''), replace(a.x, ' ', '')) OR starts_with(replace(a.x, ' ', ''), replace(b.x, ' ', '')) AS same
+FROM n a JOIN n b ON string_split(a.x, ' ')[1] = string_split(b.x, ' ')[1]""")
+def q19(t):
+    n = t.part.select("p_name", F.split("p_name", " ")[0].alias("w")).distinct()
+    a, b = n.select(F.col("p_name").alias("q"), "w"), n.select(F.col("p_name").alias("c"), "w")
+    return a.join(b, "w").select("q", "c", text.same_substance(F.col("q"), F.col("c")).alias("same"))
+
+
+@query("q67_generic_key", f"""WITH x AS (SELECT p_partkey, p_name || ' Tablets ' || p_type || '; extended' AS g FROM part)
+SELECT p_partkey, array_to_string(list_filter(string_split_regex(regexp_replace(lower(string_split_regex(g, '[;/]')[1]), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: w <> '' AND NOT list_contains({sql_list(lists.FORM_WORDS)}, w)), ' ') AS key FROM x""")
+def q67(t):
+    return t.part.select("p_partkey", text.generic_key(F.concat("p_name", F.lit(" Tablets "), "p_type", F.lit("; extended"))).alias("key"))
+
+
+@query("q47_html_plain_text", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS plain FROM pages""")
+def q47(t):
+    return t.pages.select("page_id", text.plain_text(F.col("html")).alias("plain"))
+
+
+@query("q68_dates_and_numbers", """SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS day, (DATE '1899-12-30' + (o_orderkey % 40000)::INT)::VARCHAR AS excel,
+ round((2001 - year(o_orderdate)) * 12 + (3 - month(o_orderdate)) + (15 - day(o_orderdate)) / 30.0::DOUBLE, 6) AS months, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS num, CASE WHEN o_totalprice >= 300000 THEN 'high' WHEN o_totalprice >= 100000 THEN 'medium' ELSE 'low' END AS band FROM orders""")
+def q68(t):
+    o = t.orders
+    k = F.col("o_orderkey") % 3
+    written = F.when(k == 0, F.date_format("o_orderdate", "MM/dd/yyyy")).when(k == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    raw = F.when(k == 0, F.col("o_totalprice").cast("string")).when(k == 1, "NaN").otherwise("n/a")
+    return o.select("o_orderkey", values.parse_date(written).cast("string").alias("day"), values.excel_date((F.col("o_orderkey") % 40000).cast("string")).cast("string").alias("excel"), r6(values.months_between_plain(F.lit("2001-03-15").cast("date"), F.col("o_orderdate"))).alias("months"), values.number(raw).alias("num"), values.band(F.col("o_totalprice"), 100000, 300000).alias("band"))
+
+
+AUDIT = """b AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id < 40)"""
+
+
+@query("q46_audit_chain", f"""WITH RECURSIVE {AUDIT}, j AS (SELECT conv_id, seq, sha256(text) AS payload, '{{"actor":"' || role || '","kind":"step","payload":"' || sha256(text) || '","run_id":"r' || conv_id || '","seq":' || seq || ',"ts":"' || turn || '"}}' AS body FROM b),
+c AS (SELECT conv_id, seq, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || body) AS hash FROM j WHERE seq = 0 UNION ALL SELECT j.conv_id, j.seq, c.hash, sha256(c.hash || j.body) FROM c JOIN j ON j.conv_id = c.conv_id AND j.seq = c.seq + 1)
+SELECT * FROM c""")
+def q46(t):
+    return chain(t).select("conv_id", "seq", "prev_hash", "hash")
+
+
+def chain(t: Tables) -> DataFrame:
+    rows = t.conversations.filter("conv_id < 40").select("conv_id", "turn", F.col("turn").cast("string").alias("ts"), F.concat(F.lit("r"), F.col("conv_id").cast("string")).alias("run_id"), F.col("role").alias("actor"), F.lit("step").alias("kind"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("payload"))
+    return audit.chain_append(rows, ["turn"], by="conv_id")
+
+
+@query("q69_audit_verify_tampered", """WITH n AS (SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id < 40 GROUP BY 1)
+SELECT conv_id, CASE WHEN n < 3 THEN true WHEN conv_id % 3 = 0 THEN false WHEN conv_id % 3 = 1 THEN false ELSE true END AS ok, CASE WHEN n < 3 THEN 'intact' WHEN conv_id % 3 = 0 THEN 'modified' WHEN conv_id % 3 = 1 THEN 'removed, reordered, or inserted' ELSE 'intact' END AS finding FROM n""")
+def q69(t):
+    """Every third chain has an edited row, every third lacks one: the finding names which."""
+    from pyspark.sql import Window
+
+    log = chain(t).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("conv_id")))
+    edited = (F.col("conv_id") % 3 == 0) & (F.col("seq") == 1) & (F.col("n") >= 3)
+    log = log.withColumn("payload", F.when(edited, "edited").otherwise(F.col("payload"))).filter(~((F.col("conv_id") % 3 == 1) & (F.col("seq") == 1) & (F.col("n") >= 3)))
+    return audit.chain_verify(log, by="conv_id").select("conv_id", "ok", "finding")

@@ -1 +1,118 @@
-"""Registered queries."""
+"""Telemetry queries over the events table: key user_id, temperature least(value, 60), time ts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..streaming import telemetry as T
+from .registry import Tables, query, r6
+
+LOW, HIGH, CEILING = 10.0, 40.0, 50.0
+
+
+def readings(t: Tables) -> DataFrame:
+    return t.events.select("event_id", "user_id", "ts", F.least("value", F.lit(60.0)).alias("temp"))
+
+
+EV = "ev AS (SELECT event_id, user_id, ts, epoch_us(ts) AS us, least(value, 60.0::DOUBLE) AS temp FROM events)"
+MKT = f"""{EV}, g AS (SELECT *, exp(-83144.0::DOUBLE / (8.314::DOUBLE * (temp + 273.15::DOUBLE))) AS k, (lead(us) OVER w - us) / 1e6::DOUBLE AS nx, (us - lag(us) OVER w) / 1e6::DOUBLE AS pv FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+m AS (SELECT *, count(*) OVER r AS n, avg(temp) OVER r AS mean_c, (us - min(us) OVER r) / 1e6::DOUBLE AS span_s, sum(k * coalesce(nx, 0)) OVER r - k * coalesce(nx, 0) AS num, sum(coalesce(nx, 0)) OVER r - coalesce(nx, 0) AS den FROM g WINDOW r AS (PARTITION BY user_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)),
+mkt AS (SELECT *, CASE WHEN n = 1 THEN temp ELSE 83144.0::DOUBLE / 8.314::DOUBLE / -ln((num + pv * k) / (den + pv)) - 273.15::DOUBLE END AS mkt_c FROM m)"""
+
+
+@query("q30_sliding_mkt", f"WITH {MKT} SELECT event_id, round(mkt_c, 5) AS mkt_c, round(mean_c, 6) AS mean_c, round(span_s, 3) AS span_s FROM mkt")
+def q30(t):
+    d = T.sliding_mkt(readings(t), "user_id", "ts", "temp")
+    return d.select("event_id", F.round("mkt_c", 5).alias("mkt_c"), r6("mean_c").alias("mean_c"), F.round("span_s", 3).alias("span_s"))
+
+
+BAND = f"temp BETWEEN {LOW} AND {HIGH}"
+DWELL = f"""{EV}, ru AS (SELECT *, {BAND} AS ok, sum(({BAND})::INT) OVER (PARTITION BY user_id ORDER BY us, event_id) AS run FROM ev),
+dw AS (SELECT *, CASE WHEN NOT ok THEN (us - min(us) FILTER (NOT ok) OVER (PARTITION BY user_id, run)) / 1e6::DOUBLE END AS held_s FROM ru)"""
+
+
+@query("q31_dwell_excursion_runs", f"WITH {DWELL} SELECT event_id, round(held_s, 3) AS held_s, coalesce(held_s >= 3600, false) AS excursion FROM dw")
+def q31(t):
+    d = T.excursions(readings(t), "user_id", "ts", F.col("temp").between(LOW, HIGH), 3600)
+    return d.select("event_id", F.round("held_s", 3).alias("held_s"), "excursion")
+
+
+@query("q32_latched_breach", f"WITH {MKT} SELECT event_id, bool_or(mkt_c > {CEILING} AND span_s >= 3600) OVER (PARTITION BY user_id ORDER BY us, event_id) AS latched FROM mkt")
+def q32(t):
+    return T.latch(T.sliding_mkt(readings(t), "user_id", "ts", "temp"), "user_id", "ts", F.lit(CEILING)).select("event_id", "latched")
+
+
+def last_state(t: Tables) -> DataFrame:
+    d = T.latch(T.sliding_mkt(readings(t), "user_id", "ts", "temp"), "user_id", "ts", F.lit(CEILING))
+    d = T.excursions(d, "user_id", "ts", F.col("temp").between(LOW, HIGH), 3600)
+    fault = T.sensor_fault(F.col("temp"), F.when(F.col("event_id") % 10 == 0, F.col("temp") + 5).otherwise(F.col("temp")))
+    newest = d.withColumn("fault", fault).groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "latched", "excursion", "fault")).alias("s"))
+    known = t.customer.filter("c_custkey < 160").select(F.col("c_custkey").alias("user_id"))
+    return known.join(newest, "user_id", "left").select("user_id", F.col("s.ts").alias("last_ts"), F.coalesce("s.latched", F.lit(False)).alias("latched"), F.coalesce("s.excursion", F.lit(False)).alias("excursion"), F.col("s.fault").alias("fault"))
+
+
+STATUS = f"""WITH {MKT}, la AS (SELECT *, bool_or(mkt_c > {CEILING} AND span_s >= 3600) OVER (PARTITION BY user_id ORDER BY us, event_id) AS latched, rank() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) AS rk FROM mkt),
+ru AS (SELECT *, {BAND} AS ok, sum(({BAND})::INT) OVER (PARTITION BY user_id ORDER BY us, event_id) AS run FROM la), dw AS (SELECT *, CASE WHEN NOT ok THEN (us - min(us) FILTER (NOT ok) OVER (PARTITION BY user_id, run)) / 1e6::DOUBLE END AS held_s FROM ru),
+s AS (SELECT c_custkey AS user_id, us, coalesce(latched, false) AS latched, coalesce(held_s >= 3600, false) AS excursion, event_id % 10 = 0 AS fault FROM customer LEFT JOIN dw ON c_custkey = user_id AND rk = 1 WHERE c_custkey < 160),
+a AS (SELECT user_id, CASE WHEN us IS NULL THEN 'offline' WHEN epoch_us(TIMESTAMP '2024-01-31 00:00:00') - us > 20000 * 1000000::BIGINT THEN 'stale' WHEN latched THEN 'mkt_breach' WHEN fault THEN 'sensor_fault' WHEN excursion THEN 'excursion' ELSE 'ok' END AS code,
+ CASE WHEN latched THEN 'mkt_breach' WHEN fault THEN 'sensor_fault' WHEN excursion THEN 'excursion' WHEN epoch_us(TIMESTAMP '2024-01-31 00:00:00') - us > 20000 * 1000000::BIGINT THEN 'stale' WHEN us IS NULL THEN 'offline' ELSE 'ok' END AS contract FROM s)"""
+
+
+@query("q33_bin_status_asof", STATUS + " SELECT user_id, code, contract, list_position(['mkt_breach', 'sensor_fault', 'excursion', 'stale', 'offline', 'ok'], code)::BIGINT AS rank FROM a")
+def q33(t):
+    last, now = last_state(t), F.lit("2024-01-31 00:00:00").cast("timestamp")
+    code = T.status_asof(last, now, 20000).select("user_id", F.col("status").alias("code"), "rank")
+    return code.join(T.status_asof(last, now, 20000, "contract").select("user_id", F.col("status").alias("contract")), "user_id").select("user_id", "code", "contract", F.col("rank").cast("long").alias("rank"))
+
+
+@query("q34_change_stream", """WITH x AS (SELECT event_id, user_id, event_type, value >= 50 AS hot, lag(event_type) OVER w AS pt, lag(value >= 50) OVER w AS ph, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, user_id, event_type, hot FROM x WHERE rn = 1 OR pt IS DISTINCT FROM event_type OR ph IS DISTINCT FROM hot""")
+def q34(t):
+    d = t.events.select("event_id", "user_id", "ts", "event_type", (F.col("value") >= 50).alias("hot"))
+    return T.change_stream(d, "user_id", ["ts", "event_id"], ["event_type", "hot"]).select("event_id", "user_id", "event_type", "hot")
+
+
+@query("q35_history_stride", """WITH x AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT event_id, user_id FROM x WHERE i % greatest(1, n // 20) = 0""")
+def q35(t):
+    return T.stride(t.events, "user_id", ["ts", "event_id"], 20).select("event_id", "user_id")
+
+
+@query("q53_ratchet_baseline", """WITH x AS (SELECT event_id, user_id, value, row_number() OVER w AS i, ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+y AS (SELECT *, exp(max(ln(value) - i * ln(0.9998::DOUBLE)) OVER (PARTITION BY user_id ORDER BY i) + i * ln(0.9998::DOUBLE)) AS clean FROM x) SELECT event_id, round(clean, 5) AS clean, round(greatest(0, least(100, (1 - value / clean) * 100)), 4) AS dirt FROM y""")
+def q53(t):
+    from ..functions.values import contamination_pct
+
+    d = T.ratchet(t.events.select("event_id", "user_id", "ts", "value"), "user_id", ["ts", "event_id"], "value")
+    return d.select("event_id", F.round("clean", 5).alias("clean"), F.round(contamination_pct(F.col("clean"), F.col("value")), 4).alias("dirt"))
+
+
+@query("q74_sequence_gaps", """SELECT event_id, greatest(0, coalesce(event_id - lag(event_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1, 0)) AS lost FROM events""")
+def q74(t):
+    return T.sequence_gaps(t.events.select("event_id", "event_type", "ts"), "event_type", ["ts", "event_id"], "event_id").select("event_id", "lost")
+
+
+@query("q75_synthetic_scenarios", """WITH s AS (SELECT unnest(['nominal', 'excursion', 'breach', 'fault']) AS scenario), r AS (SELECT scenario, i, CASE scenario WHEN 'excursion' THEN CASE WHEN i < 3200 THEN 22.0::DOUBLE ELSE 22.0 + (i - 3200) * (9.0::DOUBLE / 800) END WHEN 'breach' THEN CASE WHEN i * 2 BETWEEN 3600 AND 7200 THEN 45.0::DOUBLE ELSE 23.0 END ELSE 22.0::DOUBLE END AS t FROM s, range(0, 4000) AS g(i))
+SELECT scenario, round(avg(t), 5) AS mean_c, round(max(t), 5) AS max_c, round(avg(greatest(20.0, least(95.0, 55 + (t - 22) * 1.8::DOUBLE))), 5) AS rh FROM r GROUP BY 1""")
+def q75(t):
+    out = None
+    for s in ("nominal", "excursion", "breach", "fault"):
+        d = T.synthetic(t.spark, s, 4000).groupBy(F.lit(s).alias("scenario")).agg(F.round(F.avg("temp_c"), 5).alias("mean_c"), F.round(F.max("temp_c"), 5).alias("max_c"), F.round(F.avg("rh_pct"), 5).alias("rh"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query("q51_telemetry_stateful_stream")
+def q51(t):
+    """The stateful stream over the events, run to its end: each key's newest state."""
+    import uuid
+
+    schema = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").schema
+    src = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    r = src.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.least("value", F.lit(60.0)).alias("temp_c"), F.lit(None).cast("string").alias("control"))
+    name = f"bins_{uuid.uuid4().hex[:8]}"
+    out = T.bin_stream(r, LOW, HIGH, CEILING, dwell_s=3600)
+    q = out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    newest = t.spark.table(name).groupBy("key").agg(F.max(F.struct("ts", "mkt_c", "latched", "excursion")).alias("s"))
+    return newest.select("key", F.round("s.mkt_c", 5).alias("mkt_c"), "s.latched", "s.excursion")

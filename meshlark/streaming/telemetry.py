@@ -42,19 +42,18 @@ def sliding_mkt(df: DataFrame, key: str, ts: str, temp: str, window_s: int = lis
 
     A sample weighs as long as it lasted; the newest weighs as long as the one before it did; alone, it is the value.
     """
-    w = Window.partitionBy(key).orderBy("_s", tie)
-    d = df.withColumn("_s", in_seconds(F.col(ts))).withColumn("_t", F.col(temp))
+    w = Window.partitionBy(key).orderBy("_us", tie)
+    d = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_t", F.col(temp))
     gap = lambda c: F.greatest(c, F.lit(1e-9))
-    d = d.withColumn("_k", F.exp(F.lit(-dh) / (r * (F.col("_t") + 273.15)))).withColumn("_next", gap(F.lead("_s").over(w) - F.col("_s"))).withColumn("_prev", gap(F.col("_s") - F.lag("_s").over(w)))
+    d = d.withColumn("_k", F.exp(F.lit(-dh) / (r * (F.col("_t") + 273.15)))).withColumn("_next", gap((F.lead("_us").over(w) - F.col("_us")) / 1e6)).withColumn("_prev", gap((F.col("_us") - F.lag("_us").over(w)) / 1e6))
     span = Window.partitionBy(key).orderBy("_us").rangeBetween(-window_s * 1_000_000, 0)
-    d = d.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
     # the frame holds this row too: its own later gap is taken out again
     num = F.sum(F.col("_k") * F.coalesce("_next", F.lit(0.0))).over(span) - F.col("_k") * F.coalesce("_next", F.lit(0.0))
     den = F.sum(F.coalesce("_next", F.lit(0.0))).over(span) - F.coalesce("_next", F.lit(0.0))
-    d = d.withColumn("_n", F.count(F.lit(1)).over(span)).withColumn("mean_c", F.avg("_t").over(span)).withColumn("span_s", F.col("_s") - F.min("_s").over(span))
+    d = d.withColumn("_n", F.count(F.lit(1)).over(span)).withColumn("mean_c", F.avg("_t").over(span)).withColumn("span_s", (F.col("_us") - F.min("_us").over(span)) / 1e6)
     mean = (num + F.col("_prev") * F.col("_k")) / (den + F.col("_prev"))
     d = d.withColumn("mkt_c", F.when(F.col("_n") == 1, F.col("_t")).otherwise(dh / r / -F.log(mean) - 273.15))
-    return d.drop("_s", "_t", "_k", "_next", "_prev", "_us", "_n")
+    return d.drop("_t", "_k", "_next", "_prev", "_us", "_n")
 
 
 def in_band(temp: Column, low: Column, high: Column, rh: Column | None = None, rh_max: Column | None = None) -> Column:
@@ -68,7 +67,7 @@ def excursions(df: DataFrame, key: str, ts: str, ok: Column, dwell_s: float = li
     d = df.withColumn("_ok", ok).withColumn("_run", F.sum(F.col("_ok").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     since = F.min(F.when(~F.col("_ok"), F.col(ts))).over(Window.partitionBy(key, "_run"))
     d = d.withColumn("since", F.when(~F.col("_ok"), since))
-    d = d.withColumn("held_s", in_seconds(F.col(ts)) - in_seconds(F.col("since")))
+    d = d.withColumn("held_s", (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("since").cast("timestamp"))) / 1e6)
     return d.withColumn("excursion", F.coalesce(F.col("held_s") >= dwell_s, F.lit(False))).drop("_ok", "_run")
 
 
