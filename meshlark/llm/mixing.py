@@ -50,7 +50,7 @@ def source_weights(totals: DataFrame, max_repetition: float | None = 1.5, min_en
     spend = F.lit(float(budget)) if budget is not None else F.expr("array_max(transform(p, x -> x * total * z / pow(x, alpha)))")
     one = one.withColumn("budget", spend).withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("budget") / block_tokens)).cast("long"))
     return one.select("alpha", "budget", "n_blocks", "total", "z", F.explode("src").alias("x")).select(
-        F.col("x.s").alias("s"), F.col("x.t").alias("t"), F.expr("pow(x.t / cast(total as double), alpha) / z").alias("weight"), "alpha", F.expr("pow(x.t / cast(total as double), alpha) / z * budget").alias("quota"), "n_blocks"
+        F.col("x.s").alias("s"), F.col("x.t").alias("t"), F.expr("pow(x.t / cast(total as double), alpha) / z").alias("weight"), "alpha", F.round(F.expr("pow(x.t / cast(total as double), alpha) / z * budget")).cast("long").alias("quota"), "n_blocks"
     )
 
 

@@ -96,11 +96,11 @@ al AS (SELECT hi AS alpha FROM bis WHERE i = 60),
 raw AS (SELECT s, t, pow(t / (SELECT total FROM arr), alpha) AS pa, alpha FROM totals, al),
 wts AS (SELECT s, t, alpha, pa / (SELECT sum(pa) FROM raw) AS weight,
           (SELECT max(t * z / pa) FROM raw, (SELECT sum(pa) AS z FROM raw)) AS budget FROM raw),
-w AS (SELECT *, weight * budget AS quota, greatest(1, ceil(budget / 65536))::BIGINT AS n_blocks FROM wts),
+w AS (SELECT *, round(weight * budget)::BIGINT AS quota, greatest(1, ceil(budget / 65536))::BIGINT AS n_blocks FROM wts),
 dealt AS (
   SELECT u.*, w.t, w.alpha, w.weight, w.quota, w.n_blocks, e.epoch,
     md5(concat_ws(':', '0', e.epoch::VARCHAR, coalesce(u.doc_id::VARCHAR, '-'), u.tokens::VARCHAR, u.s)) AS key
-  FROM units u JOIN w USING (s), LATERAL (SELECT unnest(range(0, greatest(1, ceil(w.quota / w.t)::BIGINT))) AS epoch) e),
+  FROM units u JOIN w USING (s), LATERAL (SELECT unnest(range(0, greatest(1, ceil(w.quota / w.t::DOUBLE)::BIGINT))) AS epoch) e),
 placed AS (
   SELECT *, epoch * t + coalesce(sum(tokens * copies) OVER (PARTITION BY s, epoch ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM dealt),
 blocked AS (SELECT *, least(n_blocks - 1, floor(start / quota * n_blocks))::BIGINT AS block_id FROM placed WHERE start < quota)

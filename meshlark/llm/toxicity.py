@@ -31,7 +31,7 @@ LENGTH, STRIDE = 48, 24
 WORDS, GRAM_BITS, WORD_DIM, GRAM_DIM, STATE, ATTEND = 1 << 14, 15, 8, 12, 12, 8
 #: Lengths of the character runs; share of words whose own vector is hidden in training, so that their characters count.
 RUNS, HIDDEN = (3, 5, 7), 0.5
-SAMPLE, SPOTS, ROUNDS, WARM, BATCH, RATE = 3000, 32, 6, 2, 64, 0.01
+SAMPLE, SPOTS, ROUNDS, WARM, BATCH, LEAST_STEPS, LEAST_DOCS, RATE = 3000, 32, 6, 2, 64, 40, 4, 0.01
 LONGEST, REMEMBERED = 24, 200_000
 LIMIT = 0.7
 F32 = np.float32
@@ -177,6 +177,17 @@ def fit(samples: list[tuple[int, list[list[bytes]]]], rounds: int = ROUNDS, seed
             at.append(np.pad(np.fromiter((row[w] for w in s), np.int32, len(s)), (0, LENGTH - len(s))))
             owner.append(i)
     at, owner = np.array(at, np.int32).reshape(-1, LENGTH), np.array(owner, np.int64)
+    # what stands in few documents says nothing about others: its vectors stay zero, as those of unknown words and runs are
+    rare = {"word": np.zeros(WORDS, np.int64), "gram": np.zeros(1 << GRAM_BITS, np.int64)}
+    edges = np.searchsorted(owner, np.arange(len(samples) + 1))
+    for a, b in zip(edges, edges[1:], strict=False):
+        here = np.unique(at[a:b])
+        here = here[here > 0] - 1
+        rare["word"][np.unique(ids[here])] += 1
+        rare["gram"][np.unique(grams[here][there[here] > 0])] += 1
+    rare = {k: v < LEAST_DOCS for k, v in rare.items()}
+    for k, v in rare.items():
+        net.p[k][v] = 0
     mean, var, step = {k: np.zeros_like(v) for k, v in net.p.items()}, {k: np.zeros_like(v) for k, v in net.p.items()}, 0
     share = min(0.95, max(0.05, float(label.mean())))
     net.p["c"][:] = np.log(share / (1 - share))
@@ -191,7 +202,9 @@ def fit(samples: list[tuple[int, list[list[bytes]]]], rounds: int = ROUNDS, seed
         rank = np.arange(len(at)) - np.searchsorted(owner[luck], owner[luck])
         some = luck[rank < np.where(label[owner[luck]] == 1, 4 * blind, 2 if blind else 1)]
         chosen = some if blind else np.unique(np.concatenate([worst, some]))
-        for part in np.array_split(rng.permutation(chosen), max(1, len(chosen) // BATCH)):
+        parts = max(1, len(chosen) // BATCH)
+        passes = range(-(-LEAST_STEPS // parts))
+        for part in [x for _ in passes for x in np.array_split(rng.permutation(chosen), parts)]:
             used, local = np.unique(at[part], return_inverse=True)
             local = local.reshape(len(part), LENGTH)
             if used[0] == 0:
@@ -201,6 +214,8 @@ def fit(samples: list[tuple[int, list[list[bytes]]]], rounds: int = ROUNDS, seed
             g = net.gradients((ids[used - 1], grams[used - 1], there[used - 1]), local, label[owner[part]], (rng.random((len(used), 1)) >= HIDDEN).astype(F32))
             step += 1
             for k, v in g.items():
+                if k in rare:
+                    v[rare[k]] = 0
                 np.clip(v, -1, 1, out=v)
                 mean[k] += F32(0.1) * (v - mean[k])
                 var[k] += F32(0.01) * (v * v - var[k])
