@@ -18,8 +18,8 @@ def nid(prefix: str, c) -> F.Column:
     return F.concat(F.lit(prefix), F.col(c).cast("string"))
 
 
-def edges(t: Tables, parts: int = 400) -> DataFrame:
-    line = t.lineitem.filter(F.col("l_partkey") < parts)
+def edges(t: Tables) -> DataFrame:
+    line = t.lineitem
     return (
         t.nation.select(nid("r", "n_regionkey").alias("src"), nid("n", "n_nationkey").alias("dst"), F.lit("hosts").alias("rel"))
         .unionByName(t.supplier.select(nid("n", "s_nationkey").alias("src"), nid("s", "s_suppkey").alias("dst"), F.lit("hosts").alias("rel")))
@@ -29,7 +29,7 @@ def edges(t: Tables, parts: int = 400) -> DataFrame:
 
 
 E = """e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'hosts' AS rel FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'hosts' FROM supplier
-UNION ALL SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey, 'produced_by' FROM lineitem WHERE l_partkey < 400 UNION ALL SELECT DISTINCT 'p' || l_partkey, 'o' || l_orderkey, 'formulated_into' FROM lineitem WHERE l_partkey < 400),
+UNION ALL SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey, 'produced_by' FROM lineitem UNION ALL SELECT DISTINCT 'p' || l_partkey, 'o' || l_orderkey, 'formulated_into' FROM lineitem),
 f AS (SELECT CASE WHEN rel = 'produced_by' THEN dst ELSE src END AS src, CASE WHEN rel = 'produced_by' THEN src ELSE dst END AS dst, rel FROM e)"""
 
 
@@ -53,7 +53,7 @@ def q70(t):
 
 
 def scores(t: Tables) -> DataFrame:
-    return t.supplier.filter("s_suppkey % 3 = 0").select(nid("s", "s_suppkey").alias("node_id"), F.round(F.pmod(F.col("s_acctbal"), F.lit(97.0)) / 97, 6).alias("p12"))
+    return t.supplier.filter("s_acctbal > 6000").select(nid("s", "s_suppkey").alias("node_id"), F.round(F.pmod(F.col("s_acctbal"), F.lit(97.0)) / 97, 6).alias("p12"))
 
 
 def graph_nodes(t: Tables) -> DataFrame:
@@ -61,7 +61,7 @@ def graph_nodes(t: Tables) -> DataFrame:
     return e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
 
 
-@query("q27_propagate_worst_risk", f"""WITH RECURSIVE {E}, sc AS (SELECT 's' || s_suppkey AS id, round((s_acctbal - 97 * floor(s_acctbal / 97)) / 97, 6) AS p FROM supplier WHERE s_suppkey % 3 = 0),
+@query("q27_propagate_worst_risk", f"""WITH RECURSIVE {E}, sc AS (SELECT 's' || s_suppkey AS id, round((s_acctbal - 97 * floor(s_acctbal / 97)) / 97, 6) AS p FROM supplier WHERE s_acctbal > 6000),
 x(origin, id) AS (SELECT id, id FROM sc UNION SELECT x.origin, f.dst FROM x JOIN f ON x.id = f.src AND f.rel NOT IN ('marketed_as', 'formulated_into')),
 st AS (SELECT x.id, max(p) AS p12, 'inherited' AS attribution FROM x JOIN sc ON x.origin = sc.id WHERE x.id NOT IN (SELECT id FROM sc) GROUP BY 1),
 k AS (SELECT id, p AS p12, 'direct' AS attribution FROM sc UNION ALL SELECT * FROM st),
@@ -71,7 +71,7 @@ def q27(t):
     return graph.propagate_max(edges(t), scores(t), graph_nodes(t)).select("node_id", "p12", "attribution")
 
 
-@query("q28_weak_fill_attribution", f"""WITH RECURSIVE {E}, sc AS (SELECT 's' || s_suppkey AS id, round((s_acctbal - 97 * floor(s_acctbal / 97)) / 97, 6) AS p FROM supplier WHERE s_suppkey % 3 = 0),
+@query("q28_weak_fill_attribution", f"""WITH RECURSIVE {E}, sc AS (SELECT 's' || s_suppkey AS id, round((s_acctbal - 97 * floor(s_acctbal / 97)) / 97, 6) AS p FROM supplier WHERE s_acctbal > 6000),
 st AS (SELECT f.dst AS id, arg_min(sc.id, (-p, sc.id)) AS origin FROM sc JOIN f ON sc.id = f.src WHERE f.rel = 'produced_by' GROUP BY 1),
 sp AS (SELECT st.id, st.origin, p FROM st JOIN sc ON st.origin = sc.id)
 SELECT f.dst AS node_id, arg_min(sp.origin, (-p, sp.origin)) AS origin FROM sp JOIN f ON sp.id = f.src AND f.rel = 'formulated_into' GROUP BY 1""")
@@ -79,7 +79,7 @@ def q28(t):
     return graph.propagate_max(edges(t), scores(t), graph_nodes(t)).filter("attribution = 'molecule'").select("node_id", "origin")
 
 
-@query("q71_coverage", f"""WITH {E}, n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), sc AS (SELECT 's' || s_suppkey AS id FROM supplier WHERE s_suppkey % 3 = 0), st AS (SELECT DISTINCT dst AS id FROM f WHERE rel = 'produced_by' AND src IN (SELECT id FROM sc)), wk AS (SELECT DISTINCT dst AS id FROM f WHERE rel = 'formulated_into' AND src IN (SELECT id FROM st))
+@query("q71_coverage", f"""WITH {E}, n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), sc AS (SELECT 's' || s_suppkey AS id FROM supplier WHERE s_acctbal > 6000), st AS (SELECT DISTINCT dst AS id FROM f WHERE rel = 'produced_by' AND src IN (SELECT id FROM sc)), wk AS (SELECT DISTINCT dst AS id FROM f WHERE rel = 'formulated_into' AND src IN (SELECT id FROM st))
 SELECT CASE WHEN id IN (SELECT id FROM sc) THEN 'direct' WHEN id IN (SELECT id FROM st) THEN 'inherited' WHEN id IN (SELECT id FROM wk) THEN 'molecule' ELSE 'uncovered' END AS basis, count(*) AS nodes FROM n GROUP BY 1""")
 def q71(t):
     n = graph_nodes(t)
@@ -93,10 +93,10 @@ def q29(t):
     return graph.upstream_sets(e, producers)
 
 
-@query("q72_lowest_layer_country", """WITH x AS (SELECT l_suppkey AS id, l_linenumber % 3 + 1 AS layer, 'country:c' || (l_partkey % 9) AS dst FROM lineitem WHERE l_suppkey % 2 = 0 AND l_orderkey < 1000), m AS (SELECT id, arg_min(dst, (layer, dst)) AS dst FROM x GROUP BY 1)
+@query("q72_lowest_layer_country", """WITH x AS (SELECT l_suppkey AS id, l_linenumber % 3 + 1 AS layer, 'country:c' || (l_partkey % 9) AS dst FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1), m AS (SELECT id, arg_min(dst, (layer, dst)) AS dst FROM x GROUP BY 1)
 SELECT 's' || s_suppkey AS id, coalesce(replace(dst, 'country:', ''), 'n' || s_nationkey) AS country FROM supplier LEFT JOIN m ON s_suppkey = m.id""")
 def q72(t):
-    e = t.lineitem.filter("l_suppkey % 2 = 0 AND l_orderkey < 1000").select(nid("s", "l_suppkey").alias("src"), F.lit("incorporated_in").alias("rel"), F.concat(F.lit("country:c"), (F.col("l_partkey") % 9).cast("string")).alias("dst"), (F.col("l_linenumber") % 3 + 1).alias("layer"))
+    e = t.lineitem.filter("l_quantity >= 50 AND l_discount >= 0.1D").select(nid("s", "l_suppkey").alias("src"), F.lit("incorporated_in").alias("rel"), F.concat(F.lit("country:c"), (F.col("l_partkey") % 9).cast("string")).alias("dst"), (F.col("l_linenumber") % 3 + 1).alias("layer"))
     n = t.supplier.select(nid("s", "s_suppkey").alias("id"), F.lit("company").alias("type"), nid("n", "s_nationkey").alias("country"))
     return graph.lowest_layer_country(e, n).select("id", "country")
 

@@ -77,13 +77,13 @@ def q64(t):
     return fuzzy.refuse_ties(scored, "id_l", "id_r", superset=F.col("id_r") == 6)
 
 
-@query("q65_resolve_parts", """WITH a AS (SELECT p_partkey AS name_id, p_name AS name FROM part WHERE p_partkey < 300), b AS (SELECT min(p_partkey) AS match_id, p_name AS name FROM part GROUP BY p_name)
+@query("q65_resolve_parts", """WITH a AS (SELECT p_partkey AS name_id, p_name AS name FROM part), b AS (SELECT min(p_partkey) AS match_id, p_name AS name FROM part GROUP BY p_name)
 SELECT name_id, CASE WHEN name NOT LIKE 'old %' AND name NOT LIKE 'new %' THEN match_id END AS match_id, 1.0::DOUBLE AS score, CASE WHEN name LIKE 'old %' OR name LIKE 'new %' THEN 'refused' ELSE 'matched' END AS outcome FROM a JOIN b USING (name)""")
 def q65(t):
     """Part names among the distinct part names: equal names win; "old" and "new" are no core words, so such names tie and are refused."""
     none = F.lit(None).cast("string")
     extra = [none.alias("country"), none.alias("fei"), none.alias("duns")]
-    a = t.part.filter("p_partkey < 300").select(F.col("p_partkey").alias("name_id"), F.col("p_name").alias("name"), *extra)
+    a = t.part.select(F.col("p_partkey").alias("name_id"), F.col("p_name").alias("name"), *extra)
     b = t.part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("match_id")).select("match_id", "name", *extra)
     return fuzzy.resolve(a, b)
 
@@ -153,7 +153,7 @@ def q68(t):
     return o.select("o_orderkey", values.parse_date(written).cast("string").alias("day"), values.excel_date((F.col("o_orderkey") % 40000).cast("string")).cast("string").alias("excel"), r6(values.months_between_plain(F.lit("2001-03-15").cast("date"), F.col("o_orderdate"))).alias("months"), values.number(raw).alias("num"), values.band(F.col("o_totalprice"), 100000, 300000).alias("band"))
 
 
-AUDIT = """b AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id < 40)"""
+AUDIT = """b AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, role, coalesce(text, '') AS text, turn FROM conversations)"""
 
 
 @query("q46_audit_chain", f"""WITH RECURSIVE {AUDIT}, j AS (SELECT conv_id, seq, sha256(text) AS payload, '{{"actor":"' || role || '","kind":"step","payload":"' || sha256(text) || '","run_id":"r' || conv_id || '","seq":' || seq || ',"ts":"' || turn || '"}}' AS body FROM b),
@@ -164,11 +164,11 @@ def q46(t):
 
 
 def chain(t: Tables) -> DataFrame:
-    rows = t.conversations.filter("conv_id < 40").select("conv_id", "turn", F.col("turn").cast("string").alias("ts"), F.concat(F.lit("r"), F.col("conv_id").cast("string")).alias("run_id"), F.col("role").alias("actor"), F.lit("step").alias("kind"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("payload"))
+    rows = t.conversations.select("conv_id", "turn", F.col("turn").cast("string").alias("ts"), F.concat(F.lit("r"), F.col("conv_id").cast("string")).alias("run_id"), F.col("role").alias("actor"), F.lit("step").alias("kind"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("payload"))
     return audit.chain_append(rows, ["turn"], by="conv_id")
 
 
-@query("q69_audit_verify_tampered", """WITH n AS (SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id < 40 GROUP BY 1)
+@query("q69_audit_verify_tampered", """WITH n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)
 SELECT conv_id, CASE WHEN n < 3 THEN true WHEN conv_id % 3 = 0 THEN false WHEN conv_id % 3 = 1 THEN false ELSE true END AS ok, CASE WHEN n < 3 THEN 'intact' WHEN conv_id % 3 = 0 THEN 'modified' WHEN conv_id % 3 = 1 THEN 'removed, reordered, or inserted' ELSE 'intact' END AS finding FROM n""")
 def q69(t):
     """Every third chain has an edited row, every third lacks one: the finding names which."""

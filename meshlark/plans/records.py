@@ -27,11 +27,11 @@ def q77(t):
     return i.select("firm", F.size("feis").cast("long").alias("feis"), F.array_join("countries", "|").alias("countries"), F.array_join("operations", "|").alias("operations"), "api")
 
 
-@query("q78_first_match_join", """WITH r AS (SELECT lower(p_name) AS k, p_partkey, p_brand, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS rn, count(*) OVER (PARTITION BY lower(p_name)) AS sites FROM part WHERE p_partkey >= 100)
-SELECT p.p_partkey AS id, r.sites, r.p_brand AS brand FROM part p LEFT JOIN r ON lower(p.p_name) = r.k AND rn = 1 WHERE p.p_partkey < 100""")
+@query("q78_first_match_join", """WITH r AS (SELECT lower(p_name) AS k, p_partkey, p_brand, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS rn, count(*) OVER (PARTITION BY lower(p_name)) AS sites FROM part WHERE p_size > 5)
+SELECT p.p_partkey AS id, r.sites, r.p_brand AS brand FROM part p LEFT JOIN r ON lower(p.p_name) = r.k AND rn = 1 WHERE p.p_size <= 5""")
 def q78(t):
-    left = t.part.filter("p_partkey < 100").select(F.col("p_partkey").alias("id"), F.upper("p_name").alias("name"))
-    right = t.part.filter("p_partkey >= 100").select("p_partkey", F.col("p_name").alias("rname"), F.col("p_brand").alias("brand"))
+    left = t.part.filter("p_size <= 5").select(F.col("p_partkey").alias("id"), F.upper("p_name").alias("name"))
+    right = t.part.filter("p_size > 5").select("p_partkey", F.col("p_name").alias("rname"), F.col("p_brand").alias("brand"))
     return R.first_match(left, right, F.lower("name"), F.lower("rname"), "p_partkey", ["brand"]).select("id", "sites", "brand")
 
 
@@ -45,10 +45,10 @@ def q79(t):
 
 
 @query("q80_filing_number", """WITH f AS (SELECT DISTINCT upper(replace(p_name, ' ', '')) AS h, p_type AS substance, p_partkey AS filing FROM part), e AS (SELECT h, substance, min(filing) AS f1 FROM f GROUP BY 1, 2), n AS (SELECT substr(h, 1, 8) AS p, substance, min(filing) AS f2 FROM f GROUP BY 1, 2)
-SELECT p_partkey AS id, coalesce(f1, f2) AS filing FROM (SELECT *, upper(replace(p_name, ' ', '')) || CASE WHEN p_partkey % 2 = 0 THEN 'CO' ELSE '' END AS hh FROM part WHERE p_partkey < 200) x LEFT JOIN e ON e.h = hh AND e.substance = p_type LEFT JOIN n ON n.p = substr(hh, 1, 8) AND n.substance = p_type""")
+SELECT p_partkey AS id, coalesce(f1, f2) AS filing FROM (SELECT *, upper(replace(p_name, ' ', '')) || CASE WHEN p_partkey % 2 = 0 THEN 'CO' ELSE '' END AS hh FROM part) x LEFT JOIN e ON e.h = hh AND e.substance = p_type LEFT JOIN n ON n.p = substr(hh, 1, 8) AND n.substance = p_type""")
 def q80(t):
     f = t.part.select(F.col("p_name").alias("holder"), F.col("p_type").alias("substance"), F.col("p_partkey").alias("filing"))
-    h = t.part.filter("p_partkey < 200").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " co.").otherwise("")).alias("holder"), F.col("p_type").alias("substance"))
+    h = t.part.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " co.").otherwise("")).alias("holder"), F.col("p_type").alias("substance"))
     return R.filing_number(h, f).select("id", "filing")
 
 

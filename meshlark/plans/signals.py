@@ -37,13 +37,13 @@ HIST = "h AS (SELECT user_id AS fei, ts::DATE AS day, CASE event_type WHEN 'erro
 
 
 def universe(t: Tables) -> DataFrame:
-    return t.customer.select(F.col("c_custkey").alias("fei")).filter("fei < 400")
+    return t.customer.select(F.col("c_custkey").alias("fei"))
 
 
 MONTHS = lambda c: f"least(120.0::DOUBLE, (year(DATE '{DAY}') - year({c})) * 12 + (month(DATE '{DAY}') - month({c})) + (day(DATE '{DAY}') - day({c})) / 30.0::DOUBLE)"
 
 
-@query("q11_pit_features", f"""WITH {HIST}, u AS (SELECT c_custkey AS fei FROM customer WHERE c_custkey < 400),
+@query("q11_pit_features", f"""WITH {HIST}, u AS (SELECT c_custkey AS fei FROM customer),
 g AS (SELECT fei, count(*) FILTER (kind = 'OAI') AS oai, max(day) FILTER (kind = 'OAI') AS lo, count(*) FILTER (kind = 'VAI') AS vai, count(*) FILTER (kind IN ('OAI','VAI','NAI')) AS insp, max(day) FILTER (kind IN ('OAI','VAI','NAI')) AS li,
  count(*) FILTER (kind = 'mfg') AS mfg, count(*) FILTER (kind = 'paperwork') AS pap FROM h WHERE day <= DATE '{DAY}' GROUP BY 1)
 SELECT fei, round(ln(1 + coalesce(oai, 0)), 6) AS oai_all, round(ln(1 + coalesce(oai, 0)), 6) AS oai_3y, round(coalesce({MONTHS('lo')}, 120), 6) AS months_since_oai, round(ln(1 + coalesce(vai, 0)), 6) AS vai_3y, round(ln(1 + coalesce(insp, 0)), 6) AS insp_3y,
@@ -54,16 +54,16 @@ def q11(t):
 
 
 @query("q12_horizon_label", f"""WITH {HIST}, b AS (SELECT DISTINCT fei FROM h WHERE day > DATE '{DAY}' AND day <= DATE '{DAY}' + 3 AND kind IN ('OAI', 'mfg'))
-SELECT c_custkey AS fei, (b.fei IS NOT NULL)::INT AS label FROM customer LEFT JOIN b ON c_custkey = b.fei WHERE c_custkey < 400""")
+SELECT c_custkey AS fei, (b.fei IS NOT NULL)::INT AS label FROM customer LEFT JOIN b ON c_custkey = b.fei""")
 def q12(t):
     return pointintime.horizon_label(history(t), universe(t), F.lit(DAY).cast("date"), 3)
 
 
 @query("q13_active_universe", f"""WITH {HIST}, i AS (SELECT * FROM h WHERE kind IN ('OAI', 'VAI', 'NAI') AND day <= DATE '{AS_OF}'), r AS (SELECT DISTINCT fei FROM i WHERE day >= DATE '{AS_OF}' - INTERVAL 1 MONTH),
-a AS (SELECT c_custkey AS fei, true AS registered FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT fei, false FROM i)
+a AS (SELECT c_custkey AS fei, true AS registered FROM customer WHERE c_acctbal > 0 UNION ALL SELECT fei, false FROM i)
 SELECT fei, bool_or(registered) AS registered FROM a WHERE fei IN (SELECT fei FROM r) GROUP BY 1""")
 def q13(t):
-    reg = t.customer.select(F.col("c_custkey").alias("fei")).filter("fei % 2 = 0")
+    reg = t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("fei"))
     return pointintime.active_universe(reg, history(t).filter("kind IN ('OAI', 'VAI', 'NAI')"), F.lit(AS_OF).cast("date"), 1)
 
 
@@ -84,12 +84,12 @@ def q15(t):
 st AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id, kind ORDER BY observed_at DESC, event_id) AS rn FROM p WHERE kind = 'inspection_classification') WHERE rn = 1 AND classification = 'OAI'),
 ev AS (SELECT * FROM p WHERE kind <> 'inspection_classification' AND observed_at::DATE >= DATE '{AS_OF}' - 7 AND severity NOT IN ('low', 'info')),
 f AS (SELECT node_id, string_agg(kind || ' ' || observed_at::DATE::VARCHAR, '; ' ORDER BY kind || ' ' || observed_at::DATE::VARCHAR) AS fired_by, count(*) AS n FROM (SELECT node_id, kind, observed_at FROM st UNION ALL SELECT node_id, kind, observed_at FROM ev) GROUP BY 1),
-s AS (SELECT c_custkey AS node_id, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE (c_custkey % 5) * 0.25::DOUBLE END AS share FROM customer WHERE c_custkey < 200)
+s AS (SELECT c_custkey AS node_id, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE (c_custkey % 5) * 0.25::DOUBLE END AS share FROM customer)
 SELECT node_id, coalesce(share > 0.75, false) AND n IS NOT NULL AS red, share > 0.75 AS concentrated, coalesce(fired_by, '') AS fired_by,
  concat_ws('; ', CASE WHEN share IS NULL THEN 'concentration unproven' WHEN share > 0.75 THEN 'concentrated supply' END, n || ' signals fired') AS reasons FROM s LEFT JOIN f USING (node_id)""")
 def q16(t):
     k = F.col("c_custkey")
-    shares = t.customer.filter(k < 200).select(k.alias("node_id"), F.when(k % 5 != 0, (k % 5) * 0.25).alias("share"))
+    shares = t.customer.select(k.alias("node_id"), F.when(k % 5 != 0, (k % 5) * 0.25).alias("share"))
     v = rules.red_verdict(signals(t), shares, F.lit(AS_OF).cast("date"), days=7)
     return v.withColumn("fired_by", F.array_join("fired_by", "; ")).withColumn("reasons", F.array_join("reasons", "; "))
 
@@ -139,12 +139,12 @@ def q42(t):
     return rules.eligibility_buyers(nodes, t.spark.createDataFrame([("c1",), ("c2",), ("c9",)], "buyer string"), ["c1", "c2", "c3"])
 
 
-@query("q59_verdict_inheritance", """SELECT 'company:' || s_suppkey AS id, 'n' || s_nationkey AS country, coalesce(CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal > 0 END, CASE WHEN s_nationkey % 4 <> 3 THEN s_nationkey % 2 = 0 END) AS verdict,
- CASE WHEN s_suppkey % 3 = 0 THEN 'own' WHEN s_nationkey % 4 <> 3 THEN 'country' END AS basis FROM supplier""")
+@query("q59_verdict_inheritance", """SELECT 'company:' || s_suppkey AS id, 'n' || s_nationkey AS country, coalesce(CASE WHEN s_acctbal > 5000 THEN s_suppkey % 2 = 0 END, CASE WHEN n_regionkey <> 3 THEN s_nationkey % 2 = 0 END) AS verdict,
+ CASE WHEN s_acctbal > 5000 THEN 'own' WHEN n_regionkey <> 3 THEN 'country' END AS basis FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def q59(t):
     cid = F.concat(F.lit("company:"), F.col("s_suppkey").cast("string"))
-    own = t.supplier.filter("s_suppkey % 3 = 0").select(cid.alias("node_id"), (F.col("s_acctbal") > 0).alias("verdict"))
-    land = t.nation.filter("n_nationkey % 4 <> 3").select(F.concat(F.lit("country:n"), F.col("n_nationkey").cast("string")).alias("node_id"), (F.col("n_nationkey") % 2 == 0).alias("verdict"))
+    own = t.supplier.filter("s_acctbal > 5000").select(cid.alias("node_id"), (F.col("s_suppkey") % 2 == 0).alias("verdict"))
+    land = t.nation.filter("n_regionkey <> 3").select(F.concat(F.lit("country:n"), F.col("n_nationkey").cast("string")).alias("node_id"), (F.col("n_nationkey") % 2 == 0).alias("verdict"))
     return rules.inherit_verdict(t.supplier.select(cid.alias("id"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("country")), own.unionByName(land))
 
 
@@ -170,32 +170,32 @@ def q62(t):
     return top_signals(signals(t), 8).select("node_id", "event_id", "rank")
 
 
-@query("q43_upsert_merge", """WITH o AS (SELECT c_custkey AS id, c_name AS label, c_mktsegment AS seg FROM customer WHERE c_custkey < 600), n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'new ' || c_name END AS label, lower(c_mktsegment) AS seg FROM customer WHERE c_custkey >= 400 AND c_custkey < 900)
+@query("q43_upsert_merge", """WITH o AS (SELECT c_custkey AS id, c_name AS label, c_mktsegment AS seg FROM customer WHERE c_acctbal < 6000), n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'new ' || c_name END AS label, lower(c_mktsegment) AS seg FROM customer WHERE c_acctbal > 3000)
 SELECT coalesce(o.id, n.id) AS id, coalesce(n.label, o.label) AS label, coalesce(n.seg, o.seg) AS a, o.seg AS b, coalesce(CASE WHEN o.id IS NULL THEN false END, true) AS old FROM o FULL JOIN n ON o.id = n.id""")
 def q43(t):
     c = t.customer
     none = F.lit(None).cast("string")
-    o = c.filter("c_custkey < 600").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("label"), F.create_map(F.lit("a"), F.col("c_mktsegment"), F.lit("b"), F.col("c_mktsegment")).alias("attrs"), F.lit(True).alias("old"))
-    n = c.filter("c_custkey >= 400 AND c_custkey < 900").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("new "), "c_name")).otherwise(none).alias("label"), F.create_map(F.lit("a"), F.lower("c_mktsegment")).alias("attrs"), F.lit(None).cast("boolean").alias("old"))
+    o = c.filter("c_acctbal < 6000").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("label"), F.create_map(F.lit("a"), F.col("c_mktsegment"), F.lit("b"), F.col("c_mktsegment")).alias("attrs"), F.lit(True).alias("old"))
+    n = c.filter("c_acctbal > 3000").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("new "), "c_name")).otherwise(none).alias("label"), F.create_map(F.lit("a"), F.lower("c_mktsegment")).alias("attrs"), F.lit(None).cast("boolean").alias("old"))
     u = merge.upsert(o, n, ["id"], insert_defaults={"old": False})
     return u.select("id", "label", F.try_element_at("attrs", F.lit("a")).alias("a"), F.try_element_at("attrs", F.lit("b")).alias("b"), "old")
 
 
-@query("q44_union_priority", """WITH u AS (SELECT 1 AS p, s_suppkey % 50 AS id, s_name AS v FROM supplier UNION ALL SELECT 2, s_nationkey, 'n' || max(s_suppkey) FROM supplier GROUP BY s_nationkey UNION ALL SELECT 3, p_partkey, p_name FROM part WHERE p_partkey < 10),
+@query("q44_union_priority", """WITH u AS (SELECT 1 AS p, s_suppkey % 50 AS id, s_name AS v FROM supplier UNION ALL SELECT 2, s_nationkey, 'n' || max(s_suppkey) FROM supplier GROUP BY s_nationkey UNION ALL SELECT 3, p_size, p_name FROM part),
 d AS (SELECT p, id, min(v) AS v FROM u GROUP BY 1, 2) SELECT id, arg_max(v, p) AS last, arg_min(v, p) AS first, count(*) AS producers FROM d GROUP BY 1""")
 def q44(t):
     a = t.supplier.groupBy((F.col("s_suppkey") % 50).alias("id")).agg(F.min("s_name").alias("v"))
     b = t.supplier.groupBy(F.col("s_nationkey").cast("long").alias("id")).agg(F.concat(F.lit("n"), F.max("s_suppkey").cast("string")).alias("v"))
-    c = t.part.filter("p_partkey < 10").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("v"))
+    c = t.part.groupBy(F.col("p_size").cast("long").alias("id")).agg(F.min("p_name").alias("v"))
     dfs = [a, b, c]
     hits = merge.collisions(dfs, ["id"])
     return merge.union_priority(dfs, ["id"]).withColumnRenamed("v", "last").join(merge.union_priority(dfs, ["id"], "first").withColumnRenamed("v", "first"), "id").join(hits, "id", "left").select("id", "last", "first", F.coalesce("producers", F.lit(1)).alias("producers"))
 
 
-@query("q63_builder_merge", """WITH r AS (SELECT l_suppkey AS id, l_linenumber::BIGINT * 1000000000 + l_orderkey * 10 + l_partkey % 10 AS ord, l_returnflag AS flag, CASE WHEN l_quantity > 25 THEN l_linestatus END AS st, l_partkey FROM lineitem WHERE l_orderkey < 2000)
+@query("q63_builder_merge", """WITH r AS (SELECT l_suppkey AS id, l_linenumber::BIGINT * 1000000000 + l_orderkey * 10 + l_partkey % 10 AS ord, l_returnflag AS flag, CASE WHEN l_quantity > 25 THEN l_linestatus END AS st, l_partkey FROM lineitem)
 SELECT id, arg_min(flag, (ord, l_partkey)) AS flag, arg_max(st, (ord, l_partkey)) FILTER (st IS NOT NULL) AS st, count(*) AS _rows FROM r GROUP BY 1""")
 def q63(t):
-    r = t.lineitem.filter("l_orderkey < 2000").select(F.col("l_suppkey").alias("id"), F.struct((F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_orderkey") * 10 + F.col("l_partkey") % 10).alias("o"), "l_partkey").alias("ord"), F.col("l_returnflag").alias("flag"), F.create_map(F.lit("st"), F.when(F.col("l_quantity") > 25, F.col("l_linestatus"))).alias("attrs"))
+    r = t.lineitem.select(F.col("l_suppkey").alias("id"), F.struct((F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_orderkey") * 10 + F.col("l_partkey") % 10).alias("o"), "l_partkey").alias("ord"), F.col("l_returnflag").alias("flag"), F.create_map(F.lit("st"), F.when(F.col("l_quantity") > 25, F.col("l_linestatus"))).alias("attrs"))
     return merge.builder_merge(r, ["id"], "ord", ["flag"]).select("id", "flag", F.try_element_at("attrs", F.lit("st")).alias("st"), "_rows")
 
 

@@ -48,13 +48,13 @@ def last_state(t: Tables) -> DataFrame:
     d = T.excursions(d, "user_id", "ts", F.col("temp").between(LOW, HIGH), 3600)
     fault = T.sensor_fault(F.col("temp"), F.when(F.col("event_id") % 10 == 0, F.col("temp") + 5).otherwise(F.col("temp")))
     newest = d.withColumn("fault", fault).groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "latched", "excursion", "fault")).alias("s"))
-    known = t.customer.filter("c_custkey < 160").select(F.col("c_custkey").alias("user_id"))
+    known = t.customer.select(F.col("c_custkey").alias("user_id"))
     return known.join(newest, "user_id", "left").select("user_id", F.col("s.ts").alias("last_ts"), F.coalesce("s.latched", F.lit(False)).alias("latched"), F.coalesce("s.excursion", F.lit(False)).alias("excursion"), F.col("s.fault").alias("fault"))
 
 
 STATUS = f"""WITH {MKT}, la AS (SELECT *, bool_or(mkt_c > {CEILING} AND span_s >= 3600) OVER (PARTITION BY user_id ORDER BY us, event_id) AS latched, rank() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) AS rk FROM mkt),
 ru AS (SELECT *, {BAND} AS ok, sum(({BAND})::INT) OVER (PARTITION BY user_id ORDER BY us, event_id) AS run FROM la), dw AS (SELECT *, CASE WHEN NOT ok THEN (us - min(us) FILTER (NOT ok) OVER (PARTITION BY user_id, run)) / 1e6::DOUBLE END AS held_s FROM ru),
-s AS (SELECT c_custkey AS user_id, us, coalesce(latched, false) AS latched, coalesce(held_s >= 3600, false) AS excursion, event_id % 10 = 0 AS fault FROM customer LEFT JOIN dw ON c_custkey = user_id AND rk = 1 WHERE c_custkey < 160),
+s AS (SELECT c_custkey AS user_id, us, coalesce(latched, false) AS latched, coalesce(held_s >= 3600, false) AS excursion, event_id % 10 = 0 AS fault FROM customer LEFT JOIN dw ON c_custkey = user_id AND rk = 1),
 a AS (SELECT user_id, CASE WHEN us IS NULL THEN 'offline' WHEN epoch_us(TIMESTAMP '2024-01-31 00:00:00') - us > 20000 * 1000000::BIGINT THEN 'stale' WHEN latched THEN 'mkt_breach' WHEN fault THEN 'sensor_fault' WHEN excursion THEN 'excursion' ELSE 'ok' END AS code,
  CASE WHEN latched THEN 'mkt_breach' WHEN fault THEN 'sensor_fault' WHEN excursion THEN 'excursion' WHEN epoch_us(TIMESTAMP '2024-01-31 00:00:00') - us > 20000 * 1000000::BIGINT THEN 'stale' WHEN us IS NULL THEN 'offline' ELSE 'ok' END AS contract FROM s)"""
 
