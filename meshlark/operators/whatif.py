@@ -44,7 +44,8 @@ def cut_set(tree: DataFrame, scenarios: DataFrame) -> DataFrame:
     An api is gated if it has precursors and each is dead or has suppliers that are all dead; its suppliers then are dead.
     """
     runs = scenarios.groupBy("scenario_id").agg(F.collect_set("off_id").alias("off"))
-    t = runs.join(tree)  # a scenario is one narrow row; every scenario needs the whole tree
+    every = runs.agg(F.collect_list(F.struct("scenario_id", "off")).alias("_all"))  # one row: each scenario needs the whole tree
+    t = tree.join(F.broadcast(every)).select(*TREE, F.explode("_all").alias("_s")).select("_s.scenario_id", "_s.off", *TREE)
     own = F.array_contains("off", F.col("id")) | F.coalesce(F.array_contains("off", F.concat(F.lit("country:"), "iso")), F.lit(False))
     t = t.select("scenario_id", *TREE, own.alias("own"))
     up = lambda df, name: df.select("scenario_id", F.col("key").alias("parent_key"), F.col("dead").alias(name))
@@ -100,7 +101,8 @@ def rerank(alternates: DataFrame, failed: DataFrame, away: float = 2.0, same: fl
     All sites outside the failed jurisdictions earn `away`, one inside costs `same`; an unplaced holder gets neither.
     Only those standing are ranked; the best is one only if it is viable.
     """
-    a = failed.join(alternates)  # a handful of scenarios
+    every = failed.agg(F.collect_list(F.struct("scenario_id", "isos")).alias("_all"))  # one row
+    a = alternates.join(F.broadcast(every)).withColumn("_s", F.explode("_all")).select("_s.scenario_id", "_s.isos", *alternates.columns)
     delta = F.when(F.size("iso2") == 0, 0.0).when(F.arrays_overlap("iso2", "isos"), same).otherwise(away)
     a = a.withColumn("delta", delta).withColumn("adjusted", F.col("score") + F.col("delta"))
     w = Window.partitionBy("scenario_id", "node", "standing").orderBy(F.desc("adjusted"), F.desc("score"), "holder")
@@ -108,13 +110,13 @@ def rerank(alternates: DataFrame, failed: DataFrame, away: float = 2.0, same: fl
     return a.withColumn("best", F.coalesce((F.col("rank") == 1) & F.col("viable"), F.lit(False)))
 
 
-def partner(anchors: DataFrame, others: DataFrame, per_point: float = 36.0, by=()) -> DataFrame:
+def partner(anchors: DataFrame, others: DataFrame, by: list[str], per_point: float = 36.0) -> DataFrame:
     """For each anchor(id, lat, lng) the other(id, lat, lng, score) with the greatest score less distance / per_point.
 
     Both tiers are short lists (suppliers of one item), grouped by `by`.
     """
     o = others.select(*by, F.col("id").alias("partner"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), "score")
-    pairs = anchors.join(o, list(by)) if by else anchors.join(o)
+    pairs = anchors.join(o, by)
     deg = arc_degrees(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2"))
     pairs = pairs.filter("id <> partner").withColumn("degrees", deg).withColumn("value", F.col("score") - F.col("degrees") / per_point)
     w = Window.partitionBy(*by, "id").orderBy(F.desc("value"), "partner")
