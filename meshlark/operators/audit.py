@@ -5,29 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canonical import canonical_json, json_string
+
 GENESIS = "0" * 64
 
 
 def body(seq: Column, ts: Column, run_id: Column, actor: Column, kind: Column, payload: Column) -> Column:
-    """The canonical text: JSON with its keys in alphabetical order."""
-    return F.to_json(F.struct(actor.alias("actor"), kind.alias("kind"), payload.alias("payload"), run_id.alias("run_id"), seq.alias("seq"), ts.alias("ts")))
+    """The canonical text: JSON with its keys in alphabetical order; payload is canonical JSON itself, nulls are written."""
+    text = lambda c: F.coalesce(json_string(c), F.lit("null"))
+    fields = {"actor": text(actor), "kind": text(kind), "payload": payload, "run_id": text(run_id), "seq": F.coalesce(seq.cast("string"), F.lit("null")), "ts": text(ts)}
+    parts = [x for i, (name, value) in enumerate(fields.items()) for x in (F.lit(f'{"," if i else "{"}"{name}":'), value)]
+    return F.concat(*parts, F.lit("}"))
 
 
 def chain_append(rows: DataFrame, order: list[str], by: str | None = None, start: int = 0, head: str = GENESIS) -> DataFrame:
     """rows(ts, run_id, actor, kind, payload) -> with seq, prev_hash, hash; one chain per `by`, after `head`.
 
+    payload may be text, a struct, a map or an array.
     A chain is sequential: its rows are folded in order in one row per chain.
     """
     chain = F.col(by) if by else F.lit(0)
-    item = F.struct(*[F.col(c) for c in order], F.struct("ts", "run_id", "actor", "kind", "payload").alias("r"))
-    got = rows.groupBy(chain.alias("_chain")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    empty = "cast(array() as array<struct<seq:bigint,ts:string,run_id:string,actor:string,kind:string,payload:string,prev_hash:string,hash:string>>)"
+    held = rows.schema["payload"].dataType
+    written = canonical_json(F.col("payload"), held).alias("json")
+    place = F.struct(*[F.col(c) for c in order], "ts", "run_id", "actor", "kind", written)
+    item = F.struct(place.alias("place"), F.struct("ts", "run_id", "actor", "kind", "payload", written).alias("r"))
+    # maps have no order, so rows are compared by their place alone
+    compared = lambda a, b: F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0)
+    got = rows.groupBy(chain.alias("_chain")).agg(F.array_sort(F.collect_list(item), compared).alias("items"))
+    empty = f"cast(array() as array<struct<seq:bigint,ts:string,run_id:string,actor:string,kind:string,payload:{held.simpleString()},prev_hash:string,hash:string>>)"
 
     def step(acc: Column, x: Column) -> Column:
         prev = F.coalesce(F.try_element_at(acc, F.lit(-1))["hash"], F.lit(head))
         seq = (F.size(acc) + F.lit(start)).cast("bigint")
         r = x["r"]
-        text = body(seq, r["ts"], r["run_id"], r["actor"], r["kind"], r["payload"])
+        text = body(seq, r["ts"], r["run_id"], r["actor"], r["kind"], r["json"])
         return F.concat(acc, F.array(F.struct(seq.alias("seq"), r["ts"].alias("ts"), r["run_id"].alias("run_id"), r["actor"].alias("actor"), r["kind"].alias("kind"), r["payload"].alias("payload"), prev.alias("prev_hash"), F.sha2(F.concat(prev, text), 256).alias("hash"))))
 
     out = got.select("_chain", F.explode(F.aggregate("items", F.expr(empty), step)).alias("e")).select("_chain", "e.*")
@@ -40,7 +51,7 @@ def chain_verify(log: DataFrame, by: str | None = None) -> DataFrame:
     w = Window.partitionBy(*part).orderBy("line")
     d = log if "line" in log.columns else log.withColumn("line", F.col("seq"))
     d = d.withColumn("_prev", F.coalesce(F.lag("hash").over(w), F.lit(GENESIS))).withColumn("_n", F.row_number().over(w) - 1)
-    again = F.sha2(F.concat("prev_hash", body(*[F.col(c) for c in ("seq", "ts", "run_id", "actor", "kind", "payload")])), 256)
+    again = F.sha2(F.concat("prev_hash", body(*[F.col(c) for c in ("seq", "ts", "run_id", "actor", "kind")], canonical_json(F.col("payload"), log.schema["payload"].dataType))), 256)
     bad = F.when(F.col("hash").isNull(), "not readable").when(~F.col("prev_hash").eqNullSafe(F.col("_prev")), "removed, reordered, or inserted").when(again != F.col("hash"), "modified").when(F.col("seq") != F.col("_n"), "sequence gap")
     d = d.withColumn("_bad", bad)
     first = F.min(F.when(F.col("_bad").isNotNull(), F.struct("line", "_bad")))

@@ -1,5 +1,6 @@
 """Edges of single operators on small rows."""
 
+import hashlib
 import json
 import zipfile
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshlark.functions import text, values
+from meshlark.functions.canonical import canonical_json
 from meshlark.operators import audit, fuzzy, graph, merge, rules, stats, whatif
 from meshlark.sources import readers, sinks
 from meshlark.streaming import telemetry as T
@@ -146,6 +148,42 @@ def test_audit_detects(spark):
     assert gone.finding == "removed, reordered, or inserted" and gone.line == 3
 
 
+PAYLOADS = [
+    {"s": 'a "b" \\ \n\t\x01\x7f é 😀', "n": {"z": 1, "b": None}, "l": [True, None], "x": 1e7},
+    {"s": "", "n": {}, "l": [], "x": 12345678.9},
+    {"s": None, "n": None, "l": None, "x": -1.5e-4},
+    {"s": "plain \" text", "n": {"é": 2, "Z": 3}, "l": [False], "x": 2.5e-7},
+    {"s": "t", "n": {"a": 0}, "l": [None], "x": 1e16},
+    {"s": "u", "n": {"a": 0}, "l": [None], "x": -1e22},
+    {"s": "v", "n": {"a": 0}, "l": [None], "x": 0.001},
+    {"s": "w", "n": {"a": 0}, "l": [None], "x": 1e15},
+    {"s": "w", "n": {"a": 0}, "l": [None], "x": 0.0},
+]
+PAYLOAD_TYPE = "struct<x:double,s:string,n:map<string,int>,l:array<boolean>>"
+
+
+def test_canonical_json(spark):
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(PAYLOADS)], f"i int, p {PAYLOAD_TYPE}")
+    got = rows.select("i", canonical_json(F.col("p"), rows.schema["p"].dataType).alias("j")).orderBy("i").collect()
+    assert [r.j for r in got] == [json.dumps(p, sort_keys=True, separators=(",", ":")) for p in PAYLOADS]
+
+
+def test_audit_of_nested_payloads(spark):
+    rows = spark.createDataFrame([(i, str(i), "r", "mé", "step", p) for i, p in enumerate(PAYLOADS)], f"o int, ts string, run_id string, actor string, kind string, payload {PAYLOAD_TYPE}")
+    log = audit.chain_append(rows, ["o"])
+    prev = audit.GENESIS
+    for i, r in enumerate(log.orderBy("seq").collect()):
+        text = json.dumps({"seq": i, "ts": str(i), "run_id": "r", "actor": "mé", "kind": "step", "payload": PAYLOADS[i]}, sort_keys=True, separators=(",", ":"))
+        assert r.prev_hash == prev and r.hash == hashlib.sha256((prev + text).encode()).hexdigest()
+        prev = r.hash
+    assert audit.chain_verify(log).first().finding == "intact"
+
+
+def test_every_entity(spark):
+    assert one(spark, "<b>a&eacute;&nbsp;&hellip;</b> &#x41;&amp;lt;", lambda c: text.plain_text(c, every_entity=True)) == "aé … A&lt;"
+    assert one(spark, None, lambda c: text.plain_text(c, every_entity=True)) is None
+
+
 def test_compare_and_ties(spark):
     scored = spark.createDataFrame([("a", 1, 0.9), ("a", 2, 0.84), ("b", 1, 0.9), ("b", 2, 0.86)], "l string, r int, score double")
     assert {x.l: x.outcome for x in fuzzy.refuse_ties(scored, "l", "r").collect()} == {"a": "matched", "b": "refused"}
