@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word enters as a learned vector of its hash and the mean of learned vectors of its character trigrams. A text is cut
-into windows of LENGTH words that overlap by half; in a window, one network reads forwards and one backwards, attention
+A word enters as a learned vector of its hash and the mean of learned vectors of its character runs. Blanks and
+punctuation separate words, in ASCII and outside it; a word of over LONGEST bytes (or a passage in a script without
+blanks) enters as overlapping pieces, each of them a word, so that no byte of it is left out. A text is cut into windows of LENGTH words that overlap by half; in a window, one network reads forwards and one backwards, attention
 weighs the words' states, and a logistic unit gives the window's probability. A document's score is that of its worst
 window, over all windows of the whole text.
 
@@ -16,7 +17,10 @@ doc_id that is labelled more than once counts with its largest label; other colu
 
 from __future__ import annotations
 
+import functools
 import pickle
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +36,10 @@ WORDS, GRAM_BITS, WORD_DIM, GRAM_DIM, STATE, ATTEND = 1 << 14, 15, 8, 12, 12, 8
 #: Lengths of the character runs; share of words whose own vector is hidden in training, so that their characters count.
 RUNS, HIDDEN = (3, 5, 7), 0.5
 SAMPLE, SPOTS, ROUNDS, WARM, BATCH, LEAST_STEPS, LEAST_DOCS, RATE = 3000, 32, 6, 2, 64, 40, 4, 0.01
-LONGEST, REMEMBERED = 24, 200_000
+#: Bytes of a piece of a word at most, and bytes that neighbours share at least: each run lies within a piece.
+LONGEST, OVERLAP, REMEMBERED = 24, max(RUNS) - 1, 200_000
+#: Texts, and characters of them, that are scored at once.
+TEXTS, AT_ONCE = 128, 1_000_000
 LIMIT = 0.7
 F32 = np.float32
 
@@ -46,14 +53,38 @@ def windows(n: int) -> list[int]:
     return list(range(0, max(1, n - STRIDE), STRIDE))
 
 
+@functools.lru_cache(1)
+def blanks() -> re.Pattern:
+    """Blanks and punctuation outside ASCII, the zero-width space among them."""
+    return re.compile("[" + "".join(c for c in map(chr, range(128, 0x20000)) if unicodedata.category(c)[0] in "ZP" or c in "\x85\u200b") + "]+")
+
+
+def pieces(word: bytes) -> list[bytes]:
+    """A word in pieces of at most LONGEST bytes, cut between characters, that share at least OVERLAP bytes."""
+    out, at, end = [], 0, 0
+    while end < len(word):
+        end = min(at + LONGEST, len(word))
+        while end < len(word) and word[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(word[at:end])
+        at = end - OVERLAP
+        while word[at] & 0xC0 == 0x80:
+            at -= 1
+    return out
+
+
 def words_of(text: str | None) -> list[bytes]:
-    return split_words((text or "").lower().encode())
+    low = (text or "").lower()
+    words = split_words((low if low.isascii() else blanks().sub(" ", low)).encode())
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [x for w in words for x in (pieces(w) if len(w) > LONGEST else (w,))]
 
 
 def word_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word, hashes of its character runs (ends marked; of its first LONGEST bytes), and their weights."""
+    """Hash of each word (of at most LONGEST bytes), hashes of its character runs (ends marked), and their weights."""
     ids = np.fromiter((zlib.crc32(w) % (WORDS - 1) + 1 for w in words), np.int64, len(words))
-    raw = np.array([b"<" + w[:LONGEST] + b">" for w in words], f"S{LONGEST + 2}").view(np.uint8).reshape(len(words), -1).astype(np.uint32)
+    raw = np.array([b"<" + w + b">" for w in words], f"S{LONGEST + 2}").view(np.uint8).reshape(len(words), -1).astype(np.uint32)
     runs, there = [], []
     for n in RUNS:
         h = np.full((len(words), raw.shape[1] - n + 1), n, np.uint32)
@@ -261,7 +292,7 @@ class Scorer:
             new = list(set().union(*lists))
         if new:
             first = len(self.known)
-            self.known = np.concatenate([self.known, self.net.all_gates(*word_inputs(new))[1:]])
+            self.known = np.concatenate([self.known, *(self.net.all_gates(*word_inputs(new[i : i + 4096]))[1:] for i in range(0, len(new), 4096))])
             self.row.update(zip(new, range(first, first + len(new)), strict=True))
         at, owner = window_rows([list(map(self.row.__getitem__, ws)) for ws in lists])
         logits = np.concatenate([self.net.run(self.known, at[i : i + 1024]) for i in range(0, len(at), 1024)]) if len(at) else np.zeros(0)
@@ -284,11 +315,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, spo
             net.p = pickle.loads(packed.value)
             scorer = Scorer(net)
         for batch in batches:
-            texts = batch.column(1)
-            for at in range(0, batch.num_rows, 128):
-                some = texts[at : at + 128].to_pylist()
-                got = scorer.many(some) if scorer else np.full(len(some), share)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 128], pa.array(got, pa.float64())], ["doc_id", "score"])
+            texts, at, some, held = batch.column(1), 0, [], 0
+            for i, text in enumerate(texts, 1):
+                some.append(text.as_py())
+                held += len(some[-1] or "")
+                if len(some) == TEXTS or held >= AT_ONCE or i == len(texts):
+                    got = scorer.many(some) if scorer else np.full(len(some), share)
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[at:i], pa.array(got, pa.float64())], ["doc_id", "score"])
+                    at, some, held = i, [], 0
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, score double")

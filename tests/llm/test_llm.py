@@ -353,6 +353,36 @@ def test_toxicity_learns_and_odd_rows(spark):
     assert score_toxicity(odd(spark).limit(0), labels).count() == 0
 
 
+def test_toxicity_reads_every_byte():
+    """Runs of whole words enter, and blanks and punctuation outside ASCII separate words."""
+    from meshlark.llm import toxicity as X
+
+    for text in ("x" * 23 + "insult" * 40, "猫が好き" * 50 + "é" + "x" * 30, "ж" * 99, "a" * 25, "a" * 24, "😀" * 20):
+        words, raw = X.words_of(text), text.encode()
+        runs = {raw[i : i + n] for n in X.RUNS for i in range(len(raw) - n + 1)}
+        assert runs <= {w[i : i + n] for w in words for n in X.RUNS for i in range(len(w) - n + 1)}
+        assert all(len(w) <= X.LONGEST and w.decode() for w in words)
+    assert X.words_of("Word—insult\u00a0“so” it’s…\u3000猫。犬\u200bx") == [w.encode() for w in ("word", "insult", "so", "it", "s", "猫", "犬", "x")]
+
+
+def test_toxicity_finds_passages_behind_other_blanks():
+    from meshlark.llm import toxicity as X
+
+    rng = np.random.default_rng(4)
+    letters, texts = [chr(0x4E00 + i) for i in range(60)], []
+    for i in range(400):
+        cjk = "".join(letters[k] for k in rng.integers(0, 60, 120))
+        plain = [f"w{k}" for k in rng.integers(0, 40, 60)]
+        if i % 2:
+            cjk, plain[40] = cjk[:70] + "龘靐齉爩" + cjk[70:], "grunzel"
+        texts += [(i % 2, cjk), (i % 2, " ".join(plain))]
+    spans = lambda t: [X.words_of(t)[s : s + X.LENGTH] for s in X.windows(len(X.words_of(t)))]
+    scorer = X.Scorer(X.fit([(y, spans(t)) for y, t in texts[:600]]))
+    for glue in (" ", "\u00a0", "\u2003", "—", "…"):
+        got = scorer.many([t.replace(" ", glue) for _, t in texts[600:]]) >= X.LIMIT
+        assert sum(got != np.array([y for y, _ in texts[600:]])) <= 10, glue
+
+
 # 10
 def test_chats(spark):
     from meshlark.llm.chat import render_chats
