@@ -3,10 +3,11 @@
 Stages are (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next one's docs. All but the last return the columns of documents.
 
-* toxicity: documents that the network predicts to be toxic go (a doc_id that occurs more than once goes with all its
-  rows if one of them is predicted toxic). The labels are read from the same folder as documents.
+* toxicity: rows whose text the network predicts to be toxic go, each by its own text, whatever else has its doc_id (or
+  none). The labels are read from the same folder as documents.
 * exact copies: of equal texts the largest doc_id stays, and one row of those that repeat it.
-* near copies: of each group of five-word Jaccard similarity 0.8 or more, the smallest doc_id stays.
+* near copies: of each group of five-word Jaccard similarity 0.8 or more, one row stays: of the smallest doc_id (null is
+  largest); of several such, by the digests of their shingles and texts.
 * mixing: every document stays at least once; documents of small sources repeat, up to 1.5 times as often.
 * packing: pieces of at most 2048 tokens in sequences.
 """

@@ -82,10 +82,10 @@ def tree_keys(flat: np.ndarray, starts: np.ndarray, depth: int, trees: int = TRE
 
 
 def signatures(docs: DataFrame, depth: int, k: int) -> DataFrame:
-    """doc_id, cls (key of the set), n (its size), keys (one for each tree)."""
+    """doc_id, sha (of the text), cls (key of the set), n (its size), keys (one for each tree)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+        def flush(ids: list, shas: list, sets: list[np.ndarray]) -> pa.RecordBatch:
             sizes = np.array([len(s) for s in sets], np.int64)
             full = [s for s in sets if len(s)]
             keys = np.zeros((len(sets), TREES), np.uint64)
@@ -93,22 +93,28 @@ def signatures(docs: DataFrame, depth: int, k: int) -> DataFrame:
                 keys[sizes > 0] = tree_keys(np.concatenate(full), np.cumsum([0] + [len(s) for s in full[:-1]]), depth)
             flat = pa.array(keys.view(np.int64).ravel(), pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, TREES), pa.int32()), flat)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array(sizes), lists], ["doc_id", "cls", "n", "keys"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shas, pa.binary()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array(sizes), lists], ["doc_id", "sha", "cls", "n", "keys"])
 
         for batch in batches:
-            ids, sets, held = [], [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, shas, sets, held = [], [], [], 0
+            for doc, text, sha in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 s = shingles(text.as_py(), k)
                 ids.append(doc)
+                shas.append(sha)
                 sets.append(s)
                 held += len(s)
                 if held >= AT_ONCE:
-                    yield flush(ids, sets)
-                    ids, sets, held = [], [], 0
+                    yield flush(ids, shas, sets)
+                    ids, shas, sets, held = [], [], [], 0
             if ids:
-                yield flush(ids, sets)
+                yield flush(ids, shas, sets)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, cls binary, n long, keys array<long>")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_sha().alias("sha"))
+    return read.mapInArrow(sign, "doc_id long, sha binary, cls binary, n long, keys array<long>")
+
+
+def text_sha() -> F.Column:
+    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
 
 
 def shared_counts(lists: list[np.ndarray]) -> np.ndarray:
@@ -183,13 +189,13 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     return join_groups(held, groups, "key", "size", classes.count() * TREES).filter("cls > v").select(F.col("cls").alias("u"), "v").distinct()
 
 
-def near_groups(docs: DataFrame, threshold: float = 0.8, k: int = SHINGLE, target: float = 0.9999) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest doc_id its links lead to), set_id (of the smallest document with
-    equal shingles), n_links (other documents linked directly), kept (doc_id = class_id)."""
+def near_rows(docs: DataFrame, threshold: float = 0.8, k: int = SHINGLE, target: float = 0.9999) -> DataFrame:
+    """One row per document: doc_id, sha (of its text), worded, class_id, set_id, n_links, and stays: true for the rows of
+    one text in each group, that of the least (doc_id with null last, cls, sha), and for all texts without words."""
     depth = forest_depth(threshold, target)
     signed = saved(signatures(docs, depth, k), "near-signed")
     total = signed.count()
-    classes = signed.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = signed.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sha"))["sha"].alias("rep_sha"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     classes = saved(classes, "near-classes")
     near = components(candidate_edges(classes))
     near = near.unionByName(near.select(F.col("root").alias("u"), "root").distinct())
@@ -225,17 +231,38 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, k: int = SHINGLE, targe
     verified = saved(verified, "near-verified")
     links = verified.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(verified.filter("cls > relative").select(F.col("cls").alias("u"), F.col("relative").alias("v")))
-    known = classes.select("cls", "rep", "copies").join(links, "cls", "left").join(roots.withColumnRenamed("u", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    known = classes.select("cls", "rep", "rep_sha", "copies").join(links, "cls", "left").join(roots.withColumnRenamed("u", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     known = saved(known, "near-known")
-    least = known.groupBy("root").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("size"))
-    known = join_groups(known, least, "root", "size", max(1, classes.count())).select("cls", "copies", F.col("rep").alias("set_id"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = join_groups(signed.filter("n > 0").select("doc_id", "cls"), known, "cls", "copies", total).select("doc_id", "class_id", "set_id", "n_links")
-    alone = signed.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    first = F.min(F.struct(F.col("rep").isNull(), "rep", "cls"))["cls"]
+    least = known.groupBy("root").agg(F.min("rep").alias("class_id"), first.alias("first"), F.count(F.lit(1)).alias("size"))
+    known = join_groups(known, least, "root", "size", max(1, classes.count())).select("cls", "copies", F.col("rep").alias("set_id"), F.when(F.col("cls") == F.col("first"), F.col("rep_sha")).alias("stay_sha"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    stays = F.coalesce(F.col("doc_id").eqNullSafe(F.col("set_id")) & (F.col("sha") == F.col("stay_sha")), F.lit(False))
+    out = join_groups(signed.filter("n > 0").select("doc_id", "sha", "cls"), known, "cls", "copies", total)
+    out = out.select("doc_id", "sha", F.lit(True).alias("worded"), "class_id", "set_id", "n_links", stays.alias("stays"))
+    alone = signed.filter("n = 0").select("doc_id", "sha", F.lit(False).alias("worded"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("stays"))
+    return out.unionByName(alone)
+
+
+def near_groups(docs: DataFrame, **params) -> DataFrame:
+    """One row per document: doc_id, class_id (smallest doc_id its links lead to), set_id (of the smallest document with
+    equal shingles), n_links (other documents linked directly), kept (doc_id = class_id)."""
+    out = near_rows(docs, **params).select("doc_id", "class_id", "set_id", "n_links")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def drop_near_copies(docs: DataFrame, **params) -> DataFrame:
-    """docs with one document of each group, with all its columns; documents without words stay."""
-    groups = saved(near_groups(docs, **params).filter("NOT kept").select("doc_id").distinct(), "near-dropped")
-    gone = groups.select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+    """docs with exactly one row of each group, with all its columns; documents without words stay. Rows go by doc_id and
+    text, so that others of the same doc_id (or without one) are left alone; of rows that repeat both, any one stays."""
+    rows = saved(near_rows(docs, **params).select("doc_id", "sha", "worded", "stays"), "near-rows")
+    gone = rows.filter("NOT stays").select("doc_id", "sha").distinct()
+    again = saved(rows.filter("stays AND worded").groupBy("doc_id", "sha").count().filter("count > 1").drop("count"), "near-again")
+    read = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__sha": text_sha()})
+
+    def met(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("__key_id"), F.col("sha").alias("__key_sha"))
+        return rows.join(keys, rows["__id"].eqNullSafe(keys["__key_id"]) & (rows["__sha"] == keys["__key_sha"]), how)
+
+    out = met(read, gone, "left_anti")
+    if not again.isEmpty():
+        out = met(out, again, "left_anti").unionByName(met(out, again, "left_semi").dropDuplicates(["__id", "__sha"]))
+    return out.drop("__id", "__sha")

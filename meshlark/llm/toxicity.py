@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .words import split_words
 
@@ -301,12 +302,13 @@ class Scorer:
         return 1 / (1 + np.exp(-worst))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, spots: int = SPOTS, seed: int = 0) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted."""
+def with_scores(docs: DataFrame, labels: DataFrame, columns: list[str], sample: int = SAMPLE, spots: int = SPOTS, seed: int = 0) -> DataFrame:
+    """One row per document: these columns of docs, and __score."""
     samples = training_sample(docs, labels, sample, spots)
     share = sum(y for y, _ in samples) / max(1, len(samples))
     model = pickle.dumps(fit(samples, seed=seed).p) if 0 < share < 1 else None
     packed = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
+    read = docs.select(*(F.col(f"`{c}`") for c in columns), F.col("text").alias("__text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
@@ -315,21 +317,24 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, spo
             net.p = pickle.loads(packed.value)
             scorer = Scorer(net)
         for batch in batches:
-            texts, at, some, held = batch.column(1), 0, [], 0
+            texts, at, some, held = batch.column(len(columns)), 0, [], 0
             for i, text in enumerate(texts, 1):
                 some.append(text.as_py())
                 held += len(some[-1] or "")
                 if len(some) == TEXTS or held >= AT_ONCE or i == len(texts):
                     got = scorer.many(some) if scorer else np.full(len(some), share)
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[at:i], pa.array(got, pa.float64())], ["doc_id", "score"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k)[at:i] for k in range(len(columns))), pa.array(got, pa.float64())], [*columns, "__score"])
                     at, some, held = i, [], 0
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, score double")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= LIMIT).cast("int").alias("predicted"))
+    return read.mapInArrow(score, StructType([*(read.schema[c] for c in columns), StructField("__score", DoubleType())]))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted."""
+    out = with_scores(docs, labels, ["doc_id"], **params)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= LIMIT).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """docs without those that are predicted toxic, with all their columns."""
-    gone = score_toxicity(docs, labels, **params).filter("predicted = 1").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    """docs without the rows whose text is predicted toxic, with all their columns; what else has a row's doc_id does not matter."""
+    return with_scores(docs, labels, docs.columns, **params).filter(F.col("__score") < LIMIT).drop("__score")

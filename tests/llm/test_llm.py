@@ -294,6 +294,23 @@ def test_near_text_large_group(spark, monkeypatch):
     assert got == {i: (sum(link[i]), root[i]) for i in range(120)}
 
 
+def test_near_copies_go_by_id_and_text(spark):
+    """Rows that share a doc_id, or have none, go only for their own text, and one row of each group stays."""
+    from meshlark.llm.near_text import drop_near_copies
+
+    text = lambda p: " ".join(f"{p}{i}" for i in range(60))
+    near = lambda p: text(p).replace(f"{p}59", "other")
+    rows = [
+        (1, text("a"), "s"), (None, near("a"), "s"), (None, text("b"), "s"),  # a null id's near copy; a unique text without id
+        (5, near("a"), "s"), (5, text("c"), "s"), (7, near("c"), "s"),  # under 5: a near copy, and the first of its own group
+        (None, text("d"), "s"), (None, near("d"), "s"), (None, text("d").upper(), "s"),  # a group without any id
+        (9, text("e"), "s"), (9, near("e"), "s"), (9, text("e"), "s"),  # one id, two near texts and a repeated row
+        (10, "", "s"), (10, "", "s"), (None, None, "s"),
+    ]
+    left = [(r.doc_id, (r.text or "-").lower().split()[0][0]) for r in drop_near_copies(documents(spark, rows)).select("doc_id", F.when(F.col("text") != "", F.col("text")).alias("text")).collect()]
+    assert sorted(left, key=str) == sorted([(1, "a"), (None, "b"), (5, "c"), (None, "d"), (9, "e"), (10, "-"), (10, "-"), (None, "-")], key=str)
+
+
 def test_forest_depth_meets_its_recall():
     from meshlark.llm.near_text import TREES, forest_depth
 
@@ -353,6 +370,21 @@ def test_toxicity_learns_and_odd_rows(spark):
     assert score_toxicity(odd(spark).limit(0), labels).count() == 0
 
 
+def test_toxic_rows_go_by_their_own_text(spark):
+    from meshlark.llm.toxicity import drop_toxic
+
+    rng = np.random.default_rng(2)
+    plain = lambda: [f"w{k}" for k in rng.integers(0, 40, 60)]
+    rows = [(1000 + i, " ".join(plain() + ["grunzel"] * (i % 2)), "s") for i in range(300)]
+    rows += [(i, " ".join(plain() + end), "s") for i in (None, 7) for end in ([], ["grunzel"], [])]
+    labels = spark.createDataFrame([(1000 + i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    d = documents(spark, rows)
+    left = drop_toxic(d, labels)
+    assert left.columns == d.columns
+    got = [(r.doc_id, r.text) for r in left.collect() if r.doc_id is None or r.doc_id < 1000]
+    assert sorted(got, key=str) == sorted([(i, t) for i, t, _ in rows[300:] if "grunzel" not in t], key=str)
+
+
 def test_toxicity_reads_every_byte():
     """Runs of whole words enter, and blanks and punctuation outside ASCII separate words."""
     from meshlark.llm import toxicity as X
