@@ -6,6 +6,10 @@ themselves must agree. A hit votes for its diagonal (place in the text less plac
 differ by at most GAP words merge into a span, so that a few lost or added words do not break it; a span is verified if
 it holds at least COVER of the template's runs and is not much longer than the template.
 
+Templates share words, so one notice may verify spans of several labels. Where the spans of two labels overlap by more
+than half of the shorter one, the one with the larger share of its template's runs stays; of equal shares both do. A place of
+a base phrase always stays.
+
 The base phrases are templates too: a place where a phrase stands is a diagonal with all of its runs.
 
 Defined results: a null text counts as empty; a text of fewer than K words has none of the labels; no labels give an
@@ -112,6 +116,17 @@ def runs_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, row long, place int, hash long, words string")
 
 
+def settled(spans: list | None) -> list:
+    """The found spans (begin, end, label, share, base) without those that a better rival of another label overlaps
+    by more than half of the shorter one."""
+    stay = []
+    for x in sorted(spans or [], key=lambda x: -x["share"]):
+        rival = lambda y: y["label"] != x["label"] and y["share"] > x["share"] and 2 * (min(x["end"], y["end"]) - max(x["begin"], y["begin"])) > min(x["end"] - x["begin"], y["end"] - y["begin"])  # noqa: B023, E731
+        if x["base"] or not any(map(rival, stay)):
+            stay.append(x)
+    return sorted((x["begin"], x["end"], x["label"], x["share"]) for x in stay)
+
+
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (label, start, end, share)."""
     spark = docs.sparkSession
@@ -136,11 +151,16 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         F.min("first").cast("long").alias("first_word"),
         F.max("last").cast("long").alias("last_word"),
         distinct(F.when(F.col("places") > 0, F.col("label"))).alias("base_labels"),
-        distinct(F.when(F.col("found"), F.col("label"))).alias("labels"),
         F.max(F.when(F.col("template") == OWN, 0.0).otherwise(F.col("share"))).alias("score"),
-        F.array_sort(F.collect_list(F.when(F.col("found"), F.struct("begin", "end", "label", "share")))).alias("spans"),
+        F.array_sort(F.collect_list(F.when(F.col("found"), F.struct("begin", "end", "label", "share", (F.col("places") > 0).alias("base"))))).alias("spans"),
     )
-    return out.drop("row")
+    settle = F.udf(settled, "array<struct<begin: int, end: int, label: string, share: double>>")
+    # only documents with rivals go through Python
+    plain = F.transform("spans", lambda x: F.struct(x["begin"].cast("int").alias("begin"), x["end"].cast("int").alias("end"), x["label"].alias("label"), x["share"].alias("share")))
+    several = F.size(F.array_distinct("spans.label")) > 1
+    out = out.withColumn("spans", F.when(several, settle(F.when(several, F.col("spans")))).otherwise(plain))
+    labels = F.array_join(F.array_sort(F.array_distinct("spans.label")), ",")
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", labels.alias("labels"), "score", "spans")
 
 
 def oracle() -> str:

@@ -241,6 +241,20 @@ def test_licenses(spark):
     assert scan_licenses(odd(spark).limit(0)).count() == 0
 
 
+def test_each_notice_has_its_own_label(spark):
+    from meshlark.llm.licenses import NOTICES, scan_licenses
+
+    notices = list(NOTICES.items())
+    rows = [(i, f"some words before {w.title()}, and some after", "a") for i, (w, _) in enumerate(notices)]
+    by = {v: k for k, v in notices}
+    rows += [(50, f"{by['gpl']} . {by['lgpl']}", "a"), (51, f"{by['cc-by']} " + "x " * 30 + by["cc-by-nc"], "a"), (52, "CC BY-NC: " + by["cc-by"], "a"), (53, by["cc-by-nc"].replace("noncommercial", "NonCommercial-ShareAlike"), "a")]
+    got = {r.doc_id: r for r in scan_licenses(documents(spark, rows)).collect()}
+    assert {i: got[i].labels for i in range(len(notices))} == {i: v for i, (_, v) in enumerate(notices)}
+    assert (got[50].labels, got[51].labels, got[52].labels) == ("gpl,lgpl", "cc-by,cc-by-nc", "cc-by,cc-by-nc")
+    assert got.pop(53).labels == "cc-by-nc,cc-by-sa"
+    assert all(r.score == 1 and {s.label for s in r.spans} == set(r.labels.split(",")) for r in got.values())
+
+
 # 7
 def test_sharding(spark):
     from meshlark.llm.sharding import lpt, shard
