@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,17 +59,44 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
 FILTER_BUCKETS = 256
 
 
-def bitmap_filter(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """rows whose key is in wanted, and a few more: those whose bit is set in a bitmap of FILTER_BUCKETS * 4 KB.
+def fresh(name: str) -> str:
+    """A column name that no table of a caller has."""
+    return f"__{name}_{uuid.uuid4().hex[:8]}"
+
 
-    The bitmap has one size at any input, so it may be broadcast, and the plan is the same at any size; rows that it lets
-    through in vain cost only work, so an exact join has to follow.
+def bitmap_marked(rows: DataFrame, own: list[Column], keys: DataFrame, mark: str) -> DataFrame:
+    """rows with a boolean column `mark`: true where the key `own` is among keys (whose columns are the key), and for a
+    few keys more, by a bitmap of FILTER_BUCKETS * 4 KB.
+
+    The bitmap has one size at any input, so it may be broadcast, and the plan is the same at any size; rows that it marks
+    in vain cost only work, so an exact join has to follow.
     """
-    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BUCKETS * 32768))
-    bucket, place = (bit / 32768).cast("int"), (bit % 32768).cast("int")
-    maps = wanted.select(bucket.alias("__bucket"), place.alias("__place")).groupBy("__bucket").agg(F.bitmap_construct_agg("__place").alias("__map"))
-    is_set = F.expr("getbit(cast(conv(hex(substring(__map, __place div 8 + 1, 1)), 16, 10) as int), __place % 8) = 1")
-    return rows.withColumn("__bucket", bucket).withColumn("__place", place).join(F.broadcast(maps), "__bucket").filter(is_set).select(*rows.columns)
+    bucket, place, bits = fresh("bucket"), fresh("place"), fresh("bits")
+
+    def hashed(df: DataFrame, cols: list[Column]) -> DataFrame:
+        bit = F.pmod(F.xxhash64(*cols), F.lit(FILTER_BUCKETS * 32768))
+        return df.withColumn(place, bit).withColumn(bucket, (F.col(place) / 32768).cast("int")).withColumn(place, (F.col(place) % 32768).cast("int"))
+
+    maps = hashed(keys, [F.col(c) for c in keys.columns]).groupBy(bucket).agg(F.bitmap_construct_agg(place).alias(bits))
+    is_set = F.expr(f"coalesce(getbit(cast(conv(hex(substring({bits}, {place} div 8 + 1, 1)), 16, 10) as int), {place} % 8) = 1, false)")
+    return hashed(rows, own).join(F.broadcast(maps), bucket, "left").withColumn(mark, is_set).drop(bucket, place, bits)
+
+
+def bitmap_filter(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """rows whose key is in wanted, and a few more."""
+    mark = fresh("mark")
+    return bitmap_marked(rows, [F.col(key)], wanted.select(key), mark).filter(F.col(mark)).drop(mark)
+
+
+def split_by_keys(rows: DataFrame, own: list[Column], keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key `own` is not in keys, rows whose key is); nulls are equal. Rows that the bitmap does not mark are
+    not shuffled, whatever they hold."""
+    mark, names, theirs = fresh("mark"), [fresh("own") for _ in own], [fresh("key") for _ in own]
+    marked = bitmap_marked(rows.withColumns(dict(zip(names, own, strict=True))), [F.col(n) for n in names], keys, mark)
+    maybe, keys = marked.filter(F.col(mark)), keys.toDF(*theirs)
+    same = reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(names, theirs, strict=True)])
+    out = marked.filter(~F.col(mark)).unionByName(maybe.join(keys, same, "left_anti"))
+    return tuple(x.drop(mark, *names) for x in (out, maybe.join(keys, same, "left_semi")))
 
 
 def source_key(c: Column) -> Column:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import WordHashes, grams, split_words
+from .words import grams, hash_of, word_hashes
 
 K, GAP, COVER, STRETCH = 3, 2, 0.6, 2
 # fixed values: the base phrases, and words of well-known public license notices
@@ -50,7 +50,8 @@ NOTICES = {
 }
 #: The place of a document's own row among its hits, and the text in it.
 OWN, MARK = -1, "#"
-SLICE = 60_000
+#: Bytes of texts that are cut into runs at once.
+SLICE = 1 << 19
 
 
 def templates() -> list[tuple[int, str, bool, str]]:
@@ -60,10 +61,10 @@ def templates() -> list[tuple[int, str, bool, str]]:
 
 def template_runs() -> list[tuple[int, str, bool, int, int, str, int]]:
     """(template, label, base, runs, place, words, hash) of each run of K words."""
-    hashes, out = WordHashes(), []
+    out = []
     for number, label, base, text in templates():
         words = text.split()
-        h = grams(hashes.of([w.encode() for w in words]), K).view(np.int64)
+        h = grams(hash_of([w.encode() for w in words]), K).view(np.int64)
         out += [(number, label, base, len(h), i, " ".join(words[i : i + K]), int(x)) for i, x in enumerate(h)]
     return out
 
@@ -76,42 +77,35 @@ def runs_of(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        row, hashes = TaskContext.get().partitionId() << 33, WordHashes()
-        vocabulary = np.sort(hashes.of([w.encode() for w in known]))
-
-        def flush(held: list) -> pa.RecordBatch:
-            sizes = [len(h[3]) for h in held]
-            length = np.zeros(sum(sizes) + 1, np.int32)
-            text, at = [], 0
-            for _, _, words, _, plausible in held:
-                for i in plausible.tolist():
-                    w = b" ".join(words[i : i + K])
-                    length[at + i + 1] = len(w)
-                    text.append(w)
-                at += max(0, len(words) - K + 1) + 1
-                length[at] = len(MARK)
-                text.append(MARK.encode())
-            strings = pa.StringArray.from_buffers(len(length) - 1, pa.py_buffer(np.cumsum(length, dtype=np.int32).tobytes()), pa.py_buffer(b"".join(text)))
-            place = np.concatenate([np.append(np.arange(n - 1), len(h[2])) for n, h in zip(sizes, held, strict=True)])
-            ids = pa.array([h[0] for h in held], pa.int64()).take(pa.array(np.repeat(np.arange(len(held)), sizes)))
-            rows = pa.array(np.repeat(np.array([h[1] for h in held], np.int64), sizes))
-            return pa.RecordBatch.from_arrays([ids, rows, pa.array(place, pa.int32()), pa.array(np.concatenate([h[3] for h in held])), strings], ["doc_id", "row", "place", "hash", "words"])
+        row, vocabulary = TaskContext.get().partitionId() << 33, np.sort(hash_of([w.encode() for w in known]))
+
+        def flush(ids: list, texts: list[bytes]) -> pa.RecordBatch:
+            hashes, at, data, starts, ends = word_hashes(texts)
+            rolled, words = grams(hashes, K).view(np.int64), np.diff(at)
+            runs = np.maximum(words - K + 1, 0)
+            # the runs of each text, and then its own row
+            doc = np.repeat(np.arange(len(texts)), runs + 1)
+            place = np.arange(len(doc)) - np.repeat(np.cumsum(runs + 1) - runs - 1, runs + 1)
+            own = place == runs[doc]
+            word = np.minimum(at[doc] + place, max(0, len(rolled) - 1))
+            hits = np.append(vocabulary[np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)] == hashes, np.zeros(K, bool))
+            written = own | np.logical_and.reduce([hits[word + i] for i in range(K)])
+            text = [MARK.encode() if o else b" ".join(data[starts[j] : ends[j]] for j in range(w, w + K)) for o, w in zip(own[written].tolist(), word[written].tolist(), strict=True)]
+            length = np.zeros(len(doc) + 1, np.int32)
+            length[1:][written] = [len(x) for x in text]
+            strings = pa.StringArray.from_buffers(len(doc), pa.py_buffer(np.cumsum(length, dtype=np.int32).tobytes()), pa.py_buffer(b"".join(text)))
+            hashed = np.where(own, OWN, rolled[word] if len(rolled) else OWN)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pa.array(doc)), pa.array(row + doc), pa.array(np.where(own, words[doc], place), pa.int32()), pa.array(hashed), strings], ["doc_id", "row", "place", "hash", "words"])
 
         for batch in batches:
-            held, size = [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = split_words((text.as_py() or "").encode().lower())
-                h = hashes.of(words)
-                hits = vocabulary[np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)] == h
-                all_known = np.flatnonzero(np.logical_and.reduce([hits[i : len(hits) - K + 1 + i] for i in range(K)])) if len(hits) >= K else np.zeros(0, int)
-                held.append((doc, row, words, np.append(grams(h, K).view(np.int64), OWN), all_known))
-                row += 1
-                size += len(words)
-                if size >= SLICE:
-                    yield flush(held)
-                    held, size = [], 0
-            if held:
-                yield flush(held)
+            ids, texts, size, at = batch.column(0).to_pylist(), [], 0, 0
+            for i, text in enumerate(batch.column(1), 1):
+                texts.append((text.as_py() or "").encode().lower())
+                size += len(texts[-1])
+                if size >= SLICE or i == len(ids):
+                    yield flush(ids[at:i], texts)
+                    row += i - at
+                    texts, size, at = [], 0, i
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, row long, place int, hash long, words string")
 

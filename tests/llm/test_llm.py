@@ -326,10 +326,67 @@ def test_near_copies_go_by_id_and_text(spark):
 
 
 def test_forest_depth_meets_its_recall():
-    from meshlark.llm.near_text import TREES, forest_depth
-
-    d = forest_depth(0.8, 0.9999)
-    assert 1 - (1 - 0.8**d) ** TREES >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** TREES
+    from meshlark.llm.near_text import MAX_DEPTH, forest_depth, prefix_recall
+
+    d = forest_depth(0.8, 0.9999, [])
+    assert prefix_recall(0.8**d) >= 0.9999 > prefix_recall(0.8 ** (d + 1))
+    # shortened further where fewer trees meet than the formula has it, never less
+    assert forest_depth(0.8, 0.9999, [0.75**d for d in range(1, MAX_DEPTH + 1)]) < d
+    assert forest_depth(0.8, 0.9999, [1.0] * MAX_DEPTH) == d
+    assert forest_depth(1.0, 0.9999, [1.0] * MAX_DEPTH) == MAX_DEPTH
+
+
+def test_planted_partners_lie_at_the_threshold():
+    from meshlark.llm.near_text import planted_partner
+
+    rng = np.random.default_rng(0)
+    for n in (9, 10, 37, 100, 999):
+        s = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        p = planted_partner(s, 0.8)
+        j = len(np.intersect1d(s, p)) / len(np.union1d(s, p))
+        assert 0.8 <= j <= 0.8 + 2 / n
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_forest_ties_whole_nodes(spark, partitions):
+    """Nodes of the sorted labels, within and across ranges, against grouping by prefix."""
+    from meshlark.llm import near_text as N
+
+    rng = np.random.default_rng(8)
+    labels = rng.integers(0, 2, (60, N.TREES, N.MAX_DEPTH)) * 5
+    packed = np.zeros((60, N.TREES), np.int64)
+    for d in range(N.MAX_DEPTH):
+        packed = packed << N.BITS | labels[:, :, d]
+    nums = [int(x) for x in rng.permutation(60) * 1000 - 30000]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        classes = spark.createDataFrame([(nums[i], [int(x) for x in packed[i, :2]]) for i in range(60)], "num long, labels array<long>")
+        got = N.components(N.candidate_edges(classes, 5)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    root = {n: n for n in nums}
+    for _ in range(60):
+        for t in range(2):
+            nodes = {}
+            for i in range(60):
+                nodes.setdefault(tuple(labels[i, t, :5]), []).append(nums[i])
+            for node in nodes.values():
+                least = min(root[x] for x in node)
+                root |= dict.fromkeys(node, least)
+    assert {r.u: r.root for r in got} == {n: r for n, r in root.items() if n != r}
+
+
+def test_word_hashes():
+    from meshlark.llm.words import grams, hash_of, shingle_sets, split_words
+
+    texts = [b"", b"  ", b"one", b"a b c d e f a b c d e f", "d\u00e9j\u00e0 vu-x".encode(), b"x" * 9000 + b" y", b"x" * 9001 + b" y", b"12345678 123456789 1234567"]
+    for t, s in zip(texts, shingle_sets(texts, 5), strict=True):
+        w = split_words(t)
+        want = set(grams(hash_of(w), min(5, len(w))).tolist()) if w else set()
+        assert sorted(want) == s.tolist() and len(want) == len(set(zip(*[w[j:] for j in range(min(5, len(w)))], strict=False))) if w else not len(s)
+    words = [bytes([c]) * n for c in b"abcxyz" for n in (*range(1, 40), 511, 512, 513, 600)]
+    assert len(set(hash_of(words).tolist())) == len(words)
 
 
 # 9
