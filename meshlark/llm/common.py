@@ -99,6 +99,15 @@ def split_by_keys(rows: DataFrame, own: list[Column], keys: DataFrame) -> tuple[
     return tuple(x.drop(mark, *names) for x in (out, maybe.join(keys, same, "left_semi")))
 
 
+def once(rows: DataFrame, own: list[Column], again: DataFrame) -> DataFrame:
+    """rows with one row of each key `own` that is in again."""
+    if again.isEmpty():
+        return rows
+    rest, several = split_by_keys(rows, own, again)
+    keys = [fresh("own") for _ in own]
+    return rest.unionByName(several.withColumns(dict(zip(keys, own, strict=True))).dropDuplicates(keys).drop(*keys))
+
+
 def source_key(c: Column) -> Column:
     """A null-free form of a grouping value: null differs from every text."""
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("?"))

@@ -1,10 +1,14 @@
 """Exact deduplication through a stateful stream (native).
 
 Documents arrive as (identifier, SHA-256 digest, locator) rows. A streaming aggregation holds one state row per
-digest in a disk-backed RocksDB store, without expiry: the identifier that stays, where its content lies, and how
-often the digest came. A hit (a digest that came more than once) is checked on full bytes: rows that share a digest
-are grouped by their whole text, which collapses copies before the shuffle. Should two texts share a digest, their
-rows are grouped by the text itself.
+digest in a disk-backed RocksDB store, without expiry: the identifier that stays, where its content lies (the file it
+was read from), and how often the digest came. A hit (a digest that came more than once) is checked on full bytes: rows
+that share a digest are grouped by their whole text, which collapses copies before the shuffle. Should two texts share a
+digest, their rows are grouped by the text itself.
+
+With `state_dir` the state outlives the call: a later call on other documents goes on from it, and a hit on a digest of
+an earlier call is checked on the bytes at that call's locators, so documents of such calls must be read from files that
+stay. Its rows are those of the later call; keep_id and group_size count all calls.
 
 Defined results: a null text counts as empty; texts are compared as they are; of equal texts the largest doc_id
 stays (null is smallest); rows that repeat doc_id and text all carry that doc_id as keep_id and are all `kept`
@@ -18,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap_filter, join_groups, new_path, saved
+from .common import bitmap_filter, fresh, join_groups, new_path, once, saved, split_by_keys
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -33,19 +37,25 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def keyed_state(spark: SparkSession, arrivals_path: str, schema, files_per_batch: int | None = None) -> DataFrame:
-    """Run the arrivals through the stream; the state table (digest, keep_id, locator, group_size) afterwards."""
-    reader = spark.readStream.schema(schema)
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def keyed_state(spark: SparkSession, folder: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """Run what is new in the folder's arrivals through its stream; the state table (digest, keep_id, locator,
+    group_size) afterwards."""
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    state = reader.parquet(arrivals_path).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.max_by("locator", "doc_id").alias("locator"), F.count(F.lit(1)).alias("group_size"))
+    state = reader.parquet(f"{folder}/arrivals").groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.max_by("locator", "doc_id").alias("locator"), F.count(F.lit(1)).alias("group_size"))
     out, before = new_path(spark, "dedup-state"), {k: spark.conf.get(k, None) for k in STATE_CONF}
     for k, v in STATE_CONF.items():
         spark.conf.set(k, v)
     try:
         query = (
             state.writeStream.outputMode("complete")
-            .option("checkpointLocation", new_path(spark, "dedup-stream"))
+            .option("checkpointLocation", f"{folder}/stream")
             .trigger(availableNow=True)
             .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
             .start()
@@ -55,27 +65,43 @@ def keyed_state(spark: SparkSession, arrivals_path: str, schema, files_per_batch
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema)
-    if not spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)):
-        return spark.createDataFrame([], fields)
-    return spark.read.schema(fields).parquet(out)
+    return spark.read.schema(fields).parquet(out) if exists(spark, out) else spark.createDataFrame([], fields)
+
+
+def earlier_texts(spark: SparkSession, before: DataFrame, hits: DataFrame) -> DataFrame | None:
+    """doc_id, text of earlier calls' documents whose digest came again, read from the files that hold them."""
+    seen = before.join(hits.select("digest").distinct(), "digest", "left_semi")
+    files = [r.locator for r in seen.select("locator").distinct().collect()]  # names of files, as a scan has them
+    if not files:
+        return None
+    if not all(files):
+        raise ValueError("documents of an earlier call were not read from files: their bytes cannot be checked")
+    return spark.read.parquet(*files).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, locator of the copy that stays."""
+def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None, state_dir: str | None = None) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, locator of the copy that stays (null if
+    digests clash)."""
     spark = docs.sparkSession
     read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", digest(F.col("text")))
-    path = new_path(spark, "dedup-arrivals")
+    folder = state_dir.rstrip("/") if state_dir else new_path(spark, "dedup")
+    before = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/arrivals") if exists(spark, f"{folder}/arrivals") else None
+    path = f"{folder}/arrivals/{fresh('call')[2:]}"
     arrivals = read.select("doc_id", "digest", sha256(F.col("text")).alias("sha"), F.input_file_name().alias("locator"))
     arrivals.write.parquet(path)
     schema = arrivals.schema
     arrivals = spark.read.schema(schema).parquet(path)
-    total = arrivals.count()
-    state = keyed_state(spark, path, schema, files_per_batch)
+    state = keyed_state(spark, folder, schema, files_per_batch)
+    total = state.agg(F.sum("group_size")).first()[0] or 0
     rows = arrivals.select("doc_id", "digest", "sha")
 
     # full bytes on hits: copies of a text collapse before the shuffle, so no task gets all of them
-    hits = bitmap_filter(read, state.filter("group_size > 1"), "digest")
-    texts = hits.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    repeated = state.filter("group_size > 1")
+    checked = bitmap_filter(read, repeated, "digest")
+    old = earlier_texts(spark, before, repeated.join(rows.select("digest").distinct(), "digest", "left_semi")) if before is not None else None
+    if old is not None:
+        checked = checked.unionByName(bitmap_filter(old.withColumn("digest", digest(F.col("text"))), repeated, "digest"))
+    texts = checked.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     clashes = saved(texts.groupBy("digest").count().filter("count > 1").select("digest"), "dedup-clashes")
 
     out = join_groups(rows, state, "digest", "group_size", total)
@@ -86,15 +112,10 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, f
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "locator")
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
+def drop_copies(docs: DataFrame, **params) -> DataFrame:
     """docs without exact copies, with all its columns."""
-    groups = saved(exact_groups(docs).select("doc_id", "keep_id", "text_sha256", "kept"), "dedup-groups")
-    stay = groups.filter("kept").groupBy("doc_id", "text_sha256").count()
-    stay = saved(stay, "dedup-stay")
-    cols = [F.col(f"d.`{c}`") for c in docs.columns]
-    sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    name = "__sha"
-    out = docs.withColumn(name, sha).alias("d").join(stay.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col(f"d.{name}") == F.col("s.text_sha256")), "left_semi")
-    if not stay.filter("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", name]).alias("d")
-    return out.select(*cols)
+    groups = saved(exact_groups(docs, **params).select("doc_id", F.unhex("text_sha256").alias("sha"), "kept"), "dedup-groups")
+    own = [F.col("doc_id"), sha256(F.coalesce("text", F.lit("")))]
+    out, _ = split_by_keys(docs, own, groups.filter("NOT kept").select("doc_id", "sha").distinct())
+    again = saved(groups.filter("kept").groupBy("doc_id", "sha").count().filter("count > 1").drop("count"), "dedup-again")
+    return once(out, own, again)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_filter, fresh, join_groups, saved, split_by_keys
+from .common import bitmap_filter, join_groups, once, saved, split_by_keys
 from .components import components
 from .words import shingle_sets
 
@@ -330,8 +330,4 @@ def drop_near_copies(docs: DataFrame, **params) -> DataFrame:
     own = [F.col("doc_id").cast("long"), text_sha()]
     out, _ = split_by_keys(docs, own, rows.filter("NOT stays").select("doc_id", "sha").distinct())
     again = saved(rows.filter("stays AND worded").groupBy("doc_id", "sha").count().filter("count > 1").drop("count"), "near-again")
-    if again.isEmpty():
-        return out
-    once, several = split_by_keys(out, own, again)
-    kept = [fresh("kept") for _ in own]
-    return once.unionByName(several.withColumns(dict(zip(kept, own, strict=True))).dropDuplicates(kept).drop(*kept))
+    return once(out, own, again)

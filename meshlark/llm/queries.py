@@ -15,7 +15,7 @@ def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     out = mix(table(spark, sf_dir, "documents"))
-    return out.withColumns({c: out[c].cast("decimal(12,6)").cast("double") for c in ("weight", "alpha")}).drop("doc_tokens")
+    return out.withColumns({c: out[c].cast("decimal(12,6)").cast("double") for c in ("weight", "alpha")})
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

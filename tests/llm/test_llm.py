@@ -57,7 +57,7 @@ def test_mixing_odd_rows(spark):
     for b in {r.block_id for r in out}:
         assert sorted(r.slot for r in out if r.block_id == b) == list(range(sum(r.block_id == b for r in out)))
     assert mix(odd(spark).limit(0)).count() == 0
-    back = mixed_documents(odd(spark))
+    back = mixed_documents(odd(spark).withColumns({"__again": F.lit(1), "t": F.lit(2), "quota": F.lit(3), "s": F.lit(4), "key": F.lit(5)})).drop("__again", "t", "quota", "s", "key")
     assert back.columns == odd(spark).columns and back.filter("doc_id = 2").count() % 2 == 0
     assert {r.doc_id for r in back.select("doc_id").distinct().collect()} == {r[0] for r in ODD}
 
@@ -78,6 +78,40 @@ def test_mixing_meets_its_limit(spark, limits):
         assert -sum(x * math.log(x) for x in w.values()) == pytest.approx(0.9, abs=1e-4)
 
 
+@pytest.mark.parametrize("limits", [{}, {"max_repetition": None, "min_entropy": 0.95, "budget": 3000}, {"budget": 700}])
+def test_mixed_documents_equal_the_deal(spark, limits):
+    """Repeated rows are those that the mixture deals, and the exponent is that of a plain bisection."""
+    from meshlark.llm.mixing import mix, mixed_documents
+
+    rows = [(i % 90, "w " * (5 + i % 7), ["big", "big", "big", "mid", None][i % 5]) for i in range(150)] + [(500 + i, "w w", "tiny") for i in range(4)] + [(3, "w " * 8, "big")] * 3
+    d = documents(spark, rows)
+    dealt = mix(d, block_tokens=100, **limits).collect()
+    want = {}
+    for r in dealt:
+        k = (r.doc_id, r.source, r.tokens // r.copies)
+        want[k] = want.get(k, 0) + r.copies
+    got = mixed_documents(d, block_tokens=100, **limits).select("doc_id", "source", "text").collect()
+    have = {}
+    for r in got:
+        k = (r.doc_id, r.source, len(r.text.split()) + 1)
+        have[k] = have.get(k, 0) + 1
+    assert have == want
+    tokens = {}
+    for _, t, s in rows:
+        tokens[s] = tokens.get(s, 0) + len(t.split()) + 1
+    p, lo, hi = np.array(list(tokens.values())) / sum(tokens.values()), 0.0, 1.0
+    for _ in range(60):
+        a = (lo + hi) / 2
+        w = p**a / (p**a).sum()
+        if limits.get("min_entropy"):
+            down = -(w * np.log(w)).sum() < 0.95
+        else:
+            rate = w / p
+            down = (rate.max() / rate.min() if not limits else rate.max() * 700 / sum(tokens.values())) <= 1.5
+        lo, hi = (lo, a) if down else (a, hi)
+    assert dealt[0].alpha == pytest.approx(lo if limits.get("min_entropy") else hi, abs=1e-9)
+
+
 # 2
 def test_exact_dedup_odd_rows(spark):
     from meshlark.llm.dedup_exact import drop_copies, exact_groups
@@ -102,6 +136,27 @@ def test_exact_dedup_checks_bytes(spark):
     assert sorted(weak.collect()) == sorted(exact_groups(d).drop("locator").collect())
 
 
+def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
+    """Documents of a later call meet those of an earlier one, checked on the earlier file's bytes."""
+    from meshlark.llm.dedup_exact import drop_copies, exact_groups
+
+    batches = [[(1, "a", "s"), (2, "b", "s"), (3, "a", "s"), (4, None, "s")], [(5, "b", "s"), (0, "a", "s"), (6, "c", "s"), (7, "", "s")], [(8, "c", "s")]]
+    seen, state = [], f"file://{tmp_path}/state"
+    for i, rows in enumerate(batches):
+        documents(spark, rows).write.parquet(f"{tmp_path}/docs{i}")
+        seen += [(d, t or "") for d, t, _ in rows]
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_groups(spark.read.parquet(f"{tmp_path}/docs{i}"), state_dir=state).collect()}
+        of = lambda t: [d for d, x in seen if x == (t or "")]  # noqa: B023, E731
+        assert got == {d: (max(of(t)), len(of(t)), d == max(of(t))) for d, t, _ in rows}
+    clash = lambda c: F.unhex(F.hex(F.length(c)))
+    for i in range(2):
+        got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_groups(spark.read.parquet(f"{tmp_path}/docs{i}"), digest=clash, state_dir=f"{state}2").collect()}
+    assert got == {5: (5, 2), 0: (3, 3), 6: (6, 1), 7: (7, 2)}
+    d = documents(spark, batches[0]).withColumn("__sha", F.lit("mine")).withColumn("sha", F.lit("too"))
+    left = drop_copies(d)
+    assert left.columns == d.columns and {(r["doc_id"], r["__sha"], r["sha"]) for r in left.collect()} == {(i, "mine", "too") for i in (2, 3, 4)}
+
+
 # 3
 @pytest.mark.parametrize("always64", [False, True])
 def test_packages(spark, tmp_path, always64):
