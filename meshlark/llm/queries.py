@@ -113,7 +113,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
 WITH c AS (
   SELECT conv_id, count(*) AS n, list((role, text) ORDER BY turn, role, text) AS turns,
     string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
-  FROM conversations GROUP BY conv_id),
+  FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone FROM conversations) GROUP BY conv_id, lone),
 begun AS (SELECT DISTINCT list_slice(turns, 1, k) AS turns FROM c, LATERAL (SELECT unnest(range(1, n)) AS k))
 SELECT min(conv_id) AS conv_id, n AS n_turns, count(*) AS n_equal, any_value(rendered) AS rendered FROM c
 WHERE turns NOT IN (SELECT turns FROM begun) GROUP BY turns, n""",
@@ -131,7 +131,7 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
 ORACLES["op4_embedding_near_dedup"] = """
 WITH RECURSIVE v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 u AS (SELECT * FROM v WHERE e IS NOT NULL AND list_max([abs(x) for x in e]) > 0 AND len([x for x in e if x IS NULL OR NOT isfinite(x)]) = 0),
-l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+l AS (SELECT DISTINCT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
 r(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
 n AS (SELECT x, count(*) AS n FROM l GROUP BY x),
 c AS (SELECT x, min(y) AS c FROM r GROUP BY x)

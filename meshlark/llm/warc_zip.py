@@ -5,6 +5,10 @@ record, and ``indexes/index.cdxj``, one line per record with its offset and leng
 file, finds the central directory through the end record or, for large archives, the ZIP64 records, locates the stored
 members from the local headers, and then reads single records by range; nothing is unpacked to disk.
 
+Writing tasks name their archives by partition and attempt and leave rows of a manifest; the manifest, a table inside
+the folder, is written as a whole at the end and says which archives count, so that what a failed or repeated task has left
+behind is never read.
+
 Of records with equal payloads of at least `min_revisit` bytes, the one with the smallest page_id is a response and the
 others revisit it.
 
@@ -18,7 +22,6 @@ import base64
 import hashlib
 import json
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +37,7 @@ LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x
 END_SIZE, COMMENT_MAX = 22, 65535
 FULL32, FULL16 = 0xFFFFFFFF, 0xFFFF
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+MANIFEST = "_manifest"
 #: A task ends a package at this size, and reads at most so much of an archive at a time.
 PACKAGE_BYTES, READ_BYTES = 256 << 20, 8 << 20
 
@@ -173,8 +177,11 @@ def write_packages(pages: DataFrame, folder: str, min_revisit: int = 0, always64
     rows = rows.select("page_id", "url", "html", "first", (F.col("page_id").eqNullSafe(F.col("first")) | (F.col("size") < min_revisit)).alias("whole"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         store, base = open_store(folder)
         store.create_dir(base, recursive=True)
+        task = TaskContext.get()
         made, package, index, path = [], None, [], ""
 
         def close() -> None:
@@ -189,7 +196,7 @@ def write_packages(pages: DataFrame, folder: str, min_revisit: int = 0, always64
         for batch in batches:
             for page_id, url, html, first, whole in zip(*[batch.column(i) for i in range(5)], strict=True):
                 if package is None:
-                    path, index = f"{folder}/{uuid.uuid4().hex}.wacz", []
+                    path, index = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(made):04d}.wacz", []
                     package = PackageWriter(store.open_output_stream(f"{base}/{path.rsplit('/', 1)[1]}"), always64)
                     package.begin(DATA)
                 payload = html.as_py().encode()
@@ -205,7 +212,9 @@ def write_packages(pages: DataFrame, folder: str, min_revisit: int = 0, always64
             close()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.string()), pa.array([x[1] for x in made], pa.int64()), pa.array([x[2] for x in made], pa.int64())], ["path", "records", "bytes"])
 
-    return saved(rows.mapInArrow(write, "path string, records long, bytes long"), "warc-packages")
+    manifest = f"{folder}/{MANIFEST}"
+    rows.mapInArrow(write, "path string, records long, bytes long").write.parquet(manifest)
+    return find_packages(pages.sparkSession, folder)
 
 
 def read_packages(packages: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -238,11 +247,17 @@ def read_packages(packages: DataFrame, with_payload: bool = False) -> DataFrame:
                     if got:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), kinds, strict=True)], names)
 
-    return packages.select("path", "bytes").repartition("path").mapInArrow(scan, fields)
+    # a task for each package; packages have a bounded size
+    return packages.select("path", "bytes").repartitionByRange(max(1, packages.count()), "path").mapInArrow(scan, fields)
 
 
 def find_packages(spark: SparkSession, folder: str) -> DataFrame:
-    """path, bytes of the packages in a folder, listed without reading them."""
+    """path, records, bytes of the packages that a finished write_packages left in the folder."""
+    return spark.read.schema("path string, records long, bytes long").parquet(f"{folder}/{MANIFEST}")
+
+
+def list_packages(spark: SparkSession, folder: str) -> DataFrame:
+    """path, bytes of all packages in a folder without a manifest, listed without reading them."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.wacz").load(folder).select("path", F.col("length").alias("bytes"))
 
 

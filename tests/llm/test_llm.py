@@ -160,18 +160,34 @@ def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
 # 3
 @pytest.mark.parametrize("always64", [False, True])
 def test_packages(spark, tmp_path, always64):
-    from meshlark.llm.warc_zip import find_packages, read_packages, write_packages
+    from meshlark.llm.warc_zip import find_packages, list_packages, read_packages, write_packages
 
     rows = [(1, "http://a", "<p>é</p>"), (2, None, "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u\r\nx", None), (4, "u", ""), (None, "u", "z" * 300000), (5, "u", "z" * 300000)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
     made = write_packages(pages, f"file://{tmp_path}/w", always64=always64)
     assert made.agg(F.sum("records")).first()[0] == len(rows)
+    for orphan in ("part-000000-999-0000.wacz", "half.wacz"):  # what a lost attempt leaves
+        (tmp_path / "w" / orphan).write_bytes(b"PK broken")
     got = read_packages(find_packages(spark, f"file://{tmp_path}/w"), with_payload=True).collect()
     assert sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in got) == sorted([(1, 9, "response", None), (2, 9, "revisit", 1), (2, 9, "revisit", 1), (3, 0, "response", None), (4, 0, "revisit", 3), (0, 300000, "revisit", 5), (5, 300000, "response", None)])
     assert {bytes(r.payload) for r in got if r.payload is not None} == {"<p>é</p>".encode(), b"", b"z" * 300000}
     for p in made.collect():  # another reader agrees with the archive
         with zipfile.ZipFile(p.path.removeprefix("file://").removeprefix("file:")) as z:
             assert z.testzip() is None and set(z.namelist()) == {"archive/data.warc.gz", "indexes/index.cdxj"}
+    listed = list_packages(spark, f"file://{tmp_path}/w").filter("path NOT LIKE '%half%' AND path NOT LIKE '%-999-%'")
+    assert read_packages(listed).count() == len(rows)
+    none = write_packages(pages.limit(0), f"file://{tmp_path}/none", always64=always64)
+    assert none.isEmpty() and read_packages(none).isEmpty()
+
+
+def test_packages_are_read_side_by_side(spark, tmp_path, monkeypatch):
+    from meshlark.llm import warc_zip
+
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.sha2(F.col("id").cast("string"), 512).alias("html")).repartition(6)
+    made = warc_zip.write_packages(pages, f"file://{tmp_path}/w")
+    read = warc_zip.read_packages(made)
+    tasks = read.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert made.count() >= 2 and tasks >= min(made.count(), 4) - 1 and read.count() == 400
 
 
 def test_members_of_foreign_archives():
@@ -199,6 +215,7 @@ def test_vectors_against_brute_force(spark):
     rows = [(i, [float(v) for v in x[i]]) for i in range(300)] + [(300, None), (301, []), (302, [0.0] * 16), (303, [float("nan")] * 16), (304, [None] * 16), (305, [float("inf")] + [0.0] * 15), (306, [1.0]), (307, [float(v) for v in x[0]]), (307, [float(v) for v in x[0]])]
     d = spark.createDataFrame([(*r, 5) for r in rows], "vec_id long, embedding array<float>, block int")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(d, tile=64).collect()}
+    assert got == {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(d.withColumn("embedding", F.col("embedding").cast("array<double>")), tile=50).collect()}
     v = np.array([*x, x[0]], np.float64)
     ids = [*range(300), 307]
     c = (v @ v.T) / np.linalg.norm(v, axis=1)[:, None] / np.linalg.norm(v, axis=1)[None, :] >= 0.95
@@ -211,6 +228,34 @@ def test_vectors_against_brute_force(spark):
     assert near_vectors(d.limit(0)).count() == 0
 
 
+def test_vectors_that_share_an_id(spark):
+    """Links count other ids once, whatever the number and length of their vectors; null ids link with nothing."""
+    from meshlark.llm.near_vectors import near_vectors
+
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.01]), (1, [1.0, 0.0, 0.0]), (2, [2.0, 0.0]), (2, [1.0, 0.001, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 3.0]), (4, [0.0, 0.0, 1.0]), (None, [1.0, 0.0]), (None, None), (5, [-1.0, 0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for tile in (2, 64):
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(d, tile=tile).collect()}
+        assert got == {1: (1, 1, True), 2: (2, 1, False), 3: (1, 1, False), 4: (0, 4, True), 5: (0, 5, True), None: (0, None, True)}
+
+
+@pytest.mark.parametrize("dim", [3, 64, 1500, 8192])
+def test_tile_products_lose_no_link(dim):
+    """Pairs at the threshold, against double precision, at any dimension."""
+    from meshlark.llm.near_vectors import operands, quantise, tile_links
+
+    rng = np.random.default_rng(dim)
+    x = rng.standard_normal((60, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((60, dim))
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    z = 0.95 * x + np.sqrt(1 - 0.95**2) * y + rng.uniform(-1e-12, 1e-12, (60, 1)) * y
+    exact = np.einsum("ij,ij->i", x, z) / np.linalg.norm(x, axis=1) / np.linalg.norm(z, axis=1) >= 0.95
+    block = lambda v: (np.arange(60), v, *operands(*quantise(v / np.linalg.norm(v, axis=1, keepdims=True))), np.linalg.norm(v, axis=1))
+    assert (np.diag(tile_links(block(x), block(z), 0.95)) == exact).all()
+
+
 def test_quantisation_bound_holds():
     from meshlark.llm.near_vectors import quantise
 
@@ -549,6 +594,11 @@ def test_chats(spark):
     turns = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, n string")
     got = {r.conv_id: (r.n_turns, r.n_equal) for r in render_chats(turns).collect()}
     assert got == {6: (3, 1), 4: (1, 1), None: (1, 1), 5: (1, 1)}
+    lone = [(None, 3, None, None), (None, 0, "user", "b"), (None, 1, "user", "b"), (None, 9, "user", "a"), (None, 0, "x", "b" * 200000), (8, 0, "y", "z " * 100000)]
+    more = spark.createDataFrame([*(r[:4] for r in rows), *lone], "conv_id long, turn long, role string, text string")
+    out = render_chats(more).collect()
+    assert sorted(((r.conv_id or 0), r.n_turns, r.n_equal) for r in out) == sorted([(6, 3, 1), (4, 1, 3), (0, 1, 2), (5, 1, 1), (0, 1, 1), (8, 1, 1)])
+    assert max(len(r.rendered) for r in out) > 200000
     assert render_chats(turns.filter("conv_id = 4")).first().rendered == "<|im_start|>user\nb<|im_end|>\n"
     assert render_chats(turns.limit(0)).count() == 0
 
