@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 END = 1
 LENGTH = 2048
-#: Words whose ids a worker remembers; the longest of them; texts that are looked up at once.
-REMEMBERED, LONGEST, AT_ONCE = 700_000, 40, 256
+#: Bytes of words and ids that a task remembers, and what an entry takes beside them; texts, and characters of them, that
+#: are looked up at once.
+REMEMBERED, ENTRY, AT_ONCE, CHARACTERS = 40 << 20, 180, 256, 2_000_000
 
 LATIN_LETTERS = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 LATIN_NUMBERS = rb"0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -45,23 +46,31 @@ def latin_words(text: bytes) -> list[bytes]:
     return text.replace(b".", b" . ").replace(b",", b" , ").split()
 
 
+@functools.lru_cache(2)
+def tokenizers_of(path: str) -> tuple:
+    """The vocabulary's tokenizer, one for its single words, and its special tokens: of a fixed size, so a worker process
+    keeps them between its tasks."""
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    words = parts | {"added_tokens": [], "normalizer": None, "pre_tokenizer": parts["pre_tokenizer"]["pretokenizers"][-1]}
+    return Tokenizer.from_str(json.dumps(parts)), Tokenizer.from_str(json.dumps(words)), [x["content"] for x in parts["added_tokens"]]
+
+
 class WordIds:
     """The ids of texts as little-endian 32-bit bytes, by a lower-case vocabulary whose pre-tokenizer drops blanks.
 
     A text of Latin-1 characters is in normal form; it is lower-cased and cut into words by tables, and the library
-    encodes each word once. Any other text, or one with a special token, goes to the library whole.
+    encodes each word once, as long as REMEMBERED bytes hold it. Any other text, or one with a special token, goes to the
+    library whole. The table of words lives as long as its task.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as f:
-            parts = json.load(f)
-        self.whole = Tokenizer.from_str(json.dumps(parts))
-        self.special = [x["content"] for x in parts["added_tokens"]]
-        words = parts | {"added_tokens": [], "normalizer": None, "pre_tokenizer": parts["pre_tokenizer"]["pretokenizers"][-1]}
-        self.single = Tokenizer.from_str(json.dumps(words))
+        self.whole, self.single, self.special = tokenizers_of(path)
         self.words: dict[bytes, bytes] = {}
+        self.held = 0
 
     def many(self, texts: list[str]) -> list[bytes]:
         lists: list[list[bytes] | None] = []
@@ -73,13 +82,15 @@ class WordIds:
             lists.append(None if latin is None or any(x in text for x in self.special) else latin_words(latin.translate(LATIN_LOWER)))
         new = list(set().union(*[x for x in lists if x]).difference(self.words))
         got = self.single.encode_batch_fast([w.decode("latin-1") for w in new], add_special_tokens=False) if new else []
-        room = max(0, REMEMBERED - len(self.words))
         self.words.update((w, struct.pack(f"<{len(e)}I", *e.ids)) for w, e in zip(new, got, strict=True))
         get = self.words.__getitem__
         out = [b"".join(map(get, x)) if x is not None else self.by_library(text) for x, text in zip(lists, texts, strict=True)]
-        for i, w in enumerate(new):
-            if i >= room or len(w) > LONGEST:
+        for w in new:
+            size = ENTRY + len(w) + len(self.words[w])
+            if self.held + size > REMEMBERED:
                 del self.words[w]
+            else:
+                self.held += size
         return out
 
     def by_library(self, text: str) -> bytes:
@@ -87,13 +98,6 @@ class WordIds:
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
-@functools.lru_cache(2)
-def word_ids(path: str) -> WordIds:
-    """One for each worker process, kept between its tasks."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordIds(path)
-
-
 def cut(ids: bytes, length: int = LENGTH) -> list[tuple[int, int, int]]:
     """(start, length, crc32) of the pieces of a document's ids (bytes, end mark included)."""
     view, step = memoryview(ids), 4 * length
@@ -147,18 +151,25 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, group_piece
     end = np.array([END], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, row = word_ids(tokenizer_path), 0
+        words, row = WordIds(tokenizer_path), 0
+
+        def flush(ids: list, texts: list[str]) -> pa.RecordBatch:
+            nonlocal row
+            got: list[tuple] = []
+            for doc, found in zip(ids, words.many(texts), strict=True):
+                row += 1
+                found += end
+                got += [(doc, start, n, crc, len(found) // 4, row) for start, n, crc in cut(found, length)]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row"])
+
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(docs), AT_ONCE):
-                some = [x or "" for x in texts[at : at + AT_ONCE].to_pylist()]
-                got: list[tuple] = []
-                for doc, ids in zip(docs[at : at + AT_ONCE], words.many(some), strict=True):
-                    row += 1
-                    ids += end
-                    got += [(doc, start, n, crc, len(ids) // 4, row) for start, n, crc in cut(ids, length)]
-                cols = zip(*got, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row"])
+            ids, texts, size, at = batch.column(0).to_pylist(), [], 0, 0
+            for i, text in enumerate(batch.column(1), 1):
+                texts.append(text.as_py() or "")
+                size += len(texts[-1])
+                if len(texts) == AT_ONCE or size >= CHARACTERS or i == len(ids):
+                    yield flush(ids[at:i], texts)
+                    texts, size, at = [], 0, i
 
     cut_up = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long")
     cut_up = cut_up.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "row"), F.lit(groups))).drop("row")

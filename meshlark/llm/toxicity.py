@@ -2,17 +2,20 @@
 
 A word enters as a learned vector of its hash and the mean of learned vectors of its character runs. Blanks and
 punctuation separate words, in ASCII and outside it; a word of over LONGEST bytes (or a passage in a script without
-blanks) enters as overlapping pieces, each of them a word, so that no byte of it is left out. A text is cut into windows of LENGTH words that overlap by half; in a window, one network reads forwards and one backwards, attention
+blanks) enters as overlapping pieces, each of them a word, so that no byte of it is left out. A text is cut into windows
+of LENGTH words that overlap by half; in a window, one network reads forwards and one backwards, attention
 weighs the words' states, and a logistic unit gives the window's probability. A document's score is that of its worst
 window, over all windows of the whole text.
 
-Training takes at most `sample` labelled documents (by a hash of doc_id) whose crc32(doc_id) mod 3 is not 1, and of a
-very long one at most `spots` windows. A document's label holds for its worst window: rounds of scoring all windows and
+Training takes at most `sample` labelled documents whose crc32(doc_id) mod 3 is not 1, in the order of a hash of doc_id,
+and of these, in the same order, those with which the total stays within `words` words; each of them is learned from
+whole. A document's label holds for its worst window: rounds of scoring all windows and
 fitting the worst one of each document alternate.
 
 Defined results: a null text counts as empty, and an empty one gets the score of no words; labels other than 0 and 1
 are not learned from; without both labels in the sample, every score is the share of label 1 (0 if there is none); a
-doc_id that is labelled more than once counts with its largest label; other columns are ignored.
+doc_id that is labelled more than once counts with its largest label, and one that stands on several texts is learned from
+with the text of the least SHA-256; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,15 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import fresh, saved
 from .words import split_words
 
 LENGTH, STRIDE = 48, 24
 WORDS, GRAM_BITS, WORD_DIM, GRAM_DIM, STATE, ATTEND = 1 << 14, 15, 8, 12, 12, 8
 #: Lengths of the character runs; share of words whose own vector is hidden in training, so that their characters count.
 RUNS, HIDDEN = (3, 5, 7), 0.5
-SAMPLE, SPOTS, ROUNDS, WARM, BATCH, LEAST_STEPS, LEAST_DOCS, RATE = 3000, 32, 6, 2, 64, 40, 4, 0.01
+SAMPLE, SAMPLE_WORDS, ROUNDS, WARM, BATCH, LEAST_STEPS, LEAST_DOCS, RATE = 3000, 2_000_000, 6, 2, 64, 40, 4, 0.01
 #: Bytes of a piece of a word at most, and bytes that neighbours share at least: each run lies within a piece.
-LONGEST, OVERLAP, REMEMBERED = 24, max(RUNS) - 1, 200_000
+LONGEST, OVERLAP = 24, max(RUNS) - 1
+#: Words whose gates a task remembers; windows that are run at once (their words must fit); words whose gates are computed at once.
+REMEMBERED, WINDOWS, CHUNK = 1 << 16, 1024, 4096
 #: Texts, and characters of them, that are scored at once.
 TEXTS, AT_ONCE = 128, 1_000_000
 LIMIT = 0.7
@@ -82,20 +88,30 @@ def words_of(text: str | None) -> list[bytes]:
     return [x for w in words for x in (pieces(w) if len(w) > LONGEST else (w,))]
 
 
-def word_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word (of at most LONGEST bytes), hashes of its character runs (ends marked), and their weights."""
-    ids = np.fromiter((zlib.crc32(w) % (WORDS - 1) + 1 for w in words), np.int64, len(words))
-    raw = np.array([b"<" + w + b">" for w in words], f"S{LONGEST + 2}").view(np.uint8).reshape(len(words), -1).astype(np.uint32)
-    runs, there = [], []
+def word_runs(words: list[bytes], longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word (of at most `longest` bytes), hashes of its character runs (ends marked), and its bytes."""
+    ids = np.fromiter((zlib.crc32(w) % (WORDS - 1) + 1 for w in words), np.int32, len(words))
+    size = np.fromiter(map(len, words), np.uint8, len(words))
+    raw = np.array([b"<" + w + b">" for w in words], f"S{longest + 2}").view(np.uint8).reshape(len(words), -1)
+    runs = []
     for n in RUNS:
-        h = np.full((len(words), raw.shape[1] - n + 1), n, np.uint32)
+        h = np.full((len(words), max(0, longest + 3 - n)), n, np.uint32)
         for i in range(n):
             h = (h ^ raw[:, i : i + h.shape[1]]) * np.uint32(16777619)
             h ^= h >> np.uint32(15)
-        runs.append((h * np.uint32(2654435761)) >> np.uint32(32 - GRAM_BITS))
-        there.append(raw[:, n - 1 :] > 0)
-    weight = np.concatenate(there, 1).astype(F32)
-    return ids, np.concatenate(runs, 1).astype(np.int32), weight / np.sqrt(np.maximum(weight.sum(1, keepdims=True), 1))
+        runs.append(((h * np.uint32(2654435761)) >> np.uint32(32 - GRAM_BITS)).astype(np.uint16))
+    return ids, np.concatenate(runs, 1), size
+
+
+def run_weights(size: np.ndarray, longest: int = LONGEST) -> np.ndarray:
+    """Weights of the character runs of words of these bytes: those that a word does not have weigh nothing."""
+    there = np.concatenate([np.arange(max(0, longest + 3 - n)) + n <= size[:, None].astype(np.int32) + 2 for n in RUNS], 1).astype(F32)
+    return there / np.sqrt(np.maximum(there.sum(1, keepdims=True), 1))
+
+
+def word_inputs(words: list[bytes], longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, grams, size = word_runs(words, longest)
+    return ids, grams, run_weights(size, longest)
 
 
 class Network:
@@ -114,10 +130,12 @@ class Network:
         g = np.concatenate([x @ p["Wf"] + p["bf"], x @ p["Wb"] + p["bb"]], 1)
         return x, np.concatenate([np.zeros((1, g.shape[1]), F32), g])
 
-    def all_gates(self, ids, grams, there) -> np.ndarray:
-        """The gates of many words, some at a time."""
-        parts = [self.gates(ids[i : i + 4096], grams[i : i + 4096], there[i : i + 4096])[1][1:] for i in range(0, len(ids), 4096)]
-        return np.concatenate([np.zeros((1, 6 * STATE), F32), *parts])
+    def fill_gates(self, words: list[bytes], out: np.ndarray) -> None:
+        """Write the gates of many words, a bounded number at a time; words of like length go together."""
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        for a in range(0, len(order), CHUNK):
+            some = order[a : a + CHUNK]
+            out[some] = self.gates(*word_inputs([words[i] for i in some], max(1, len(words[some[-1]]))))[1][1:]
 
     def run(self, gates: np.ndarray, at: np.ndarray, keep: bool = False):
         """at: windows of rows of gates (0: no word). The windows' logits, and with keep what backward needs."""
@@ -184,31 +202,18 @@ class Network:
         return out
 
 
-def window_rows(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Lists of word rows (from 1) -> windows (0: no word) and the list of each."""
-    owner, spans = [], []
-    for i, rows in enumerate(lists):
-        for s in windows(len(rows)):
-            owner.append(i)
-            spans.append(rows[s : s + LENGTH])
-    at = np.zeros((len(spans), LENGTH), np.int64)
-    for k, rows in enumerate(spans):
-        at[k, : len(rows)] = rows
-    return at, np.array(owner, np.int64)
-
-
-def fit(samples: list[tuple[int, list[list[bytes]]]], rounds: int = ROUNDS, seed: int = 0) -> Network:
-    """samples: (label, windows of words) per document."""
+def fit(samples: list[tuple[int, list[bytes]]], rounds: int = ROUNDS, seed: int = 0) -> Network:
+    """samples: (label, words) per document."""
     net, rng = Network(seed), np.random.default_rng(seed)
-    words = sorted({w for _, spans in samples for s in spans for w in s})
+    words = sorted({w for _, ws in samples for w in ws}) or [b"-"]
     row = {w: i + 1 for i, w in enumerate(words)}
-    ids, grams, there = word_inputs(words) if words else word_inputs([b"-"])
+    parts = [word_runs(words[i : i + CHUNK]) for i in range(0, len(words), CHUNK)]
+    ids, grams, size = (np.concatenate([p[k] for p in parts]) for k in range(3))
     at, owner, label = [], [], np.array([y for y, _ in samples], F32)
-    for i, (_, spans) in enumerate(samples):
-        for s in spans:
-            at.append(np.pad(np.fromiter((row[w] for w in s), np.int32, len(s)), (0, LENGTH - len(s))))
-            owner.append(i)
-    at, owner = np.array(at, np.int32).reshape(-1, LENGTH), np.array(owner, np.int64)
+    for i, (_, ws) in enumerate(samples):
+        at.append(windows_of(np.fromiter((row[w] for w in ws), np.int32, len(ws)), np.array([0, len(ws)]))[0])
+        owner.append(np.full(len(at[-1]), i, np.int64))
+    at, owner = np.concatenate(at), np.concatenate(owner)
     # what stands in few documents says nothing about others: its vectors stay zero, as those of unknown words and runs are
     rare = {"word": np.zeros(WORDS, np.int64), "gram": np.zeros(1 << GRAM_BITS, np.int64)}
     edges = np.searchsorted(owner, np.arange(len(samples) + 1))
@@ -216,7 +221,7 @@ def fit(samples: list[tuple[int, list[list[bytes]]]], rounds: int = ROUNDS, seed
         here = np.unique(at[a:b])
         here = here[here > 0] - 1
         rare["word"][np.unique(ids[here])] += 1
-        rare["gram"][np.unique(grams[here][there[here] > 0])] += 1
+        rare["gram"][np.unique(grams[here][run_weights(size[here]) > 0])] += 1
     rare = {k: v < LEAST_DOCS for k, v in rare.items()}
     for k, v in rare.items():
         net.p[k][v] = 0
@@ -226,7 +231,8 @@ def fit(samples: list[tuple[int, list[list[bytes]]]], rounds: int = ROUNDS, seed
     for turn in range(rounds):
         blind = turn < WARM
         if not blind:
-            gates = net.all_gates(ids, grams, there)
+            gates = np.zeros((len(words) + 1, 6 * STATE), F32)
+            net.fill_gates(words, gates[1:])
             score = np.concatenate([net.run(gates, at[i : i + 2048]) for i in range(0, len(at), 2048)])
             order = np.lexsort((score, owner))
             worst = order[np.append(owner[order][1:] != owner[order][:-1], True)]
@@ -243,7 +249,7 @@ def fit(samples: list[tuple[int, list[list[bytes]]]], rounds: int = ROUNDS, seed
                 used = used[1:]
             else:
                 local = local + 1
-            g = net.gradients((ids[used - 1], grams[used - 1], there[used - 1]), local, label[owner[part]], (rng.random((len(used), 1)) >= HIDDEN).astype(F32))
+            g = net.gradients((ids[used - 1], grams[used - 1], run_weights(size[used - 1])), local, label[owner[part]], (rng.random((len(used), 1)) >= HIDDEN).astype(F32))
             step += 1
             for k, v in g.items():
                 if k in rare:
@@ -255,60 +261,82 @@ def fit(samples: list[tuple[int, list[list[bytes]]]], rounds: int = ROUNDS, seed
     return net
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, sample: int, spots: int) -> list[tuple[int, list[list[bytes]]]]:
-    """Bounded: at most `sample` documents with at most `spots` windows each reach the driver."""
+def windows_of(rows: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of words, and where each text's words begin and the last one's end -> windows (0: no word) and the text of each."""
+    starts = [a + np.array(windows(b - a)) for a, b in zip(begins.tolist(), begins[1:].tolist(), strict=False)]
+    owner = np.repeat(np.arange(len(starts)), [len(x) for x in starts])
+    spots = np.concatenate(starts)[:, None] + np.arange(LENGTH)
+    inside = spots < begins[owner + 1][:, None]
+    return np.where(inside, rows[np.minimum(spots, max(0, len(rows) - 1))] if len(rows) else 0, 0).astype(np.int32), owner
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, sample: int, words: int) -> list[tuple[int, list[bytes]]]:
+    """(label, words) of the documents to learn from; `sample` documents and `words` words bound what reaches the driver."""
     known = labels.filter("toxic IN (0, 1)").filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(sample)
+    luck = F.xxhash64(F.lit(7), "doc_id")
+    known = known.orderBy(luck, "doc_id").limit(sample).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), luck.alias("luck"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch["text"]:
-                words = words_of(text.as_py())
-                starts = windows(len(words))
-                if len(starts) > spots:
-                    starts = [starts[i] for i in np.random.default_rng(len(words)).choice(len(starts), spots, False)]
-                out.append([b" ".join(words[s : s + LENGTH]) for s in starts])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(out, pa.list_(pa.binary()))], ["doc_id", "toxic", "spans"])
-
-    # at most `sample` narrow rows
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))), "doc_id").mapInArrow(cut, "doc_id long, toxic int, spans array<binary>")
-    rows = sorted(found.limit(2 * sample).collect(), key=lambda r: (r.doc_id, r.spans))
+            for i in range(batch.num_rows):
+                found = words_of(batch["text"][i].as_py())
+                row = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([row["doc_id"], row["toxic"], row["luck"], pa.array([len(found)], pa.int64()), pa.array([b" ".join(found)], pa.binary())], ["doc_id", "toxic", "luck", "n", "words"])
+
+    text = F.coalesce("text", F.lit(""))
+    # at most `sample` narrow rows are broadcast, and as many texts are grouped
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(known), "doc_id")
+    found = found.groupBy("doc_id", "toxic", "luck").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
+    found = saved(found.mapInArrow(cut, "doc_id long, toxic int, luck long, n long, words binary"), "toxic-sample")
+    taken, total = [], 0
+    for r in sorted(found.select("doc_id", "luck", "n").collect(), key=lambda r: (r.luck, r.doc_id)):
+        if total + r.n <= words:
+            taken.append(r.doc_id)
+            total += r.n
+    rows = sorted(found.filter(F.col("doc_id").isin(taken)).select("doc_id", "toxic", "words").collect(), key=lambda r: r.doc_id)
     seen: dict[bytes, bytes] = {}  # one object per word
-    return [(r.toxic, [[seen.setdefault(w, w) for w in bytes(s).split()] for s in r.spans]) for r in rows]
+    return [(r.toxic, [seen.setdefault(w, w) for w in bytes(r.words).split()]) for r in rows]
 
 
 class Scorer:
-    """Scores texts with a fitted network; remembers what words add to the gates."""
+    """Scores texts with a fitted network; remembers what REMEMBERED words add to the gates, in a table of fixed size."""
 
     def __init__(self, net: Network):
         self.net, self.row = net, {}
-        self.known = np.zeros((1, 6 * STATE), F32)
+        self.known = np.zeros((REMEMBERED + 1, 6 * STATE), F32)
+
+    def rows_of(self, words: list[bytes]) -> np.ndarray:
+        """Rows of the words' gates; the words of WINDOWS windows at most."""
+        new = list(set(words).difference(self.row))
+        if len(self.row) + len(new) > REMEMBERED:
+            self.row = {}
+            new = list(set(words))
+        first = len(self.row) + 1
+        self.net.fill_gates(new, self.known[first : first + len(new)])
+        self.row.update(zip(new, range(first, first + len(new)), strict=True))
+        return np.fromiter(map(self.row.__getitem__, words), np.int32, len(words))
 
     def many(self, texts: list[str | None]) -> np.ndarray:
         lists = [words_of(t) for t in texts]
-        new = list(set().union(*lists).difference(self.row))
-        if len(self.row) + len(new) > REMEMBERED:
-            self.row, self.known = {}, self.known[:1]
-            new = list(set().union(*lists))
-        if new:
-            first = len(self.known)
-            self.known = np.concatenate([self.known, *(self.net.all_gates(*word_inputs(new[i : i + 4096]))[1:] for i in range(0, len(new), 4096))])
-            self.row.update(zip(new, range(first, first + len(new)), strict=True))
-        at, owner = window_rows([list(map(self.row.__getitem__, ws)) for ws in lists])
-        logits = np.concatenate([self.net.run(self.known, at[i : i + 1024]) for i in range(0, len(at), 1024)]) if len(at) else np.zeros(0)
+        words = [w for ws in lists for w in ws]
+        begins = np.cumsum([0, *map(len, lists)])
+        at, owner = windows_of(np.arange(1, len(words) + 1), begins)
         worst = np.full(len(texts), -np.inf)
-        np.maximum.at(worst, owner, logits.astype(np.float64))
+        for i in range(0, len(at), WINDOWS):
+            some = at[i : i + WINDOWS]
+            low, high = int(some[some > 0].min(initial=len(words) + 1)), int(some.max(initial=0))
+            rows = np.append(0, self.rows_of(words[low - 1 : high])).astype(np.int32)
+            np.maximum.at(worst, owner[i : i + WINDOWS], self.net.run(self.known, rows[np.where(some > 0, some - low + 1, 0)]).astype(np.float64))
         return 1 / (1 + np.exp(-worst))
 
 
-def with_scores(docs: DataFrame, labels: DataFrame, columns: list[str], sample: int = SAMPLE, spots: int = SPOTS, seed: int = 0) -> DataFrame:
-    """One row per document: these columns of docs, and __score."""
-    samples = training_sample(docs, labels, sample, spots)
+def with_scores(docs: DataFrame, labels: DataFrame, columns: list[str], name: str, sample: int = SAMPLE, words: int = SAMPLE_WORDS, seed: int = 0) -> DataFrame:
+    """One row per document: these columns of docs, and the score under a name. The scores are computed where the documents are read."""
+    samples = training_sample(docs, labels, sample, words)
     share = sum(y for y, _ in samples) / max(1, len(samples))
     model = pickle.dumps(fit(samples, seed=seed).p) if 0 < share < 1 else None
     packed = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
-    read = docs.select(*(F.col(f"`{c}`") for c in columns), F.col("text").alias("__text"))
+    read = docs.select(*(F.col(f"`{c}`") for c in columns), F.col("text").alias(fresh("text")))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
@@ -323,18 +351,19 @@ def with_scores(docs: DataFrame, labels: DataFrame, columns: list[str], sample:
                 held += len(some[-1] or "")
                 if len(some) == TEXTS or held >= AT_ONCE or i == len(texts):
                     got = scorer.many(some) if scorer else np.full(len(some), share)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(k)[at:i] for k in range(len(columns))), pa.array(got, pa.float64())], [*columns, "__score"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k)[at:i] for k in range(len(columns))), pa.array(got, pa.float64())], [*columns, name])
                     at, some, held = i, [], 0
 
-    return read.mapInArrow(score, StructType([*(read.schema[c] for c in columns), StructField("__score", DoubleType())]))
+    return read.mapInArrow(score, StructType([*(read.schema[c] for c in columns), StructField(name, DoubleType())]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    out = with_scores(docs, labels, ["doc_id"], **params)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= LIMIT).cast("int").alias("predicted"))
+    out = with_scores(docs, labels, ["doc_id"], "score", **params)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= LIMIT).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """docs without the rows whose text is predicted toxic, with all their columns; what else has a row's doc_id does not matter."""
-    return with_scores(docs, labels, docs.columns, **params).filter(F.col("__score") < LIMIT).drop("__score")
+    name = fresh("score")
+    return with_scores(docs, labels, docs.columns, name, **params).filter(F.col(name) < LIMIT).drop(name)

@@ -318,10 +318,10 @@ def test_first_fit_against_a_scan():
 def test_ids_equal_the_library(text):
     from tokenizers import Tokenizer
 
-    from meshlark.llm.packing import word_ids
+    from meshlark.llm.packing import WordIds
 
     want = Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
-    assert word_ids(tokenizer_path()).many([text])[0] == np.array(want, "<u4").tobytes()
+    assert WordIds(tokenizer_path()).many([text])[0] == np.array(want, "<u4").tobytes()
 
 
 # 6
@@ -579,13 +579,43 @@ def test_toxicity_finds_passages_behind_other_blanks():
         if i % 2:
             cjk, plain[40] = cjk[:70] + "龘靐齉爩" + cjk[70:], "grunzel"
         texts += [(i % 2, cjk), (i % 2, " ".join(plain))]
-    spans = lambda t: [X.words_of(t)[s : s + X.LENGTH] for s in X.windows(len(X.words_of(t)))]
-    scorer = X.Scorer(X.fit([(y, spans(t)) for y, t in texts[:600]]))
+    scorer = X.Scorer(X.fit([(y, X.words_of(t)) for y, t in texts[:600]]))
     for glue in (" ", "\u00a0", "\u2003", "—", "…"):
         got = scorer.many([t.replace(" ", glue) for _, t in texts[600:]]) >= X.LIMIT
         assert sum(got != np.array([y for y, _ in texts[600:]])) <= 10, glue
 
 
+def test_toxicity_scores_do_not_depend_on_slices(monkeypatch):
+    """Any number of windows at once, any table of words, against one window at a time; empty and very long texts."""
+    from meshlark.llm import toxicity as X
+
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 900, n)) for n in (1, 47, 48, 49, 72, 73, 5000)] + ["", None, "é" * 90, "x" * 500]
+    net = X.Network(1)
+    want = []
+    for t in texts:
+        ws = X.words_of(t)
+        gates = np.zeros((len(ws) + 1, 6 * X.STATE), np.float32)
+        net.fill_gates(ws, gates[1:])
+        spans = [list(range(len(ws)))[s : s + X.LENGTH] for s in X.windows(len(ws))]
+        want.append(max(float(net.run(gates, np.array([[i + 1 for i in s] + [0] * (X.LENGTH - len(s))]))[0]) for s in spans))
+    monkeypatch.setattr(X, "WINDOWS", 7)
+    monkeypatch.setattr(X, "REMEMBERED", 260)
+    got = X.Scorer(net).many(texts)
+    assert np.allclose(got, 1 / (1 + np.exp(-np.array(want))), atol=1e-5)
+
+
+def test_toxicity_sample_is_bounded_and_steady(spark):
+    from meshlark.llm.toxicity import training_sample
+
+    d = documents(spark, [(i % 50, f"text {i} " * (1 + 40 * (i == 60)), "s") for i in range(100)] + [(None, "none", "s")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1)], "doc_id long, toxic int")
+    one = training_sample(d.repartition(5), labels, 20, 1000)
+    assert one == training_sample(d.orderBy(F.desc("text")).coalesce(1), labels, 20, 1000) and 10 <= len(one) <= 20
+    few = training_sample(d, labels, 20, 11)
+    assert 0 < sum(len(w) for _, w in few) <= 11 and all(w in [x for _, x in one] for _, w in few)
+
+
 # 10
 def test_chats(spark):
     from meshlark.llm.chat import render_chats
