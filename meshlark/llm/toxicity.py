@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import functools
 import pickle
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -61,9 +60,9 @@ def windows(n: int) -> list[int]:
 
 
 @functools.lru_cache(1)
-def blanks() -> re.Pattern:
+def blanks() -> frozenset[str]:
     """Blanks and punctuation outside ASCII, the zero-width space among them."""
-    return re.compile("[" + "".join(c for c in map(chr, range(128, 0x20000)) if unicodedata.category(c)[0] in "ZP" or c in "\x85\u200b") + "]+")
+    return frozenset(c for c in map(chr, range(128, 0x20000)) if unicodedata.category(c)[0] in "ZP" or c in "\x85\u200b")
 
 
 def pieces(word: bytes) -> list[bytes]:
@@ -82,7 +81,10 @@ def pieces(word: bytes) -> list[bytes]:
 
 def words_of(text: str | None) -> list[bytes]:
     low = (text or "").lower()
-    words = split_words((low if low.isascii() else blanks().sub(" ", low)).encode())
+    if not low.isascii():
+        for c in blanks().intersection(low):
+            low = low.replace(c, " ")
+    words = split_words(low.encode())
     if max(map(len, words), default=0) <= LONGEST:
         return words
     return [x for w in words for x in (pieces(w) if len(w) > LONGEST else (w,))]
