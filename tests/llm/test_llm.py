@@ -368,10 +368,46 @@ def test_sharding(spark):
         assert same.setdefault(t or "", place[i]) == place[i]
     for s in range(40):
         assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
-    assert lpt([(5, "a"), (4, "b"), (3, "c"), (3, "d"), (3, "e")], 2) == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
+    assert lpt([(5, "a"), (4, "b"), (3, "c"), (3, "d"), (3, "e")], [], 2) == ({"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}, [])
     assert shard(odd(spark).limit(0)).count() == 0
 
 
+def test_turns_against_a_plain_heap():
+    """Equal items dealt at once, against one by one; classes against their single items."""
+    import heapq
+
+    from meshlark.llm.sharding import lpt, take_turns
+
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        loads, size, count = [float(x) for x in rng.integers(0, 90, rng.integers(1, 9))], float(rng.integers(1, 30)), int(rng.integers(1, 70))
+        heap, got = [(x, s) for s, x in enumerate(loads)], [0] * len(loads)
+        heapq.heapify(heap)
+        for _ in range(count):
+            load, s = heap[0]
+            got[s] += 1
+            heapq.heapreplace(heap, (load + size, s))
+        assert take_turns(loads, size, count) == got
+    large, classes = [(900, "a"), (700, "b")], [(5, 33, 33 * 50), (3, 500, 500 * 7)]
+    place, dealt = lpt(large, classes, 4)
+    loads = [sum(s for s, n in large if place[n] == k) + sum((e - f) * {5: 50, 3: 7}[c] for c, f, e, x in dealt if x == k) for k in range(4)]
+    assert sum(loads) == 900 + 700 + 33 * 50 + 3500 and max(loads) - min(loads) <= 7
+    for c, n, _ in classes:
+        runs = sorted((f, e) for x, f, e, _ in dealt if x == c)
+        assert runs[0][0] == 0 and runs[-1][1] == n and all(a[1] == b[0] for a, b in zip(runs, runs[1:]))
+
+
+def test_shards_are_nearly_equal(spark):
+    """Law `bytes` over the documents: shards differ by less than a hundredth where no group is larger than that."""
+    from meshlark.llm.sharding import shard
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = shard(d, 8)
+    loads = [r.b for r in out.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(loads) == 8 and max(loads) - min(loads) < 0.01 * sum(loads) / 8
+    assert out.join(d, "doc_id").groupBy(F.coalesce("text", F.lit(""))).agg(F.count_distinct("shard").alias("n")).filter("n > 1").isEmpty()
+
+
 # 8
 def test_near_text_odd_rows(spark):
     from meshlark.llm.near_text import drop_near_copies, near_groups
