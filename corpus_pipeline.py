@@ -10,6 +10,8 @@ and read again as the next one's docs. All but the last return the columns of do
   largest); of several such, by the digests of their shingles and texts.
 * mixing: every document stays at least once; documents of small sources repeat, up to 1.5 times as often.
 * packing: pieces of at most 2048 tokens in sequences.
+
+Null and empty texts, null ids, very long texts, repeated rows, empty tables and extra columns of any name pass all stages.
 """
 
 from __future__ import annotations
@@ -48,7 +50,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_copies), ("ngram_jaccard", near_copies), ("mixing", mixing), ("packing", packing)]
 
-#: Training a network, MinHash and a tokenizer have no SQL form; tests compare the run with a brute-force version.
+#: Training a network, MinHash and a tokenizer have no SQL form; tests/llm compares the run with a brute-force version,
+#: stage by stage.
 ORACLE_SQL = None
 
 

@@ -685,3 +685,148 @@ def test_pipeline_stages(spark, tmp_path):
     left = {r.doc_id for r in P.run(spark, f"{tmp_path}/sf").select("doc_id").distinct().collect()}
     assert left & set(range(1, 60)) >= set(range(3, 60)) and not left & {1, 301} and 300 in left
     assert len(left & set(range(200, 230))) <= 3
+
+
+def stage_rows(df):
+    return sorted(((r.doc_id, r.text, r.source) for r in df.select("doc_id", "text", "source").collect()), key=str)
+
+
+def brute_near(rows):
+    """One row of each group of similar texts, by all pairs."""
+    from meshlark.llm.words import split_words
+
+    sets = []
+    for _, t, _ in rows:
+        w = split_words((t or "").lower().encode())
+        sets.append(frozenset(zip(*[w[j:] for j in range(min(5, len(w)))], strict=False)))
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                root[find(i)] = find(j)
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(find(i), []).append(i)
+    return [[rows[i] for i in g] for g in groups.values()]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage on its own input: what the network says of each text, equal texts, all pairs, the mixture's limits, and
+    the tokenizer; odd rows among them, and extra columns with the names that the operators use."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as P
+    from meshlark.llm.toxicity import score_toxicity
+
+    rng = np.random.default_rng(12)
+    base = [" ".join(f"b{i}x{k}" for k in range(30 + 7 * (i % 9))) for i in range(40)]
+    rows = [(i, base[i], f"s{i % 3}") for i in range(40)]
+    rows += [(100 + i, base[i].replace(f"b{i}x{9}", "other"), "s0") for i in range(0, 40, 4)] + [(200 + i, base[i], "s1") for i in range(0, 40, 5)] + [(200, base[0], "s1")]
+    rows += [(300 + i, base[i] + " grunz" * 3, "s2") for i in range(40)] + [(400 + i, f"{base[i]} more words {i}", "s0") for i in range(0, 12)]
+    rows += [(i, t, s) for i, t, s in ODD if s != "a"] + [(None, base[3].replace("b3x4", "new"), None), (None, base[5] + " tail", "s1"), (None, "", "s1"), (12, "\u732b" * 3000, "s1"), (12, "w " * 60000, "tiny")]
+    rows = [rows[k] for k in rng.permutation(len(rows))]
+    names = ["row", "tokens", "hash", "__again", "__sha", "s", "key", "kept", "rank", "times", "sha", "n"]
+    d = spark.createDataFrame([(i, t, "en", s, len(t or ""), *range(len(names))) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    sf = str(tmp_path)
+    spark.createDataFrame([(i, 1, int(300 <= i < 400)) for i, _, _ in rows if i is not None], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    d.write.parquet(f"{sf}/documents.parquet")
+    stages, docs = dict(P.STAGES), spark.read.parquet(f"{sf}/documents.parquet")
+
+    def run(name, docs):
+        out = stages[name](spark, docs, sf)
+        if name != "packing":
+            assert out.columns == docs.columns
+        out.write.parquet(f"{sf}/{name}")
+        return spark.read.parquet(f"{sf}/{name}")
+
+    # toxicity: a row goes if its text is predicted toxic
+    bad = {r.doc_id for r in score_toxicity(docs.withColumn("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).select("doc_id", "text"), spark.createDataFrame([], "doc_id long, toxic int")).collect() if r.predicted}
+    assert not bad  # nothing to learn from: nothing is toxic
+    clean = run("toxicity", docs)
+    left, was = stage_rows(clean), stage_rows(docs)
+    gone = list(was)
+    for r in left:
+        gone.remove(r)
+    assert len(gone) == 40 and all("grunz" in t for _, t, _ in gone)
+
+    # exact copies
+    once = run("exact_dedup", clean)
+    best = {}
+    for r in left:
+        k = r[1] or ""
+        best[k] = max(best.get(k, r), r, key=lambda x: -1 if x[0] is None else x[0])
+    assert sorted(str(r[0]) + (r[1] or "") for r in stage_rows(once)) == sorted(str(r[0]) + (r[1] or "") for r in best.values())
+
+    # near copies
+    apart = run("ngram_jaccard", once)
+    kept = stage_rows(apart)
+    for group in brute_near(stage_rows(once)):
+        stay = [r for r in group if r in kept]
+        assert len(stay) == 1 and (stay[0][0] is not None or all(r[0] is None for r in group))
+        assert stay[0][0] == min((r[0] for r in group if r[0] is not None), default=None)
+
+    # mixing: whole documents, sources by the temperature of the exact bound
+    mixed = run("mixing", apart)
+    times = {}
+    for r in stage_rows(mixed):
+        times[str(r)] = times.get(str(r), 0) + 1
+    assert set(times) == {str(r) for r in kept} and max(times.values()) <= 2
+    tokens = {}
+    for _, t, s in kept:
+        tokens[s] = tokens.get(s, 0) + len((t or "").split()) + 1
+    got = {}
+    for r in stage_rows(mixed):
+        got[r[2]] = got.get(r[2], 0) + len((r[1] or "").split()) + 1
+    # a = 1 - ln 1.5 / ln(most / least): the largest source once, the smallest up to 1.5 times
+    a = 1 - math.log(1.5) / math.log(max(tokens.values()) / min(tokens.values()))
+    longest = {s: max(len((t or "").split()) + 1 for _, t, x in kept if x == s) for s in tokens}
+    for s in tokens:
+        quota = tokens[s] ** a * max(tokens.values()) ** (1 - a)
+        assert quota - 1 <= got[s] <= quota + longest[s] + 1
+
+    # packing
+    tok, pieces = Tokenizer.from_file(tokenizer_path()), {}
+    out = run("packing", mixed).collect()
+    for r in out:
+        pieces.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in p) <= 2048 and sorted(o for o, _ in p) == [sum(n for q, n in p if q < o) for o in sorted(o for o, _ in p)] for p in pieces.values())
+    want = sorted((str(i), len(tok.encode(t or "", add_special_tokens=False).ids) + 1) for i, t, _ in stage_rows(mixed))
+    assert sorted((str(r.doc_id), r.doc_tokens) for r in out if r.start == 0) == want
+    assert sum(r.length for r in out) == sum(n for _, n in want)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as P
+
+    odd(spark).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert P.run(spark, str(tmp_path)).isEmpty()
+
+
+NAMES = ["s", "t", "key", "rows", "range", "epoch", "start", "quota", "docs", "cls", "num", "n", "sha", "labels", "met", "digest", "locator", "keep_id", "kept", "at", "part", "shard", "slot", "bytes", "copies", "place", "hash", "words", "row", "template", "label", "score", "predicted", "held_out", "__score", "__text", "__again", "__sha", "__bucket", "__place", "__map", "group", "length", "offset", "luck", "size"]
+
+
+@pytest.mark.parametrize("op", ["mix", "exact", "pack", "license", "shard", "near", "toxic"])
+def test_clashing_names(spark, op):
+    """Extra columns of any name change no result."""
+    from meshlark.llm import dedup_exact, licenses, mixing, near_text, packing, sharding, toxicity
+
+    d = documents(spark, ODD[:9]).drop("row", "tokens", "hash")
+    labels = spark.createDataFrame([(1, 0), (8, 1)], "doc_id long, toxic int")
+    f = {
+        "mix": mixing.mix, "exact": lambda x: dedup_exact.exact_groups(x).drop("locator"), "pack": lambda x: packing.pack(x, tokenizer_path()).drop("sequence_id", "offset"), "license": licenses.scan_licenses,
+        "shard": lambda x: sharding.shard(x).drop("slot"), "near": near_text.near_groups, "toxic": lambda x: toxicity.score_toxicity(x, labels),
+    }[op]
+    plain, more = f(d), f(d.withColumns({n: F.lit("x") for n in NAMES}))
+    assert plain.columns == more.columns and sorted(map(str, plain.collect())) == sorted(map(str, more.collect()))
+    if op in ("exact", "near", "mix", "toxic"):
+        g = {"exact": dedup_exact.drop_copies, "near": near_text.drop_near_copies, "mix": mixing.mixed_documents, "toxic": lambda x: toxicity.drop_toxic(x, labels)}[op]
+        wide = d.withColumns({n: F.lit("x") for n in NAMES})
+        out = g(wide)
+        assert out.columns == wide.columns and {v for r in out.select(*NAMES).collect() for v in r} == {"x"}
