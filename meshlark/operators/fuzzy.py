@@ -11,11 +11,25 @@ from pyspark.sql import functions as F
 from ..functions import lists, text
 
 
+def token_rows(df: DataFrame, key: str, toks: str, size: str) -> DataFrame:
+    """(key, _t, size): one row per distinct token. The array is bound once, and its size rides inside the exploded value;
+    an outer explode infers no filter that would make the array again."""
+    bound = F.transform(F.array(F.array_distinct(toks)), lambda w: F.transform(w, lambda t: F.struct(t.alias("t"), F.size(w).alias("n"))))[0]
+    rows = df.select(key, F.explode_outer(bound).alias("_x"))
+    return rows.select(key, F.col("_x.t").alias("_t"), F.col("_x.n").alias(size))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files split into fewer tasks than there are (a small table in one row group)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def blocked_pairs(left: DataFrame, right: DataFrame, id_l: str, id_r: str, tok_l: str, tok_r: str) -> DataFrame:
     """(id_l, id_r, shared, size_l, size_r) for every two rows that share a token; the tokens are distinct per row."""
-    a = left.select(id_l, F.size(F.array_distinct(tok_l)).alias("size_l"), F.explode(F.array_distinct(tok_l)).alias("_t"))
-    b = right.select(id_r, F.size(F.array_distinct(tok_r)).alias("size_r"), F.explode(F.array_distinct(tok_r)).alias("_t"))
-    return a.join(b, "_t").groupBy(id_l, id_r, "size_l", "size_r").agg(F.count(F.lit(1)).alias("shared"))
+    a, b = token_rows(left, id_l, tok_l, "size_l"), token_rows(right, id_r, tok_r, "size_r")
+    pairs = a.join(b, "_t").groupBy(id_l, id_r).agg(F.count(F.lit(1)).alias("shared"), F.first("size_l").alias("size_l"), F.first("size_r").alias("size_r"))
+    return pairs.select(id_l, id_r, "size_l", "size_r", "shared")
 
 
 def token_block_join(left: DataFrame, right: DataFrame, id_l: str, id_r: str, core_l: str, core_r: str, min_jaccard: float = 0.5) -> DataFrame:
