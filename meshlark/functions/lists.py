@@ -46,7 +46,7 @@ EVENT_WINDOW_DAYS, SHARE_GT = 90, 0.75
 DESIGNATED = """AUT BEL BGR CAN HRV CYP CZE DNK EST FIN FRA DEU GRC HUN IRL ITA LVA LTU LUX MLT NLD POL PRT ROU SVK SVN ESP SWE
 GBR CHE NOR ISL JPN KOR SGP AUS NZL ISR MEX CHL PER COL PAN DOM CRI GTM HND NIC SLV MAR BHR OMN TWN HKG USA""".split()
 NOT_DESIGNATED = "CHN IND RUS BRA ARG THA VNM IDN MYS".split()
-CHOKEPOINT = ["CHN", "IND"]
+REGION_TO_LEAVE = ["CHN", "IND"]
 
 # fixed values: node id grammar and relations
 NODE_PATTERNS = {

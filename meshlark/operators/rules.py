@@ -58,14 +58,14 @@ def designated(countries: Column, yes=tuple(lists.DESIGNATED), no=tuple(lists.NO
     return F.when(some & F.forall(countries, lambda c: c.isin(list(yes))), True).when(some & F.forall(countries, lambda c: c.isin(list(no))), False)
 
 
-def score_alternates(holders: DataFrame, choke=tuple(lists.CHOKEPOINT), yes=tuple(lists.DESIGNATED), no=tuple(lists.NOT_DESIGNATED)) -> DataFrame:
-    """holders(holder, matched, api, countries, hinted, risk_flags) -> with score, viable, taa, in_chokepoint, why.
+def score_alternates(holders: DataFrame, region=tuple(lists.REGION_TO_LEAVE), yes=tuple(lists.DESIGNATED), no=tuple(lists.NOT_DESIGNATED)) -> DataFrame:
+    """holders(holder, matched, api, countries, hinted, risk_flags) -> with score, viable, taa, in_region, why.
 
     A registered maker gets 3 (1 if not flagged for it); sites all outside the region 2 (some 1; none if the country is
     only a hint); designated 1.5; every distinct risk flag takes 2. Viable means above 0.
     """
-    inside = F.array_intersect("countries", F.array(*[F.lit(c) for c in choke]))
-    outside = F.array_except("countries", F.array(*[F.lit(c) for c in choke]))
+    inside = F.array_intersect("countries", F.array(*[F.lit(c) for c in region]))
+    outside = F.array_except("countries", F.array(*[F.lit(c) for c in region]))
     clean, risky = F.size(outside) > 0, F.size(inside) > 0
     flags = F.array_sort(F.array_distinct("risk_flags"))
     taa = designated(F.col("countries"), yes, no)
@@ -80,7 +80,7 @@ def score_alternates(holders: DataFrame, choke=tuple(lists.CHOKEPOINT), yes=tupl
         ),
         lambda x: x.isNotNull(),
     )
-    return holders.withColumns({"risk_flags": flags, "taa": taa, "in_chokepoint": risky, "score": F.bround(score, 1), "why": why}).withColumn("viable", F.col("score") > 0)
+    return holders.withColumns({"risk_flags": flags, "taa": taa, "in_region": risky, "score": F.bround(score, 1), "why": why}).withColumn("viable", F.col("score") > 0)
 
 
 def eligibility_us(parties: DataFrame) -> DataFrame:

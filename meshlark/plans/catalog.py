@@ -1,6 +1,6 @@
 """All registered queries. Importing the modules registers them."""
 
-from . import graphs, market, names, records, signals, telemetry  # noqa: F401
+from . import graphs, market, names, reads, records, signals, telemetry  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

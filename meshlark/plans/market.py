@@ -195,7 +195,7 @@ def q56(t):
 @query("q50_boosted_stumps")
 def q50(t):
     rows = model_rows(t)
-    model = stats.stumps(rows, ["price", "month", "cust7"], "label", rounds=20)
+    model = stats.stumps(rows, ["price", "month", "cust7"], "label")
     return stats.auc(rows.withColumn("s", stats.stumps_score(model)), "s", "label").select("n_pos", "n_neg", r6("auc").alias("auc"))
 
 

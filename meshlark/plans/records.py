@@ -52,9 +52,9 @@ def q80(t):
     return R.filing_number(h, f).select("id", "filing")
 
 
-@query("q81_marketers_per_drug", "SELECT p_brand AS drug, count(DISTINCT l_suppkey) AS labelers FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 40 GROUP BY 1")
+@query("q81_marketers_per_drug", "SELECT p_brand AS drug, count(DISTINCT l_suppkey) AS labelers FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
 def q81(t):
-    m = t.lineitem.filter("l_quantity > 40").select(F.col("l_suppkey").alias("labeler"), F.col("l_partkey").alias("product"))
+    m = t.lineitem.select(F.col("l_suppkey").alias("labeler"), F.col("l_partkey").alias("product"))
     return R.marketers_per_drug(m, t.part.select(F.col("p_partkey").alias("product"), F.col("p_brand").alias("drug")))
 
 

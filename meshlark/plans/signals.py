@@ -109,7 +109,7 @@ def q18(t):
 @query("q39_alternate_supplier_score", """WITH risk AS (SELECT user_id AS id, list(DISTINCT 'OAI ' || ts::DATE::VARCHAR) AS flags FROM events WHERE event_type = 'error' AND value >= 150 GROUP BY 1),
 h AS (SELECT s_suppkey AS holder, s_nationkey % 4 <> 3 AS matched, s_acctbal > 0 AS api, CASE WHEN s_nationkey % 4 = 0 THEN ['CHN'] WHEN s_nationkey % 4 = 1 THEN ['DEU', 'IND'] WHEN s_nationkey % 4 = 2 THEN ['DEU', 'FRA'] ELSE [] END AS countries, coalesce(flags, []) AS flags FROM supplier LEFT JOIN risk ON s_suppkey = id),
 v AS (SELECT *, CASE WHEN countries = ['DEU', 'FRA'] THEN true WHEN countries = ['CHN'] THEN false END AS taa, CASE WHEN countries = ['DEU', 'FRA'] THEN 2.0 WHEN countries = ['DEU', 'IND'] THEN 1.0 ELSE 0.0 END AS place FROM h)
-SELECT holder, ((CASE WHEN matched AND api THEN 3 WHEN matched THEN 1 ELSE 0 END) + place + (CASE WHEN taa THEN 1.5 ELSE 0 END) - 2 * len(flags))::DOUBLE AS score, taa, list_has_any(countries, ['CHN', 'IND']) AS in_chokepoint, len(flags)::INT AS n_flags,
+SELECT holder, ((CASE WHEN matched AND api THEN 3 WHEN matched THEN 1 ELSE 0 END) + place + (CASE WHEN taa THEN 1.5 ELSE 0 END) - 2 * len(flags))::DOUBLE AS score, taa, list_has_any(countries, ['CHN', 'IND']) AS in_region, len(flags)::INT AS n_flags,
  (CASE WHEN matched AND api THEN 3 WHEN matched THEN 1 ELSE 0 END) + place + (CASE WHEN taa THEN 1.5 ELSE 0 END) - 2 * len(flags) > 0 AS viable FROM v""")
 def q39(t):
     flags = t.events.filter("event_type = 'error' AND value >= 150").groupBy(F.col("user_id").alias("s_suppkey")).agg(F.collect_set(F.concat(F.lit("OAI "), F.col("ts").cast("date").cast("string"))).alias("risk_flags"))
@@ -119,7 +119,7 @@ def q39(t):
         F.col("s_suppkey").alias("holder"), (n != 3).alias("matched"), (F.col("s_acctbal") > 0).alias("api"), F.when(n == 0, arr("CHN")).when(n == 1, arr("DEU", "IND")).when(n == 2, arr("DEU", "FRA")).otherwise(arr()).alias("countries"),
         F.lit(False).alias("hinted"), F.coalesce("risk_flags", arr()).alias("risk_flags"),
     )
-    return rules.score_alternates(h).select("holder", "score", "taa", "in_chokepoint", F.size("risk_flags").alias("n_flags"), "viable")
+    return rules.score_alternates(h).select("holder", "score", "taa", "in_region", F.size("risk_flags").alias("n_flags"), "viable")
 
 
 @query("q41_eligibility_us", """WITH p AS (SELECT 'company:' || s_suppkey AS id, CASE WHEN s_suppkey % 7 = 6 THEN 'product' ELSE 'company' END AS type, CASE WHEN s_nationkey % 5 = 0 THEN NULL WHEN s_nationkey % 5 = 1 THEN 'us' ELSE 'n' || (s_nationkey % 5) END AS country, CASE s_nationkey % 5 WHEN 2 THEN true WHEN 3 THEN false END AS v FROM supplier)
@@ -156,11 +156,11 @@ def q60(t):
     return rules.list_membership(t.part.select(F.col("p_partkey").alias("id"), F.lower(F.regexp_replace("p_brand", "#", "")).alias("key")), listed)
 
 
-@query("q61_impact_band", """WITH g AS (SELECT p_brand AS drug, count(DISTINCT l_suppkey) AS filings, count(*) AS ndcs, p_brand LIKE '%1' AS alone FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 48 GROUP BY 1)
-SELECT drug, CASE WHEN alone OR filings <= 60 OR ndcs >= 100 THEN 'high' ELSE 'medium' END AS band, concat_ws('; ', CASE WHEN alone THEN 'no substitute' END, CASE WHEN filings <= 60 THEN filings || ' filings' END, CASE WHEN ndcs >= 100 THEN ndcs || ' products' END) AS drivers FROM g""")
+@query("q61_impact_band", """WITH g AS (SELECT p_brand AS drug, count(DISTINCT l_suppkey) AS filings, count(*) AS ndcs, p_brand LIKE '%1' AS alone FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
+SELECT drug, CASE WHEN alone OR filings <= 60 OR ndcs >= 24000 THEN 'high' ELSE 'medium' END AS band, concat_ws('; ', CASE WHEN alone THEN 'no substitute' END, CASE WHEN filings <= 60 THEN filings || ' filings' END, CASE WHEN ndcs >= 24000 THEN ndcs || ' products' END) AS drivers FROM g""")
 def q61(t):
-    g = t.lineitem.filter("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey"), "l_suppkey").join(t.part.select("p_partkey", F.col("p_brand").alias("drug")), "p_partkey").groupBy("drug").agg(F.count_distinct("l_suppkey").alias("filings"), F.count(F.lit(1)).alias("ndcs"))
-    return g.select("drug", rules.impact_band(F.col("drug").endswith("1"), F.col("filings"), F.col("ndcs"), 60, 100).alias("b")).select("drug", "b.band", F.array_join("b.drivers", "; ").alias("drivers"))
+    g = t.lineitem.select(F.col("l_partkey").alias("p_partkey"), "l_suppkey").join(t.part.select("p_partkey", F.col("p_brand").alias("drug")), "p_partkey").groupBy("drug").agg(F.count_distinct("l_suppkey").alias("filings"), F.count(F.lit(1)).alias("ndcs"))
+    return g.select("drug", rules.impact_band(F.col("drug").endswith("1"), F.col("filings"), F.col("ndcs"), 60, 24000).alias("b")).select("drug", "b.band", F.array_join("b.drivers", "; ").alias("drivers"))
 
 
 @query("q62_top_signals_per_node", f"""WITH {SIG}, r AS (SELECT node_id, event_id, row_number() OVER (PARTITION BY node_id ORDER BY observed_at DESC, kind) AS rank FROM sig) SELECT node_id, event_id, rank::INT AS rank FROM r WHERE rank <= 8""")

@@ -174,25 +174,56 @@ class PagedJsonReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.schema, self.options = schema, options
 
-    def partitions(self) -> list[Page]:
-        size, total = int(self.options.get("pagesize", 100)), int(self.options["total"])
-        return [Page(i, min(size, total - i)) for i in range(0, total, size)]
-
-    def read(self, page: Page):
+    def page(self, skip: int, limit: int) -> dict:
+        """A page of results, from the cache folder if it is there (a folder that all executors share)."""
+        import hashlib
         import json
+        import os
         import time
         import urllib.parse
         import urllib.request
 
-        query = {"limit": page.limit, "skip": page.skip} | ({"search": self.options["search"]} if "search" in self.options else {})
+        query = {"limit": limit, "skip": skip} | ({"search": self.options["search"]} if "search" in self.options else {})
+        cache = self.options.get("cache")
+        mark = hashlib.sha256(json.dumps({"url": self.options["url"], **query}, sort_keys=True).encode()).hexdigest()[:16]
+        if cache and os.path.exists(f"{cache}/{mark}.json"):
+            with open(f"{cache}/{mark}.json", encoding="utf-8") as f:
+                return json.load(f)
         time.sleep(float(self.options.get("pause", 0.3)))
         with urllib.request.urlopen(f"{self.options['url']}?{urllib.parse.urlencode(query)}", timeout=60) as r:
-            for row in json.load(r).get("results", []):
-                yield tuple(json.dumps(v) if isinstance(v, (dict, list)) else v if v is None else str(v) for v in (row.get(f) for f in self.schema.fieldNames()))
+            got = json.load(r)
+        if cache:
+            os.makedirs(cache, exist_ok=True)
+            with open(f"{cache}/{mark}.{os.getpid()}", "w", encoding="utf-8") as f:
+                json.dump(got, f)
+            os.replace(f"{cache}/{mark}.{os.getpid()}", f"{cache}/{mark}.json")
+        return got
+
+    def partitions(self) -> list[Page]:
+        size = int(self.options.get("pagesize", 100))
+        total = int(self.options["total"]) if "total" in self.options else int(self.page(0, 1)["meta"]["results"]["total"])
+        return [Page(i, min(size, total - i)) for i in range(0, total, size)]
+
+    def read(self, page: Page):
+        import json
+
+        for row in self.page(page.skip, page.limit).get("results", []):
+            yield tuple(json.dumps(v) if isinstance(v, (dict, list)) else v if v is None else str(v) for v in (row.get(f) for f in self.schema.fieldNames()))
+
+
+#: The endpoints of the public drug API, by short name.
+ENDPOINTS = {"ndc": "drug/ndc.json", "shortages": "drug/shortages.json", "enforcement": "drug/enforcement.json", "drugsfda": "drug/drugsfda.json"}
+
+
+def endpoint(spark: SparkSession, base: str, name: str, schema: str, **options) -> DataFrame:
+    """One of the four endpoints as a table of its results' fields (strings; nested ones as JSON)."""
+    spark.dataSource.register(PagedJson)
+    return spark.read.format("paged_json").schema(schema).option("url", f"{base.rstrip('/')}/{ENDPOINTS[name]}").options(**options).load()
 
 
 class PagedJson(DataSource):
-    """spark.read.format("paged_json").schema(strings).option("url", ...).option("total", n): one partition per page."""
+    """spark.read.format("paged_json").schema(strings).option("url", ...): one partition per page. Options: total (else
+    asked for), search, pagesize, pause (seconds before a call), cache (a shared folder of pages)."""
 
     @classmethod
     def name(cls) -> str:

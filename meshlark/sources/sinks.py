@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,10 +50,20 @@ def signals_sink(df: DataFrame, path: str) -> None:
     df.orderBy(F.desc("observed_at"), F.desc("node_id")).coalesce(1).write.mode("overwrite").json(path)
 
 
-def compact(df: DataFrame, cols: list[str]) -> DataFrame:
+def compact_json(df: DataFrame, cols: list[str]) -> Column:
     """JSON of some columns where null and false are left out but 0.0 is kept."""
-    kept = [F.when(F.col(c), F.col(c)).alias(c) if dict(df.dtypes)[c] == "boolean" else F.col(c) for c in cols]
-    return df.select(F.to_json(F.struct(*kept)).alias("value"))
+    kinds = dict(df.dtypes)
+    return F.to_json(F.struct(*[F.when(F.col(c), F.col(c)).alias(c) if kinds[c] == "boolean" else F.col(c) for c in cols]))
+
+
+def compact(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.select(compact_json(df, cols).alias("value"))
+
+
+def csv_cache(df: DataFrame, path: str) -> DataFrame:
+    """df as CSV files with a header, read again with its own types."""
+    df.write.mode("overwrite").csv(path, header=True)
+    return df.sparkSession.read.schema(df.schema).csv(path, header=True)
 
 
 def nested_ranking(df: DataFrame, group: str, score: str, tie: str, cols: list[str]) -> DataFrame:
