@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_filter, join_groups, once, saved, split_by_keys
+from .common import bitmap_filter, give_back, join_groups, once, saved, split_by_keys
 from .components import components
 from .words import shingle_sets
 
@@ -147,6 +147,7 @@ def signatures(docs: DataFrame, threshold: float, k: int) -> DataFrame:
                 if held >= AT_ONCE or i == len(ids):
                     yield flush(ids[at:i], shas[at:i], sets)
                     sets, held, at = [], 0, i
+        give_back()
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_sha().alias("sha"))
     return read.mapInArrow(sign, "doc_id long, sha binary, cls binary, num long, n long, labels array<long>, met array<long>")

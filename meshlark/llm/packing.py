@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 END = 1
 LENGTH = 2048
 #: Bytes of words and ids that a task remembers, and what an entry takes beside them; texts, and characters of them, that
 #: are looked up at once.
-REMEMBERED, ENTRY, AT_ONCE, CHARACTERS = 40 << 20, 180, 256, 2_000_000
+REMEMBERED, ENTRY, AT_ONCE, CHARACTERS = 28 << 20, 180, 256, 2_000_000
 
 LATIN_LETTERS = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 LATIN_NUMBERS = rb"0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -170,6 +172,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, group_piece
                 if len(texts) == AT_ONCE or size >= CHARACTERS or i == len(ids):
                     yield flush(ids[at:i], texts)
                     texts, size, at = [], 0, i
+        words.words.clear()
+        give_back()
 
     cut_up = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long")
     cut_up = cut_up.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "row"), F.lit(groups))).drop("row")

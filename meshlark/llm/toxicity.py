@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fresh, saved
+from .common import fresh, give_back, saved
 from .words import split_words
 
 LENGTH, STRIDE = 48, 24
@@ -44,6 +44,8 @@ SAMPLE, SAMPLE_WORDS, ROUNDS, WARM, BATCH, LEAST_STEPS, LEAST_DOCS, RATE = 3000,
 LONGEST, OVERLAP = 24, max(RUNS) - 1
 #: Words whose gates a task remembers; windows that are run at once (their words must fit); words whose gates are computed at once.
 REMEMBERED, WINDOWS, CHUNK = 1 << 16, 1024, 4096
+#: Windows that training scores with one table of gates.
+SCORED = 8192
 #: Texts, and characters of them, that are scored at once.
 TEXTS, AT_ONCE = 128, 1_000_000
 LIMIT = 0.7
@@ -116,6 +118,14 @@ def word_inputs(words: list[bytes], longest: int = LONGEST) -> tuple[np.ndarray,
     return ids, grams, run_weights(size, longest)
 
 
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order in which equal keys stand together, where each key begins in it, and the keys."""
+    order = np.argsort(keys, kind="stable")
+    held = keys[order]
+    starts = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
+    return order, starts, held[starts]
+
+
 class Network:
     def __init__(self, seed: int = 0):
         rng = np.random.default_rng(seed)
@@ -139,6 +149,14 @@ class Network:
             some = order[a : a + CHUNK]
             out[some] = self.gates(*word_inputs([words[i] for i in some], max(1, len(words[some[-1]]))))[1][1:]
 
+    def scores(self, words: list[bytes], at: np.ndarray) -> np.ndarray:
+        """Logits of windows over rows of words (from 1)."""
+        used, local = np.unique(np.append(0, at), return_inverse=True)
+        gates = np.zeros((len(used), 6 * STATE), F32)
+        self.fill_gates([words[i - 1] for i in used[1:]], gates[1:])
+        local = local[1:].reshape(at.shape)
+        return np.concatenate([self.run(gates, local[i : i + WINDOWS]) for i in range(0, len(at), WINDOWS)])
+
     def run(self, gates: np.ndarray, at: np.ndarray, keep: bool = False):
         """at: windows of rows of gates (0: no word). The windows' logits, and with keep what backward needs."""
         p, (n, length) = self.p, at.shape
@@ -183,8 +201,10 @@ class Network:
         out["A"] = np.einsum("ntd,nta->da", states, da)
         ds += da @ p["A"].T
         dgates = np.zeros_like(gates)
+        order, starts, rows = grouped(at.ravel())
         for k, half in (("f", 0), ("b", 1)):
             u, dh, du = p[f"U{k}"], np.zeros((len(at), STATE), F32), np.zeros_like(p[f"U{k}"])
+            each = np.zeros((*at.shape, 3 * STATE), F32)
             for t, h, z, r, new, hn, m in reversed(trail[k]):
                 dh = dh + ds[:, t, half * STATE : (half + 1) * STATE]
                 step = dh * m
@@ -193,14 +213,18 @@ class Network:
                 dr = dn * hn * r * (1 - r)
                 dhu = np.concatenate([dz, dr, dn * r], 1)
                 du += h.T @ dhu
-                np.add.at(dgates[:, half * 3 * STATE : (half + 1) * 3 * STATE], at[:, t], np.concatenate([dz, dr, dn], 1))
+                each[:, t] = np.concatenate([dz, dr, dn], 1)
                 dh = dh * (1 - m) + step * z + dhu @ u.T
+            dgates[rows, half * 3 * STATE : (half + 1) * 3 * STATE] = np.add.reduceat(each.reshape(-1, 3 * STATE)[order], starts)
             dg = dgates[1:, half * 3 * STATE : (half + 1) * 3 * STATE]
             out |= {f"U{k}": du, f"W{k}": x.T @ dg, f"b{k}": dg.sum(0)}
         dx = dgates[1:, : 3 * STATE] @ p["Wf"].T + dgates[1:, 3 * STATE :] @ p["Wb"].T
         out["word"], out["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
-        np.add.at(out["word"], ids, dx[:, :WORD_DIM] * seen)
-        np.add.at(out["gram"], grams, dx[:, None, WORD_DIM:] * there[:, :, None])
+        order, starts, rows = grouped(ids)
+        out["word"][rows] = np.add.reduceat((dx[:, :WORD_DIM] * seen)[order], starts)
+        word, place = np.nonzero(there)
+        order, starts, rows = grouped(grams[word, place])
+        out["gram"][rows] = np.add.reduceat((dx[word, WORD_DIM:] * there[word, place][:, None])[order], starts)
         return out
 
 
@@ -211,6 +235,7 @@ def fit(samples: list[tuple[int, list[bytes]]], rounds: int = ROUNDS, seed: int
     row = {w: i + 1 for i, w in enumerate(words)}
     parts = [word_runs(words[i : i + CHUNK]) for i in range(0, len(words), CHUNK)]
     ids, grams, size = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    del parts
     at, owner, label = [], [], np.array([y for y, _ in samples], F32)
     for i, (_, ws) in enumerate(samples):
         at.append(windows_of(np.fromiter((row[w] for w in ws), np.int32, len(ws)), np.array([0, len(ws)]))[0])
@@ -233,9 +258,7 @@ def fit(samples: list[tuple[int, list[bytes]]], rounds: int = ROUNDS, seed: int
     for turn in range(rounds):
         blind = turn < WARM
         if not blind:
-            gates = np.zeros((len(words) + 1, 6 * STATE), F32)
-            net.fill_gates(words, gates[1:])
-            score = np.concatenate([net.run(gates, at[i : i + 2048]) for i in range(0, len(at), 2048)])
+            score = np.concatenate([net.scores(words, at[i : i + SCORED]) for i in range(0, len(at), SCORED)])
             order = np.lexsort((score, owner))
             worst = order[np.append(owner[order][1:] != owner[order][:-1], True)]
         luck = np.lexsort((rng.random(len(at)), owner))
@@ -355,6 +378,8 @@ def with_scores(docs: DataFrame, labels: DataFrame, columns: list[str], name: st
                     got = scorer.many(some) if scorer else np.full(len(some), share)
                     yield pa.RecordBatch.from_arrays([*(batch.column(k)[at:i] for k in range(len(columns))), pa.array(got, pa.float64())], [*columns, name])
                     at, some, held = i, [], 0
+        del scorer
+        give_back()
 
     return read.mapInArrow(score, StructType([*(read.schema[c] for c in columns), StructField(name, DoubleType())]))
 
