@@ -241,3 +241,35 @@ def test_publish_refuses_errors(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.require(spark.range(2), 3)
     assert spark.read.parquet(path).count() == 3
+
+
+def test_views(spark, tmp_path):
+    from meshlark.operators import views
+
+    rows = [(1, "x", 1), (2, "y", 1), (1, "z", 2), (3, "w", 1)]
+    d = spark.createDataFrame(rows, "k int, v string, at int")
+    d.filter("at = 1").coalesce(1).write.parquet(f"{tmp_path}/in/a")
+    read = lambda: spark.readStream.schema(d.schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    views.keep_view(read(), f"{tmp_path}/view", f"{tmp_path}/stream", "k", ["at"]).awaitTermination()
+    assert {(r.k, r.v) for r in views.read_view(spark, f"{tmp_path}/view").collect()} == {(1, "x"), (2, "y"), (3, "w")}
+    d.filter("at = 2").write.parquet(f"{tmp_path}/in/b")
+    views.keep_view(read(), f"{tmp_path}/view", f"{tmp_path}/stream", "k", ["at"]).awaitTermination()
+    assert {(r.k, r.v) for r in views.read_view(spark, f"{tmp_path}/view").collect()} == {(1, "z"), (2, "y"), (3, "w")}
+    with pytest.raises(ValueError):
+        views.curated_edges(spark, [("a", "feeds", ["b"], " ")])
+    back = sinks.csv_cache(d, f"{tmp_path}/csv")
+    assert sorted(back.collect()) == sorted(d.collect())
+    s = one(spark, "A b (and its subsidiaries: C, D (x))", lambda c: views.trailing_clause(c, "subsidiar"))
+    assert (s.name, s.clause) == ("A b", "C, D (x)")
+
+
+def test_paged_source_and_its_cache(spark, tmp_path):
+    """Pages come from the cache folder where they are, without a call."""
+    import hashlib
+
+    url = "http://nowhere.invalid/api/drug/ndc.json"
+    for limit, skip, got in ((1, 0, {"meta": {"results": {"total": 3}}}), (2, 0, {"results": [{"a": 1}, {"a": {"b": 2}}]}), (1, 2, {"results": [{"c": 1}]})):
+        mark = hashlib.sha256(json.dumps({"url": url, "limit": limit, "skip": skip}, sort_keys=True).encode()).hexdigest()[:16]
+        (tmp_path / f"{mark}.json").write_text(json.dumps(got))
+    t = readers.endpoint(spark, "http://nowhere.invalid/api/", "ndc", "a string", pagesize=2, cache=str(tmp_path), pause=0)
+    assert sorted(str(r.a) for r in t.collect()) == ["1", "None", '{"b": 2}']
