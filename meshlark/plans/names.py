@@ -69,8 +69,9 @@ def q22(t):
     return rounded_confusion(fuzzy.sweep(scored, "score", "same"))
 
 
-@query("q64_resolve_with_refusal", f"""WITH {COMPARED}, n AS (SELECT * FROM (VALUES (1, 1, 0.9), (1, 2, 0.88), (2, 1, 0.9), (2, 3, 0.7), (3, 5, 0.95), (3, 6, 0.93), (3, 7, 0.92)) AS q(l, r, s))
-SELECT l AS id_l, CASE l WHEN 2 THEN 1 WHEN 3 THEN 6 END AS id_r, max(s)::DOUBLE AS score, CASE WHEN l = 1 THEN 'refused' ELSE 'matched' END AS outcome FROM n GROUP BY l""")
+@query("q64_resolve_with_refusal", """WITH n AS (SELECT * FROM (VALUES (1, 1, 0.9), (1, 2, 0.88), (2, 1, 0.9), (2, 3, 0.7), (3, 5, 0.95), (3, 6, 0.93), (3, 7, 0.92)) AS q(l, r, s)),
+t AS (SELECT *, max(s) OVER (PARTITION BY l) AS top FROM n), g AS (SELECT l, max(top)::DOUBLE AS score, count(*) AS near, count(*) FILTER (r = 6) AS whole, min(r) AS one FROM t WHERE top - s < 0.05 GROUP BY 1)
+SELECT l AS id_l, CASE WHEN near = 1 THEN one WHEN whole = 1 THEN 6 END AS id_r, score, CASE WHEN near = 1 OR whole = 1 THEN 'matched' ELSE 'refused' END AS outcome FROM g""")
 def q64(t):
     """A near tie is refused; one candidate that holds the whole name settles it."""
     scored = t.spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.88), (2, 1, 0.9), (2, 3, 0.7), (3, 5, 0.95), (3, 6, 0.93), (3, 7, 0.92)], "id_l int, id_r int, score double")
@@ -168,8 +169,15 @@ def chain(t: Tables) -> DataFrame:
     return audit.chain_append(rows, ["turn"], by="conv_id")
 
 
-@query("q69_audit_verify_tampered", """WITH n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)
-SELECT conv_id, CASE WHEN n < 3 THEN true WHEN conv_id % 3 = 0 THEN false WHEN conv_id % 3 = 1 THEN false ELSE true END AS ok, CASE WHEN n < 3 THEN 'intact' WHEN conv_id % 3 = 0 THEN 'modified' WHEN conv_id % 3 = 1 THEN 'removed, reordered, or inserted' ELSE 'intact' END AS finding FROM n""")
+BODY = """'{"actor":"' || role || '","kind":"step","payload":"' || payload || '","run_id":"r' || conv_id || '","seq":' || seq || ',"ts":"' || turn || '"}'"""
+
+
+@query("q69_audit_verify_tampered", f"""WITH RECURSIVE {AUDIT}, p AS (SELECT conv_id, seq, role, turn, sha256(text) AS payload, count(*) OVER (PARTITION BY conv_id) AS n FROM b), j AS (SELECT *, {BODY} AS body FROM p),
+c AS (SELECT conv_id, seq, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || body) AS hash FROM j WHERE seq = 0 UNION ALL SELECT j.conv_id, j.seq, c.hash, sha256(c.hash || j.body) FROM c JOIN j ON j.conv_id = c.conv_id AND j.seq = c.seq + 1),
+l AS (SELECT conv_id, seq, role, turn, prev_hash, hash, CASE WHEN conv_id % 3 = 0 AND seq = 1 AND n >= 3 THEN 'edited' ELSE payload END AS payload FROM c JOIN p USING (conv_id, seq) WHERE NOT (conv_id % 3 = 1 AND seq = 1 AND n >= 3)),
+v AS (SELECT *, coalesce(lag(hash) OVER w, repeat('0', 64)) AS was, row_number() OVER w - 1 AS rn FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY seq)),
+f AS (SELECT conv_id, seq, CASE WHEN prev_hash <> was THEN 'removed, reordered, or inserted' WHEN sha256(prev_hash || {BODY}) <> hash THEN 'modified' WHEN seq <> rn THEN 'sequence gap' END AS bad FROM v)
+SELECT conv_id, count(bad) = 0 AS ok, coalesce(arg_min(bad, seq) FILTER (bad IS NOT NULL), 'intact') AS finding FROM f GROUP BY 1""")
 def q69(t):
     """Every third chain has an edited row, every third lacks one: the finding names which."""
     from pyspark.sql import Window
