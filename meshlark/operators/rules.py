@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists
+from .order import against
 
 
 def semantics(kind: Column) -> Column:
@@ -99,11 +100,10 @@ def eligibility_us(parties: DataFrame) -> DataFrame:
 
 
 def eligibility_buyers(nodes: DataFrame, buyers: DataFrame, parties: list[str]) -> DataFrame:
-    """nodes(id, type, country) for each of buyers(buyer): eligible, rule, reason. The buyers, a dimension, travel as one array."""
+    """nodes(id, type, country) for each of buyers(buyer): eligible, rule, reason."""
     known = F.col("buyer").isin(parties)
     fits, c = F.col("type").isin("company", "country"), F.lower("country")
-    every = buyers.agg(F.collect_set("buyer").alias("_all"))  # one row
-    all_of = nodes.join(F.broadcast(every)).withColumn("buyer", F.explode("_all")).drop("_all")
+    all_of = against(nodes, buyers.select("buyer").filter("buyer IS NOT NULL").distinct())
     reason = F.when(~fits, "not applicable").when(~known, "no rule for the buyer").when(c.isNull(), "unresolved").when(c == F.col("buyer"), "domestic").when(c.isin(parties), "party").otherwise("non-party")
     eligible = F.when(reason.isin("domestic", "party"), True).when(reason == "non-party", False)
     return all_of.select("id", "buyer", eligible.alias("eligible"), F.when(fits & known, "gpa").otherwise("none").alias("rule"), reason.alias("reason"))

@@ -1,16 +1,18 @@
 """Statistics of rankings, calibration and small models.
 
-Rankings over a whole table need a global order; its windows are grouped by `by` where given, and over the whole table
-run on one row per distinct score (see `midranks`), which a range-partitioned sort keeps apart from the raw rows.
+Rankings need a global order: they run within ranges of it (`order.before`), over a whole table and within `by` alike.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import wilson
+from .graph import checkpointed
+from .order import before, counted
 
 
 def hhi(df: DataFrame, group, part: str, weight: Column | None = None) -> DataFrame:
@@ -32,8 +34,7 @@ def upper_median(df: DataFrame, group, value: str, min_n: int = 2) -> DataFrame:
 def midranks(df: DataFrame, score: str, by=()) -> DataFrame:
     """(by, score, n, pos, midrank) per distinct score; label counts from `_label` in pos."""
     g = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("n"), F.sum("_label").alias("pos"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return g.withColumn("midrank", before + (F.col("n") + 1) / F.lit(2.0))
+    return before(g, [score], {"_b": F.col("n")}, by).select(*by, score, "n", "pos", (F.col("_b") + (F.col("n") + 1) / F.lit(2.0)).alias("midrank"))
 
 
 def auc(df: DataFrame, score: str, label: str, by=()) -> DataFrame:
@@ -48,28 +49,37 @@ def permutation_p(df: DataFrame, score: str, label: str, id_col: str, n: int = 3
     """(auc, hits, p): two-sided on |AUC - 0.5|, p = (hits + 1) / (n + 1).
 
     The scores stay, so their mid-ranks do; each repetition draws as many positives as there are by the smallest values
-    of a pseudo-random key (`shuffle`, of `id_col` and rep), ties by id.
+    of a pseudo-random numeric key (`shuffle`, of `id_col` and rep), ties by id. The keys are counted in 256 ranges; ranges
+    that are drawn whole give their sums, and only the range that holds the last one drawn is sorted.
     """
     base = df.select(F.col(id_col).alias("id"), F.col(score).alias("s"), F.col(label).cast("int").alias("_label"))
-    ranks = base.join(midranks(base, "s").select("s", "midrank"), "s").select("id", "midrank", "_label")
+    ranks = checkpointed(base.join(midranks(base, "s").select("s", "midrank"), "s").select("id", "midrank", "_label"))
     totals = ranks.agg(F.sum("_label").alias("np"), F.count(F.lit(1)).alias("n"), F.sum(F.col("_label") * F.col("midrank")).alias("r"))
     key = shuffle if shuffle is not None else F.xxhash64(F.lit(seed), "rep", "id")
     reps = ranks.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("_k", key)
-    drawn = reps.withColumn("_rn", F.row_number().over(Window.partitionBy("rep").orderBy("_k", "id"))).join(F.broadcast(totals))
+    span = reps.agg(F.min("_k").cast("double").alias("_lo"), F.max("_k").cast("double").alias("_hi"))
+    share = F.coalesce(F.try_divide(F.col("_k").cast("double") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    reps = reps.join(F.broadcast(span)).select("rep", "id", "midrank", "_k", F.floor(share * 255).cast("int").alias("_h"))  # one row
+    w = Window.partitionBy("rep").orderBy("_h")
+    hist = reps.groupBy("rep", "_h").agg(F.count(F.lit(1)).alias("c"), F.sum("midrank").alias("m")).withColumn("upto", F.sum("c").over(w)).join(F.broadcast(totals.select("np")))
+    hist = checkpointed(hist.withColumn("need", F.col("np") - F.col("upto") + F.col("c")))
+    last = hist.filter("need > 0 AND upto > np").select("rep", "_h", "need")  # at most one a repetition
+    cut = reps.join(F.broadcast(last), ["rep", "_h"]).withColumn("_rn", F.row_number().over(Window.partitionBy("rep").orderBy("_k", "id"))).filter("_rn <= need")
+    drawn = hist.filter("upto <= np").select("rep", F.col("m")).unionByName(cut.select("rep", F.col("midrank").alias("m")))
     u = lambda r: (r - F.col("np") * (F.col("np") + 1) / F.lit(2.0)) / (F.col("np") * (F.col("n") - F.col("np")))
-    each = drawn.filter("_rn <= np").groupBy("rep", "np", "n", "r").agg(F.sum("midrank").alias("rr"))
+    each = drawn.groupBy("rep").agg(F.sum("m").alias("rr")).join(F.broadcast(totals))
     each = each.select(F.abs(u(F.col("rr")) - 0.5).alias("d"), u(F.col("r")).alias("auc"))
     return each.groupBy("auc").agg(F.count_if(F.col("d") >= F.abs(F.col("auc") - 0.5) - 1e-12).alias("hits"), F.count(F.lit(1)).alias("reps")).select("auc", "hits", ((F.col("hits") + 1) / (F.col("reps") + 1)).alias("p"))
 
 
 def ranked(df: DataFrame, score: str, id_col: str, by=()) -> DataFrame:
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), id_col)))
+    return before(df, [F.desc(score), id_col], {"_rank": F.lit(1).cast("long")}, by).withColumn("_rank", F.col("_rank") + 1)
 
 
 def average_precision(df: DataFrame, score: str, label: str, id_col: str, by=()) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
-    r = ranked(df, score, id_col, by).withColumn("_tp", F.sum(F.col(label).cast("int")).over(w))
-    return r.groupBy(*by).agg(F.try_divide(F.sum(F.when(F.col(label).cast("int") == 1, F.col("_tp") / F.col("_rank"))), F.sum(F.col(label).cast("double"))).alias("average_precision"))
+    y = F.coalesce(F.col(label).cast("long"), F.lit(0))
+    r = before(df, [F.desc(score), id_col], {"_rank": F.lit(1).cast("long"), "_tp": y}, by)
+    return r.groupBy(*by).agg(F.try_divide(F.sum(F.when(y == 1, (F.col("_tp") + 1) / (F.col("_rank") + 1))), F.sum(F.col(label).cast("double"))).alias("average_precision"))
 
 
 def precision_at(df: DataFrame, score: str, label: str, id_col: str, ks) -> DataFrame:
@@ -80,9 +90,9 @@ def precision_at(df: DataFrame, score: str, label: str, id_col: str, ks) -> Data
 
 def equal_buckets(df: DataFrame, order: list[Column], n: int, by=()) -> DataFrame:
     """Buckets of equal size floor(count / n), what is over in the last."""
-    w = Window.partitionBy(*by)
-    rn, total = F.row_number().over(w.orderBy(*order)), F.count(F.lit(1)).over(w)
-    return df.withColumn("bucket", F.least(F.floor((rn - 1) / F.greatest(F.lit(1), F.floor(total / n))), F.lit(n - 1)).cast("int"))
+    placed = counted(before(df, order, {"_before": F.lit(1).cast("long")}, by), "_total", by)
+    bucket = F.least(F.floor(F.col("_before") / F.greatest(F.lit(1), F.floor(F.col("_total") / n))), F.lit(n - 1)).cast("int")
+    return placed.select(*df.columns, bucket.alias("bucket"))
 
 
 def reliability(df: DataFrame, score: str, label: str, edges) -> DataFrame:
@@ -174,28 +184,28 @@ def stumps(df: DataFrame, features, label: str, rounds: int = 60, lr: float = 0.
     distinct values. One aggregation a round tries every split; the model is a list of bounded length."""
     splits = []
     for f in features:
-        d = df.select(f).distinct()
-        w = Window.orderBy(f)
-        r = d.withColumn("rn", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
-        q = [x[0] for x in r.filter(F.expr("rn - 1 IN (n div 4, n div 2, 3 * n div 4)")).orderBy("rn").select(f).collect()]
+        r = counted(before(df.select(f).distinct(), [f], {"_before": F.lit(1).cast("long")}), "n")
+        q = [x[0] for x in r.filter(F.expr("_before IN (n div 4, n div 2, 3 * n div 4)")).orderBy("_before").select(f).collect()]
         splits += [(f, float(v)) for v in dict.fromkeys(q)]
     base = df.agg(F.avg(F.col(label).cast("double"))).first()[0]
     base = float(np.log(base / (1 - base)))
     model: list[tuple[str, float, float, float]] = [("", 0.0, base, base)]
     data = df.select(*features, F.col(label).cast("double").alias("_y")).persist()
-    for _ in range(rounds):
-        resid = F.col("_y") - stumps_score(model)
-        row = data.withColumn("_r", resid).agg(*[x for i, (f, t) in enumerate(splits) for x in (F.sum(F.when(F.col(f) <= t, F.col("_r")).otherwise(0.0)).alias(f"l{i}"), F.count_if(F.col(f) <= t).alias(f"n{i}"))], F.sum("_r").alias("all"), F.count(F.lit(1)).alias("n")).first()
-        best, gain = None, 1e-12
-        for i, (f, t) in enumerate(splits):
-            nl, sl = row[f"n{i}"], row[f"l{i}"]
-            nr, sr = row["n"] - nl, row["all"] - sl
-            if min(nl, nr) >= min_leaf and (g := sl * sl / nl + sr * sr / nr) > gain + 1e-12:
-                best, gain = (f, t, lr * sl / nl, lr * sr / nr), g
-        if best is None:
-            break
-        model.append(best)
-    data.unpersist()
+    try:
+        for _ in range(rounds):
+            resid = F.col("_y") - stumps_score(model)
+            row = data.withColumn("_r", resid).agg(*[x for i, (f, t) in enumerate(splits) for x in (F.sum(F.when(F.col(f) <= t, F.col("_r")).otherwise(0.0)).alias(f"l{i}"), F.count_if(F.col(f) <= t).alias(f"n{i}"))], F.sum("_r").alias("all"), F.count(F.lit(1)).alias("n")).first()
+            best, gain = None, 1e-12
+            for i, (f, t) in enumerate(splits):
+                nl, sl = row[f"n{i}"], row[f"l{i}"]
+                nr, sr = row["n"] - nl, row["all"] - sl
+                if min(nl, nr) >= min_leaf and (g := sl * sl / nl + sr * sr / nr) > gain + 1e-12:
+                    best, gain = (f, t, lr * sl / nl, lr * sr / nr), g
+            if best is None:
+                break
+            model.append(best)
+    finally:
+        data.unpersist()
     return model
 
 
@@ -208,26 +218,45 @@ def stumps_score(model) -> Column:
 
 def pooled_bins(df: DataFrame, score: str, label: str, id_col: str, min_bin: int = 40) -> DataFrame:
     """(bin, at, n, k): rows in score order in bins of min_bin, a short tail in the bin before."""
-    rn = F.row_number().over(Window.orderBy(score, id_col))
-    r = df.select(score, label, rn.alias("_rn"), F.count(F.lit(1)).over(Window.partitionBy()).alias("_n"))
-    b = F.least(F.floor((F.col("_rn") - 1) / min_bin), F.greatest(F.lit(0), F.floor(F.col("_n") / min_bin) - 1))
-    return r.groupBy(b.cast("int").alias("bin")).agg(F.avg(score).alias("at"), F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("int")).alias("k"))
+    r = counted(before(df.select(score, label, id_col), [score, id_col], {"_before": F.lit(1).cast("long")}), "_n")
+    b = F.least(F.floor(F.col("_before") / min_bin), F.greatest(F.lit(0), F.floor(F.col("_n") / min_bin) - 1))
+    return r.groupBy(b.alias("bin")).agg(F.avg(score).alias("at"), F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("int")).alias("k"))
+
 
+def pool_falling(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Neighbouring blocks (bin, to, s, n, k) merged while the rate k / n falls; a block spans the bins from bin to to."""
+    fields = ["bin", "to", "s", "n", "k"]
+    blocks: list[list] = []
+    for row in pdf.sort_values("bin")[fields].itertuples(index=False):
+        blocks.append(list(row))
+        while len(blocks) > 1 and blocks[-2][4] * blocks[-1][3] > blocks[-1][4] * blocks[-2][3]:
+            _, to, *sums = blocks.pop()
+            blocks[-1][1:] = [to, *(a + c for a, c in zip(blocks[-1][2:], sums, strict=True))]
+    return pd.DataFrame(blocks, columns=fields).assign(chunk=pdf["chunk"].iloc[0])
 
-def pava(df: DataFrame, score: str, label: str, id_col: str, min_bin: int = 40) -> DataFrame:
+
+def pava(df: DataFrame, score: str, label: str, id_col: str, min_bin: int = 40, width: int = 4096) -> DataFrame:
     """(at, p, n): the isotonic curve over pooled bins; neighbours merge while the rate falls, and a block's place is
-    the mean score of its rows. The bins (rows / min_bin of them) are reduced on the driver up to a bound; beyond it,
-    use a larger min_bin."""
-    bins = pooled_bins(df, score, label, id_col, min_bin).orderBy("bin").limit(200_001).collect()
-    if len(bins) > 200_000:
-        raise ValueError("more than 200,000 bins: raise min_bin")
-    blocks: list[list[float]] = []
-    for b in bins:
-        blocks.append([b["at"] * b["n"], b["n"], b["k"]])
-        while len(blocks) > 1 and blocks[-2][2] / blocks[-2][1] > blocks[-1][2] / blocks[-1][1]:
-            top = blocks.pop()
-            blocks[-1] = [a + c for a, c in zip(blocks[-1], top, strict=True)]
-    return df.sparkSession.createDataFrame([(s / n, k / n, int(n)) for s, n, k in blocks], "at double, p double, n long")
+    the mean score of its rows."""
+    return isotonic_blocks(pooled_bins(df, score, label, id_col, min_bin), width).select("at", "p", "n")
+
+
+def isotonic_blocks(bins: DataFrame, width: int = 4096) -> DataFrame:
+    """bins(bin, at, n, k) -> (bin, to, at, p, n): blocks of neighbouring bins whose rates do not fall.
+
+    Blocks are merged within chunks of `width` bins, then of 16 times as many and so on, until no rate falls from a chunk
+    to the next; in which order neighbours merge does not change the curve.
+    """
+    blocks = bins.select("bin", F.col("bin").alias("to"), (F.col("at") * F.col("n")).alias("s"), "n", F.col("k").cast("long").alias("k"))
+    while True:
+        chunks = blocks.withColumn("chunk", F.floor(F.col("bin") / width))
+        blocks = checkpointed(chunks.groupBy("chunk").applyInPandas(pool_falling, "bin long, to long, s double, n long, k long, chunk long"))
+        rate = F.col("k") / F.col("n")
+        ends = blocks.groupBy("chunk").agg(F.min_by(rate, "bin").alias("first"), F.max_by(rate, "bin").alias("last"))  # a row a chunk
+        fallen = ends.withColumn("was", F.lag("last").over(Window.orderBy("chunk"))).filter("was > first")
+        if fallen.isEmpty():
+            return blocks.select("bin", "to", (F.col("s") / F.col("n")).alias("at"), rate.alias("p"), "n")
+        width *= 16
 
 
 def apply_curve(df: DataFrame, curve: DataFrame, score: str) -> DataFrame:

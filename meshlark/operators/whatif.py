@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import arc_degrees
+from .order import against
 
 TREE = ["key", "id", "parent_key", "kind", "tier", "iso"]
 
@@ -44,8 +45,7 @@ def cut_set(tree: DataFrame, scenarios: DataFrame) -> DataFrame:
     An api is gated if it has precursors and each is dead or has suppliers that are all dead; its suppliers then are dead.
     """
     runs = scenarios.groupBy("scenario_id").agg(F.collect_set("off_id").alias("off"))
-    every = runs.agg(F.collect_list(F.struct("scenario_id", "off")).alias("_all"))  # one row: each scenario needs the whole tree
-    t = tree.join(F.broadcast(every)).select(*TREE, F.explode("_all").alias("_s")).select("_s.scenario_id", "_s.off", *TREE)
+    t = against(tree.select(*TREE), runs)
     own = F.array_contains("off", F.col("id")) | F.coalesce(F.array_contains("off", F.concat(F.lit("country:"), "iso")), F.lit(False))
     t = t.select("scenario_id", *TREE, own.alias("own"))
     up = lambda df, name: df.select("scenario_id", F.col("key").alias("parent_key"), F.col("dead").alias(name))
@@ -101,8 +101,7 @@ def rerank(alternates: DataFrame, failed: DataFrame, away: float = 2.0, same: fl
     All sites outside the failed jurisdictions earn `away`, one inside costs `same`; an unplaced holder gets neither.
     Only those standing are ranked; the best is one only if it is viable.
     """
-    every = failed.agg(F.collect_list(F.struct("scenario_id", "isos")).alias("_all"))  # one row
-    a = alternates.join(F.broadcast(every)).withColumn("_s", F.explode("_all")).select("_s.scenario_id", "_s.isos", *alternates.columns)
+    a = against(alternates, failed.select("scenario_id", "isos"))
     delta = F.when(F.size("iso2") == 0, 0.0).when(F.arrays_overlap("iso2", "isos"), same).otherwise(away)
     a = a.withColumn("delta", delta).withColumn("adjusted", F.col("score") + F.col("delta"))
     w = Window.partitionBy("scenario_id", "node", "standing").orderBy(F.desc("adjusted"), F.desc("score"), "holder")

@@ -5,7 +5,7 @@ A listing is a line of an order (generic: the part's brand, labeler: the supplie
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import wilson
@@ -183,13 +183,8 @@ m AS (SELECT i.bin, a.bin AS a, min((z.ck - a.ck + a.k) / (z.cn - a.cn + a.n)) A
 SELECT bin, round(max(lo), 6) AS p FROM m GROUP BY 1""")
 def q56(t):
     """The isotonic fit of each pooled bin."""
-    d = order_risk(t)
-    curve = stats.pava(d, "score", "label", "id").orderBy("at")
-    bins = stats.pooled_bins(d, "score", "label", "id")
-    ends = curve.selectExpr("at", "p", "n").withColumn("hi", F.sum("n").over(Window.orderBy("at"))).withColumn("lo", F.col("hi") - F.col("n"))
-    w = Window.orderBy("bin")
-    placed = bins.withColumn("first", F.sum("n").over(w) - F.col("n"))
-    return placed.alias("b").join(ends.alias("e"), (F.col("b.first") >= F.col("e.lo")) & (F.col("b.first") < F.col("e.hi"))).select("b.bin", r6("e.p").alias("p"))
+    blocks = stats.isotonic_blocks(stats.pooled_bins(order_risk(t), "score", "label", "id"))
+    return blocks.select(F.explode(F.sequence(F.col("bin").cast("int"), F.col("to").cast("int"))).alias("bin"), r6("p").alias("p"))
 
 
 @query("q50_boosted_stumps")

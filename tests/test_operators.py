@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meshlark.functions import text, values
 from meshlark.functions.canonical import canonical_json
-from meshlark.operators import audit, fuzzy, graph, merge, rules, stats, whatif
+from meshlark.operators import audit, fuzzy, graph, merge, order, rules, stats, whatif
 from meshlark.sources import readers, sinks
 from meshlark.streaming import telemetry as T
 
@@ -129,6 +129,39 @@ def test_pava_is_monotone_and_interpolates(spark):
     assert all(r.lo <= r.p + 1e-9 and r.p <= r.hi + 1e-9 for r in out)
 
 
+def test_pava_by_chunks(spark):
+    """Chunks of any width give the curve of one chunk, also where all rates fall."""
+    d = spark.range(300).select("id", (F.col("id") / 300).alias("s"), (F.pmod(F.xxhash64("id"), F.lit(7)) < 3).cast("int").alias("y"))
+    falling = d.withColumn("y", (F.col("id") < 150).cast("int"))
+    for x in (d, falling):
+        one, few = (sorted(tuple(r) for r in stats.pava(x, "s", "y", "id", 5, w).collect()) for w in (4096, 2))
+        assert [r[1:] for r in one] == [r[1:] for r in few]
+        assert all(abs(a[0] - b[0]) < 1e-12 for a, b in zip(one, few, strict=True))
+    assert stats.pava(d.filter("id < 0"), "s", "y", "id", 5).count() == 0
+
+
+def test_running_sums_in_a_global_order(spark):
+    rows = [(i, None if i % 5 == 0 else "hot" if i % 5 < 4 else f"g{i % 3}", (i * 37) % 11, i % 4) for i in range(200)]
+    d = spark.createDataFrame(rows, "id int, g string, v int, w int")
+    for by in ((), ("g",)):
+        got = {r.id: (r.rank, r.sum) for r in order.before(d, [F.desc("v"), "id"], {"rank": F.lit(1), "sum": F.col("w")}, by).collect()}
+        assert len(got) == 200
+        for i, g, v, _ in rows:
+            ahead = [r for r in rows if (not by or r[1] == g) and (-r[2], r[0]) < (-v, i)]
+            assert got[i] == (len(ahead), sum(r[3] for r in ahead))
+    assert order.before(d.filter("id < 0"), ["id"], {"rank": F.lit(1)}).count() == 0
+    assert {(r.g, r.n) for r in order.counted(d, "n", ["g"]).collect()} == {(g, sum(r[1] == g for r in rows)) for g in {r[1] for r in rows}}
+
+
+def test_rows_against_a_stated_set(spark):
+    rows, queries = spark.range(20), spark.range(7).withColumnRenamed("id", "q")
+    want = {(i, q) for i in range(20) for q in range(7)}
+    for block in (256, 2):
+        got = [tuple(r) for r in order.against(rows, queries, block, 3).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert order.against(rows, queries.filter("q < 0")).count() == 0
+
+
 def test_whatif_tree(spark):
     from meshlark.plans.graphs import BOM, SCENARIOS
 
