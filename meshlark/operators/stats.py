@@ -45,21 +45,21 @@ def auc(df: DataFrame, score: str, label: str, by=()) -> DataFrame:
     return agg.select(*by, "n_pos", "n_neg", value.alias("auc"))
 
 
-def permutation_p(df: DataFrame, score: str, label: str, id_col: str, n: int = 300, shuffle: Column | None = None, seed: int = 7) -> DataFrame:
+def permutation_p(df: DataFrame, score: str, label: str, id_col: str, n: int = 300, shuffle: Column | None = None, span: tuple[float, float] = (-(2.0**63), 2.0**63), seed: int = 7) -> DataFrame:
     """(auc, hits, p): two-sided on |AUC - 0.5|, p = (hits + 1) / (n + 1).
 
     The scores stay, so their mid-ranks do; each repetition draws as many positives as there are by the smallest values
-    of a pseudo-random numeric key (`shuffle`, of `id_col` and rep), ties by id. The keys are counted in 256 ranges; ranges
-    that are drawn whole give their sums, and only the range that holds the last one drawn is sorted.
+    of a pseudo-random numeric key (`shuffle`, of `id_col` and rep), ties by id. The keys are counted in 256 ranges of
+    `span`; ranges that are drawn whole give their sums, and only the range that holds the last one drawn is sorted. Keys
+    outside the span fall into its end ranges, which stays right and only sorts more.
     """
     base = df.select(F.col(id_col).alias("id"), F.col(score).alias("s"), F.col(label).cast("int").alias("_label"))
     ranks = checkpointed(base.join(midranks(base, "s").select("s", "midrank"), "s").select("id", "midrank", "_label"))
     totals = ranks.agg(F.sum("_label").alias("np"), F.count(F.lit(1)).alias("n"), F.sum(F.col("_label") * F.col("midrank")).alias("r"))
     key = shuffle if shuffle is not None else F.xxhash64(F.lit(seed), "rep", "id")
     reps = ranks.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("_k", key)
-    span = reps.agg(F.min("_k").cast("double").alias("_lo"), F.max("_k").cast("double").alias("_hi"))
-    share = F.coalesce(F.try_divide(F.col("_k").cast("double") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    reps = reps.join(F.broadcast(span)).select("rep", "id", "midrank", "_k", F.floor(share * 255).cast("int").alias("_h"))  # one row
+    share = (F.col("_k").cast("double") - F.lit(span[0])) / F.lit(span[1] - span[0])
+    reps = reps.select("rep", "id", "midrank", "_k", F.floor(F.greatest(F.lit(0.0), F.least(share, F.lit(1.0))) * 255).cast("int").alias("_h"))
     w = Window.partitionBy("rep").orderBy("_h")
     hist = reps.groupBy("rep", "_h").agg(F.count(F.lit(1)).alias("c"), F.sum("midrank").alias("m")).withColumn("upto", F.sum("c").over(w)).join(F.broadcast(totals.select("np")))
     hist = checkpointed(hist.withColumn("need", F.col("np") - F.col("upto") + F.col("c")))

@@ -133,7 +133,7 @@ a AS (SELECT abs((rr - np * (np + 1) / 2.0::DOUBLE) / (np * (n - np)) - 0.5) AS
 SELECT round(any_value(auc), 6) AS auc, count(*) FILTER (dd >= abs(auc - 0.5) - 1e-12) AS hits, round((count(*) FILTER (dd >= abs(auc - 0.5) - 1e-12) + 1) / (count(*) + 1)::DOUBLE, 6) AS p FROM a""")
 def q10(t):
     key = F.pmod(F.col("id") * F.lit(2654435761) + F.col("rep") * F.lit(40503), F.lit(1000003))
-    return stats.permutation_p(scored_suppliers(t), "score", "label", "id", 300, key).select(r6("auc").alias("auc"), "hits", r6("p").alias("p"))
+    return stats.permutation_p(scored_suppliers(t), "score", "label", "id", 300, key, (0.0, 1000003.0)).select(r6("auc").alias("auc"), "hits", r6("p").alias("p"))
 
 
 @query("q17_dedupe_entry_lines", """SELECT l_orderkey, l_shipdate::DATE::VARCHAR AS day, l_returnflag, count(*) AS entry_lines, arg_min(l_suppkey, l_linenumber::BIGINT * 1000000000 + l_partkey) AS l_suppkey FROM lineitem GROUP BY 1, 2, 3""")
