@@ -25,23 +25,31 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def blocked_pairs(left: DataFrame, right: DataFrame, id_l: str, id_r: str, tok_l: str, tok_r: str) -> DataFrame:
-    """(id_l, id_r, shared, size_l, size_r) for every two rows that share a token; the tokens are distinct per row."""
+def blocked_pairs(left: DataFrame, right: DataFrame, id_l: str, id_r: str, tok_l: str, tok_r: str, min_jaccard: float = 0.0) -> DataFrame:
+    """(id_l, id_r, size_l, size_r, shared) for every two rows that share a token; the tokens are distinct per row.
+
+    Two sets of n and m tokens have a Jaccard of min(n, m) / max(n, m) at most, so with `min_jaccard` the join itself
+    leaves out pairs whose sizes rule them out.
+    """
     a, b = token_rows(left, id_l, tok_l, "size_l"), token_rows(right, id_r, tok_r, "size_r")
-    pairs = a.join(b, "_t").groupBy(id_l, id_r).agg(F.count(F.lit(1)).alias("shared"), F.first("size_l").alias("size_l"), F.first("size_r").alias("size_r"))
+    joined = a.join(b, "_t")
+    if min_jaccard > 0:
+        least = F.lit(min_jaccard - 1e-9)
+        joined = joined.filter((F.col("size_l") * least <= F.col("size_r")) & (F.col("size_r") * least <= F.col("size_l")))
+    pairs = joined.groupBy(id_l, id_r).agg(F.count(F.lit(1)).alias("shared"), F.first("size_l").alias("size_l"), F.first("size_r").alias("size_r"))
     return pairs.select(id_l, id_r, "size_l", "size_r", "shared")
 
 
 def token_block_join(left: DataFrame, right: DataFrame, id_l: str, id_r: str, core_l: str, core_r: str, min_jaccard: float = 0.5) -> DataFrame:
     """(id_l, id_r, score): the best right row of each left row by Jaccard, the smallest id on ties, none refused."""
-    scored = blocked_pairs(left, right, id_l, id_r, core_l, core_r).withColumn("score", F.col("shared") / (F.col("size_l") + F.col("size_r") - F.col("shared"))).filter(F.col("score") >= min_jaccard)
+    scored = blocked_pairs(left, right, id_l, id_r, core_l, core_r, min_jaccard).withColumn("score", F.col("shared") / (F.col("size_l") + F.col("size_r") - F.col("shared"))).filter(F.col("score") >= min_jaccard)
     best = scored.withColumn("_rn", F.row_number().over(Window.partitionBy(id_l).orderBy(F.desc("score"), id_r)))
     return best.filter("_rn = 1").select(id_l, id_r, "score")
 
 
 def search(names: DataFrame, register: DataFrame, id_l: str, id_r: str, tok_l: str, tok_r: str, min_score: float = 0.34, top: int = 8) -> DataFrame:
     """The best `top` register rows of each name by Jaccard of all tokens."""
-    scored = blocked_pairs(names, register, id_l, id_r, tok_l, tok_r).withColumn("score", F.col("shared") / (F.col("size_l") + F.col("size_r") - F.col("shared"))).filter(F.col("score") >= min_score)
+    scored = blocked_pairs(names, register, id_l, id_r, tok_l, tok_r, min_score).withColumn("score", F.col("shared") / (F.col("size_l") + F.col("size_r") - F.col("shared"))).filter(F.col("score") >= min_score)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(id_l).orderBy(F.desc("score"), id_r))).filter(F.col("rank") <= top).select(id_l, id_r, "score", "rank")
 
 
@@ -112,7 +120,7 @@ def core_set_join(left: DataFrame, right: DataFrame, id_l: str, id_r: str, core_
     those whose place words contradict the left row's."""
     sets = right.withColumn("_set", F.array_sort(F.array_distinct(core_r)))
     distinct = sets.select("_set").distinct().withColumn("_key", F.array_join("_set", " "))
-    scored = blocked_pairs(left, distinct, id_l, "_key", core_l, "_set").withColumn("score", F.col("shared") / (F.col("size_l") + F.col("size_r") - F.col("shared"))).filter(F.col("score") >= min_score)
+    scored = blocked_pairs(left, distinct, id_l, "_key", core_l, "_set", min_score).withColumn("score", F.col("shared") / (F.col("size_l") + F.col("size_r") - F.col("shared"))).filter(F.col("score") >= min_score)
     won = refuse_ties(scored, id_l, "_key", margin).filter("outcome = 'matched'")
     rows = won.join(sets.withColumn("_key", F.array_join("_set", " ")), "_key")
     if geo_l and geo_r:

@@ -140,6 +140,15 @@ def test_pava_by_chunks(spark):
     assert stats.pava(d.filter("id < 0"), "s", "y", "id", 5).count() == 0
 
 
+def test_blocked_pairs_by_size(spark):
+    """The bound on sizes drops no pair that reaches the score, sets of exactly that ratio included."""
+    sets = [(i, [f"t{(i * k) % 9}" for k in range(1, i % 10 + 1)]) for i in range(30)]
+    d = spark.createDataFrame(sets, "l int, tl array<string>")
+    e = d.select(F.col("l").alias("r"), F.col("tl").alias("tr"))
+    got = {(r.l, r.r) for r in fuzzy.search(d, e, "l", "r", "tl", "tr", 0.5, 100).collect()}
+    assert got == {(a, b) for a, x in sets for b, y in sets if set(x) & set(y) and len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.5}
+
+
 def test_running_sums_in_a_global_order(spark):
     rows = [(i, None if i % 5 == 0 else "hot" if i % 5 < 4 else f"g{i % 3}", (i * 37) % 11, i % 4) for i in range(200)]
     d = spark.createDataFrame(rows, "id int, g string, v int, w int")
