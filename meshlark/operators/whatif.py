@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import arc_degrees
+from .graph import checkpointed
 from .order import against
 
 TREE = ["key", "id", "parent_key", "kind", "tier", "iso"]
@@ -47,7 +48,7 @@ def cut_set(tree: DataFrame, scenarios: DataFrame) -> DataFrame:
     runs = scenarios.groupBy("scenario_id").agg(F.collect_set("off_id").alias("off"))
     t = against(tree.select(*TREE), runs)
     own = F.array_contains("off", F.col("id")) | F.coalesce(F.array_contains("off", F.concat(F.lit("country:"), "iso")), F.lit(False))
-    t = t.select("scenario_id", *TREE, own.alias("own"))
+    t = checkpointed(t.select("scenario_id", *TREE, own.alias("own")))  # read by every level
     up = lambda df, name: df.select("scenario_id", F.col("key").alias("parent_key"), F.col("dead").alias(name))
     keys = ["scenario_id", "parent_key"]
     drugs = t.filter("kind = 'drug'").withColumn("dead", F.col("own"))
@@ -69,6 +70,7 @@ def cut_set(tree: DataFrame, scenarios: DataFrame) -> DataFrame:
 
 def rollup(cut: DataFrame) -> DataFrame:
     """(scenario_id, key, id, kind, total, up, health): a leaf is one source; an item pools its suppliers, else its children."""
+    cut = checkpointed(cut)  # read by every level
     leaf = cut.filter("kind = 'supplier'").withColumn("total", F.lit(1).cast("long")).withColumn("up", F.when(F.col("dead"), 0).otherwise(1).cast("long"))
     cols = ["scenario_id", "key", "id", "parent_key", "kind", "total", "up"]
 
