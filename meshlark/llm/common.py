@@ -9,6 +9,7 @@ import uuid
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_of(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path, and the path in it."""
+    if "://" not in path and not path.startswith("file:"):
+        return pafs.LocalFileSystem(), path
+    return pafs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
+
+
 def give_back() -> None:
     """At the end of a task: free memory goes back to the machine, as worker processes outlive their tasks."""
     gc.collect()

@@ -74,6 +74,14 @@ def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_chats(table(spark, sf_dir, "conversations"))
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from .alignment import align_tokens
+
+    return align_tokens(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

@@ -36,7 +36,7 @@ def test_registered():
     import __spark_entry__ as e
 
     names = {q.split("_")[0] for q in e.queries() if q.startswith("op")}
-    assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in e.queries()
+    assert names >= {f"op{i}" for i in range(1, 11)} and "pipeline" in e.queries()
 
 
 @pytest.mark.parametrize("name", ["op1_temperature_mixing", "op2_exact_dedup", "op3_warc_packages", "op4_embedding_near_dedup", "op6_license_scan", "op8_ngram_jaccard", "op10_chat_snapshots"])
