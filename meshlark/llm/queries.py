@@ -74,6 +74,12 @@ def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_chats(table(spark, sf_dir, "conversations"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -159,6 +165,37 @@ SELECT d.doc_id, c AS class_id, coalesce(e.set_id, d.doc_id) AS set_id, coalesce
 FROM d JOIN c ON d.doc_id = c.x LEFT JOIN m ON d.doc_id = m.x LEFT JOIN e ON d.doc_id = e.doc_id"""
 
 
+ORACLES["op12_prefix_trie"] = r"""
+WITH hexed AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS r FROM hexed),
+tab(b, v) AS (SELECT b, b FROM range(256) x(b)),
+step AS (SELECT b, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END AS v FROM tab),
+s2 AS (SELECT b, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END AS v FROM step),
+s3 AS (SELECT b, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END AS v FROM s2),
+s4 AS (SELECT b, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END AS v FROM s3),
+s5 AS (SELECT b, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END AS v FROM s4),
+s6 AS (SELECT b, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END AS v FROM s5),
+s7 AS (SELECT b, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END AS v FROM s6),
+s8 AS (SELECT b, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END AS v FROM s7),
+crcs AS (SELECT list(v ORDER BY b) AS tb FROM s8),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT for x in string_split(conv_id::VARCHAR, '')]),
+    lambda a, x: xor(a // 256, tb[1 + xor(a, x) % 256])), 4294967295) % 4 AS h FROM (SELECT DISTINCT conv_id FROM t), crcs),
+firsts AS (SELECT c.conv_id, c.h, list({'r': t.role, 't': t.text} ORDER BY t.r) FILTER (WHERE t.r IS NOT NULL) AS f FROM c LEFT JOIN t ON t.conv_id = c.base AND t.r <= c.h GROUP BY ALL),
+rests AS (SELECT c.conv_id, list({'r': t.role, 't': t.text} ORDER BY t.r) FILTER (WHERE t.r IS NOT NULL) AS g FROM c LEFT JOIN t ON t.conv_id = c.conv_id AND t.r > c.h GROUP BY c.conv_id),
+p AS (SELECT conv_id, list_concat(coalesce(f, []), coalesce(g, [])) AS q FROM firsts JOIN rests USING (conv_id)),
+x AS (SELECT conv_id, len(q) AS n, d, md5(to_json(list_slice(q, 1, d))::VARCHAR) AS key, CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(q[d].t, '[^\x20\x09-\x0D]+')) END AS w
+  FROM p, LATERAL (SELECT unnest(range(0, len(q) + 1)) AS d)),
+nodes AS (SELECT key, d, min(conv_id) AS c, count(*) AS n_convs, max(w) AS w,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE d = n), '')) AS ends FROM x GROUP BY key, d),
+ups AS (SELECT n.key, u.key AS up, u.d AS ud FROM nodes n JOIN x u ON u.conv_id = n.c AND u.d <= n.d),
+parent AS (SELECT n.key, u.up FROM nodes n JOIN ups u ON u.key = n.key AND u.ud = n.d - 1),
+kids AS (SELECT up AS key, count(*) AS k FROM parent GROUP BY up),
+sub AS (SELECT u.up AS key, sum((n.n_convs - 1) * n.w) AS saved, count(*) FILTER (WHERE k IS NULL) AS leaves FROM ups u JOIN nodes n USING (key) LEFT JOIN kids USING (key) GROUP BY u.up)
+SELECT n.c AS conv_id, n.d AS depth, m.c AS parent_conv_id, n.n_convs, coalesce(k, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN sub USING (key) LEFT JOIN kids USING (key) LEFT JOIN parent USING (key) LEFT JOIN nodes m ON m.key = parent.up"""
+
+
 def oracle_sql() -> dict[str, str]:
     from .licenses import oracle
 
