@@ -8,7 +8,9 @@ digest, their rows are grouped by the text itself.
 
 With `state_dir` the state outlives the call: a later call on other documents goes on from it, and a hit on a digest of
 an earlier call is checked on the bytes at that call's locators, so documents of such calls must be read from files that
-stay. Its rows are those of the later call; keep_id and group_size count all calls.
+stay. Its rows are those of the later call; keep_id and group_size count all calls. A call is named by its documents: one
+that failed at any point and is repeated with the same documents counts them once, and so does one that had ended. The
+stream writes what each micro-batch changed; a batch that is run again replaces what it wrote.
 
 Defined results: a null text counts as empty; texts are compared as they are; of equal texts the largest doc_id
 stays (null is smallest); rows that repeat doc_id and text all carry that doc_id as keep_id and are all `kept`
@@ -42,6 +44,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def arrived(docs: DataFrame, folder: str) -> str:
+    """The folder of this call's arrivals, written unless a call with the same rows has done so."""
+    spark = docs.sparkSession
+    staged = f"{folder}/staging/{fresh('call')[2:]}"
+    docs.write.parquet(staged)
+    written = spark.read.schema(docs.schema).parquet(staged)
+    # sums of two 32-bit halves of a hash of each row, in any order
+    row = F.xxhash64("doc_id", "digest")
+    name = "-".join(str(x) for x in written.agg(F.count(F.lit(1)), F.coalesce(F.sum(row.bitwiseAND(0xFFFFFFFF)), F.lit(0)), F.coalesce(F.sum(F.shiftrightunsigned(row, 32)), F.lit(0))).first())
+    path, jvm = f"{folder}/arrivals/{name}", spark.sparkContext._jvm
+    if not exists(spark, path):
+        of = jvm.org.apache.hadoop.fs.Path
+        fs = of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(of(f"{folder}/arrivals"))
+        fs.rename(of(staged), of(path))
+    return path
+
+
 def keyed_state(spark: SparkSession, folder: str, schema, files_per_batch: int | None = None) -> DataFrame:
     """Run what is new in the folder's arrivals through its stream; the state table (digest, keep_id, locator,
     group_size) afterwards."""
@@ -49,15 +69,15 @@ def keyed_state(spark: SparkSession, folder: str, schema, files_per_batch: int |
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     state = reader.parquet(f"{folder}/arrivals").groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.max_by("locator", "doc_id").alias("locator"), F.count(F.lit(1)).alias("group_size"))
-    out, before = new_path(spark, "dedup-state"), {k: spark.conf.get(k, None) for k in STATE_CONF}
+    out, before = f"{folder}/state", {k: spark.conf.get(k, None) for k in STATE_CONF}
     for k, v in STATE_CONF.items():
         spark.conf.set(k, v)
     try:
         query = (
-            state.writeStream.outputMode("complete")
+            state.writeStream.outputMode("update")
             .option("checkpointLocation", f"{folder}/stream")
             .trigger(availableNow=True)
-            .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+            .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"))
             .start()
         )
         query.awaitTermination()
@@ -65,7 +85,12 @@ def keyed_state(spark: SparkSession, folder: str, schema, files_per_batch: int |
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema)
-    return spark.read.schema(fields).parquet(out) if exists(spark, out) else spark.createDataFrame([], fields)
+    if not exists(spark, out):
+        return spark.createDataFrame([], fields)
+    changes = spark.read.schema(f"{fields}, batch int").parquet(out)
+    if not exists(spark, f"{out}/batch=1"):
+        return changes.drop("batch")
+    return changes.groupBy("digest").agg(*[F.max_by(c, "batch").alias(c) for c in ("keep_id", "locator", "group_size")])
 
 
 def earlier_texts(spark: SparkSession, before: DataFrame, hits: DataFrame) -> DataFrame | None:
@@ -85,12 +110,10 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, f
     spark = docs.sparkSession
     read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", digest(F.col("text")))
     folder = state_dir.rstrip("/") if state_dir else new_path(spark, "dedup")
-    before = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/arrivals") if exists(spark, f"{folder}/arrivals") else None
-    path = f"{folder}/arrivals/{fresh('call')[2:]}"
     arrivals = read.select("doc_id", "digest", sha256(F.col("text")).alias("sha"), F.input_file_name().alias("locator"))
-    arrivals.write.parquet(path)
-    schema = arrivals.schema
+    schema, path = arrivals.schema, arrived(arrivals, folder)
     arrivals = spark.read.schema(schema).parquet(path)
+    before = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/arrivals").filter(~F.col("_metadata.file_path").contains(path.rsplit("/", 1)[1])) if state_dir else None
     state = keyed_state(spark, folder, schema, files_per_batch)
     total = state.agg(F.sum("group_size")).first()[0] or 0
     rows = arrivals.select("doc_id", "digest", "sha")

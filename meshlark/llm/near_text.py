@@ -34,7 +34,7 @@ from .components import components
 from .words import shingle_sets
 
 SHINGLE = 5
-TREES, MAX_DEPTH, MIN_DEPTH = 32, 7, 3
+TREES, MAX_DEPTH = 32, 7
 #: Bits of a level: all levels of a tree fit one positive number.
 BITS = 9
 #: Documents for which a task plants partners, and the smallest sets that get one.
@@ -53,11 +53,12 @@ def prefix_recall(met: float, trees: int = TREES) -> float:
 
 def forest_depth(threshold: float, target: float, measured: list[float]) -> int:
     """The longest prefix whose recall at the threshold reaches the target, by the formula and by the measured shares of
-    trees in which planted pairs meet (for depth 1, 2, ...; none if nothing was planted)."""
-    depth = MAX_DEPTH
-    while depth > MIN_DEPTH and min([prefix_recall(threshold**depth), *(prefix_recall(m) for m in measured[depth - 1 : depth])]) < target:
-        depth -= 1
-    return depth
+    trees in which planted pairs meet (for depth 1, 2, ...; none if nothing was planted). A target that even one level does
+    not reach is refused."""
+    for depth in range(MAX_DEPTH, 0, -1):
+        if min([prefix_recall(threshold**depth), *(prefix_recall(m) for m in measured[depth - 1 : depth])]) >= target:
+            return depth
+    raise ValueError(f"{TREES} trees do not reach a recall of {target} at similarity {threshold}")
 
 
 def sets_of(texts: list[str | None], k: int = SHINGLE) -> Iterator[np.ndarray]:

@@ -1,8 +1,9 @@
 """Packing into sequences: first-fit decreasing with a tournament tree, in random groups.
 
-Documents are tokenized where they are read; each is cut into full sequences and a rest. The pieces (only their place,
-length and checksum leave the task) are dealt into random groups of about `group_pieces`, and each group is packed by
-itself: pieces by falling length, each into the first sequence with room, found in a tournament tree over the room left.
+Documents are tokenized where they are read; each is cut into full sequences and a rest (only the pieces' place, length
+and checksum leave the task). A full piece is a sequence by itself, whatever its document's length. The rests are dealt
+into random groups of about `group_pieces`, and each group is packed by itself: pieces by falling length, each into the
+first sequence with room, found in a tournament tree over the room left.
 
 Defined results: a null text counts as empty and packs as the end mark alone; rows that repeat are packed each for
 itself; other columns are ignored.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back
+from .common import give_back, saved
 
 END = 1
 LENGTH = 2048
@@ -147,9 +148,12 @@ def first_fit_decreasing(lengths: np.ndarray, length: int = LENGTH) -> tuple[np.
     return seq, off
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, group_pieces: int = 4096, seed: int = 0) -> DataFrame:
+#: Sequence ids of full pieces begin here; a group's begin at its number times 2 ** 32.
+FULL = 1 << 62
+
+
+def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, group_pieces: int = 2048, seed: int = 0) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece."""
-    groups = max(1, docs.count() // max(1, group_pieces // 2))
     end = np.array([END], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +180,13 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, group_piece
         give_back()
 
     cut_up = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long")
-    cut_up = cut_up.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "row"), F.lit(groups))).drop("row")
+    # the id that a row has in its task: the same whenever the written table is read
+    cut_up = saved(cut_up.withColumn("at", F.monotonically_increasing_id()), "packing-pieces")
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    full = cut_up.filter(F.col("length") == length).select(*columns, (F.col("at") + FULL).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rests = cut_up.filter(F.col("length") < length)
+    groups = max(1, rests.count() // max(1, group_pieces))
+    rests = rests.select(*columns, F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "row", "at"), F.lit(groups)).alias("group"))
 
     def packed(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
@@ -184,4 +194,4 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, group_piece
         ids = (table["group"].to_numpy() << 32) + seq
         return table.drop_columns(["group"]).append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(off, pa.int64()))
 
-    return cut_up.groupBy("group").applyInArrow(packed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return full.unionByName(rests.groupBy("group").applyInArrow(packed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"))

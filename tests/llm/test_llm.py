@@ -148,6 +148,9 @@ def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
         got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_groups(spark.read.parquet(f"{tmp_path}/docs{i}"), state_dir=state).collect()}
         of = lambda t: [d for d, x in seen if x == (t or "")]  # noqa: B023, E731
         assert got == {d: (max(of(t)), len(of(t)), d == max(of(t))) for d, t, _ in rows}
+    # a call that is repeated counts its documents once
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_groups(spark.read.parquet(f"{tmp_path}/docs2"), state_dir=state).collect()}
+    assert got == {8: (8, 2)}
     clash = lambda c: F.unhex(F.hex(F.length(c)))
     for i in range(2):
         got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_groups(spark.read.parquet(f"{tmp_path}/docs{i}"), digest=clash, state_dir=f"{state}2").collect()}
@@ -299,6 +302,16 @@ def test_packing_against_the_library(spark):
     assert pack(odd(spark).limit(0), tokenizer_path()).count() == 0
 
 
+def test_packing_spreads_long_documents(spark):
+    """Full pieces are sequences of their own, so that a few long documents are no single task."""
+    from meshlark.llm.packing import FULL, pack
+
+    out = pack(documents(spark, [(i, "word " * 50_000, None) for i in range(8)]), tokenizer_path()).collect()
+    full = [r for r in out if r.length == 2048]
+    assert len(full) == 8 * 24 == len({r.sequence_id for r in full}) and all(r.sequence_id >= FULL and r.offset == 0 for r in full)
+    assert all(r.sequence_id < FULL for r in out if r.length < 2048) and sum(r.length for r in out) == 8 * 50_001
+
+
 def test_first_fit_against_a_scan():
     from meshlark.llm.packing import first_fit_decreasing
 
@@ -470,6 +483,9 @@ def test_forest_depth_meets_its_recall():
     assert forest_depth(0.8, 0.9999, [0.75**d for d in range(1, MAX_DEPTH + 1)]) < d
     assert forest_depth(0.8, 0.9999, [1.0] * MAX_DEPTH) == d
     assert forest_depth(1.0, 0.9999, [1.0] * MAX_DEPTH) == MAX_DEPTH
+    assert [forest_depth(t, 0.9999, []) for t in (0.55, 0.4)] == [2, 1]
+    with pytest.raises(ValueError, match="recall"):
+        forest_depth(0.2, 0.9999, [])
 
 
 def test_planted_partners_lie_at_the_threshold():
