@@ -41,12 +41,12 @@ from .words import MIX, MIX2
 
 LENGTH, GRAM = 50, 20
 #: Bytes of texts in a pack; windows that are hashed at once; most windows in a piece.
-PACK, AT_ONCE, MOST = 4 << 20, 1 << 19, LENGTH - GRAM + 1
+PACK, AT_ONCE, MOST = 1 << 20, 1 << 19, LENGTH - GRAM + 1
 #: Values that a place counts, bytes of texts for a bucket of pieces, symbols of a collection.
-VALUES, BUCKET, COLLECTION = 2_000_000, 4 << 20, 1_000_000
+VALUES, BUCKET, COLLECTION = 2_000_000, 4 << 20, 120_000
 #: A value of so many packs is frequent.
 FREQUENT = 32
-#: No pair of bytes of UTF-8: stands before the first symbol of a string. LENGTH is even.
+#: No symbol (as a pair of bytes, no UTF-8 has it): stands before the first symbol of a string. LENGTH is a multiple of 10.
 END = 0xFFFF
 
 
@@ -186,30 +186,42 @@ class Column:
 class Collection:
     """The Burrows-Wheeler transform and the common prefixes (up to LENGTH) of a collection of pieces.
 
-    A symbol is a pair of bytes, so that a piece enters as two strings, of the pairs that begin an even and an odd number
-    of bytes before its end. In round j the suffixes of length j are inserted, one of each string that is so long. Where the
+    A symbol is a run of `unit` bytes, so that a piece enters as `unit` strings, one for each distance of its end from the
+    piece's. A collection with less than 65,535 distinct runs of five bytes takes those, by their rank; any other takes
+    pairs of bytes. In round j the suffixes of length j are inserted, one of each string that is so long. Where the
     suffix one shorter stands before is a symbol of the transform; the rank of that place among equal symbols is the new
     suffix's place among all that begin with it. Its common prefix with the suffix before it is one more than the least
     between the two places that they come from, and so is that of the suffix after it.
     """
 
-    def __init__(self, pieces: list[bytes]):
-        text = np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint16)
-        pairs = text[:-1] << 8 | text[1:]
+    def __init__(self, pieces: list[bytes], units: tuple[int, ...] = (5, 2)):
+        text = b"".join(pieces)
+        eights = np.ndarray((len(text),), "<u8", text + bytes(8), 0, (1,))
+        for self.unit in units:
+            runs = eights[: max(0, len(text) - self.unit + 1)] & np.uint64((1 << 8 * self.unit) - 1)
+            if self.unit == 2:
+                symbols = runs.astype(np.uint16)
+                break
+            names, symbols = np.unique(runs, return_inverse=True)
+            if len(names) < END:
+                symbols = symbols.astype(np.uint16)
+                break
+        unit = self.unit
+        self.enough = LENGTH // unit
         self.bytes = np.array([len(p) for p in pieces], np.int64)
         ends = np.cumsum(self.bytes)
-        ends = np.concatenate([ends, ends - 1])
-        self.size = np.concatenate([self.bytes // 2, (self.bytes - 1) // 2])
+        ends = np.concatenate([ends - f for f in range(unit)])
+        self.size = np.concatenate([(self.bytes - f) // unit for f in range(unit)])
         self.n = len(ends)
         self.at = np.arange(self.n)  # where each string's last suffix stands
-        self.transform, self.prefixes = Column(pairs[ends - 2]), Column(np.zeros(self.n, np.uint8))
+        self.transform, self.prefixes = Column(symbols[ends - unit]), Column(np.zeros(self.n, np.uint8))
         order = np.argsort(-self.size, kind="stable")  # strings of j symbols and more come first
         longer = np.searchsorted(-self.size[order], -np.arange(1, int(self.size.max(initial=0)) + 1), "right")
         for j, active in enumerate(longer.tolist(), 1):
             some = order[:active]
             goes_on = self.size[some] > j
             before = np.full(active, END, np.uint16)
-            before[goes_on] = pairs[ends[some[goes_on]] - 2 * j - 2]
+            before[goes_on] = symbols[ends[some[goes_on]] - unit * (j + 1)]
             self.insert(some, before)
 
     def insert(self, strings: np.ndarray, before: np.ndarray) -> None:
@@ -232,7 +244,7 @@ class Collection:
         back, ahead = rank[np.maximum(at - 1, 0)], rank[np.minimum(at + 1, len(rank) - 1)]
         has_back, has_ahead = (at > 0) & (bwt[back] == symbol), (at + 1 < len(rank)) & (bwt[ahead] == symbol)
         low, high = np.concatenate([back[has_back], place[has_ahead]]), np.concatenate([place[has_back], ahead[has_ahead]])
-        least = np.minimum(least_between(lcp, low, high) + 1, LENGTH // 2)
+        least = np.minimum(least_between(lcp, low, high) + 1, self.enough)
         grown, n = np.empty(len(old), np.uint8), has_back.sum()
         grown[old] = lcp
         grown[new] = 0
@@ -247,16 +259,16 @@ class Collection:
         bwt, lcp = self.transform.read(), self.prefixes.read()
         step = np.empty(len(bwt), np.int64)
         step[np.argsort(bwt, kind="stable")] = np.arange(len(bwt)) + self.n
-        group = np.cumsum(lcp < LENGTH // 2)
+        group = np.cumsum(lcp < self.enough)
         counts = self.bytes - LENGTH + 1
         first = np.cumsum(counts) - counts + self.bytes
-        first = np.concatenate([first, first - 1])
+        first = np.concatenate([first - f for f in range(self.unit)])
         out, at, strings = np.empty(counts.sum(), np.int64), np.arange(self.n), np.arange(self.n)
         for j in range(1, int(self.size.max(initial=0)) + 1):
             long = self.size[strings] >= j
             at, strings = step[at[long]], strings[long]
-            if 2 * j >= LENGTH:
-                out[first[strings] - 2 * j] = group[at]
+            if j >= self.enough:
+                out[first[strings] - self.unit * j] = group[at]
         least = np.full(int(group[-1]) + 1 if len(group) else 1, np.iinfo(np.int64).max, np.int64)
         np.minimum.at(least, out, np.repeat(docs, counts))
         return least[out]
