@@ -217,16 +217,9 @@ def q112(t):
 @query("q113_keyed_stream_view", """SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(event_id) FILTER (last) AS event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AS last FROM events) GROUP BY 1""")
 def q113(t):
     """The events as a stream of changes, kept as a view of each user's newest one."""
-    import uuid
+    from ..sources.folders import new_folder
 
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        if not t.spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="meshlark-")
-    folder = f"{base.rstrip('/')}/view-{uuid.uuid4().hex[:8]}"
+    folder = new_folder(t.spark, "view")
     schema = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").schema
     src = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir).select("user_id", "ts", "event_id", "event_type")
     views.keep_view(src, f"{folder}/view", f"{folder}/stream", "user_id", ["ts", "event_id"]).awaitTermination()

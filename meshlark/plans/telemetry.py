@@ -102,17 +102,43 @@ def q75(t):
     return out
 
 
-@query("q51_telemetry_stateful_stream")
-def q51(t):
-    """The stateful stream over the events, run to its end: each key's newest state."""
-    import uuid
-
+def watched(t: Tables) -> DataFrame:
+    """The events as a stream of readings, with a second sensor and a humidity."""
     schema = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").schema
     src = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
-    r = src.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.least("value", F.lit(60.0)).alias("temp_c"), F.lit(None).cast("string").alias("control"))
-    name = f"bins_{uuid.uuid4().hex[:8]}"
-    out = T.bin_stream(r, LOW, HIGH, CEILING, dwell_s=3600)
-    q = out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    newest = t.spark.table(name).groupBy("key").agg(F.max(F.struct("ts", "mkt_c", "latched", "excursion")).alias("s"))
+    temp = F.least("value", F.lit(60.0))
+    return src.select(
+        F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), temp.alias("temp_c"),
+        F.when(F.col("event_id") % 10 == 0, temp + 5).otherwise(temp).alias("other_c"), (F.col("event_id") % 90).cast("double").alias("rh_pct"), F.lit(None).cast("string").alias("control"))
+
+
+@query("q145_status_stream", f"""WITH {MKT}, la AS (SELECT *, coalesce(bool_or(mkt_c > {CEILING} AND span_s >= 3600) OVER (PARTITION BY user_id ORDER BY us, event_id), false) AS latched, {BAND} AND event_id % 90 <= 80 AS ok, event_id % 10 = 0 AS fault FROM mkt),
+ru AS (SELECT *, sum(ok::INT) OVER (PARTITION BY user_id ORDER BY us, event_id) AS run FROM la), si AS (SELECT *, CASE WHEN NOT ok THEN min(us) FILTER (NOT ok) OVER (PARTITION BY user_id, run) END AS since FROM ru),
+st AS (SELECT *, coalesce(us - since >= 3600000000, false) AS excursion, lead(us // 1000) OVER (PARTITION BY user_id ORDER BY us, event_id) AS next_ms, max(us // 1000) OVER () AS mx, us // 1000 + 20000000 AS stale_at, us // 1000 + 90000000 AS off_at, (since + 3600000000 + 999) // 1000 AS exc_at FROM si),
+s AS (SELECT *, CASE WHEN latched THEN 'mkt_breach' WHEN fault THEN 'sensor_fault' WHEN excursion THEN 'excursion' ELSE 'ok' END AS status FROM st),
+d AS (SELECT user_id, exc_at AS due, 'excursion' AS status, since, latched, fault FROM s WHERE status = 'ok' AND exc_at < coalesce(next_ms, mx + 1) AND exc_at < stale_at
+ UNION ALL SELECT user_id, stale_at, 'stale', since, latched, fault FROM s WHERE stale_at < coalesce(next_ms, mx + 1) UNION ALL SELECT user_id, off_at, 'offline', since, latched, fault FROM s WHERE off_at < coalesce(next_ms, mx + 1))
+SELECT user_id::VARCHAR AS key, us AS at_us, event_id AS seq, 'reading' AS event, round(mkt_c, 4) AS mkt_c, round(mean_c, 7) AS mean_c, round(span_s, 3) AS span_s, round((us - since) / 1e6::DOUBLE, 3) AS held_s, excursion, latched, CASE WHEN fault THEN 'sensors disagree' END AS fault, status FROM s
+UNION ALL SELECT user_id::VARCHAR, due * 1000, NULL, 'deadline', NULL, NULL, NULL, round((due * 1000 - since) / 1e6::DOUBLE, 3), coalesce(due * 1000 - since >= 3600000000, false), latched, CASE WHEN fault THEN 'sensors disagree' END, status FROM d""")
+def q145(t):
+    """Every reading with its bin's state, and every deadline that passed in silence, from one stateful stream."""
+    from ..sources.folders import new_folder
+    from ..streaming import status as S
+
+    rules = S.Rules(LOW, HIGH, CEILING, rh_max=80.0, dwell_s=3600, stale_s=20000, offline_s=90000)
+    out = S.replayed(t.spark, S.status_stream(watched(t), rules, changes_only=False), new_folder(t.spark, "status"))
+    return out.select("key", F.unix_micros("at").alias("at_us"), "seq", "event", F.round("mkt_c", 4).alias("mkt_c"), F.round("mean_c", 7).alias("mean_c"), F.round("span_s", 3).alias("span_s"), F.round("held_s", 3).alias("held_s"), "excursion", "latched", "fault", "status")
+
+
+@query("q51_telemetry_stateful_stream", f"""WITH {MKT}, la AS (SELECT *, coalesce(bool_or(mkt_c > {CEILING} AND span_s >= 3600) OVER (PARTITION BY user_id ORDER BY us, event_id), false) AS latched, {BAND} AS ok FROM mkt),
+ru AS (SELECT *, sum(ok::INT) OVER (PARTITION BY user_id ORDER BY us, event_id) AS run FROM la), dw AS (SELECT *, CASE WHEN NOT ok THEN us - min(us) FILTER (NOT ok) OVER (PARTITION BY user_id, run) END AS held, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) AS rn FROM ru)
+SELECT user_id::VARCHAR AS key, round(mkt_c, 5) AS mkt_c, latched, coalesce(held >= 3600000000, false) AS excursion FROM dw WHERE rn = 1""")
+def q51(t):
+    """The status stream over the events, run to its end: each key's state at its newest reading."""
+    from ..sources.folders import new_folder
+    from ..streaming import status as S
+
+    r = watched(t).withColumns({"other_c": F.lit(None).cast("double"), "rh_pct": F.lit(None).cast("double")})
+    out = S.replayed(t.spark, S.status_stream(r, S.Rules(LOW, HIGH, CEILING, dwell_s=3600), changes_only=False), new_folder(t.spark, "bins"))
+    newest = out.filter("event = 'reading'").groupBy("key").agg(F.max(F.struct("at", "seq", "mkt_c", "latched", "excursion")).alias("s"))
     return newest.select("key", F.round("s.mkt_c", 5).alias("mkt_c"), "s.latched", "s.excursion")

@@ -1,14 +1,11 @@
 """Storage telemetry: windows over event time for a table, and the same state kept by a stream.
 
-The table form expresses every rule as a window over (key, ts); the stream form keeps, per key, the samples of the
-window, the latch and the dwell timer in a state store.
+The table form expresses every rule as a window over (key, ts); the stream form is in status.py.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,67 +121,6 @@ def reason(temp: Column, low: Column, high: Column, rh: Column, rh_max: Column)
     return F.concat_ws("; ", F.when(temp > high, F.concat(F.lit("above the band at "), F.format_number(temp, 1))), F.when(temp < low, F.concat(F.lit("below the band at "), F.format_number(temp, 1))), F.when(rh > rh_max, F.concat(F.lit("humidity "), F.format_number(rh, 0))))
 
 
-class BinState:
-    """The state of one key, sample by sample: the rules of the table form for a stream."""
-
-    def __init__(self, low: float, high: float, ceiling: float, window_s: float = lists.WINDOW_S, min_window_s: float = lists.MIN_WINDOW_S, dwell_s: float = lists.DWELL_S, cap: int = lists.HISTORY_CAP):
-        self.low, self.high, self.ceiling, self.window_s, self.min_window_s, self.dwell_s, self.cap = low, high, ceiling, window_s, min_window_s, dwell_s, cap
-        self.reset()
-
-    def reset(self) -> None:
-        self.history: list[tuple[float, float]] = []
-        self.latched, self.since, self.last = False, None, None
-
-    def mkt(self) -> float | None:
-        h = sorted(self.history)
-        if not h:
-            return None
-        if len(h) == 1:
-            return h[0][1]
-        gaps = [max(b[0] - a[0], 1e-9) for a, b in zip(h, h[1:], strict=False)]
-        gaps.append(gaps[-1])
-        rate = sum(g * math.exp(-lists.ACTIVATION / (lists.GAS * (t + 273.15))) for g, (_, t) in zip(gaps, h, strict=True)) / sum(gaps)
-        return lists.ACTIVATION / lists.GAS / -math.log(rate) - 273.15
-
-    def take(self, ts: float, temp: float | None) -> dict:
-        self.last = ts
-        if temp is not None:
-            self.history.append((ts, temp))
-            while len(self.history) > self.cap or self.history[0][0] < ts - self.window_s:
-                self.history.pop(0)
-            out = not self.low <= temp <= self.high
-            self.since = (self.since if self.since is not None else ts) if out else None
-        m = self.mkt()
-        span = self.history[-1][0] - self.history[0][0] if self.history else 0.0
-        self.latched |= m is not None and span >= self.min_window_s and m > self.ceiling
-        return {"mkt_c": m, "latched": self.latched, "held_s": None if self.since is None else ts - self.since, "excursion": self.since is not None and ts - self.since >= self.dwell_s}
-
-
-def bin_stream(readings: DataFrame, low: float, high: float, ceiling: float, window_s: float = lists.WINDOW_S, min_window_s: float = lists.MIN_WINDOW_S, dwell_s: float = lists.DWELL_S) -> DataFrame:
-    """A streaming readings(key string, ts timestamp, temp_c double, control string) -> one row per reading with its
-    key's state. A row with control 'reset' clears the key. State lives in the store, samples sorted by time."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        b = BinState(low, high, ceiling, window_s, min_window_s, dwell_s)
-        if state.exists:
-            at, temps, b.latched, since = state.get
-            b.history, b.since = list(zip(at, temps, strict=True)), since
-        rows = pd.concat(list(batches)).sort_values("ts")
-        out = []
-        for ts, temp, control in zip(rows["ts"], rows["temp_c"], rows["control"], strict=True):
-            if control == "reset":
-                b.reset()
-                continue
-            got = b.take(ts.timestamp(), None if pd.isna(temp) else float(temp))
-            out.append((key[0], ts, got["mkt_c"], got["latched"], got["held_s"], got["excursion"]))
-        state.update(([h[0] for h in b.history], [h[1] for h in b.history], b.latched, b.since))
-        yield pd.DataFrame(out, columns=["key", "ts", "mkt_c", "latched", "held_s", "excursion"]).astype({"mkt_c": "float64", "held_s": "float64", "latched": "bool", "excursion": "bool"})
-
-    return readings.groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, mkt_c double, latched boolean, held_s double, excursion boolean", "at array<double>, temps array<double>, latched boolean, since double", "append", GroupStateTimeout.NoTimeout)
-
-
 def routed(readings: DataFrame, bins: DataFrame) -> DataFrame:
     """Keys by node_id or else device_id; unknown keys register themselves in class crt; a device's country beats the seed's."""
     key = F.coalesce("node_id", "device_id")

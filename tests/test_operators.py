@@ -236,11 +236,6 @@ def test_latch_needs_an_hour(spark):
     d = spark.createDataFrame(short, "event_id int, k string, s int, temp double").withColumn("ts", F.timestamp_seconds("s"))
     got = T.latch(T.sliding_mkt(d, "k", "ts", "temp"), "k", "ts", F.lit(25.0))
     assert not any(r.latched for r in got.collect())
-    b = T.BinState(20, 25, 25)
-    states = [b.take(float(i * 60), 45.0 if 10 <= i < 75 else 23.0) for i in range(200)]
-    assert states[-1]["latched"] and not states[5]["latched"]
-    b.reset()
-    assert not b.latched and b.mkt() is None
 
 
 def test_status_orders_differ(spark):
