@@ -43,15 +43,20 @@ LENGTH, GRAM = 50, 20
 #: Bytes of texts in a pack; windows that are hashed at once; most windows in a piece.
 PACK, AT_ONCE, MOST = 1 << 20, 1 << 19, LENGTH - GRAM + 1
 #: Values that a place counts, bytes of texts for a bucket of pieces, symbols of a collection.
-VALUES, BUCKET, COLLECTION = 2_000_000, 4 << 20, 120_000
-#: A value of so many packs is frequent.
-FREQUENT = 32
+VALUES, BUCKET, COLLECTION = 2_000_000, 12 << 20, 120_000
+#: A value of so many packs is frequent; bits of a part of a bucket.
+FREQUENT, PART = 4096, 0xFF
+LEVEL = 6
 #: No symbol (as a pair of bytes, no UTF-8 has it): stands before the first symbol of a string. LENGTH is a multiple of 10.
 END = 0xFFFF
 
 
+def squeezed(data: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=LEVEL).compress(data, asbytes=True)
+
+
 def compress(x: np.ndarray) -> bytes:
-    return pa.compress(x.tobytes(), "zstd", asbytes=True)
+    return squeezed(x.tobytes())
 
 
 def decompress(data: bytes, kind, size: int) -> np.ndarray:
@@ -142,8 +147,9 @@ class Pack:
             if i is None:
                 i = known[text] = len(out)
                 if k < 0:
-                    k = zlib.crc32(text) << 24
-                out.append((text, (k >> 24) % buckets, k >> 31, d))
+                    k = zlib.crc32(text)
+                    k |= k << 32
+                out.append((text, (k >> 24) % buckets, k & PART, d))
             which.append(i)
         return start, doc, np.array(which, np.int64), out
 
@@ -311,7 +317,7 @@ def packs(docs: DataFrame) -> DataFrame:
         number, ids, texts, held = TaskContext.get().partitionId() << 33, [], [], 0
 
         def row() -> pa.RecordBatch:
-            out = {"pack": number, "ids": list(ids), "sizes": [len(t) for t in texts], "bytes": held, "texts": pa.compress(b"".join(texts), "zstd", asbytes=True)}
+            out = {"pack": number, "ids": list(ids), "sizes": [len(t) for t in texts], "bytes": held, "texts": squeezed(b"".join(texts))}
             ids.clear()
             texts.clear()
             return pa.RecordBatch.from_pylist([out], schema=pa.schema([("pack", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("bytes", pa.int64()), ("texts", pa.binary())]))
@@ -410,7 +416,7 @@ def sent_pieces(met: DataFrame, places: int, buckets: int) -> DataFrame:
                 for b, own in by_bucket(pieces).items():
                     texts = [pieces[k][0] for k in own]
                     text = b"".join(texts)
-                    rows.append({"pack": batch["pack"][i].as_py(), "bucket": b, "n": len(own), "bytes": len(text), "sizes": compress(np.array([len(t) for t in texts], np.uint8)), "parts": compress(np.array([pieces[k][2] for k in own], np.int64)), "docs": compress(ids[[pieces[k][3] for k in own]]), "texts": pa.compress(text, "zstd", asbytes=True)})
+                    rows.append({"pack": batch["pack"][i].as_py(), "bucket": b, "n": len(own), "bytes": len(text), "sizes": compress(np.array([len(t) for t in texts], np.uint8)), "parts": compress(np.array([pieces[k][2] for k in own], np.uint8)), "docs": compress(np.diff(ids[[pieces[k][3] for k in own]], prepend=0)), "texts": squeezed(text)})
                     if len(rows) == 256:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
                         rows = []
@@ -427,9 +433,9 @@ def solved(table: pa.Table) -> pa.Table:
     parts: list[int] = []
     sent: list[list[int]] = []
     for n, size, *columns in zip(*(table[c].to_pylist() for c in ("n", "bytes", "sizes", "parts", "docs", "texts")), strict=True):
-        sizes, own_parts, own_docs = (decompress(x, kind, n) for x, kind in zip(columns, (np.uint8, np.int64, np.int64), strict=False))
+        sizes, own_parts, own_docs = (decompress(x, kind, n) for x, kind in zip(columns, (np.uint8, np.uint8, np.int64), strict=False))
         text, at, own = pa.decompress(columns[-1], size, "zstd", asbytes=True), 0, []
-        for length, part, doc in zip(sizes.tolist(), own_parts.tolist(), own_docs.tolist(), strict=True):
+        for length, part, doc in zip(sizes.tolist(), own_parts.tolist(), np.cumsum(own_docs).tolist(), strict=True):
             i = known.setdefault(text[at : at + length], len(docs))
             if i == len(docs):
                 docs.append(doc)
