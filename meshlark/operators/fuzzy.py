@@ -1,14 +1,17 @@
 """Names that may be the same: token-blocked joins, pair comparison, resolution that refuses ties.
 
-A score above zero needs a shared token, so candidates come from an equi-join on tokens and never from all pairs.
+Candidates come from an equi-join on the rarest tokens that a wanted score requires, never from all pairs.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists, text
+from .graph import checkpointed
 
 
 def token_rows(df: DataFrame, key: str, toks: str, size: str) -> DataFrame:
@@ -25,18 +28,81 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def ordered_sets(*sides: tuple[DataFrame, str, str]) -> list[DataFrame]:
+    """For each (rows, id, tokens array): (id, _set, _n), the distinct tokens as numbers in one global order, rarest first.
+
+    The tokens of all sides are counted and numbered once (numbers ascend with the count over sorted ranges, so no task
+    holds them all); the numbered sets are written, as candidates and counts both read them.
+    """
+    rows = [df.select(F.lit(i).alias("_side"), F.col(key).cast("string").alias("_id"), F.explode(F.array_distinct(toks)).alias("_t")) for i, (df, key, toks) in enumerate(sides)]
+    rows = checkpointed(reduce(DataFrame.unionByName, rows))
+    numbers = rows.groupBy("_t").agg(F.count(F.lit(1)).alias("_c")).orderBy("_c", "_t").select("_t", F.monotonically_increasing_id().alias("_k"))
+    sets = rows.join(checkpointed(numbers), "_t").groupBy("_side", "_id").agg(F.sort_array(F.collect_list("_k")).alias("_set"))
+    sets = checkpointed(sets)
+    return [sets.filter(F.col("_side") == i).select(F.col("_id").cast(df.schema[key].dataType).alias(key), "_set", F.size("_set").alias("_n")) for i, (df, key, _) in enumerate(sides)]
+
+
+def needed(share: float, n: Column) -> Column:
+    """The least number of n tokens that a share asks for."""
+    return F.greatest(F.lit(1), F.ceil(F.lit(share - 1e-9) * n).cast("int"))
+
+
+def prefix(sets: DataFrame, key: str, share: float, side: str) -> DataFrame:
+    """(key, _k, size, tail): the rarest tokens of each set, as many as cannot all be missing where `share` of them are
+    shared, and how many tokens it has in all and behind these."""
+    tail = needed(share, F.col("_n")) - 1
+    return sets.select(key, F.col("_n").alias(f"size_{side}"), tail.alias(f"tail_{side}"), F.explode(F.slice("_set", F.lit(1), F.col("_n") - tail)).alias("_k"))
+
+
+def whole(sets: DataFrame, key: str, side: str) -> DataFrame:
+    return sets.select(key, F.col("_n").alias(f"size_{side}"), F.lit(0).alias(f"tail_{side}"), F.explode("_set").alias("_k"))
+
+
+def met(a: DataFrame, b: DataFrame, id_l: str, id_r: str, sizes: Column, wanted: Column, rest: Column) -> DataFrame:
+    """(id_l, id_r) of the pairs that share enough of the joined tokens: with `rest` more they have the wanted ones. Sizes that
+    rule a pair out leave in the join itself."""
+    joined = a.join(b, "_k").filter(sizes)
+    counted = joined.groupBy(id_l, id_r).agg(F.count(F.lit(1)).alias("_c"), *[F.first(c).alias(c) for c in ("size_l", "size_r", "tail_l", "tail_r")])
+    return counted.filter(F.col("_c") + rest >= wanted).select(id_l, id_r)
+
+
+def candidates(left: DataFrame, right: DataFrame, id_l: str, id_r: str, jaccard: float) -> DataFrame:
+    """(id_l, id_r) of all ordered sets that may have the Jaccard: both hold one of the other's rarest tokens.
+
+    A set of n tokens shares at least jaccard * n of them, so one of its n - ceil(jaccard * n) + 1 rarest is shared, and
+    the rarest shared token is among these on both sides. Of n and m tokens, (n + m) * jaccard / (1 + jaccard) are shared.
+    """
+    least, total = F.lit(jaccard - 1e-9), F.col("size_l") + F.col("size_r")
+    sizes = (F.col("size_l") * least <= F.col("size_r")) & (F.col("size_r") * least <= F.col("size_l"))
+    # a shared token is joined, or lies behind the rarest ones of one side at least
+    return met(prefix(left, id_l, jaccard, "l"), prefix(right, id_r, jaccard, "r"), id_l, id_r, sizes, total * (jaccard / (1 + jaccard)) - 1e-6, F.col("tail_l") + F.col("tail_r"))
+
+
+def containing(left: DataFrame, right: DataFrame, id_l: str, id_r: str, share: float) -> DataFrame:
+    """(id_l, id_r) of all ordered sets of which the larger may hold `share` of the smaller: the smaller one's rarest tokens
+    meet all tokens of the larger."""
+    small_l = met(prefix(left, id_l, share, "l"), whole(right, id_r, "r"), id_l, id_r, F.expr("size_l <= size_r"), needed(share, F.col("size_l")), F.col("tail_l"))
+    small_r = met(whole(left, id_l, "l"), prefix(right, id_r, share, "r"), id_l, id_r, F.expr("size_r < size_l"), needed(share, F.col("size_r")), F.col("tail_r"))
+    return small_l.unionByName(small_r)
+
+
+def shared_tokens(pairs: DataFrame, left: DataFrame, right: DataFrame, id_l: str, id_r: str) -> DataFrame:
+    """(id_l, id_r, size_l, size_r, shared) of pairs of ordered sets, counted exactly."""
+    found = pairs.join(left.select(id_l, F.col("_set").alias("_l")), id_l).join(right.select(id_r, F.col("_set").alias("_r")), id_r)
+    return found.select(id_l, id_r, F.size("_l").alias("size_l"), F.size("_r").alias("size_r"), F.size(F.array_intersect("_l", "_r")).alias("shared"))
+
+
 def blocked_pairs(left: DataFrame, right: DataFrame, id_l: str, id_r: str, tok_l: str, tok_r: str, min_jaccard: float = 0.0) -> DataFrame:
     """(id_l, id_r, size_l, size_r, shared) for every two rows that share a token; the tokens are distinct per row.
 
-    Two sets of n and m tokens have a Jaccard of min(n, m) / max(n, m) at most, so with `min_jaccard` the join itself
-    leaves out pairs whose sizes rule them out.
+    With `min_jaccard`, at least all pairs of that Jaccard, found by their rarest tokens: a token of every row brings no
+    pair but of sets that hold hardly another. Without, all tokens join.
     """
-    a, b = token_rows(left, id_l, tok_l, "size_l"), token_rows(right, id_r, tok_r, "size_r")
-    joined = a.join(b, "_t")
     if min_jaccard > 0:
-        least = F.lit(min_jaccard - 1e-9)
-        joined = joined.filter((F.col("size_l") * least <= F.col("size_r")) & (F.col("size_r") * least <= F.col("size_l")))
-    pairs = joined.groupBy(id_l, id_r).agg(F.count(F.lit(1)).alias("shared"), F.first("size_l").alias("size_l"), F.first("size_r").alias("size_r"))
+        a, b = ordered_sets((left, id_l, tok_l), (right, id_r, tok_r))
+        return shared_tokens(candidates(a, b, id_l, id_r, min_jaccard), a, b, id_l, id_r)
+    a, b = token_rows(left, id_l, tok_l, "size_l"), token_rows(right, id_r, tok_r, "size_r")
+    pairs = a.join(b, "_t").groupBy(id_l, id_r).agg(F.count(F.lit(1)).alias("shared"), F.first("size_l").alias("size_l"), F.first("size_r").alias("size_r"))
     return pairs.select(id_l, id_r, "size_l", "size_r", "shared")
 
 
@@ -93,21 +159,29 @@ def compare(a: Column, b: Column, threshold: float = 0.60, country_guard: bool =
     return out.otherwise(verdict(core >= threshold, core, "core", "core tokens"))
 
 
-def resolve(names: DataFrame, candidates: DataFrame, threshold: float = 0.60, margin: float = 0.05, require_known_country: bool = False) -> DataFrame:
-    """names(name_id, name, country, fei, duns), candidates(match_id, the same) -> name_id, match_id, score, outcome.
+def resolve(names: DataFrame, candidates_of: DataFrame, threshold: float = 0.60, margin: float = 0.05, require_known_country: bool = False, generic_raise: float = 0.25, generic_cap: float = 0.95) -> DataFrame:
+    """names(name_id, name, country, fei, duns), candidates_of(match_id, the same) -> name_id, match_id, score, outcome.
 
-    Outcomes: matched, refused (several within the margin) and none. Blocking keys are the words that are not legal
-    forms, which both branches of compare need to share, and the identifiers.
+    Outcomes: matched, refused (several within the margin) and none. Candidates are found by the rarest of the words that
+    the threshold asks for: core words by Jaccard or containment, and where a side has none, all words but the legal ones;
+    and by equal identifiers.
     """
     fields = ["name", "country", "fei", "duns"]
 
-    def keyed(df: DataFrame, key: str, side: str) -> DataFrame:
-        words = F.transform(text.core_tokens(text.tokens(F.col("name")), (lists.LEGAL,)), lambda w: F.concat(F.lit("w:"), w))
-        ids = F.filter(F.array(F.concat(F.lit("f:"), F.col("fei")), F.concat(F.lit("d:"), F.col("duns"))), lambda x: x.isNotNull())
-        return df.select(key, F.struct(*fields).alias(side), F.explode(F.array_distinct(F.concat(words, ids))).alias("_k"))
+    def worded(df: DataFrame, key: str) -> DataFrame:
+        toks = text.tokens(F.col("name"))
+        return df.select(key, text.core_tokens(toks).alias("_core"), text.core_tokens(toks, (lists.LEGAL,)).alias("_legal"))
 
-    pairs = keyed(names, "name_id", "a").join(keyed(candidates, "match_id", "b"), "_k").select("name_id", "match_id", "a", "b").dropDuplicates(["name_id", "match_id"])
-    pairs = pairs.withColumn("v", compare(F.col("a"), F.col("b"), threshold)).filter("v.same").select("name_id", "match_id", F.col("v.score").alias("score"), F.col("b.country").alias("_country"))
+    a, b = checkpointed(worded(names, "name_id")), checkpointed(worded(candidates_of, "match_id"))
+    core_a, core_b = ordered_sets((a, "name_id", "_core"), (b, "match_id", "_core"))
+    found = candidates(core_a, core_b, "name_id", "match_id", threshold).unionByName(containing(core_a, core_b, "name_id", "match_id", threshold / 0.9))
+    raised = min(generic_cap, threshold + generic_raise)
+    bare_a, bare_b, all_a, all_b = ordered_sets((a.filter(F.size("_core") == 0), "name_id", "_legal"), (b.filter(F.size("_core") == 0), "match_id", "_legal"), (a, "name_id", "_legal"), (b, "match_id", "_legal"))
+    found = found.unionByName(candidates(bare_a, all_b, "name_id", "match_id", raised)).unionByName(candidates(all_a, bare_b, "name_id", "match_id", raised))
+    for key in ("fei", "duns"):
+        found = found.unionByName(names.select("name_id", key).join(candidates_of.select("match_id", key), key).select("name_id", "match_id"))
+    pairs = found.distinct().join(names.select("name_id", F.struct(*fields).alias("a")), "name_id").join(candidates_of.select("match_id", F.struct(*fields).alias("b")), "match_id")
+    pairs = pairs.withColumn("v", compare(F.col("a"), F.col("b"), threshold, True, generic_raise, generic_cap)).filter("v.same").select("name_id", "match_id", F.col("v.score").alias("score"), F.col("b.country").alias("_country"))
     picked = refuse_ties(pairs, "name_id", "match_id", margin)
     if require_known_country:
         known = pairs.select("name_id", "match_id", "_country")

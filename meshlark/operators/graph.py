@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists
-from ..sources.folders import shared_folder
+from ..sources.folders import new_folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    """df as a table in the shared folder: it cuts lineage, outlives executors, and is made once (a checkpoint of the
+    session would make it twice)."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, "round")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def oriented(edges: DataFrame, reversed_rels=tuple(lists.REVERSED)) -> DataFrame:

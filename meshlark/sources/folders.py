@@ -22,3 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/meshlark/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_folders(spark: SparkSession) -> None:
+    """Remove all written intermediate tables, packages and streams of this library from the shared folder; for a time at
+    which none of its results is still to be read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/meshlark")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

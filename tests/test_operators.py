@@ -310,3 +310,30 @@ def test_paged_source_and_its_cache(spark, tmp_path):
         (tmp_path / f"{mark}.json").write_text(json.dumps(got))
     t = readers.endpoint(spark, "http://nowhere.invalid/api/", "ndc", "a string", pagesize=2, cache=str(tmp_path), pause=0)
     assert sorted(str(r.a) for r in t.collect()) == ["1", "None", '{"b": 2}']
+
+
+def test_prefix_join_finds_every_similar_pair(spark):
+    """Candidates by rare tokens against all pairs, at several thresholds, with a token that every row holds."""
+    import random
+
+    rng = random.Random(9)
+    sets = [(i, ["common", *rng.sample([f"w{j}" for j in range(12)], rng.randrange(0, 7))]) for i in range(60)] + [(60, []), (61, ["common"]), (62, ["common"])]
+    d = spark.createDataFrame(sets, "l int, t array<string>")
+    e = d.withColumnRenamed("l", "r")
+    whole = {(a, b): len(set(s) & set(t)) for a, s in sets for b, t in sets}
+    for share in (0.1, 0.5, 0.8, 1.0):
+        got = {(r.l, r.r): (r.shared, r.size_l, r.size_r) for r in fuzzy.blocked_pairs(d, e, "l", "r", "t", "t", share).collect()}
+        for (a, s), (b, t) in ((x, y) for x in sets for y in sets):
+            n = whole[a, b]
+            if n and n / len(set(s) | set(t)) >= share:
+                assert got[a, b] == (n, len(set(s)), len(set(t)))
+        x, y = fuzzy.ordered_sets((d, "l", "t"), (e, "r", "t"))
+        found = {(r.l, r.r) for r in fuzzy.containing(x, y, "l", "r", share).collect()}
+        assert {(a, b) for (a, s) in sets for (b, t) in sets if whole[a, b] and whole[a, b] / min(len(s), len(t)) >= share} <= found
+
+
+def test_a_token_of_every_row_brings_no_pairs(spark):
+    """Names that share one word only: the word is the last in the order, so hardly a pair is formed."""
+    d = spark.range(400).select(F.col("id").alias("l"), F.array(F.lit("labs"), F.concat(F.lit("a"), F.col("id").cast("string")), F.concat(F.lit("b"), F.col("id").cast("string"))).alias("t"))
+    x, y = fuzzy.ordered_sets((d, "l", "t"), (d.withColumnRenamed("l", "r"), "r", "t"))
+    assert fuzzy.candidates(x, y, "l", "r", 0.5).count() == 400 == fuzzy.containing(x, y, "l", "r", 0.667).count()
