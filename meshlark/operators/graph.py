@@ -1,7 +1,7 @@
 """Reachability, components and risk propagation over an edge table (src, dst, rel).
 
-Loops run on the driver, rounds on the executors; each round is a checkpoint in the shared folder, so that lineage
-stays short and lost executors cost one round.
+Loops run on the driver, rounds on the executors; each round appends what is new to a table in the shared folder, so that
+lineage stays short, lost executors cost one round, and only what changed travels in the next.
 """
 
 from __future__ import annotations
@@ -27,6 +27,50 @@ def oriented(edges: DataFrame, reversed_rels=tuple(lists.REVERSED)) -> DataFrame
     return edges.select(F.when(back, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(back, F.col("src")).otherwise(F.col("dst")).alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])
 
 
+class Grown:
+    """A table that rounds append to, each as a part of its own in the shared folder: nothing is written twice."""
+
+    def __init__(self, first: DataFrame, name: str):
+        self.spark, self.schema, self.folder, self.n = first.sparkSession, first.schema, new_folder(first.sparkSession, name), 0
+        self.last = self.add(first)
+
+    def add(self, part: DataFrame) -> DataFrame:
+        path = f"{self.folder}/part={self.n}"
+        part.write.parquet(path)
+        self.n += 1
+        self.last = self.spark.read.schema(self.schema).parquet(path)
+        return self.last
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.folder)
+
+
+#: A node counts as a hub from this share of all edges on, so there are at most 1 / HUB of them; tasks for a hub's edges.
+HUB, SPLIT = 0.001, 16
+
+
+class Edges:
+    """Edges (src, dst, ...) written once, bucketed by src, so that rounds shuffle only what they send along. A hub's edges
+    lie in SPLIT buckets, and what is sent along a hub's edges is sent to each of them."""
+
+    def __init__(self, edges: DataFrame):
+        edges = checkpointed(edges.distinct())
+        spark, total = edges.sparkSession, edges.count()
+        degrees = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_out"))
+        self.hubs = F.broadcast(checkpointed(degrees.filter(F.col("_out") >= max(1000, int(total * HUB) + 1)).select("src", F.sequence(F.lit(0), F.lit(SPLIT - 1)).alias("_parts"))))
+        split = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*[c for c in edges.columns if c != "src"]), F.lit(SPLIT)).cast("int")).otherwise(0)
+        path = new_folder(spark, "edges")
+        name = f"edges_{path.rsplit('-', 1)[1]}"
+        out = edges.join(self.hubs, "src", "left").withColumn("_split", split).drop("_parts")
+        out.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "src", "_split").option("path", path).saveAsTable(name)
+        self.table = spark.table(name)
+
+    def along(self, sent: DataFrame) -> DataFrame:
+        """sent(src, ...) joined with the edges that leave src."""
+        parts = sent.join(self.hubs, "src", "left").withColumn("_split", F.explode(F.coalesce("_parts", F.array(F.lit(0))))).drop("_parts")
+        return parts.join(self.table, ["src", "_split"]).drop("_split")
+
+
 def reach(edges: DataFrame, seeds: DataFrame, rels=None, direction: str = "out", max_rounds: int | None = None) -> DataFrame:
     """seeds(seed) -> (seed, id, depth) of all nodes reached, the seed itself at depth 0; cycles end.
 
@@ -38,17 +82,13 @@ def reach(edges: DataFrame, seeds: DataFrame, rels=None, direction: str = "out",
         e = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     elif direction == "both":
         e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    e = e.distinct()
-    seen = checkpointed(seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth")).distinct())
-    frontier, depth = seen, 0
-    while max_rounds is None or depth < max_rounds:
+    written = Edges(e)
+    seen, depth = Grown(seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth")).distinct(), "reach"), 0
+    while (max_rounds is None or depth < max_rounds) and not seen.last.isEmpty():
         depth += 1
-        step = frontier.select("seed", F.col("id").alias("src")).join(e, "src").select("seed", F.col("dst").alias("id")).distinct()
-        frontier = checkpointed(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        seen = checkpointed(seen.unionByName(frontier))
-    return seen
+        step = written.along(seen.last.select("seed", F.col("id").alias("src"))).select("seed", F.col("dst").alias("id")).distinct()
+        seen.add(step.join(seen.all().select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+    return seen.all()
 
 
 def cascade(edges: DataFrame, nodes: DataFrame, signals: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,30 +124,29 @@ def propagate_max(edges: DataFrame, scores: DataFrame, targets: DataFrame, weak_
     origin). Weak pass: relations that only tie names fill what is still without a score, in rounds, from what stood
     before the round. Only targets(id) receive.
     """
-    flow = oriented(edges, reversed_rels).select("src", "dst", "rel").distinct()
-    direct = scores.select(F.col("node_id").alias("id"), "p12", F.col("node_id").alias("origin"), F.lit("direct").alias("attribution"))
-
-    def spread(known: DataFrame, e: DataFrame, name: str, settle: bool) -> DataFrame:
-        while True:
-            new = known.select(F.col("id").alias("src"), "p12", "origin").join(e, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((-F.col("p12")).alias("neg"), "origin")).alias("b"))
-            new = new.join(targets.select("id"), "id", "left_semi").select("id", (-F.col("b.neg")).alias("p12"), F.col("b.origin").alias("origin"), F.lit(name).alias("attribution"))
-            fixed = known if settle else known.filter(F.col("attribution") != name)
-            new = new.join(fixed.select("id"), "id", "left_anti")
-            if settle:
-                new = checkpointed(new)
-                if new.isEmpty():
-                    return known
-                known = checkpointed(known.unionByName(new))
-                continue
-            after = checkpointed(fixed.unionByName(new))
-            before = known.select("id", F.col("p12").alias("_p"), F.col("origin").alias("_o"))
-            moved = after.join(before, "id", "left").filter(~(F.col("p12").eqNullSafe(F.col("_p")) & F.col("origin").eqNullSafe(F.col("_o"))))
-            if moved.isEmpty():
-                return after
-            known = after
-
-    strong = spread(checkpointed(direct), flow.filter(~F.col("rel").isin(list(weak_rels))).select("src", "dst").distinct(), "inherited", False)
-    return spread(strong, flow.filter(F.col("rel").isin(list(weak_rels))).select("src", "dst").distinct(), "molecule", True).withColumnRenamed("id", "node_id")
+    weak, flow = F.col("rel").isin(list(weak_rels)), oriented(edges, reversed_rels).select("src", "dst", "rel")
+    flow = checkpointed(flow.join(targets.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi"))
+    direct = scores.select(F.col("node_id").alias("id"), (-F.col("p12")).alias("neg"), F.col("node_id").alias("origin"))
+    direct = checkpointed(direct)
+    best = lambda sent: sent.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("neg", "origin")).alias("b")).select("id", "b.neg", "b.origin")
+    along = lambda e, rows: best(e.along(rows.select(F.col("id").alias("src"), "neg", "origin")))
+
+    # strong pass: only nodes that changed send, only what is better than before is kept
+    strong = Edges(flow.filter(~weak).select("src", "dst"))
+    gained, front = Grown(direct.limit(0), "strong"), direct
+    while not front.isEmpty():
+        was = gained.all().groupBy("id").agg(F.min(F.struct("neg", "origin")).alias("was"))
+        new = along(strong, front).join(direct.select("id"), "id", "left_anti").join(was, "id", "left")
+        front = gained.add(new.filter(F.col("was").isNull() | (F.struct("neg", "origin") < F.col("was"))).select(*direct.columns))
+    inherited = gained.all().groupBy("id").agg(F.min(F.struct("neg", "origin")).alias("b")).select("id", "b.neg", "b.origin")
+    known = checkpointed(direct.withColumn("attribution", F.lit("direct")).unionByName(inherited.withColumn("attribution", F.lit("inherited"))))
+
+    # weak pass: what a round fills stays, so the next one starts from that alone
+    ties, filled = Edges(flow.filter(weak).select("src", "dst")), Grown(known, "weak")
+    while not filled.last.isEmpty():
+        new = along(ties, filled.last).join(filled.all().select("id"), "id", "left_anti")
+        filled.add(new.withColumn("attribution", F.lit("molecule")))
+    return filled.all().select(F.col("id").alias("node_id"), (-F.col("neg")).alias("p12"), "origin", "attribution")
 
 
 def coverage(nodes: DataFrame, scored: DataFrame) -> DataFrame:
