@@ -122,37 +122,69 @@ def kfold(df: DataFrame, id_col: str, k: int = 5, seed: int = 11) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(k)).cast("int"))
 
 
-def logistic(df: DataFrame, features, label: str, l2: float = 10.0, scaler: tuple | None = None, steps: int = 25, tol: float = 1e-9) -> dict:
-    """Newton's method for the L2-penalised (intercept apart) logistic fit on standardised features.
-
-    Each step is one aggregation of the gradient and the Hessian, (m+1)(m+4)/2 sums whatever the rows; only they come
-    to the driver.
+def scale_without(df: DataFrame, features, part: str, parts: int) -> list[tuple[list[float], list[float]]]:
+    """Means and population deviations of the rows outside each part, from one aggregation by part."""
+    rows = df.groupBy(part).agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f"m_{f}") for f in features], *[F.var_pop(f).alias(f"v_{f}") for f in features]).collect()
+    out = []
+    for p in range(parts):
+        rest = [r for r in rows if r[part] != p]
+        n = np.array([r["n"] for r in rest], float)
+        mu, sd = [], []
+        for f in features:
+            m, v = (np.array([r[f"{c}_{f}"] for r in rest], float) for c in "mv")
+            mean = float((n * m).sum() / n.sum()) if len(rest) else 0.0
+            mu.append(mean)
+            sd.append(float(np.sqrt((n * (v + (m - mean) ** 2)).sum() / n.sum())) or 1.0 if len(rest) else 1.0)
+        out.append((mu, sd))
+    return out
+
+
+def logistics(df: DataFrame, features, label: str, part: str | None = None, parts: int = 1, l2: float = 10.0, scalers: list[tuple] | None = None, steps: int = 25, tol: float = 1e-9) -> list[dict]:
+    """Newton's method for L2-penalised (intercept apart) logistic fits on standardised features: one fit, or one for each
+    of the parts 0, 1, ... (`part` a column), on the rows outside it.
+
+    A step is one aggregation for all fits: every row meets the models that it belongs to, and a model has one gradient and
+    one Hessian, (m+1)(m+4)/2 sums whatever the rows; only they come to the driver. A fit that has settled rests.
     """
     features = list(features)
-    mu, sd = scaler or standard_scale(df, features)
-    x = [F.lit(1.0)] + [(F.col(f) - F.lit(float(m))) / F.lit(float(s)) for f, m, s in zip(features, mu, sd, strict=True)]
-    m, w = len(x), np.zeros(len(features) + 1)
-    data = df.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(x)], F.col(label).cast("double").alias("y")).persist()
-    n = data.count()
+    scalers = scalers or (scale_without(df, features, part, parts) if part else [standard_scale(df, features)])
+    m = len(features) + 1
+    raw = [F.col(f).cast("double") for f in features]
+    data = df.select(F.array(*raw).alias("x"), F.col(label).cast("double").alias("y"), (F.col(part) if part else F.lit(-1)).alias("part")).persist()
+    weights, open_, counts = [np.zeros(m) for _ in range(parts)], set(range(parts)), [0] * parts
+    pen = np.array([0.0] + [l2] * (m - 1))
     try:
         for _ in range(steps):
-            z = sum(F.col(f"x{i}") * F.lit(float(w[i])) for i in range(m))
-            p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
-            d = data.withColumn("p", p)
-            row = d.agg(
-                *[F.sum((F.col("p") - F.col("y")) * F.col(f"x{i}")).alias(f"g{i}") for i in range(m)],
-                *[F.sum(F.col("p") * (1 - F.col("p")) * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"h{i}_{j}") for i in range(m) for j in range(i, m)],
-            ).first()
-            pen = np.array([0.0] + [l2] * (m - 1))
-            g = np.array([row[f"g{i}"] for i in range(m)]) + pen * w
-            h = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] for j in range(m)] for i in range(m)]) + np.diag(pen) + 1e-9 * np.eye(m)
-            delta = np.linalg.solve(h, g)
-            w = w - delta
-            if np.abs(delta).max() < tol:
+            numbers = lambda v: F.array(*[F.lit(float(x)) for x in v])
+            models = F.array(*[F.struct(F.lit(k).alias("model"), numbers(weights[k]).alias("w"), numbers(scalers[k][0]).alias("mu"), numbers(scalers[k][1]).alias("sd")) for k in sorted(open_)])
+            met = data.select("x", "y", "part", F.explode(models).alias("m")).filter(F.col("m.model") != F.col("part"))
+            z = F.col("m.w")[0]
+            cells = [F.lit(1.0)]
+            for i in range(1, m):
+                cells.append((F.col("x")[i - 1] - F.col("m.mu")[i - 1]) / F.col("m.sd")[i - 1])
+                z = z + F.col("m.w")[i] * cells[i]
+            met = met.select("m.model", "y", *[c.alias(f"x{i}") for i, c in enumerate(cells)], (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("p"))
+            sums = met.groupBy("model").agg(
+                F.count(F.lit(1)).alias("n"), *[F.sum((F.col("p") - F.col("y")) * F.col(f"x{i}")).alias(f"g{i}") for i in range(m)],
+                *[F.sum(F.col("p") * (1 - F.col("p")) * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"h{i}_{j}") for i in range(m) for j in range(i, m)])
+            for row in sums.collect():
+                k = row["model"]
+                g = np.array([row[f"g{i}"] for i in range(m)]) + pen * weights[k]
+                h = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] for j in range(m)] for i in range(m)]) + np.diag(pen) + 1e-9 * np.eye(m)
+                delta = np.linalg.solve(h, g)
+                weights[k], counts[k] = weights[k] - delta, row["n"]
+                if np.abs(delta).max() < tol:
+                    open_.discard(k)
+            if not open_:
                 break
     finally:
         data.unpersist()
-    return {"features": features, "mu": list(mu), "sd": list(sd), "intercept": float(w[0]), "coef": [float(c) for c in w[1:]], "n": n}
+    return [{"features": features, "mu": list(mu), "sd": list(sd), "intercept": float(w[0]), "coef": [float(c) for c in w[1:]], "n": n} for (mu, sd), w, n in zip(scalers, weights, counts, strict=True)]
+
+
+def logistic(df: DataFrame, features, label: str, l2: float = 10.0, scaler: tuple | None = None, steps: int = 25, tol: float = 1e-9) -> dict:
+    """One fit on all rows."""
+    return logistics(df, features, label, l2=l2, scalers=[scaler] if scaler else None, steps=steps, tol=tol)[0]
 
 
 def logistic_score(model: dict) -> Column:
@@ -171,10 +203,10 @@ def contributions(model: dict) -> Column:
 def out_of_fold(df: DataFrame, id_col: str, features, label: str, k: int = 5, l2: float = 10.0, seed: int = 11, scaler: str = "train") -> DataFrame:
     """Each row scored by a model of the other folds; the scaler is fitted on them too, or on all rows (`all`)."""
     folds = kfold(df, id_col, k, seed)
-    whole = standard_scale(df, features) if scaler == "all" else None
+    scalers = [standard_scale(df, features)] * k if scaler == "all" else None
+    models = logistics(folds, features, label, "fold", k, l2, scalers)
     out = F.lit(None).cast("double")
-    for f in range(k):
-        model = logistic(folds.filter(F.col("fold") != f), features, label, l2, whole)
+    for f, model in enumerate(models):
         out = F.when(F.col("fold") == f, logistic_score(model)).otherwise(out)
     return folds.withColumn("oof", out)
 

@@ -337,3 +337,28 @@ def test_a_token_of_every_row_brings_no_pairs(spark):
     d = spark.range(400).select(F.col("id").alias("l"), F.array(F.lit("labs"), F.concat(F.lit("a"), F.col("id").cast("string")), F.concat(F.lit("b"), F.col("id").cast("string"))).alias("t"))
     x, y = fuzzy.ordered_sets((d, "l", "t"), (d.withColumnRenamed("l", "r"), "r", "t"))
     assert fuzzy.candidates(x, y, "l", "r", 0.5).count() == 400 == fuzzy.containing(x, y, "l", "r", 0.667).count()
+
+
+@pytest.mark.parametrize("scaler", ["train", "all"])
+def test_all_folds_at_once_equal_plain_fits(spark, scaler):
+    """Coefficients of every fold against numpy, one fold at a time; the scaler of the training rows or of all."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 2)) * [1, 50] + [3, -7]
+    y = (rng.random(600) < 1 / (1 + np.exp(-(x[:, 0] - 3 + 0.03 * x[:, 1])))).astype(int)
+    d = spark.createDataFrame([(i, float(a), float(b), 1.0, int(c)) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))], "id long, a double, b double, same double, y int")
+    fold = {r.id: r.fold for r in stats.kfold(d, "id").collect()}
+    got = {r.id: r.oof for r in stats.out_of_fold(d, "id", ["a", "b", "same"], "y", scaler=scaler).collect()}
+    full, folds = np.column_stack([x, np.ones(600)]), np.array([fold[i] for i in range(600)])
+    for f in range(5):
+        train = folds != f
+        base = full if scaler == "all" else full[train]
+        mu, sd = base.mean(0), np.where(base.std(0) == 0, 1, base.std(0))
+        z = np.column_stack([np.ones(600), (full - mu) / sd])
+        w = np.zeros(4)
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-z[train] @ w))
+            w -= np.linalg.solve((z[train] * (p * (1 - p))[:, None]).T @ z[train] + np.diag([1e-9, 10, 10, 10]), z[train].T @ (p - y[train]) + np.array([0, 10, 10, 10]) * w)
+        want = 1 / (1 + np.exp(-z @ w))
+        assert all(abs(got[i] - want[i]) < 1e-7 for i in range(600) if fold[i] == f)
