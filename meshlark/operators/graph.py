@@ -6,7 +6,7 @@ lineage stays short, lost executors cost one round, and only what changed travel
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists
@@ -35,9 +35,9 @@ class Grown:
         self.last = self.add(first)
 
     def add(self, part: DataFrame) -> DataFrame:
-        path = f"{self.folder}/part={self.n}"
-        part.write.parquet(path)
-        self.n += 1
+        path, seen = f"{self.folder}/part={self.n}", Observation()
+        part.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        self.n, self.rows = self.n + 1, seen.get["rows"]
         self.last = self.spark.read.schema(self.schema).parquet(path)
         return self.last
 
@@ -50,14 +50,16 @@ HUB, SPLIT = 0.001, 16
 
 
 class Edges:
-    """Edges (src, dst, ...) written once, bucketed by src, so that rounds shuffle only what they send along. A hub's edges
+    """Edges (src, dst, ...) written once, bucketed by src, so that rounds shuffle only what they send along; an edge may
+    stand there twice. A hub's edges
     lie in SPLIT buckets, and what is sent along a hub's edges is sent to each of them."""
 
     def __init__(self, edges: DataFrame):
-        edges = checkpointed(edges.distinct())
-        spark, total = edges.sparkSession, edges.count()
-        degrees = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_out"))
-        self.hubs = F.broadcast(checkpointed(degrees.filter(F.col("_out") >= max(1000, int(total * HUB) + 1)).select("src", F.sequence(F.lit(0), F.lit(SPLIT - 1)).alias("_parts"))))
+        spark, counted = edges.sparkSession, Observation()
+        degrees = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_out")).observe(counted, F.sum("_out").alias("edges"))
+        degrees = checkpointed(degrees.filter("_out >= 1000"))
+        least = F.lit(int((counted.get["edges"] or 0) * HUB) + 1)
+        self.hubs = F.broadcast(degrees.filter(F.col("_out") >= least).select("src", F.sequence(F.lit(0), F.lit(SPLIT - 1)).alias("_parts")))
         split = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*[c for c in edges.columns if c != "src"]), F.lit(SPLIT)).cast("int")).otherwise(0)
         path = new_folder(spark, "edges")
         name = f"edges_{path.rsplit('-', 1)[1]}"
@@ -84,7 +86,7 @@ def reach(edges: DataFrame, seeds: DataFrame, rels=None, direction: str = "out",
         e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     written = Edges(e)
     seen, depth = Grown(seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth")).distinct(), "reach"), 0
-    while (max_rounds is None or depth < max_rounds) and not seen.last.isEmpty():
+    while (max_rounds is None or depth < max_rounds) and seen.rows:
         depth += 1
         step = written.along(seen.last.select("seed", F.col("id").alias("src"))).select("seed", F.col("dst").alias("id")).distinct()
         seen.add(step.join(seen.all().select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth)))
@@ -134,7 +136,7 @@ def propagate_max(edges: DataFrame, scores: DataFrame, targets: DataFrame, weak_
     # strong pass: only nodes that changed send, only what is better than before is kept
     strong = Edges(flow.filter(~weak).select("src", "dst"))
     gained, front = Grown(direct.limit(0), "strong"), direct
-    while not front.isEmpty():
+    while gained.rows or front is direct:
         was = gained.all().groupBy("id").agg(F.min(F.struct("neg", "origin")).alias("was"))
         new = along(strong, front).join(direct.select("id"), "id", "left_anti").join(was, "id", "left")
         front = gained.add(new.filter(F.col("was").isNull() | (F.struct("neg", "origin") < F.col("was"))).select(*direct.columns))
@@ -143,7 +145,7 @@ def propagate_max(edges: DataFrame, scores: DataFrame, targets: DataFrame, weak_
 
     # weak pass: what a round fills stays, so the next one starts from that alone
     ties, filled = Edges(flow.filter(weak).select("src", "dst")), Grown(known, "weak")
-    while not filled.last.isEmpty():
+    while filled.rows:
         new = along(ties, filled.last).join(filled.all().select("id"), "id", "left_anti")
         filled.add(new.withColumn("attribution", F.lit("molecule")))
     return filled.all().select(F.col("id").alias("node_id"), (-F.col("neg")).alias("p12"), "origin", "attribution")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lists, text, values
 from ..operators import audit, fuzzy
+from ..operators.graph import checkpointed
 from .market import CONF, rounded_confusion
 from .registry import Tables, query, r6
 
@@ -164,9 +165,12 @@ def q46(t):
     return chain(t).select("conv_id", "seq", "prev_hash", "hash")
 
 
+def audit_rows(t: Tables) -> DataFrame:
+    return t.conversations.select("conv_id", "turn", F.col("turn").cast("string").alias("ts"), F.concat(F.lit("r"), F.col("conv_id").cast("string")).alias("run_id"), F.col("role").alias("actor"), F.lit("step").alias("kind"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("payload"))
+
+
 def chain(t: Tables) -> DataFrame:
-    rows = t.conversations.select("conv_id", "turn", F.col("turn").cast("string").alias("ts"), F.concat(F.lit("r"), F.col("conv_id").cast("string")).alias("run_id"), F.col("role").alias("actor"), F.lit("step").alias("kind"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("payload"))
-    return audit.chain_append(rows, ["turn"], by="conv_id")
+    return audit.chain_append(audit_rows(t), ["turn"], by="conv_id")
 
 
 BODY = """'{"actor":"' || role || '","kind":"step","payload":"' || payload || '","run_id":"r' || conv_id || '","seq":' || seq || ',"ts":"' || turn || '"}'"""
@@ -186,3 +190,22 @@ def q69(t):
     edited = (F.col("conv_id") % 3 == 0) & (F.col("seq") == 1) & (F.col("n") >= 3)
     log = log.withColumn("payload", F.when(edited, "edited").otherwise(F.col("payload"))).filter(~((F.col("conv_id") % 3 == 1) & (F.col("seq") == 1) & (F.col("n") >= 3)))
     return audit.chain_verify(log, by="conv_id").select("conv_id", "ok", "finding")
+
+
+@query("q146_audit_resume", f"""WITH RECURSIVE {AUDIT}, j AS (SELECT conv_id, seq, sha256(text) AS payload, '{{"actor":"' || role || '","kind":"step","payload":"' || sha256(text) || '","run_id":"r' || conv_id || '","seq":' || seq || ',"ts":"' || turn || '"}}' AS body FROM b),
+c AS (SELECT conv_id, seq, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || body) AS hash FROM j WHERE seq = 0 UNION ALL SELECT j.conv_id, j.seq, c.hash, sha256(c.hash || j.body) FROM c JOIN j ON j.conv_id = c.conv_id AND j.seq = c.seq + 1)
+SELECT * FROM c""")
+def q146(t):
+    """A log that is written in three goes, each after the stored log's last rows, is the log of one go."""
+    rows, log = audit_rows(t), None
+    for part in (F.col("turn") < 2, F.col("turn") == 2, F.col("turn") > 2):
+        new = checkpointed(audit.chain_append(rows.filter(part), ["turn"], by="conv_id", log=log))
+        log = new if log is None else log.unionByName(new)
+    return log.select("conv_id", "seq", "prev_hash", "hash")
+
+
+@query("q147_audit_export", f"""WITH RECURSIVE {AUDIT}, j AS (SELECT conv_id, seq, '{{"actor":"' || role || '","kind":"step","payload":"' || sha256(text) || '","run_id":"r' || conv_id || '","seq":' || seq || ',"ts":"' || turn || '"}}' AS body FROM b),
+c AS (SELECT conv_id, seq, sha256(repeat('0', 64) || body) AS hash FROM j WHERE seq = 0 UNION ALL SELECT j.conv_id, j.seq, sha256(c.hash || j.body) FROM c JOIN j ON j.conv_id = c.conv_id AND j.seq = c.seq + 1)
+SELECT conv_id, true AS ok, 'intact' AS finding, arg_max(hash, seq) AS head, count(*) AS rows, min(turn::VARCHAR) AS begun, max(turn::VARCHAR) AS ended, count(*) AS steps, false AS finished FROM c JOIN b USING (conv_id, seq) GROUP BY 1""")
+def q147(t):
+    return audit.exported(chain(t), "conv_id")

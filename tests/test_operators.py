@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meshlark.functions import text, values
 from meshlark.functions.canonical import canonical_json
 from meshlark.operators import audit, fuzzy, graph, merge, order, rules, stats, whatif
+from meshlark.operators.graph import checkpointed
 from meshlark.sources import readers, sinks
 from meshlark.streaming import telemetry as T
 
@@ -362,3 +363,34 @@ def test_all_folds_at_once_equal_plain_fits(spark, scaler):
             w -= np.linalg.solve((z[train] * (p * (1 - p))[:, None]).T @ z[train] + np.diag([1e-9, 10, 10, 10]), z[train].T @ (p - y[train]) + np.array([0, 10, 10, 10]) * w)
         want = 1 / (1 + np.exp(-z @ w))
         assert all(abs(got[i] - want[i]) < 1e-7 for i in range(600) if fold[i] == f)
+
+
+def test_long_chain_is_folded_and_checked(spark):
+    """A chain of a million rows: one pass that holds its head alone, checked in ranges, resumed from the stored log."""
+    n = 1_000_000
+    rows = spark.range(n, numPartitions=8).select("id", *[F.lit(c).alias(c) for c in ("ts", "run_id", "actor", "kind")], F.col("id").cast("string").alias("payload"))
+    log = checkpointed(audit.chain_append(rows, ["id"]))
+    assert log.count() == n
+    got = audit.chain_verify(log).first()
+    assert (got.ok, got.finding, got.rows) == (True, "intact", n)
+    last = log.filter(F.col("seq") == n - 1).first()
+    more = audit.chain_append(rows.filter("id < 3"), ["id"], log=log).orderBy("seq").collect()
+    assert [r.seq for r in more] == [n, n + 1, n + 2] and more[0].prev_hash == last.hash == got.head
+    bad = log.withColumn("hash", F.when(F.col("seq") == 700_000, "x").otherwise(F.col("hash")))
+    found = audit.chain_verify(bad)
+    assert "SinglePartition" not in found._jdf.queryExecution().toString()
+    assert (found.first().finding, found.first().line) == ("modified", 700_000)
+
+
+def test_chains_over_many_ranges(spark):
+    """Chains that span ranges, and one that lacks a row where a range begins."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(900).select((F.col("id") % 3).alias("run"), "id", *[F.lit(c).alias(c) for c in ("ts", "run_id", "actor", "kind")], F.struct("id").alias("payload"))
+        log = checkpointed(audit.chain_append(rows, ["id"], by="run"))
+        assert {(r.run, r.ok, r.rows) for r in audit.chain_verify(log, "run").collect()} == {(i, True, 300) for i in range(3)}
+        for gone in (0, 100, 170):
+            got = {r.run: (r.finding, r.line) for r in audit.chain_verify(log.filter((F.col("run") != 1) | (F.col("seq") != gone)), "run").collect()}
+            assert got == {0: ("intact", None), 2: ("intact", None), 1: ("removed, reordered, or inserted", gone + 1)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
