@@ -32,14 +32,15 @@ def ordered_sets(*sides: tuple[DataFrame, str, str]) -> list[DataFrame]:
     """For each (rows, id, tokens array): (id, _set, _n), the distinct tokens as numbers in one global order, rarest first.
 
     The tokens of all sides are counted and numbered once (numbers ascend with the count over sorted ranges, so no task
-    holds them all); the numbered sets are written, as candidates and counts both read them.
+    holds them all). A token of one side alone meets nothing: it stands before all others in the order, so _set leaves it
+    out, and _n counts it. The sets are written, as candidates and counts both read them.
     """
-    rows = [df.select(F.lit(i).alias("_side"), F.col(key).cast("string").alias("_id"), F.explode(F.array_distinct(toks)).alias("_t")) for i, (df, key, toks) in enumerate(sides)]
-    rows = checkpointed(reduce(DataFrame.unionByName, rows))
-    numbers = rows.groupBy("_t").agg(F.count(F.lit(1)).alias("_c")).orderBy("_c", "_t").select("_t", F.monotonically_increasing_id().alias("_k"))
-    sets = rows.join(checkpointed(numbers), "_t").groupBy("_side", "_id").agg(F.sort_array(F.collect_list("_k")).alias("_set"))
-    sets = checkpointed(sets)
-    return [sets.filter(F.col("_side") == i).select(F.col("_id").cast(df.schema[key].dataType).alias(key), "_set", F.size("_set").alias("_n")) for i, (df, key, _) in enumerate(sides)]
+    rows = [df.select(F.lit(i).alias("_side"), F.col(key).cast("string").alias("_id"), F.array_distinct(toks).alias("_ts")) for i, (df, key, toks) in enumerate(sides)]
+    rows = checkpointed(reduce(DataFrame.unionByName, rows)).select("_side", "_id", F.size("_ts").alias("_n"), F.explode("_ts").alias("_t"))
+    counts = rows.groupBy("_t").agg(F.count(F.lit(1)).alias("_c"), F.min("_side").alias("_a"), F.max("_side").alias("_b")).filter("_a < _b")
+    numbers = checkpointed(counts.orderBy("_c", "_t").select("_t", F.monotonically_increasing_id().alias("_k")))
+    sets = checkpointed(rows.join(numbers, "_t").groupBy("_side", "_id").agg(F.sort_array(F.collect_list("_k")).alias("_set"), F.first("_n").alias("_n")))
+    return [sets.filter(F.col("_side") == i).select(F.col("_id").cast(df.schema[key].dataType).alias(key), "_set", "_n") for i, (df, key, _) in enumerate(sides)]
 
 
 def needed(share: float, n: Column) -> Column:
@@ -51,7 +52,7 @@ def prefix(sets: DataFrame, key: str, share: float, side: str) -> DataFrame:
     """(key, _k, size, tail): the rarest tokens of each set, as many as cannot all be missing where `share` of them are
     shared, and how many tokens it has in all and behind these."""
     tail = needed(share, F.col("_n")) - 1
-    return sets.select(key, F.col("_n").alias(f"size_{side}"), tail.alias(f"tail_{side}"), F.explode(F.slice("_set", F.lit(1), F.col("_n") - tail)).alias("_k"))
+    return sets.select(key, F.col("_n").alias(f"size_{side}"), tail.alias(f"tail_{side}"), F.explode(F.slice("_set", F.lit(1), F.greatest(F.lit(0), F.size("_set") - tail))).alias("_k"))
 
 
 def whole(sets: DataFrame, key: str, side: str) -> DataFrame:
@@ -88,8 +89,8 @@ def containing(left: DataFrame, right: DataFrame, id_l: str, id_r: str, share: f
 
 def shared_tokens(pairs: DataFrame, left: DataFrame, right: DataFrame, id_l: str, id_r: str) -> DataFrame:
     """(id_l, id_r, size_l, size_r, shared) of pairs of ordered sets, counted exactly."""
-    found = pairs.join(left.select(id_l, F.col("_set").alias("_l")), id_l).join(right.select(id_r, F.col("_set").alias("_r")), id_r)
-    return found.select(id_l, id_r, F.size("_l").alias("size_l"), F.size("_r").alias("size_r"), F.size(F.array_intersect("_l", "_r")).alias("shared"))
+    found = pairs.join(left.select(id_l, F.col("_set").alias("_l"), F.col("_n").alias("size_l")), id_l).join(right.select(id_r, F.col("_set").alias("_r"), F.col("_n").alias("size_r")), id_r)
+    return found.select(id_l, id_r, "size_l", "size_r", F.size(F.array_intersect("_l", "_r")).alias("shared"))
 
 
 def blocked_pairs(left: DataFrame, right: DataFrame, id_l: str, id_r: str, tok_l: str, tok_r: str, min_jaccard: float = 0.0) -> DataFrame:

@@ -51,26 +51,31 @@ HUB, SPLIT = 0.001, 16
 
 class Edges:
     """Edges (src, dst, ...) written once, bucketed by src, so that rounds shuffle only what they send along; an edge may
-    stand there twice. A hub's edges
-    lie in SPLIT buckets, and what is sent along a hub's edges is sent to each of them."""
+    stand there twice. A hub's edges are written again in SPLIT parts, and what goes along them is sent to each part."""
 
     def __init__(self, edges: DataFrame):
-        spark, counted = edges.sparkSession, Observation()
-        degrees = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_out")).observe(counted, F.sum("_out").alias("edges"))
-        degrees = checkpointed(degrees.filter("_out >= 1000"))
-        least = F.lit(int((counted.get["edges"] or 0) * HUB) + 1)
-        self.hubs = F.broadcast(degrees.filter(F.col("_out") >= least).select("src", F.sequence(F.lit(0), F.lit(SPLIT - 1)).alias("_parts")))
-        split = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*[c for c in edges.columns if c != "src"]), F.lit(SPLIT)).cast("int")).otherwise(0)
-        path = new_folder(spark, "edges")
+        spark, self.split = edges.sparkSession, None
+        self.table = self.bucketed(edges, "src")
+        degrees = checkpointed(self.table.groupBy("src").agg(F.count(F.lit(1)).alias("_out")).filter("_out >= 1000"))
+        if not degrees.isEmpty():
+            hubs = checkpointed(degrees.filter(F.col("_out") >= int(self.table.count() * HUB) + 1).select("src"))
+            self.hubs = F.broadcast(hubs)
+            part = F.pmod(F.xxhash64(*[c for c in edges.columns if c != "src"]), F.lit(SPLIT)).cast("int")
+            self.split = self.bucketed(self.table.join(self.hubs, "src", "left_semi").withColumn("_part", part), "src", "_part")
+
+    @staticmethod
+    def bucketed(edges: DataFrame, *keys: str) -> DataFrame:
+        spark, path = edges.sparkSession, new_folder(edges.sparkSession, "edges")
         name = f"edges_{path.rsplit('-', 1)[1]}"
-        out = edges.join(self.hubs, "src", "left").withColumn("_split", split).drop("_parts")
-        out.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "src", "_split").option("path", path).saveAsTable(name)
-        self.table = spark.table(name)
+        edges.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).option("path", path).saveAsTable(name)
+        return spark.table(name)
 
     def along(self, sent: DataFrame) -> DataFrame:
         """sent(src, ...) joined with the edges that leave src."""
-        parts = sent.join(self.hubs, "src", "left").withColumn("_split", F.explode(F.coalesce("_parts", F.array(F.lit(0))))).drop("_parts")
-        return parts.join(self.table, ["src", "_split"]).drop("_split")
+        if self.split is None:
+            return sent.join(self.table, "src")
+        hot = sent.join(self.hubs, "src", "left_semi").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))))
+        return sent.join(self.hubs, "src", "left_anti").join(self.table, "src").unionByName(hot.join(self.split, ["src", "_part"]).drop("_part"))
 
 
 def reach(edges: DataFrame, seeds: DataFrame, rels=None, direction: str = "out", max_rounds: int | None = None) -> DataFrame:
