@@ -170,7 +170,7 @@ def open_store(path: str) -> tuple[pafs.FileSystem, str]:
 def write_packages(pages: DataFrame, folder: str, min_revisit: int = 0, always64: bool = False) -> DataFrame:
     """Write all rows of pages(page_id, url, html) as records; a written table (path, records, bytes) of the packages."""
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    read = read.withColumn("digest", F.unhex(F.sha1("html"))).withColumn("size", F.octet_length("html"))
+    read = read.withColumn("digest", F.unhex(F.sha2("html", 256))).withColumn("size", F.octet_length("html"))
     groups = saved(read.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")), "warc-groups")
     total = groups.agg(F.sum("copies")).first()[0] or 0
     rows = join_groups(read, groups, "digest", "copies", total)
