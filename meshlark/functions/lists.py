@@ -74,3 +74,7 @@ STORAGE_CLASSES = [
 ACTIVATION, GAS = 83144.0, 8.314
 STALE_S, DWELL_S, CROSS_CHECK_C, WINDOW_S, MIN_WINDOW_S, HISTORY_CAP = 30, 8, 3.0, 86400, 3600, 20000
 STATUS_RANK = ["mkt_breach", "sensor_fault", "excursion", "stale", "offline", "ok"]
+
+# fixed values: patterns of words and endings that place names in addresses carry and a gazetteer does not
+CITY_NOISE = r"(?i)\b(city|district|dist|county|province|prefecture|town|village|industrial|zone|park|tehsil|taluka|mandal|nagar|p\.?o\.?|post|near|opp|road|rd|street|st|no)\b\.?"
+STRIP_SUFFIX = r"(?i)-(shi|si|gu|ku|do|gun|ken|fu)$"

@@ -218,10 +218,20 @@ def sweep(pairs: DataFrame, score: str, same: str, start: int = 20, stop: int =
     return out.withColumn("plateau", F.col("f1") == F.max("f1").over(Window.partitionBy()))
 
 
-def rank_places(candidates: DataFrame, gazetteer: DataFrame, id_col: str = "id") -> DataFrame:
+def rank_places(candidates: DataFrame, gazetteer: DataFrame, id_col: str = "id", least: int = 7) -> DataFrame:
     """candidates(id, iso2, names array best first, admin1) x gazetteer(iso2, name, admin1, lat, lng, population) ->
-    the best place of each: by candidate order, then the same region, then population."""
+    the best place of each (name is the candidate's): by candidate order, then the same region, then population.
+
+    A name of `least` letters and more that the country's gazetteer lacks takes the names that begin with all its letters
+    but the last and are one letter longer at most: each gazetteer name is joined by the three beginnings that could be.
+    """
     names = candidates.select(id_col, "iso2", F.col("admin1").alias("_admin"), F.posexplode("names").alias("_ord", "name"))
-    hits = names.join(gazetteer, ["iso2", "name"])
-    w = Window.partitionBy(id_col).orderBy("_ord", F.desc(F.coalesce(F.col("admin1") == F.col("_admin"), F.lit(False))), F.desc("population"), "lat", "lng")
-    return hits.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select(id_col, "iso2", "name", "lat", "lng")
+    places = gazetteer.select("iso2", "name", F.col("admin1").alias("_region"), "lat", "lng", "population")
+    exact = names.join(places, ["iso2", "name"])
+    lacking = names.filter(F.length("name") >= least).join(gazetteer.select("iso2", "name").distinct(), ["iso2", "name"], "left_anti")
+    begun = places.withColumn("_cut", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).filter(F.length("name") > F.col("_cut"))
+    begun = begun.withColumn("_stem", F.expr("left(name, length(name) - _cut)")).drop("name", "_cut")
+    near = lacking.withColumn("_stem", F.expr("left(name, length(name) - 1)")).join(begun, ["iso2", "_stem"]).select(*exact.columns)
+    same = F.coalesce(F.col("_region") == F.col("_admin"), F.lit(False))
+    w = Window.partitionBy(id_col).orderBy("_ord", F.desc(same), F.desc("population"), "lat", "lng")
+    return exact.unionByName(near).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select(id_col, "iso2", "name", "lat", "lng")

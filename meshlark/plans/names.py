@@ -209,3 +209,22 @@ c AS (SELECT conv_id, seq, sha256(repeat('0', 64) || body) AS hash FROM j WHERE
 SELECT conv_id, true AS ok, 'intact' AS finding, arg_max(hash, seq) AS head, count(*) AS rows, min(turn::VARCHAR) AS begun, max(turn::VARCHAR) AS ended, count(*) AS steps, false AS finished FROM c JOIN b USING (conv_id, seq) GROUP BY 1""")
 def q147(t):
     return audit.exported(chain(t), "conv_id")
+
+
+@query("q148_place_lookup", """WITH g AS (SELECT p_partkey, 'c' || (p_size % 5) AS iso2, replace(p_name, ' ', '') AS name, p_brand AS admin1, p_partkey % 90 AS lat, p_partkey % 179 AS lng, p_retailprice AS population FROM part),
+c AS (SELECT p_partkey AS id, 'c' || ((p_size + 1) % 5) AS iso2, admin1, name, unnest([0, 1, 2]) AS ord FROM g JOIN part USING (p_partkey)),
+n AS (SELECT id, iso2, admin1, ord, CASE ord WHEN 0 THEN CASE id % 4 WHEN 0 THEN left(name, len(name) - 1) || 'q' WHEN 1 THEN name || 's' WHEN 2 THEN name || 'zz' ELSE left(name, 6) END WHEN 1 THEN CASE WHEN id % 5 = 0 THEN 'nowhereatall' ELSE left(name, len(name) - 2) || 'y' END ELSE name END AS name FROM c),
+e AS (SELECT n.*, g.admin1 = n.admin1 AS same, lat, lng, population FROM n JOIN g USING (iso2, name)),
+s AS (SELECT n.*, g.admin1 = n.admin1 AS same, lat, lng, population FROM n JOIN g ON g.iso2 = n.iso2 AND starts_with(g.name, left(n.name, len(n.name) - 1)) AND len(g.name) <= len(n.name) + 1 WHERE len(n.name) >= 7 AND NOT EXISTS (SELECT 1 FROM g h WHERE h.iso2 = n.iso2 AND h.name = n.name)),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord, same DESC, population DESC, lat, lng) AS rn FROM (SELECT * FROM e UNION ALL SELECT * FROM s))
+SELECT id, iso2, name, lat, lng FROM r WHERE rn = 1""")
+def q148(t):
+    """Part names as places, looked up under misspelt, longer, cut and plain names, best first."""
+    name, k = F.regexp_replace("p_name", " ", ""), F.col("p_partkey")
+    land = lambda shift: F.concat(F.lit("c"), ((F.col("p_size") + shift) % 5).cast("string"))
+    g = t.part.select(land(0).alias("iso2"), name.alias("name"), F.col("p_brand").alias("admin1"), (k % 90).alias("lat"), (k % 179).alias("lng"), F.col("p_retailprice").alias("population"))
+    cut = lambda n: F.left(name, F.length(name) - n)
+    first = F.when(k % 4 == 0, F.concat(cut(1), F.lit("q"))).when(k % 4 == 1, F.concat(name, F.lit("s"))).when(k % 4 == 2, F.concat(name, F.lit("zz"))).otherwise(F.left(name, F.lit(6)))
+    second = F.when(k % 5 == 0, "nowhereatall").otherwise(F.concat(cut(2), F.lit("y")))
+    c = t.part.select(k.alias("id"), land(1).alias("iso2"), F.col("p_brand").alias("admin1"), F.array(first, second, name).alias("names"))
+    return fuzzy.rank_places(c, g)
