@@ -170,12 +170,12 @@ def q106(t):
 
 
 @query("q107_model_table", f"""WITH {L}, m AS (SELECT generic, labeler, count(*) AS n FROM listings WHERE start < TIMESTAMP '{CUTOFF}' GROUP BY ALL), x AS (SELECT generic, sum(n) AS products, count(*) AS labelers, sum(n * n) / (sum(n) * sum(n))::DOUBLE AS hhi FROM m GROUP BY 1),
-f AS (SELECT p_brand AS generic, count(DISTINCT p_type) AS forms FROM part WHERE p_size > 48 GROUP BY 1)
+f AS (SELECT p_brand AS generic, count(DISTINCT p_type) AS forms FROM part GROUP BY 1)
 SELECT b.p_brand AS generic, coalesce(products, 0)::DOUBLE AS products, coalesce(labelers, 0)::DOUBLE AS labelers, round(coalesce(hhi, 0), 6) AS hhi, coalesce(forms, 0)::DOUBLE AS forms FROM (SELECT DISTINCT p_brand FROM part) b LEFT JOIN x ON x.generic = b.p_brand LEFT JOIN f ON f.generic = b.p_brand""")
 def q107(t):
     m = pointintime.market_at(listings(t), F.lit(CUTOFF).cast("timestamp"))
     h = stats.hhi(m, "generic", "labeler", F.col("products")).select("generic", F.col("total").alias("products"), F.col("parts").alias("labelers"), "hhi")
-    forms = t.part.filter("p_size > 48").groupBy(F.col("p_brand").alias("generic")).agg(F.count_distinct("p_type").alias("forms"))
+    forms = t.part.groupBy(F.col("p_brand").alias("generic")).agg(F.count_distinct("p_type").alias("forms"))
     return views.model_table(t.part.select(F.col("p_brand").alias("generic")), "generic", [h, forms]).withColumn("hhi", r6("hhi"))
 
 
@@ -269,12 +269,12 @@ def q120(t):
     return views.histogram(merge.dangling(merge.cited_edges(e), "ref", t.supplier.select(F.col("s_suppkey").alias("id"))), "ref")
 
 
-@query("q121_core_set_join", """WITH a AS (SELECT DISTINCT p_name AS l FROM part WHERE p_size > 40), r AS (SELECT p_partkey, p_name AS n FROM part WHERE p_size <= 10), s AS (SELECT DISTINCT n, list_sort(list_distinct(string_split(n, ' '))) AS w FROM r), k AS (SELECT DISTINCT array_to_string(w, ' ') AS k, w FROM s),
+@query("q121_core_set_join", """WITH a AS (SELECT DISTINCT p_name AS l FROM part), r AS (SELECT p_partkey, p_name AS n FROM part), s AS (SELECT DISTINCT n, list_sort(list_distinct(string_split(n, ' '))) AS w FROM r), k AS (SELECT DISTINCT array_to_string(w, ' ') AS k, w FROM s),
 x AS (SELECT l, k, len(list_intersect(list_distinct(string_split(l, ' ')), w)) / len(list_distinct(string_split(l, ' ') || w))::DOUBLE AS score FROM a, k), y AS (SELECT *, max(score) OVER (PARTITION BY l) AS top FROM x WHERE score >= 0.5), z AS (SELECT l, max(k) AS k, max(top) AS score FROM y WHERE top - score < 0.05 GROUP BY l HAVING count(*) = 1)
 SELECT l, count(*) AS rows, round(any_value(score), 6) AS score FROM z JOIN s ON array_to_string(s.w, ' ') = z.k JOIN r USING (n) GROUP BY l""")
 def q121(t):
-    left = t.part.filter("p_size > 40").select(F.col("p_name").alias("l")).distinct().withColumn("wl", F.split("l", " "))
-    right = t.part.filter("p_size <= 10").select("p_partkey", F.split("p_name", " ").alias("wr"))
+    left = t.part.select(F.col("p_name").alias("l")).distinct().withColumn("wl", F.split("l", " "))
+    right = t.part.select("p_partkey", F.split("p_name", " ").alias("wr"))
     m = fuzzy.core_set_join(left, right, "l", "p_partkey", "wl", "wr")
     return m.groupBy("l").agg(F.count(F.lit(1)).alias("rows"), r6(F.max("score")).alias("score"))
 
@@ -428,7 +428,7 @@ def q143(t):
     return p.select(F.col("doc").alias("conv_id"), F.col("item").cast("long").alias("turn"), F.lit("assistant").alias("role"), F.regexp_replace("header", "^user ", "").cast("long").alias("header"))
 
 
-@query("q144_sentence_for_excursions", "SELECT event_id, CASE WHEN value > 40 THEN 'above the band at ' || printf('%.1f', value) WHEN value < 10 THEN 'below the band at ' || printf('%.1f', value) ELSE '' END AS reason FROM events WHERE value < 900")
+@query("q144_sentence_for_excursions", "SELECT event_id, CASE WHEN value > 40 THEN 'above the band at ' || format('{:,.1f}', value) WHEN value < 10 THEN 'below the band at ' || format('{:,.1f}', value) ELSE '' END AS reason FROM events")
 def q144(t):
     r = telemetry.reason(F.col("value"), F.lit(10.0), F.lit(40.0), F.lit(None).cast("double"), F.lit(60.0))
-    return t.events.filter("value < 900").select("event_id", r.alias("reason"))
+    return t.events.select("event_id", r.alias("reason"))
