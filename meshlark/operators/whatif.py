@@ -41,58 +41,102 @@ def build_tree(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def cut_set(tree: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """(scenario_id, key, dead): switched off, its country halted, under something dead, or gated.
+    """(scenario_id, tree columns): the rows that are dead, and no others, so that the work of a scenario grows with what fails.
 
-    An api is gated if it has precursors and each is dead or has suppliers that are all dead; its suppliers then are dead.
+    A row is dead if it is switched off, its country halted, it stands under something dead, or it is gated. An api is gated
+    if it has precursors and each is off or has suppliers that are all off; its suppliers then are dead.
     """
-    runs = scenarios.groupBy("scenario_id").agg(F.collect_set("off_id").alias("off"))
-    t = against(tree.select(*TREE), runs)
-    own = F.array_contains("off", F.col("id")) | F.coalesce(F.array_contains("off", F.concat(F.lit("country:"), "iso")), F.lit(False))
-    t = checkpointed(t.select("scenario_id", *TREE, own.alias("own")))  # read by every level
-    up = lambda df, name: df.select("scenario_id", F.col("key").alias("parent_key"), F.col("dead").alias(name))
-    keys = ["scenario_id", "parent_key"]
-    drugs = t.filter("kind = 'drug'").withColumn("dead", F.col("own"))
-    # precursors by themselves, then the gate over each api, then down again
-    pre = t.filter("kind = 'precursor'")
-    leaves = t.filter("kind = 'supplier' AND tier = 'precursor'")
-    all_dead = leaves.groupBy("scenario_id", F.col("parent_key").alias("key")).agg(F.bool_and("own").alias("leaves_dead"))
-    gates = pre.join(all_dead, ["scenario_id", "key"], "left").withColumn("shut", F.col("own") | F.coalesce("leaves_dead", F.lit(False)))
-    gated = gates.groupBy("scenario_id", F.col("parent_key").alias("key")).agg(F.bool_and("shut").alias("gated"))
-    api = t.filter("kind = 'api'").join(up(drugs, "under"), keys).join(gated, ["scenario_id", "key"], "left")
-    api = api.withColumn("dead", F.col("own") | F.col("under")).withColumn("blocked", F.col("dead") | F.coalesce("gated", F.lit(False)))
-    pre = pre.join(up(api, "under"), keys).withColumn("dead", F.col("own") | F.col("under"))
-    high = t.filter("kind = 'supplier' AND tier = 'api'").join(api.select("scenario_id", F.col("key").alias("parent_key"), F.col("blocked").alias("under")), keys)
-    low = leaves.join(up(pre, "under"), keys)
-    both = high.unionByName(low).withColumn("dead", F.col("own") | F.col("under"))
-    out = ["scenario_id", *TREE, "dead"]
-    return drugs.select(*out).unionByName(api.select(*out)).unionByName(pre.select(*out)).unionByName(both.select(*out))
-
-
-def rollup(cut: DataFrame) -> DataFrame:
-    """(scenario_id, key, id, kind, total, up, health): a leaf is one source; an item pools its suppliers, else its children."""
-    cut = checkpointed(cut)  # read by every level
-    leaf = cut.filter("kind = 'supplier'").withColumn("total", F.lit(1).cast("long")).withColumn("up", F.when(F.col("dead"), 0).otherwise(1).cast("long"))
-    cols = ["scenario_id", "key", "id", "parent_key", "kind", "total", "up"]
-
-    def pool(kind: str, children: DataFrame) -> DataFrame:
-        c = children.groupBy("scenario_id", F.col("parent_key").alias("key")).agg(
-            F.sum(F.when(F.col("kind") == "supplier", F.col("total"))).alias("st"), F.sum(F.when(F.col("kind") == "supplier", F.col("up"))).alias("su"), F.sum("total").alias("t"), F.sum("up").alias("u")
-        )
-        mine = cut.filter(F.col("kind") == kind).join(c, ["scenario_id", "key"], "left")
-        up = F.when(F.col("dead"), 0).otherwise(F.coalesce("su", "u", F.lit(1)))
-        return mine.select("scenario_id", "key", "id", "parent_key", "kind", F.coalesce("st", "t", F.lit(1)).cast("long").alias("total"), up.cast("long").alias("up"))
-
-    pre = pool("precursor", leaf.filter("tier = 'precursor'").select(*cols))
-    api = pool("api", leaf.filter("tier = 'api'").select(*cols).unionByName(pre))
-    drug = pool("drug", api)
-    all_rows = leaf.select(*cols).unionByName(pre).unionByName(api).unionByName(drug)
-    health = F.when(F.col("up") == 0, "down").when(F.col("up") < F.col("total"), "at-risk").otherwise("ok")
-    return all_rows.withColumn("health", health)
-
-
-def allocate(cut: DataFrame) -> DataFrame:
+    t = checkpointed(tree.select(*TREE))  # read by every level
+    off = scenarios.filter("off_id IS NOT NULL").select("scenario_id", "off_id").distinct()
+    names = t.select(*TREE, F.explode(F.array_compact(F.array("id", F.concat(F.lit("country:"), "iso")))).alias("off_id"))
+    own = checkpointed(names.join(off, "off_id").select("scenario_id", *TREE).distinct())
+    cols = ["scenario_id", *TREE]
+    leaf = lambda tier: f"kind = 'supplier' AND tier = '{tier}'"
+    keys = lambda rows: rows.select("scenario_id", F.col("key").alias("parent_key"))
+
+    def dead(rows: str, above: DataFrame) -> DataFrame:
+        """The tree's rows that are off themselves or lie under one of `above`(scenario_id, parent_key)."""
+        return own.filter(rows).unionByName(t.filter(rows).join(above, "parent_key").select(*cols)).distinct()
+
+    def all_of(part: DataFrame, rows: str) -> DataFrame:
+        """(scenario_id, key) whose children among `rows` all stand in part(scenario_id, parent_key)."""
+        n = t.filter(rows).groupBy("parent_key").agg(F.count(F.lit(1)).alias("n"))
+        met = part.groupBy("scenario_id", "parent_key").agg(F.count(F.lit(1)).alias("met")).join(n, "parent_key")
+        return met.filter("met = n").select("scenario_id", F.col("parent_key").alias("key"))
+
+    drugs = own.filter("kind = 'drug'")
+    apis = checkpointed(dead("kind = 'api'", keys(drugs)))
+    pres = checkpointed(dead("kind = 'precursor'", keys(apis)))
+    # precursors by themselves, then the gate over each api
+    idle = all_of(own.filter(leaf("precursor")), leaf("precursor")).join(t.filter("kind = 'precursor'").select("key", "parent_key"), "key")
+    shut = own.filter("kind = 'precursor'").select("scenario_id", "key", "parent_key").unionByName(idle.select("scenario_id", "key", "parent_key")).distinct()
+    blocked = keys(apis).unionByName(keys(all_of(shut, "kind = 'precursor'"))).distinct()
+    return drugs.unionByName(apis).unionByName(pres).unionByName(dead(leaf("api"), blocked)).unionByName(dead(leaf("precursor"), keys(pres)))
+
+
+def all_up(tree: DataFrame) -> DataFrame:
+    """(key, id, parent_key, kind, iso, total, direct): the roll-up with nothing off, made once for all scenarios. A leaf is one
+    source; an item pools its suppliers (direct), else its children."""
+    t = checkpointed(tree.select(*TREE))
+    per = lambda rows, name: rows.groupBy(F.col("parent_key").alias("key")).agg(F.sum("total").alias(name))
+    leaf = t.filter("kind = 'supplier'").withColumn("total", F.lit(1).cast("long")).withColumn("direct", F.lit(False))
+    sources = per(leaf, "sources")
+
+    def pool(kind: str, children: DataFrame | None) -> DataFrame:
+        mine = t.filter(F.col("kind") == kind).join(sources, "key", "left")
+        mine = mine.withColumn("below", F.lit(None).cast("long")) if children is None else mine.join(per(children, "below"), "key", "left")
+        return mine.select(*TREE, F.coalesce("sources", "below", F.lit(1)).cast("long").alias("total"), F.col("sources").isNotNull().alias("direct"))
+
+    pre = pool("precursor", None)
+    api = pool("api", pre)
+    rows = leaf.unionByName(pre).unionByName(api).unionByName(pool("drug", api))
+    return rows.select("key", "id", "parent_key", "kind", "iso", "total", "direct")
+
+
+def rollup(base: DataFrame, cut: DataFrame) -> DataFrame:
+    """(scenario_id, key, id, kind, total, up, health) of the rows that lose a source; all others stand as in `base` (all_up).
+
+    What is lost goes up the tree: a dead item loses all, another what its suppliers lose, or, without suppliers, its children.
+    """
+    base, cut = checkpointed(base), checkpointed(cut.select("scenario_id", "key", "parent_key", "kind"))
+    leaves = cut.filter("kind = 'supplier'").select("scenario_id", "key", "parent_key", F.lit(1).cast("long").alias("lost"))
+    per = lambda rows, name: rows.groupBy("scenario_id", F.col("parent_key").alias("key")).agg(F.sum("lost").alias(name))
+    sources = checkpointed(per(leaves, "sources"))
+
+    def level(kind: str, children: DataFrame | None) -> DataFrame:
+        gone = cut.filter(F.col("kind") == kind).select("scenario_id", "key", F.lit(True).alias("dead"))
+        met = gone.join(sources, ["scenario_id", "key"], "full")
+        met = met.withColumn("below", F.lit(None).cast("long")) if children is None else met.join(per(children, "below"), ["scenario_id", "key"], "full")
+        part = F.when(F.col("direct"), F.col("sources")).otherwise(F.col("below"))
+        met = met.join(base.filter(F.col("kind") == kind), "key").withColumn("lost", F.when(F.col("dead"), F.col("total")).otherwise(part))
+        return checkpointed(met.filter("lost > 0").select("scenario_id", "key", "parent_key", "lost"))
+
+    pre = level("precursor", None)
+    api = level("api", pre)
+    lost = leaves.unionByName(pre).unionByName(api).unionByName(level("drug", api))
+    out = lost.drop("parent_key").join(base, "key").withColumn("up", F.col("total") - F.col("lost"))
+    return out.select("scenario_id", "key", "id", "kind", "total", "up", health(F.col("up"), F.col("total")).alias("health"))
+
+
+def health(up: Column, total: Column) -> Column:
+    return F.when(up == 0, "down").when(up < total, "at-risk").otherwise("ok")
+
+
+def overlaid(base: DataFrame, changed: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """rollup's columns for every row of `base` in every scenario: for a part of the tree, such as its drugs."""
+    rows = against(base.select("key", "id", "kind", "total"), scenarios.select("scenario_id").distinct())
+    up = F.coalesce("up", "total")
+    rows = rows.join(changed.select("scenario_id", "key", "up"), ["scenario_id", "key"], "left").withColumn("up", up)
+    return rows.select("scenario_id", "key", "id", "kind", "total", "up", health(F.col("up"), F.col("total")).alias("health"))
+
+
+def allocate(base: DataFrame, cut: DataFrame, scenarios: DataFrame) -> DataFrame:
     """(scenario_id, iso, total, up, share): even split of the suppliers left standing over their jurisdictions."""
-    per = cut.filter("kind = 'supplier'").groupBy("scenario_id", F.coalesce("iso", F.lit("unknown")).alias("iso")).agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("dead")).alias("up"))
+    iso = F.coalesce("iso", F.lit("unknown")).alias("iso")
+    per = base.filter("kind = 'supplier'").groupBy(iso).agg(F.count(F.lit(1)).alias("total"))
+    lost = cut.filter("kind = 'supplier'").groupBy("scenario_id", iso).agg(F.count(F.lit(1)).alias("lost"))
+    per = against(per, scenarios.select("scenario_id").distinct()).join(lost, ["scenario_id", "iso"], "left")
+    per = per.withColumn("up", F.col("total") - F.coalesce("lost", F.lit(0))).drop("lost")
     share = F.coalesce(F.try_divide(F.col("up").cast("double"), F.sum("up").over(Window.partitionBy("scenario_id")).cast("double")), F.lit(0.0))
     return per.withColumn("share", share)
 
@@ -125,5 +169,6 @@ def partner(anchors: DataFrame, others: DataFrame, by: list[str], per_point: flo
 
 
 def chain_health(rolled: DataFrame) -> DataFrame:
+    """The drugs of a roll-up (of `overlaid` drugs, where the unharmed ones count too)."""
     return rolled.filter("kind = 'drug'").select("scenario_id", F.col("id").alias("drug"), "total", "up", "health")
 

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph, whatif
-from .names import sql_values
 from .registry import Tables, query, r6
 
 
@@ -110,57 +109,96 @@ def q73(t):
     return graph.guarded_inverse(e, n)
 
 
-# an invented bill of materials: two drugs, three apis, gates, suppliers in both tiers
-BOM = [
-    ("api:a", "active_in", "drug:x"), ("api:b", "active_in", "drug:x"), ("api:c", "active_in", "drug:y"),
-    ("precursor:k", "feeds", "api:a"), ("precursor:m", "feeds", "api:a"), ("precursor:k", "feeds", "api:c"),
-    ("api:a", "produced_by", "company:name:s1"), ("api:a", "produced_by", "company:name:s2"), ("api:b", "produced_by", "company:name:s3"), ("api:c", "produced_by", "company:name:s1"), ("api:c", "produced_by", "company:name:s4"),
-    ("precursor:k", "produced_by", "company:name:s5"), ("precursor:m", "produced_by", "company:name:s5"), ("precursor:m", "produced_by", "company:name:s1"),
-    ("company:name:s1", "incorporated_in", "country:aa"), ("company:name:s2", "incorporated_in", "country:bb"), ("company:name:s3", "incorporated_in", "country:aa"), ("company:name:s5", "incorporated_in", "country:cc"),
-]
-SCENARIOS = [("none", None), ("one", "company:name:s1"), ("land", "country:aa"), ("gate", "company:name:s5"), ("both", "company:name:s5"), ("both", "company:name:s1"), ("api", "api:a"), ("root", "drug:y")]
-TREE_SQL = f"""e(src, rel, dst) AS (VALUES {sql_values(BOM)}), sc(scenario_id, off_id) AS (VALUES {sql_values(SCENARIOS)}), ids AS (SELECT DISTINCT scenario_id FROM sc),
-iso AS (SELECT src AS id, replace(dst, 'country:', '') AS iso FROM e WHERE rel = 'incorporated_in'),
-dr AS (SELECT 'drug:x' AS key, 'drug:x' AS id UNION ALL SELECT 'drug:y', 'drug:y'),
+# The bill of materials: a part is a precursor of the api named by its brand and name, which is active in the drug of its
+# brand and, for large parts, in that of its type. Suppliers make the parts of their lines; lines of 50 are whole apis.
+ROOTS = "SELECT DISTINCT 'drug:' || p_brand AS id FROM part UNION SELECT 'drug:' || p_type FROM part WHERE p_size > 45"
+TREE_SQL = f"""e AS (SELECT DISTINCT 'api:' || p_brand || ' ' || p_name AS src, 'active_in' AS rel, 'drug:' || p_brand AS dst FROM part
+ UNION ALL SELECT DISTINCT 'api:' || p_brand || ' ' || p_name, 'active_in', 'drug:' || p_type FROM part WHERE p_size > 45
+ UNION ALL SELECT 'precursor:' || p_partkey, 'feeds', 'api:' || p_brand || ' ' || p_name FROM part
+ UNION ALL SELECT DISTINCT 'precursor:' || l_partkey, 'produced_by', 'company:' || l_suppkey FROM lineitem
+ UNION ALL SELECT DISTINCT 'api:' || p_brand || ' ' || p_name, 'produced_by', 'company:' || l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity = 50),
+sc AS (SELECT 'none' AS scenario_id, NULL AS off_id UNION ALL SELECT 'one', 'company:' || min(s_suppkey) FROM supplier UNION ALL SELECT 'land', 'country:n' || max(n_nationkey) FROM nation UNION ALL SELECT 'lands', 'country:n' || n_nationkey FROM nation WHERE n_regionkey = 1
+ UNION ALL SELECT 'poor', 'company:' || s_suppkey FROM supplier WHERE s_acctbal < 5000 UNION ALL SELECT 'api', min('api:' || p_brand || ' ' || p_name) FROM part UNION ALL SELECT 'root', min('drug:' || p_brand) FROM part UNION ALL SELECT 'gate', 'precursor:' || p_partkey FROM part WHERE p_brand = 'Brand#3'),
+ids AS (SELECT DISTINCT scenario_id FROM sc),
+iso AS (SELECT 'company:' || s_suppkey AS id, 'n' || s_nationkey AS iso FROM supplier WHERE s_acctbal > 0),
+dr AS (SELECT id AS key, id FROM ({ROOTS})),
 ap AS (SELECT dr.key || '|' || src AS key, src AS id, dr.key AS parent_key FROM dr JOIN e ON rel = 'active_in' AND dst = dr.id),
 pr AS (SELECT ap.key || '|' || src AS key, src AS id, ap.key AS parent_key FROM ap JOIN e ON rel = 'feeds' AND dst = ap.id),
-sa AS (SELECT ap.key || '|' || dst AS key, dst AS id, ap.key AS parent_key FROM ap JOIN e ON rel = 'produced_by' AND src = ap.id),
-sp AS (SELECT pr.key || '|' || dst AS key, dst AS id, pr.key AS parent_key FROM pr JOIN e ON rel = 'produced_by' AND src = pr.id),
-off AS (SELECT i.scenario_id, x.id FROM ids i, (SELECT DISTINCT id FROM (SELECT id FROM dr UNION SELECT id FROM ap UNION SELECT id FROM pr UNION SELECT id FROM sa UNION SELECT id FROM sp)) x LEFT JOIN iso ON iso.id = x.id WHERE EXISTS (SELECT 1 FROM sc WHERE sc.scenario_id = i.scenario_id AND (off_id = x.id OR off_id = 'country:' || iso.iso))),
-ddr AS (SELECT scenario_id, key, id, NULL AS parent_key, 'drug' AS kind, (scenario_id, id) IN (SELECT (scenario_id, id) FROM off) AS dead FROM dr, ids),
-dap AS (SELECT d.scenario_id, ap.key, ap.id, ap.parent_key, 'api' AS kind, d.dead OR (d.scenario_id, ap.id) IN (SELECT (scenario_id, id) FROM off) AS dead FROM ap JOIN ddr d ON d.key = ap.parent_key),
-dpr AS (SELECT d.scenario_id, pr.key, pr.id, pr.parent_key, 'precursor' AS kind, d.dead OR (d.scenario_id, pr.id) IN (SELECT (scenario_id, id) FROM off) AS dead FROM pr JOIN dap d ON d.key = pr.parent_key),
-g AS (SELECT i.scenario_id, pr.parent_key AS key, bool_and((i.scenario_id, pr.id) IN (SELECT (scenario_id, id) FROM off) OR coalesce((SELECT bool_and((i.scenario_id, sp.id) IN (SELECT (scenario_id, id) FROM off)) FROM sp WHERE sp.parent_key = pr.key), false)) AS gated FROM pr, ids i GROUP BY 1, 2),
-dsa AS (SELECT d.scenario_id, sa.key, sa.id, sa.parent_key, 'supplier' AS kind, d.dead OR coalesce(g.gated, false) OR (d.scenario_id, sa.id) IN (SELECT (scenario_id, id) FROM off) AS dead FROM sa JOIN dap d ON d.key = sa.parent_key LEFT JOIN g ON g.scenario_id = d.scenario_id AND g.key = d.key),
-dsp AS (SELECT d.scenario_id, sp.key, sp.id, sp.parent_key, 'supplier' AS kind, d.dead OR (d.scenario_id, sp.id) IN (SELECT (scenario_id, id) FROM off) AS dead FROM sp JOIN dpr d ON d.key = sp.parent_key),
+t0 AS (SELECT key, id, NULL AS parent_key, 'drug' AS kind, 'drug' AS tier FROM dr UNION ALL SELECT *, 'api', 'api' FROM ap UNION ALL SELECT *, 'precursor', 'precursor' FROM pr
+ UNION ALL SELECT ap.key || '|' || dst, dst, ap.key, 'supplier', 'api' FROM ap JOIN e ON rel = 'produced_by' AND src = ap.id UNION ALL SELECT pr.key || '|' || dst, dst, pr.key, 'supplier', 'precursor' FROM pr JOIN e ON rel = 'produced_by' AND src = pr.id),
+tr AS (SELECT t0.*, iso FROM t0 LEFT JOIN iso USING (id)),
+own AS (SELECT scenario_id, key FROM tr JOIN sc ON off_id = id UNION SELECT scenario_id, key FROM tr JOIN sc ON off_id = 'country:' || iso),
+w AS (SELECT i.scenario_id, tr.*, o.key IS NOT NULL AS own FROM ids i CROSS JOIN tr LEFT JOIN own o ON o.scenario_id = i.scenario_id AND o.key = tr.key),
+ddr AS (SELECT *, own AS dead FROM w WHERE kind = 'drug'),
+dap AS (SELECT w.*, w.own OR d.dead AS dead FROM w JOIN ddr d ON d.scenario_id = w.scenario_id AND d.key = w.parent_key WHERE w.kind = 'api'),
+dpr AS (SELECT w.*, w.own OR d.dead AS dead FROM w JOIN dap d ON d.scenario_id = w.scenario_id AND d.key = w.parent_key WHERE w.kind = 'precursor'),
+lv AS (SELECT scenario_id, parent_key AS key, bool_and(own) AS halted FROM w WHERE kind = 'supplier' AND tier = 'precursor' GROUP BY 1, 2),
+g AS (SELECT w.scenario_id, w.parent_key AS key, bool_and(w.own OR coalesce(halted, false)) AS gated FROM w LEFT JOIN lv ON lv.scenario_id = w.scenario_id AND lv.key = w.key WHERE kind = 'precursor' GROUP BY 1, 2),
+dsa AS (SELECT w.*, w.own OR d.dead OR coalesce(gated, false) AS dead FROM w JOIN dap d ON d.scenario_id = w.scenario_id AND d.key = w.parent_key LEFT JOIN g ON g.scenario_id = w.scenario_id AND g.key = w.parent_key WHERE w.kind = 'supplier' AND w.tier = 'api'),
+dsp AS (SELECT w.*, w.own OR d.dead AS dead FROM w JOIN dpr d ON d.scenario_id = w.scenario_id AND d.key = w.parent_key WHERE w.kind = 'supplier' AND w.tier = 'precursor'),
 cut AS (SELECT * FROM ddr UNION ALL SELECT * FROM dap UNION ALL SELECT * FROM dpr UNION ALL SELECT * FROM dsa UNION ALL SELECT * FROM dsp)"""
+ROLL_SQL = f"""{TREE_SQL}, lf AS (SELECT scenario_id, parent_key AS key, count(*) AS t, count(*) FILTER (NOT dead) AS u FROM cut WHERE kind = 'supplier' GROUP BY 1, 2),
+rp AS (SELECT d.scenario_id, d.key, d.id, d.parent_key, coalesce(t, 1) AS total, CASE WHEN dead THEN 0 ELSE coalesce(u, 1) END AS up FROM dpr d LEFT JOIN lf ON lf.scenario_id = d.scenario_id AND lf.key = d.key),
+sp AS (SELECT scenario_id, parent_key AS key, sum(total) AS t, sum(up) AS u FROM rp GROUP BY 1, 2),
+ra AS (SELECT d.scenario_id, d.key, d.id, d.parent_key, coalesce(lf.t, sp.t, 1) AS total, CASE WHEN dead THEN 0 ELSE coalesce(lf.u, sp.u, 1) END AS up FROM dap d LEFT JOIN lf ON lf.scenario_id = d.scenario_id AND lf.key = d.key LEFT JOIN sp ON sp.scenario_id = d.scenario_id AND sp.key = d.key),
+sa AS (SELECT scenario_id, parent_key AS key, sum(total) AS t, sum(up) AS u FROM ra GROUP BY 1, 2),
+rd AS (SELECT d.scenario_id, d.key, d.id, coalesce(t, 1) AS total, CASE WHEN dead THEN 0 ELSE coalesce(u, 1) END AS up FROM ddr d LEFT JOIN sa ON sa.scenario_id = d.scenario_id AND sa.key = d.key),
+r AS (SELECT scenario_id, key, id, 'drug' AS kind, total, up FROM rd UNION ALL SELECT scenario_id, key, id, 'api', total, up FROM ra UNION ALL SELECT scenario_id, key, id, 'precursor', total, up FROM rp UNION ALL SELECT scenario_id, key, id, 'supplier', 1, (NOT dead)::INT FROM cut WHERE kind = 'supplier'),
+h AS (SELECT scenario_id, key, id, kind, total::BIGINT AS total, up::BIGINT AS up, CASE WHEN up = 0 THEN 'down' WHEN up < total THEN 'at-risk' ELSE 'ok' END AS health FROM r)"""
+
+
+def bom(t: Tables) -> DataFrame:
+    part = t.part.select("p_partkey", "p_brand", "p_type", "p_size", F.concat(F.lit("api:"), "p_brand", F.lit(" "), "p_name").alias("api"))
+    to = lambda df, src, rel, dst: df.select(src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst")).distinct()
+    pre, maker = nid("precursor:", "l_partkey"), nid("company:", "l_suppkey")
+    whole = t.lineitem.filter("l_quantity = 50").join(part, F.col("p_partkey") == F.col("l_partkey"))
+    return (
+        to(part, F.col("api"), "active_in", nid("drug:", "p_brand"))
+        .unionByName(to(part.filter("p_size > 45"), F.col("api"), "active_in", nid("drug:", "p_type")))
+        .unionByName(to(part, nid("precursor:", "p_partkey"), "feeds", F.col("api")))
+        .unionByName(to(t.lineitem, pre, "produced_by", maker))
+        .unionByName(to(whole, F.col("api"), "produced_by", maker))
+        .unionByName(to(t.supplier.filter("s_acctbal > 0"), nid("company:", "s_suppkey"), "incorporated_in", nid("country:n", "s_nationkey")))
+    )
 
 
-def cut(t: Tables) -> DataFrame:
-    e = t.spark.createDataFrame(BOM, "src string, rel string, dst string")
-    tree = whatif.build_tree(e, t.spark.createDataFrame([("drug:x",), ("drug:y",)], "id string"))
-    return whatif.cut_set(tree, t.spark.createDataFrame(SCENARIOS, "scenario_id string, off_id string"))
+def tree(t: Tables) -> DataFrame:
+    roots = t.part.select(nid("drug:", "p_brand").alias("id")).unionByName(t.part.filter("p_size > 45").select(nid("drug:", "p_type").alias("id"))).distinct()
+    return graph.checkpointed(whatif.build_tree(graph.checkpointed(bom(t)), roots))
+
+
+def scenarios(t: Tables) -> DataFrame:
+    """A company, a country, a region's countries, all poor companies, an api, a drug and a brand's precursors switched off."""
+    named = lambda df, name, off: df.select(F.lit(name).alias("scenario_id"), off.alias("off_id"))
+    api = F.concat(F.lit("api:"), "p_brand", F.lit(" "), "p_name")
+    return graph.checkpointed(
+        t.spark.createDataFrame([("none", None)], "scenario_id string, off_id string")
+        .unionByName(named(t.supplier.agg(F.min("s_suppkey").alias("s")), "one", nid("company:", "s")))
+        .unionByName(named(t.nation.agg(F.max("n_nationkey").alias("n")), "land", nid("country:n", "n")))
+        .unionByName(named(t.nation.filter("n_regionkey = 1"), "lands", nid("country:n", "n_nationkey")))
+        .unionByName(named(t.supplier.filter("s_acctbal < 5000"), "poor", nid("company:", "s_suppkey")))
+        .unionByName(named(t.part.agg(F.min(api).alias("a")), "api", F.col("a")))
+        .unionByName(named(t.part.agg(F.min("p_brand").alias("b")), "root", nid("drug:", "b")))
+        .unionByName(named(t.part.filter("p_brand = 'Brand#3'"), "gate", nid("precursor:", "p_partkey")))
+    )
 
 
-@query("q37_cut_set", f"WITH {TREE_SQL} SELECT scenario_id, key, id, kind, dead FROM cut")
+@query("q37_cut_set", f"WITH {TREE_SQL} SELECT scenario_id, key, id, kind FROM cut WHERE dead")
 def q37(t):
-    return cut(t).select("scenario_id", "key", "id", "kind", "dead")
+    return whatif.cut_set(tree(t), scenarios(t)).select("scenario_id", "key", "id", "kind")
 
 
-@query("q36_tree_rollup", f"""WITH {TREE_SQL}, lf AS (SELECT scenario_id, key, parent_key, 1 AS total, (NOT dead)::INT AS up FROM cut WHERE kind = 'supplier'),
-p AS (SELECT d.scenario_id, d.key, d.id, d.parent_key, count(lf.key) AS t, CASE WHEN d.dead THEN 0 ELSE sum(lf.up) END AS u FROM dpr d LEFT JOIN lf ON lf.scenario_id = d.scenario_id AND lf.parent_key = d.key GROUP BY d.scenario_id, d.key, d.id, d.parent_key, d.dead),
-a AS (SELECT d.scenario_id, d.key, d.id, d.parent_key, count(lf.key) AS t, CASE WHEN d.dead THEN 0 ELSE sum(lf.up) END AS u FROM dap d LEFT JOIN lf ON lf.scenario_id = d.scenario_id AND lf.parent_key = d.key GROUP BY d.scenario_id, d.key, d.id, d.parent_key, d.dead),
-r AS (SELECT d.scenario_id, d.key, d.id, 'drug' AS kind, sum(a.t) AS total, CASE WHEN d.dead THEN 0 ELSE sum(a.u) END AS up FROM ddr d JOIN a ON a.scenario_id = d.scenario_id AND a.parent_key = d.key GROUP BY d.scenario_id, d.key, d.id, d.dead
- UNION ALL SELECT scenario_id, key, id, 'api', t, u FROM a UNION ALL SELECT scenario_id, key, id, 'precursor', t, u FROM p UNION ALL SELECT scenario_id, key, id, 'supplier', 1, (NOT dead)::INT FROM cut WHERE kind = 'supplier')
-SELECT scenario_id, key, id, kind, total::BIGINT AS total, up::BIGINT AS up, CASE WHEN up = 0 THEN 'down' WHEN up < total THEN 'at-risk' ELSE 'ok' END AS health FROM r""")
+@query("q36_tree_rollup", f"WITH {ROLL_SQL} SELECT * FROM h WHERE health <> 'ok'")
 def q36(t):
-    return whatif.rollup(cut(t)).select("scenario_id", "key", "id", "kind", "total", "up", "health")
+    rows = tree(t)
+    return whatif.rollup(whatif.all_up(rows), whatif.cut_set(rows, scenarios(t)))
 
 
-@query("q38_allocate_share", f"""WITH {TREE_SQL}, p AS (SELECT scenario_id, coalesce(iso, 'unknown') AS iso, count(*) AS total, count(*) FILTER (NOT dead) AS up FROM cut LEFT JOIN iso USING (id) WHERE kind = 'supplier' GROUP BY 1, 2)
+@query("q38_allocate_share", f"""WITH {TREE_SQL}, p AS (SELECT scenario_id, coalesce(iso, 'unknown') AS iso, count(*) AS total, count(*) FILTER (NOT dead) AS up FROM cut WHERE kind = 'supplier' GROUP BY 1, 2)
 SELECT scenario_id, iso, total, up, round(coalesce(up / nullif(sum(up) OVER (PARTITION BY scenario_id), 0)::DOUBLE, 0), 6) AS share FROM p""")
 def q38(t):
-    return whatif.allocate(cut(t)).withColumn("share", r6("share"))
+    rows, off = tree(t), scenarios(t)
+    return whatif.allocate(whatif.all_up(rows), whatif.cut_set(rows, off), off).withColumn("share", r6("share"))
 
 
 @query("q40_rerank_against_failure", """WITH a AS (SELECT s_nationkey AS node, s_name AS holder, CASE WHEN s_suppkey % 5 = 0 THEN [] WHEN s_suppkey % 5 < 3 THEN ['c' || (s_suppkey % 5)] ELSE ['c1', 'c' || (s_suppkey % 5)] END AS iso2, round(s_acctbal / 1000, 1) AS score, s_acctbal > 0 AS viable, s_suppkey % 6 <> 0 AS standing FROM supplier),

@@ -9,7 +9,7 @@ from ..functions import text, values
 from ..operators import fuzzy, graph, merge, pointintime, registers, rules, stats, views, whatif
 from ..sources import readers, sinks
 from ..streaming import telemetry
-from .graphs import BOM, E, TREE_SQL, cut, edges, nid
+from .graphs import E, ROLL_SQL, TREE_SQL, bom, edges, nid, scenarios, tree
 from .market import CUTOFF, L, listings
 from .registry import Tables, query, r6
 from .signals import DAY, HIST, SIG, history, signals, universe
@@ -202,16 +202,17 @@ def q110(t):
     return g.select("r_regionkey", views.country_name(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")), {"r0": "Nowhere", "r1": "Somewhere"}).alias("name"), views.listed(F.col("n")).alias("nations"))
 
 
-@query("q111_tree_paths", f"WITH {TREE_SQL} SELECT DISTINCT key, id, kind, (len(string_split(key, '|')) - 1)::INT AS depth, replace(key, '|', ' > ') AS path FROM cut")
+@query("q111_tree_paths", f"WITH {TREE_SQL} SELECT key, id, kind, (len(string_split(key, '|')) - 1)::INT AS depth, replace(key, '|', ' > ') AS path FROM tr")
 def q111(t):
-    e = t.spark.createDataFrame(BOM, "src string, rel string, dst string")
-    return views.tree_paths(whatif.build_tree(e, t.spark.createDataFrame([("drug:x",), ("drug:y",)], "id string")))
+    return views.tree_paths(tree(t))
 
 
-@query("q112_chain_health", f"""WITH {TREE_SQL}, lf AS (SELECT scenario_id, parent_key, count(*) AS t, sum((NOT dead)::INT) AS u FROM cut WHERE kind = 'supplier' GROUP BY 1, 2), a AS (SELECT d.scenario_id, d.parent_key, coalesce(t, 1) AS t, CASE WHEN d.dead THEN 0 ELSE coalesce(u, 1) END AS u FROM dap d LEFT JOIN lf ON lf.scenario_id = d.scenario_id AND lf.parent_key = d.key)
-SELECT d.scenario_id, d.id AS drug, sum(t)::BIGINT AS total, (CASE WHEN d.dead THEN 0 ELSE sum(u) END)::BIGINT AS up FROM ddr d JOIN a ON a.scenario_id = d.scenario_id AND a.parent_key = d.key GROUP BY d.scenario_id, d.id, d.dead""")
+@query("q112_chain_health", f"WITH {ROLL_SQL} SELECT scenario_id, id AS drug, total, up, health FROM h WHERE kind = 'drug'")
 def q112(t):
-    return whatif.chain_health(whatif.rollup(cut(t))).drop("health")
+    rows, off = tree(t), scenarios(t)
+    base = whatif.all_up(rows)
+    changed = whatif.rollup(base, whatif.cut_set(rows, off))
+    return whatif.chain_health(whatif.overlaid(base.filter("kind = 'drug'"), changed, off))
 
 
 @query("q113_keyed_stream_view", """SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(event_id) FILTER (last) AS event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AS last FROM events) GROUP BY 1""")
@@ -389,9 +390,9 @@ def q138(t):
     return stats.monotone(t.nation, "n_nationkey", "n_nationkey").select(stats.ships(F.lit(0.06), F.lit(0.001), F.lit(2)).alias("ships"), "monotone")
 
 
-@query("q139_siblings", "SELECT id FROM (VALUES ('drug:y')) AS v(id)")
+@query("q139_siblings", f"WITH {TREE_SQL}, d AS (SELECT min('drug:' || p_brand) AS id FROM part), mine AS (SELECT src FROM e, d WHERE rel = 'active_in' AND dst = id), pre AS (SELECT src FROM e WHERE rel = 'feeds' AND dst IN (FROM mine)) SELECT DISTINCT dst AS id FROM e WHERE rel = 'active_in' AND dst <> (SELECT id FROM d) AND src IN (SELECT dst FROM e WHERE rel = 'feeds' AND src IN (FROM pre))")
 def q139(t):
-    return graph.siblings(t.spark.createDataFrame(BOM, "src string, rel string, dst string"), "drug:x")
+    return graph.siblings(bom(t), "drug:" + t.part.agg(F.min("p_brand")).first()[0])
 
 
 @query("q140_node_detail", f"WITH {E} SELECT side, count(*) AS n FROM (SELECT 'out' AS side FROM e WHERE src = 's7' UNION ALL SELECT 'in' FROM e WHERE dst = 's7') GROUP BY 1")

@@ -172,14 +172,67 @@ def test_rows_against_a_stated_set(spark):
     assert order.against(rows, queries.filter("q < 0")).count() == 0
 
 
-def test_whatif_tree(spark):
-    from meshlark.plans.graphs import BOM, SCENARIOS
-
+BOM = [
+    ("api:a", "active_in", "drug:x"), ("api:b", "active_in", "drug:x"), ("api:c", "active_in", "drug:y"), ("api:d", "active_in", "drug:y"),
+    ("precursor:k", "feeds", "api:a"), ("precursor:m", "feeds", "api:a"), ("precursor:k", "feeds", "api:c"), ("precursor:n", "feeds", "api:d"), ("precursor:m", "feeds", "api:d"),
+    ("api:a", "produced_by", "s1"), ("api:a", "produced_by", "s2"), ("api:b", "produced_by", "s3"), ("api:c", "produced_by", "s1"), ("api:c", "produced_by", "s4"),
+    ("precursor:k", "produced_by", "s5"), ("precursor:m", "produced_by", "s5"), ("precursor:m", "produced_by", "s1"),
+    ("s1", "incorporated_in", "country:aa"), ("s2", "incorporated_in", "country:bb"), ("s3", "incorporated_in", "country:aa"), ("s5", "incorporated_in", "country:cc"),
+]
+SCENARIOS = [("none", None), ("one", "s1"), ("land", "country:aa"), ("gate", "s5"), ("both", "s5"), ("both", "s1"), ("api", "api:a"), ("root", "drug:y"), ("twice", "s1"), ("twice", "s1"), ("twice", "country:aa"), ("pre", "precursor:n"), ("unknown", "nobody")]
+
+
+def whole_rollup(tree, off):
+    """{key: (dead, total, up)} by walking the tree from its roots."""
+    below = {}
+    for r in tree:
+        below.setdefault(r["parent_key"], []).append(r)
+    own = lambda r: r["id"] in off or (r["iso"] is not None and "country:" + r["iso"] in off)
+    out = {}
+
+    def walk(r, under):
+        children = below.get(r["key"], [])
+        dead = own(r) or under
+        sources, items = [c for c in children if c["kind"] == "supplier"], [c for c in children if c["kind"] != "supplier"]
+        idle = lambda p: own(p) or bool(below.get(p["key"])) and all(own(c) for c in below[p["key"]])
+        gated = r["kind"] == "api" and bool(items) and all(idle(p) for p in items)
+        for c in sources:
+            walk(c, dead or gated)
+        for c in items:
+            walk(c, dead)
+        pool = [out[c["key"]] for c in sources or items]
+        total = sum(x[1] for x in pool) if pool else 1
+        up = 0 if dead else sum(x[2] for x in pool) if pool else 1
+        out[r["key"]] = (dead, total, up)
+
+    for r in below[None]:
+        walk(r, False)
+    return out
+
+
+def test_whatif_by_difference(spark):
+    """Dead rows, changed rows, all drugs and the allocation equal a walk over the whole tree in each scenario."""
     e = spark.createDataFrame(BOM, "src string, rel string, dst string")
-    tree = whatif.build_tree(e, spark.createDataFrame([("drug:x",)], "id string"))
-    rolled = whatif.rollup(whatif.cut_set(tree, spark.createDataFrame(SCENARIOS, "scenario_id string, off_id string")))
-    health = {r.scenario_id: r.health for r in whatif.chain_health(rolled).collect()}
-    assert health["none"] == "ok" and health["one"] == "at-risk"
+    tree = whatif.build_tree(e, spark.createDataFrame([("drug:x",), ("drug:y",)], "id string"))
+    off = spark.createDataFrame(SCENARIOS, "scenario_id string, off_id string")
+    rows = [r.asDict() for r in tree.collect()]
+    base, cut = whatif.all_up(tree), whatif.cut_set(tree, off)
+    changed = whatif.rollup(base, cut)
+    dead, lost = [tuple(r) for r in cut.select("scenario_id", "key").collect()], {(r.scenario_id, r.key): (r.total, r.up) for r in changed.collect()}
+    drugs = {(r.scenario_id, r.drug): (r.total, r.up, r.health) for r in whatif.chain_health(whatif.overlaid(base.filter("kind = 'drug'"), changed, off)).collect()}
+    shares = {(r.scenario_id, r.iso): (r.total, r.up) for r in whatif.allocate(base, cut, off).collect()}
+    names = {s for s, _ in SCENARIOS}
+    want = {s: whole_rollup(rows, {o for n, o in SCENARIOS if n == s and o}) for s in names}
+    assert sorted(dead) == sorted((s, k) for s in names for k, v in want[s].items() if v[0])
+    assert lost == {(s, k): v[1:] for s in names for k, v in want[s].items() if v[2] < v[1]}
+    assert {k: v[:2] for k, v in drugs.items()} == {(s, d): want[s][d][1:] for s in names for d in ("drug:x", "drug:y")}
+    assert drugs[("none", "drug:x")][2] == "ok" and drugs[("one", "drug:x")][2] == "at-risk" and drugs[("root", "drug:y")][2] == "down"
+    for s in names:
+        sources = [(r["iso"] or "unknown", want[s][r["key"]][0]) for r in rows if r["kind"] == "supplier"]
+        for iso in {i for i, _ in sources}:
+            here = [gone for i, gone in sources if i == iso]
+            assert shares[(s, iso)] == (len(here), here.count(False))
+    assert whatif.cut_set(tree, off.filter("off_id IS NULL")).count() == 0 and whatif.rollup(base.limit(0), cut.limit(0)).count() == 0
 
 
 def test_audit_detects(spark):
