@@ -60,3 +60,31 @@ def against(rows: DataFrame, queries: DataFrame, block: int = 256, salts: int =
         spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         met = spread.join(sets, ["_block", "_salt"])
     return met.select(*rows.columns, F.explode("_queries").alias("_query")).select(*rows.columns, *[F.col("_query")[c].alias(c) for c in queries.columns])
+
+
+def bracketed(rows: DataFrame, score: str, points: DataFrame, at: str) -> DataFrame:
+    """rows with `before`, the last of `points` at or below the score, and `after`, the first one above it (structs of the
+    points' columns; null where there is none, both for a null score).
+
+    Points and rows are sorted together into ranges; a range carries on what the ranges before and after it end with, two
+    rows each, so neither side is broadcast or held in one task. Equal scores may lie in several ranges.
+    """
+    point, row = F.struct(*points.columns), F.struct(*rows.columns)
+    none = lambda df: F.lit(None).cast(df.schema.simpleString())
+    salt = lambda kind: F.lit(kind).alias("_kind")
+    at_points = points.filter(F.col(at).isNotNull()).select(F.col(at).cast("double").alias("_at"), salt(0), F.xxhash64(point).alias("_salt"), point.alias("_point"), none(rows).alias("_row"))
+    at_rows = rows.select(F.col(score).cast("double").alias("_at"), salt(1), F.xxhash64(row).alias("_salt"), none(points).alias("_point"), row.alias("_row"))
+    both = at_points.unionByName(at_rows).repartitionByRange("_at", "_kind", "_salt")
+    cut = checkpointed(both.withColumn("_range", F.spark_partition_id()))
+    spot = F.struct("_at", "_salt", "_point")
+    ends = cut.filter("_kind = 0").groupBy("_range").agg(F.max(spot)["_point"].alias("_last"), F.min(spot)["_point"].alias("_first"))
+    ranges = cut.select("_range").distinct().join(ends, "_range", "left")  # a row a range
+    w = lambda *o: Window.orderBy(*o).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("_range", F.last("_last", True).over(w("_range")).alias("_earlier"), F.last("_first", True).over(w(F.desc("_range"))).alias("_later"))
+    here = lambda *o: Window.partitionBy("_range").orderBy(*o).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = [F.col(c).desc() for c in ("_at", "_kind", "_salt")]
+    met = cut.withColumn("_below", F.last("_point", True).over(here("_at", "_kind", "_salt"))).withColumn("_above", F.last("_point", True).over(here(*down)))
+    met = met.filter("_kind = 1").join(F.broadcast(ranges), "_range")
+    known = F.col("_at").isNotNull()
+    before, after = F.when(known, F.coalesce("_below", "_earlier")), F.when(known, F.coalesce("_above", "_later"))
+    return met.select("_row.*", before.alias("before"), after.alias("after"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import wilson
 from .graph import checkpointed
-from .order import before, counted
+from .order import before, bracketed, counted
 
 
 def hhi(df: DataFrame, group, part: str, weight: Column | None = None) -> DataFrame:
@@ -292,22 +292,29 @@ def isotonic_blocks(bins: DataFrame, width: int = 4096) -> DataFrame:
 
 
 def apply_curve(df: DataFrame, curve: DataFrame, score: str) -> DataFrame:
-    """p, lo, hi, at_ceiling: linear between the curve's points, flat outside; bounds interpolate the points' Wilson bounds."""
-    pts = curve.withColumn("_w", wilson(F.bround(F.col("p") * F.col("n")), F.col("n")))
-    arr = pts.agg(F.array_sort(F.collect_list(F.struct("at", "p", F.col("_w.lo").alias("lo"), F.col("_w.hi").alias("hi")))).alias("_c"))
-    d = df.join(F.broadcast(arr))  # one row: the curve
-    s = F.col(score)
-    left = F.expr(f"filter(_c, x -> x.at <= `{score}`)")
-    a = F.coalesce(F.try_element_at(left, F.lit(-1)), F.col("_c")[0])
-    b = F.coalesce(F.try_element_at(F.col("_c"), F.size(left) + 1), F.try_element_at(F.col("_c"), F.lit(-1)))
-    t = F.when((F.size(left) == 0) | (b["at"] <= a["at"]), 0.0).otherwise((s - a["at"]) / (b["at"] - a["at"]))
+    """p, lo, hi, at_ceiling: linear between the curve's points, flat outside; bounds interpolate the points' Wilson bounds.
+
+    curve(at, p, n) may be of any length; a null score has a null p. Rows and points meet in ranges (order.bracketed).
+    """
+    bounds = wilson(F.bround(F.col("p") * F.col("n")), F.col("n"))
+    points = checkpointed(curve.select("at", "p", bounds["lo"].alias("lo"), bounds["hi"].alias("hi")))
+    d = bracketed(df, score, points, "at").join(F.broadcast(points.agg(F.max(F.struct("at", "p"))["p"].alias("_top"))))  # one row
+    a, b = F.coalesce("before", "after"), F.coalesce("after", "before")
+    t = F.when(F.col("before").isNull() | (b["at"] <= a["at"]), 0.0).otherwise((F.col(score) - a["at"]) / (b["at"] - a["at"]))
     mix = lambda f: a[f] + t * (b[f] - a[f])
-    return d.withColumns({"p": mix("p"), "lo": mix("lo"), "hi": mix("hi")}).withColumn("at_ceiling", F.col("p") >= F.try_element_at(F.col("_c"), F.lit(-1))["p"]).drop("_c")
+    return d.withColumns({"p": mix("p"), "lo": mix("lo"), "hi": mix("hi")}).withColumn("at_ceiling", F.col("p") >= F.col("_top")).drop("before", "after", "_top")
 
 
 def monotone(df: DataFrame, order: str, value: str, tol: float = 0.004) -> DataFrame:
-    fall = F.lag(value).over(Window.orderBy(order)) - F.col(value)
-    return df.select((F.coalesce(fall, F.lit(0.0)) <= tol).alias("ok")).agg(F.bool_and("ok").alias("monotone"))
+    """One row: whether the value never falls by more than tol along the order (equal places by value). Rows are compared
+    within ranges of the order, and ranges at their borders."""
+    cut = df.select(F.col(order).alias("o"), F.col(value).alias("v")).repartitionByRange("o", "v")
+    cut = checkpointed(cut.withColumn("r", F.spark_partition_id()))
+    spot = F.struct("o", "v")
+    borders = cut.groupBy("r").agg(F.min(spot)["v"].alias("first"), F.max(spot)["v"].alias("last"))  # a row a range
+    falls = cut.select((F.lag("v").over(Window.partitionBy("r").orderBy("o", "v")) - F.col("v")).alias("fall"))
+    falls = falls.unionByName(borders.select((F.lag("last").over(Window.orderBy("r")) - F.col("first")).alias("fall")))
+    return falls.agg(F.bool_and(F.coalesce("fall", F.lit(0.0)) <= tol).alias("monotone"))
 
 
 def ships(gain: Column, p: Column, wins: Column, min_gain: float = 0.05, max_p: float = 0.01, min_wins: int = 2) -> Column:

@@ -194,9 +194,10 @@ def q50(t):
     return stats.auc(rows.withColumn("s", stats.stumps_score(model)), "s", "label").select("n_pos", "n_neg", r6("auc").alias("auc"))
 
 
-@query("q57_standard_scale", "SELECT round(avg(o_totalprice), 4) AS mu, round(stddev_pop(o_totalprice), 4) AS sd FROM orders")
+@query("q57_standard_scale", "WITH m AS (SELECT avg(o_totalprice) AS mu, stddev_pop(o_totalprice) AS sd FROM orders) SELECT o_orderkey AS id, round((o_totalprice - mu) / sd, 4) AS z FROM orders, m")
 def q57(t):
-    return t.orders.agg(F.round(F.avg("o_totalprice"), 4).alias("mu"), F.round(F.stddev_pop("o_totalprice"), 4).alias("sd"))
+    (mu,), (sd,) = stats.standard_scale(t.orders, ["o_totalprice"])
+    return t.orders.select(F.col("o_orderkey").alias("id"), F.round((F.col("o_totalprice") - mu) / sd, 4).alias("z"))
 
 
 @query("q58_er_confusion", f"""WITH {O}, c AS (SELECT count(*) FILTER (score >= 0.6 AND label = 1) AS tp, count(*) FILTER (score >= 0.6 AND label = 0) AS fp, count(*) FILTER (score < 0.6 AND label = 0) AS tn, count(*) FILTER (score < 0.6 AND label = 1) AS fn FROM o)

@@ -11,72 +11,78 @@ from ..operators.graph import checkpointed
 from .market import CONF, rounded_confusion
 from .registry import Tables, query, r6
 
-# invented pairs: (id, same, a, a's country, b, b's country, fei of a, fei of b)
-PAIRS = [
-    (1, True, "Orvane Laboratories Ltd", "in", "Orvane Labs Limited", "in", None, None),
-    (2, True, "Quillby Pharma GmbH", "de", "QUILLBY PHARMACEUTICALS AG", "de", None, None),
-    (3, False, "Tessmark Chemicals", "in", "Tessmark Chemicals", "cn", None, None),
-    (4, False, "Wuxi Bremolin Co", "cn", "Wuxi Castorel Co", "cn", None, None),
-    (5, True, "Fénixa Química S.A.", "es", "Fenixa Quimica SA", "es", None, None),
-    (6, True, "Global Health Sciences Inc", "us", "Global Health Sciences Corp", "us", None, None),
-    (7, False, "Global Health Sciences Inc", "us", "International Drug Works Inc", "us", None, None),
-    (8, True, "Marbelo Biotech", "fr", "Something Else", "fr", "77", "77"),
-    (9, False, "Marbelo Biotech", "fr", "Marbelo Biotech", "fr", "77", "78"),
-    (10, True, "Dastrin (formerly Kelvor) Industries", "it", "Kelvor Dastrin", "it", None, None),
-    (11, False, "Pellorin Life Sciences", None, "Ostrava Drug Group", None, None, None),
-    (12, True, "Inner Mongolia Vantreo", "cn", "Vantreo Pharmaceutical Co Ltd", "cn", None, None),
-]
-PAIR_SCHEMA = "id int, same boolean, an string, ac string, bn string, bc string, af string, bf string"
+# Companies are named after parts: their words, their brand and one of these forms.
+FORMS = ["Ltd", "Limited", "Pharma GmbH", "Química S.A.", "Laboratories", "(formerly Kelvor) Inc"]
 
 
-def sql_values(rows) -> str:
-    lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
-    return ", ".join(f"({', '.join(map(lit, r))})" for r in rows)
+def sql_list(words, sort: bool = True) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in (sorted(words) if sort else words)) + "]"
 
 
-def sql_list(words) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]"
+def companies(t: Tables) -> DataFrame:
+    """(id, name, country, fei, duns) of each part's maker; countries and identifiers are known for some."""
+    k = F.col("p_partkey")
+    form = F.element_at(F.array(*map(F.lit, FORMS)), (k % len(FORMS) + 1).cast("int"))
+    name = F.when(k % 9 == 0, form).otherwise(F.concat_ws(" ", F.when(k % 4 != 0, F.initcap("p_name")).otherwise(F.upper("p_name")), F.when(k % 5 == 0, F.substring("p_brand", 7, 2)), form))
+    country = F.when(k % 3 != 0, F.when(k % 2 == 0, F.lower(F.substring("p_type", 1, 1))).otherwise(F.upper(F.substring("p_type", 1, 1))))
+    return t.part.select(k.alias("id"), "p_name", name.alias("name"), country.alias("country"), F.when(k % 7 == 0, F.col("p_brand")).alias("fei"), F.when(k % 11 < 3, F.col("p_name")).alias("duns"))
 
 
 def pairs(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(PAIRS, PAIR_SCHEMA)
-
-
-def side(p: str) -> Column:
-    return F.struct(F.col(f"{p}n").alias("name"), F.col(f"{p}c").alias("country"), F.col(f"{p}f").alias("fei"), F.lit(None).cast("string").alias("duns"))
+    """Makers that follow each other in an order; they are truly the same if their parts have one name."""
+    line = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
+    after = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("b"))
+    met = line.join(after, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("a"), "b").distinct()
+    c = companies(t)
+    one = lambda p: c.select(F.col("id").alias(p), F.col("p_name").alias(f"{p}_name"), F.struct("name", "country", "fei", "duns").alias(f"{p}_side"))
+    return met.join(one("a"), "a").join(one("b"), "b").withColumn("same", F.col("a_name") == F.col("b_name"))
 
 
 TOK = lambda c: f"list_filter(string_split_regex(regexp_replace(lower(strip_accents({c})), '[^a-z0-9]+', ' ', 'g'), ' +'), lambda w: w <> '' AND NOT list_contains({sql_list(lists.STOP)}, w))"
 CORE = sql_list(lists.LEGAL + lists.INDUSTRY + lists.GEO)
-COMPARED = f"""p(id, same, an, ac, bn, bc, af, bf) AS (VALUES {sql_values(PAIRS)}),
-k AS (SELECT *, list_distinct({TOK('an')}) AS ta, list_distinct({TOK('bn')}) AS tb FROM p),
-c AS (SELECT *, list_filter(ta, lambda w: NOT list_contains({CORE}, w)) AS ca, list_filter(tb, lambda w: NOT list_contains({CORE}, w)) AS cb, list_filter(ta, lambda w: NOT list_contains({sql_list(lists.LEGAL)}, w)) AS la, list_filter(tb, lambda w: NOT list_contains({sql_list(lists.LEGAL)}, w)) AS lb FROM k),
-s AS (SELECT *, CASE WHEN len(ca) > 0 AND len(cb) > 0 THEN greatest(len(list_intersect(ca, cb)) / len(list_distinct(ca || cb))::DOUBLE, 0.9::DOUBLE * (len(list_intersect(ca, cb)) / least(len(ca), len(cb))::DOUBLE)) ELSE 0 END AS core,
- CASE WHEN len(la) > 0 AND len(lb) > 0 THEN len(list_intersect(la, lb)) / len(list_distinct(la || lb))::DOUBLE ELSE 0 END AS generic FROM c),
-v AS (SELECT id, same AS actual, CASE WHEN af IS NOT NULL AND bf IS NOT NULL THEN 'fei' WHEN lower(ac) <> lower(bc) THEN 'country' WHEN len(ca) = 0 OR len(cb) = 0 THEN 'generic' ELSE 'core' END AS method, core, generic, af, bf FROM s),
-w AS (SELECT id, actual, method, CASE method WHEN 'fei' THEN (af = bf)::INT::DOUBLE WHEN 'country' THEN 0 WHEN 'generic' THEN generic ELSE core END AS score FROM v)"""
-
-
-@query("q21_compare_names", f"WITH {COMPARED} SELECT id, actual, method, round(score, 6) AS score, CASE method WHEN 'fei' THEN score = 1 WHEN 'country' THEN false WHEN 'generic' THEN score >= 0.85 ELSE score >= 0.6 END AS same FROM w")
+COMPARED = f"""f AS (SELECT {sql_list(FORMS, False)} AS forms), m AS (SELECT p_partkey AS k, p_name, CASE WHEN p_partkey % 9 = 0 THEN forms[p_partkey % {len(FORMS)} + 1] ELSE concat_ws(' ', p_name, CASE WHEN p_partkey % 5 = 0 THEN substr(p_brand, 7, 2) END, forms[p_partkey % {len(FORMS)} + 1]) END AS name,
+ CASE WHEN p_partkey % 3 <> 0 THEN lower(p_type[1]) END AS country, CASE WHEN p_partkey % 7 = 0 THEN p_brand END AS fei, CASE WHEN p_partkey % 11 < 3 THEN p_name END AS duns FROM part, f),
+mt AS (SELECT *, list_distinct({TOK('name')}) AS toks FROM m), mc AS (SELECT *, list_filter(toks, lambda w: NOT list_contains({CORE}, w)) AS core, list_filter(toks, lambda w: NOT list_contains({sql_list(lists.LEGAL)}, w)) AS full FROM mt),
+p AS (SELECT DISTINCT x.l_partkey AS a, y.l_partkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber = y.l_linenumber - 1),
+s AS (SELECT p.*, x.p_name = y.p_name AS actual, x.name = y.name AS equal, x.country AS ac, y.country AS bc, x.fei AS af, y.fei AS bf, x.duns AS ad, y.duns AS bd, len(x.core) = 0 OR len(y.core) = 0 AS bare,
+ CASE WHEN len(x.core) > 0 AND len(y.core) > 0 THEN greatest(len(list_intersect(x.core, y.core)) / len(list_distinct(x.core || y.core))::DOUBLE, 0.9::DOUBLE * (len(list_intersect(x.core, y.core)) / least(len(x.core), len(y.core))::DOUBLE)) ELSE 0 END AS core,
+ CASE WHEN len(x.full) > 0 AND len(y.full) > 0 THEN len(list_intersect(x.full, y.full)) / len(list_distinct(x.full || y.full))::DOUBLE ELSE 0 END AS generic FROM p JOIN mc x ON x.k = a JOIN mc y ON y.k = b),
+v AS (SELECT *, CASE WHEN af IS NOT NULL AND bf IS NOT NULL THEN 'fei' WHEN ad IS NOT NULL AND bd IS NOT NULL THEN 'duns' WHEN guarded AND ac <> bc THEN 'country' WHEN bare THEN 'generic' ELSE 'core' END AS method FROM s, (SELECT unnest([true, false]) AS guarded)),
+w AS (SELECT a, b, guarded, actual, method, CASE method WHEN 'fei' THEN (af = bf)::INT::DOUBLE WHEN 'duns' THEN (ad = bd)::INT::DOUBLE WHEN 'country' THEN 0 WHEN 'generic' THEN generic ELSE core END AS score FROM v),
+z AS (SELECT *, CASE method WHEN 'fei' THEN score = 1 WHEN 'duns' THEN score = 1 WHEN 'country' THEN false WHEN 'generic' THEN score >= 0.85 ELSE score >= 0.6 END AS same FROM w)"""
+SIDES = F.col("a_side"), F.col("b_side")
+
+
+@query("q21_compare_names", f"WITH {COMPARED} SELECT a, b, actual, method, round(score, 6) AS score, same FROM z WHERE guarded")
 def q21(t):
-    return pairs(t).withColumn("v", fuzzy.compare(side("a"), side("b"))).select("id", F.col("same").alias("actual"), "v.method", r6("v.score").alias("score"), F.col("v.same").alias("same"))
+    return pairs(t).withColumn("v", fuzzy.compare(*SIDES)).select("a", "b", F.col("same").alias("actual"), "v.method", r6("v.score").alias("score"), F.col("v.same").alias("same"))
 
 
-@query("q22_er_threshold_sweep", f"""WITH {COMPARED}, x AS (SELECT h / 100.0::DOUBLE AS threshold, actual, score >= h / 100.0::DOUBLE AS pred FROM w, range(20, 96, 5) AS g(h)),
+@query("q22_er_threshold_sweep", f"""WITH {COMPARED}, x AS (SELECT h / 100.0::DOUBLE AS threshold, actual, score >= h / 100.0::DOUBLE AS pred FROM z, range(20, 96, 5) AS g(h) WHERE guarded),
 cc AS (SELECT threshold, count(*) FILTER (pred AND actual) AS tp, count(*) FILTER (pred AND NOT actual) AS fp, count(*) FILTER (NOT pred AND NOT actual) AS tn, count(*) FILTER (NOT pred AND actual) AS fn FROM x GROUP BY 1),
-m AS (SELECT *, {CONF} FROM cc) SELECT *, f1 = max(f1) OVER () AS plateau FROM m""")
+q AS (SELECT *, {CONF} FROM cc) SELECT *, f1 = max(f1) OVER () AS plateau FROM q""")
 def q22(t):
-    scored = pairs(t).select("same", fuzzy.compare(side("a"), side("b"))["score"].alias("score"))
+    scored = pairs(t).select("same", fuzzy.compare(*SIDES)["score"].alias("score"))
     return rounded_confusion(fuzzy.sweep(scored, "score", "same"))
 
 
-@query("q64_resolve_with_refusal", """WITH n AS (SELECT * FROM (VALUES (1, 1, 0.9), (1, 2, 0.88), (2, 1, 0.9), (2, 3, 0.7), (3, 5, 0.95), (3, 6, 0.93), (3, 7, 0.92)) AS q(l, r, s)),
-t AS (SELECT *, max(s) OVER (PARTITION BY l) AS top FROM n), g AS (SELECT l, max(top)::DOUBLE AS score, count(*) AS near, count(*) FILTER (r = 6) AS whole, min(r) AS one FROM t WHERE top - s < 0.05 GROUP BY 1)
-SELECT l AS id_l, CASE WHEN near = 1 THEN one WHEN whole = 1 THEN 6 END AS id_r, score, CASE WHEN near = 1 OR whole = 1 THEN 'matched' ELSE 'refused' END AS outcome FROM g""")
+@query("q149_guard_ablation", f"""WITH {COMPARED}, x AS (SELECT CASE WHEN guarded THEN 'guard' ELSE 'no guard' END AS way, actual, same AS pred FROM z UNION ALL SELECT 'equal keys', actual, regexp_replace(lower(strip_accents(x.name)), '[^a-z0-9]+', '', 'g') = regexp_replace(lower(strip_accents(y.name)), '[^a-z0-9]+', '', 'g') FROM s JOIN m x ON x.k = a JOIN m y ON y.k = b),
+cc AS (SELECT way, count(*) FILTER (pred AND actual) AS tp, count(*) FILTER (pred AND NOT actual) AS fp, count(*) FILTER (NOT pred AND NOT actual) AS tn, count(*) FILTER (NOT pred AND actual) AS fn FROM x GROUP BY 1)
+SELECT *, {CONF} FROM cc""")
+def q149(t):
+    """What the country guard is worth, beside plain equality of squashed names."""
+    key = lambda c: text.squash(text.strip_accents(c["name"]))
+    ways = F.create_map(F.lit("guard"), fuzzy.compare(*SIDES)["same"], F.lit("no guard"), fuzzy.compare(*SIDES, country_guard=False)["same"], F.lit("equal keys"), key(SIDES[0]) == key(SIDES[1]))
+    return rounded_confusion(fuzzy.confusion(pairs(t).select("same", F.explode(ways).alias("way", "pred")), F.col("pred"), F.col("same"), ["way"]))
+
+
+@query("q64_resolve_with_refusal", """WITH n AS (SELECT l_partkey AS l, l_suppkey AS r, round(avg(l_quantity) / 50, 2) AS s FROM lineitem GROUP BY 1, 2),
+t AS (SELECT *, max(s) OVER (PARTITION BY l) AS top FROM n), g AS (SELECT l, max(top)::DOUBLE AS score, count(*) AS near, count(*) FILTER (r % 10 = 6) AS whole, min(r) AS one, min(r) FILTER (r % 10 = 6) AS held FROM t WHERE top - s < 0.05 GROUP BY 1)
+SELECT l AS id_l, CASE WHEN near = 1 THEN one WHEN whole = 1 THEN held END AS id_r, score, CASE WHEN near = 1 OR whole = 1 THEN 'matched' ELSE 'refused' END AS outcome FROM g""")
 def q64(t):
-    """A near tie is refused; one candidate that holds the whole name settles it."""
-    scored = t.spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.88), (2, 1, 0.9), (2, 3, 0.7), (3, 5, 0.95), (3, 6, 0.93), (3, 7, 0.92)], "id_l int, id_r int, score double")
-    return fuzzy.refuse_ties(scored, "id_l", "id_r", superset=F.col("id_r") == 6)
+    """A near tie is refused; one candidate that holds the whole name (here: a key that ends in 6) settles it."""
+    scored = t.lineitem.groupBy(F.col("l_partkey").alias("id_l"), F.col("l_suppkey").alias("id_r")).agg(F.round(F.avg("l_quantity") / 50, 2).alias("score"))
+    return fuzzy.refuse_ties(scored, "id_l", "id_r", superset=F.col("id_r") % 10 == 6)
 
 
 @query("q65_resolve_parts", """WITH a AS (SELECT p_partkey AS name_id, p_name AS name FROM part), b AS (SELECT min(p_partkey) AS match_id, p_name AS name FROM part GROUP BY p_name)

@@ -369,12 +369,16 @@ def q135(t):
     return sinks.json_array(t.nation.select("n_nationkey", "n_name"), ["n_nationkey"])
 
 
-@query("q136_calibrated_scores", """WITH o AS (SELECT o_orderkey AS id, (o_totalprice % 1000.0::DOUBLE) / 1000 AS s FROM orders)
-SELECT id, round(CASE WHEN s <= 0.1 THEN 0.05 WHEN s < 0.4 THEN 0.05 + (s - 0.1) / (0.4 - 0.1) * 0.15 WHEN s < 0.8 THEN 0.2 + (s - 0.4) / (0.8 - 0.4) * 0.4 ELSE 0.6 END, 6)::DOUBLE AS p, s >= 0.8 AS at_ceiling FROM o""")
+@query("q136_calibrated_scores", """WITH o AS (SELECT o_orderkey AS id, (o_totalprice % 1000.0::DOUBLE) / 1000 AS s, (o_orderstatus = 'F')::INT AS y FROM orders),
+c AS (SELECT max(s) AS x, sum(y) / count(*)::DOUBLE AS p FROM o GROUP BY floor(s * 200)), top AS (SELECT arg_max(p, x) AS p FROM c),
+b AS (SELECT id, s, c.x AS a1, c.p AS p1 FROM o ASOF LEFT JOIN c ON o.s >= c.x), n AS (SELECT b.*, c.x AS a2, c.p AS p2 FROM b ASOF LEFT JOIN c ON b.s < c.x),
+r AS (SELECT id, CASE WHEN a1 IS NULL THEN p2 WHEN a2 IS NULL THEN p1 ELSE p1 + (s - a1) / (a2 - a1) * (p2 - p1) END AS p FROM n)
+SELECT id, round(r.p, 6) AS p, r.p >= top.p AS at_ceiling FROM r, top""")
 def q136(t):
-    curve = t.spark.createDataFrame([(0.1, 0.05, 400), (0.4, 0.2, 300), (0.8, 0.6, 100)], "at double, p double, n long")
-    o = t.orders.select(F.col("o_orderkey").alias("id"), (F.pmod(F.col("o_totalprice"), F.lit(1000.0)) / 1000).alias("s"))
-    return stats.apply_curve(o, curve, "s").select("id", r6("p").alias("p"), "at_ceiling")
+    """Orders by a curve of the orders themselves, a point for each 200th of the scores."""
+    o = t.orders.select(F.col("o_orderkey").alias("id"), (F.pmod(F.col("o_totalprice"), F.lit(1000.0)) / 1000).alias("s"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    curve = o.groupBy(F.floor(F.col("s") * 200)).agg(F.max("s").alias("at"), (F.sum("y") / F.count(F.lit(1))).alias("p"), F.count(F.lit(1)).alias("n"))
+    return stats.apply_curve(o.select("id", "s"), curve, "s").select("id", r6("p").alias("p"), "at_ceiling")
 
 
 @query("q137_top_drivers", """WITH f AS (SELECT c_custkey AS id, (c_acctbal - 4000) / 3000 * 0.8::DOUBLE AS a, (c_nationkey - 12) / 7.0::DOUBLE * -0.5 AS b FROM customer) SELECT id, CASE WHEN abs(a) >= abs(b) THEN 'bal' ELSE 'nation' END AS driver, round(CASE WHEN abs(a) >= abs(b) THEN a ELSE b END, 6) AS weight FROM f""")
@@ -385,9 +389,14 @@ def q137(t):
     return c.select("id", top["feature"].alias("driver"), r6(top["value"]).alias("weight"))
 
 
-@query("q138_ships_and_monotone", "SELECT 0.06 >= 0.05 AS ships, (SELECT bool_and(b IS NULL OR b - n_nationkey <= 0.004) FROM (SELECT n_nationkey, lag(n_nationkey) OVER (ORDER BY n_nationkey) AS b FROM nation)) AS monotone")
+@query("q138_ships_and_monotone", """WITH g AS (SELECT p_brand, round(avg(p_size) / 10 - 2.5, 6) AS gain, count(*) % 20 / 1000.0::DOUBLE AS p, count(DISTINCT p_type) % 4 AS wins FROM part GROUP BY 1),
+a AS (SELECT bool_and(rise IS NULL OR -rise <= 0.004) AS monotone FROM (SELECT p_retailprice - lag(p_retailprice) OVER (ORDER BY p_partkey, p_retailprice) AS rise FROM part))
+SELECT p_brand, gain >= 0.05 AND p < 0.01 AND wins >= 2 AS ships, monotone FROM g, a""")
 def q138(t):
-    return stats.monotone(t.nation, "n_nationkey", "n_nationkey").select(stats.ships(F.lit(0.06), F.lit(0.001), F.lit(2)).alias("ships"), "monotone")
+    """What each brand's figures would decide, beside whether prices rise with the parts' keys."""
+    g = t.part.groupBy("p_brand").agg(F.round(F.avg("p_size") / 10 - 2.5, 6).alias("gain"), (F.count(F.lit(1)) % 20 / 1000).alias("p"), (F.count_distinct("p_type") % 4).alias("wins"))
+    rises = stats.monotone(t.part, "p_partkey", "p_retailprice")
+    return g.select("p_brand", stats.ships(F.col("gain"), F.col("p"), F.col("wins")).alias("ships")).join(F.broadcast(rises))
 
 
 @query("q139_siblings", f"WITH {TREE_SQL}, d AS (SELECT min('drug:' || p_brand) AS id FROM part), mine AS (SELECT src FROM e, d WHERE rel = 'active_in' AND dst = id), pre AS (SELECT src FROM e WHERE rel = 'feeds' AND dst IN (FROM mine)) SELECT DISTINCT dst AS id FROM e WHERE rel = 'active_in' AND dst <> (SELECT id FROM d) AND src IN (SELECT dst FROM e WHERE rel = 'feeds' AND src IN (FROM pre))")

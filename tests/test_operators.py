@@ -130,6 +130,39 @@ def test_pava_is_monotone_and_interpolates(spark):
     assert all(r.lo <= r.p + 1e-9 and r.p <= r.hi + 1e-9 for r in out)
 
 
+def test_rows_between_points(spark):
+    """Against a scan of all points: ties, a score that a third of all rows share, nulls, scores outside, no points, no rows."""
+    points = [(x / 7, x) for x in range(0, 60, 3)]
+    scores = [None, None, -1.0, 99.0] + [30 / 7] * 40 + [x / 11 for x in range(90)]
+    rows = spark.createDataFrame(list(enumerate(scores)), "id int, s double")
+    pts = spark.createDataFrame(points, "at double, p int").repartition(3)
+    got = {r.id: (r.before and r.before.p, r.after and r.after.p) for r in order.bracketed(rows, "s", pts, "at").collect()}
+    below = lambda s: max(((a, p) for a, p in points if a <= s), default=(0, None))[1]
+    above = lambda s: min(((a, p) for a, p in points if a > s), default=(0, None))[1]
+    assert got == {i: (None, None) if s is None else (below(s), above(s)) for i, s in enumerate(scores)}
+    assert {(r.before, r.after) for r in order.bracketed(rows, "s", pts.limit(0), "at").collect()} == {(None, None)}
+    assert order.bracketed(rows.limit(0), "s", pts, "at").count() == 0
+
+
+def test_curve_bounds(spark):
+    """p, lo and hi between, on and outside the points; a null score has none."""
+    curve = spark.createDataFrame([(0.1, 0.05, 400), (0.4, 0.2, 300), (0.8, 0.6, 100)], "at double, p double, n long")
+    rows = spark.createDataFrame([(1, 0.0), (2, 0.1), (3, 0.25), (4, 0.8), (5, 2.0), (6, None)], "id int, s double")
+    out = {r.id: r for r in stats.apply_curve(rows, curve, "s").collect()}
+    assert [out[i].p for i in (1, 2, 4, 5)] == [0.05, 0.05, 0.6, 0.6] and abs(out[3].p - 0.125) < 1e-9 and out[6].p is None
+    ends = [out[2], out[4]]
+    assert all(r.lo < r.p < r.hi for r in ends) and abs(out[3].lo - (out[2].lo + curve.select(values.wilson(F.lit(60), F.lit(300)).alias("w")).first().w.lo) / 2) < 1e-9
+    assert [out[i].at_ceiling for i in (1, 3, 4, 5)] == [False, False, True, True]
+
+
+def test_monotone_over_ranges(spark):
+    d = spark.range(500).withColumn("v", F.col("id") * 0.5)
+    assert stats.monotone(d, "id", "v").first().monotone
+    assert stats.monotone(d.withColumn("v", F.when(F.col("id") == 250, F.col("v") - 0.503).otherwise(F.col("v"))), "id", "v").first().monotone
+    for place in (1, 125, 250, 499):
+        assert not stats.monotone(d.withColumn("v", F.when(F.col("id") == place, F.col("v") - 0.6).otherwise(F.col("v"))), "id", "v").first().monotone
+
+
 def test_pava_by_chunks(spark):
     """Chunks of any width give the curve of one chunk, also where all rates fall."""
     d = spark.range(300).select("id", (F.col("id") / 300).alias("s"), (F.pmod(F.xxhash64("id"), F.lit(7)) < 3).cast("int").alias("y"))
