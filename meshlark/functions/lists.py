@@ -78,3 +78,7 @@ STATUS_RANK = ["mkt_breach", "sensor_fault", "excursion", "stale", "offline", "o
 # fixed values: patterns of words and endings that place names in addresses carry and a gazetteer does not
 CITY_NOISE = r"(?i)\b(city|district|dist|county|province|prefecture|town|village|industrial|zone|park|tehsil|taluka|mandal|nagar|p\.?o\.?|post|near|opp|road|rd|street|st|no)\b\.?"
 STRIP_SUFFIX = r"(?i)-(shi|si|gu|ku|do|gun|ken|fu)$"
+
+# fixed values: parts of a key whose value never reaches a log, and what stands there instead
+SECRET_HINTS = ["api_key", "apikey", "token", "secret", "password", "authorization"]
+REDACTED = "[redacted]"

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists
+from ..sources import versions
 
 
 def node_view(nodes: DataFrame, signals: DataFrame, compliance: DataFrame) -> DataFrame:
@@ -191,25 +192,40 @@ def apply_changes(view: DataFrame | None, batch: DataFrame, key: str, order: lis
 
 
 def keep_view(changes: DataFrame, folder: str, checkpoint: str, key: str, order: list[str]):
-    """A stream of changes kept as a keyed view: every batch writes the next version beside the last one, so readers
-    always find a whole one. Returns the started query; read_view gives the newest version."""
+    """A stream of changes kept as a keyed view. Returns the started query; read_view gives the view.
+
+    A batch is written as a part of its own; the last parts are merged with it while they hold at most twice its rows, so a
+    row is rewritten a logarithmic number of times and the parts stay as few. A batch that comes again changes nothing.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        before = read_view(batch.sparkSession, folder, below=number)
-        apply_changes(before, batch, key, order).write.mode("overwrite").parquet(f"{folder}/version={number:09d}")
+        spark = batch.sparkSession
+        state = versions.newest(spark, folder) or {"parts": [], "stream": checkpoint, "batch": -1}
+        if state["stream"] == checkpoint and state["batch"] >= number:
+            return
+        kept = state["parts"]
+        part = sized(spark, versions.add_part(apply_changes(None, batch, key, order), folder))
+        near, rows = [], part["rows"]
+        while kept and kept[-1]["rows"] <= 2 * rows:
+            rows += kept[-1]["rows"]
+            near.append(kept.pop())
+        if near:
+            part = sized(spark, versions.add_part(apply_changes(None, versions.parts_of(spark, folder, [*near, part]), key, order), folder))
+        versions.point(spark, folder, {"parts": [*kept, part], "stream": checkpoint, "batch": number, "key": key, "order": order})
+
+    def sized(spark: SparkSession, part: dict) -> dict:
+        return part | {"rows": versions.parts_of(spark, folder, [part]).count()}
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_view(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame | None:
-    """The newest finished version (under a number) of a kept view."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+def read_view(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The newest whole state of a kept view: the newest row of each key over its parts."""
+    state = versions.newest(spark, folder)
+    if state is None:
         return None
-    names = [str(f.getPath()) for f in fs.listStatus(path)]
-    done = [n for n in names if "version=" in n and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{n}/_SUCCESS")) and (below is None or int(n.rsplit("=", 1)[1]) < below)]
-    return spark.read.parquet(max(done)) if done else None
+    rows = versions.parts_of(spark, folder, state["parts"])
+    return rows if len(state["parts"]) == 1 else apply_changes(None, rows, state["key"], state["order"])
 
 
 def snapshot_then_changes(view: DataFrame, changes: DataFrame) -> DataFrame:

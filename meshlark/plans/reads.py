@@ -442,3 +442,10 @@ def q143(t):
 def q144(t):
     r = telemetry.reason(F.col("value"), F.lit(10.0), F.lit(40.0), F.lit(None).cast("double"), F.lit(60.0))
     return t.events.select("event_id", r.alias("reason"))
+
+
+@query("q150_redacted_payloads", """SELECT event_id, '{"user":{"name":"u' || user_id || '","Api_Key":"[redacted]","items":[{"x-token":"[redacted]","v":' || event_id || '},[{"PASSWORDS":"[redacted]"}],null]},"props":' || replace(props, ' ', '') || '}' AS payload FROM events""")
+def q150(t):
+    """Payloads that hold the events' props, with secrets in objects and arrays."""
+    payload = F.format_string('{"user": {"name": "u%d", "Api_Key": "%s", "items": [{"x-token": {"a": [%d]}, "v": %d}, [{"PASSWORDS": null}], null]}, "props": %s}', "user_id", "event_type", "event_id", "event_id", "props")
+    return t.events.select("event_id", text.redact_json(payload).alias("payload"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import versions
+
 
 def require(df: DataFrame, least: int) -> DataFrame:
     """df, or an error if it has fewer rows (it looks at no more than that many)."""
@@ -15,28 +15,12 @@ def require(df: DataFrame, least: int) -> DataFrame:
     return df
 
 
-def _fs(spark, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def publish(df: DataFrame, path: str, violations: DataFrame | None = None, fmt: str = "parquet") -> bool:
-    """Write beside the target and swap it in, unless a violation is an error; what was there comes back if the swap fails."""
-    spark = df.sparkSession
+    """Write df as the table's next state, unless a violation is an error. The old state stays until the new one is written
+    and named (versions.read_table reads it), so a failure between any two steps leaves a whole table."""
     if violations is not None and not violations.filter("severity = 'error'").isEmpty():
         return False
-    fs, target = _fs(spark, path)
-    staged, old = f"{path.rstrip('/')}_staging_{uuid.uuid4().hex[:8]}", f"{path.rstrip('/')}_old_{uuid.uuid4().hex[:8]}"
-    df.write.format(fmt).save(staged)
-    had = fs.exists(target)
-    if had:
-        fs.rename(target, _fs(spark, old)[1])
-    if not fs.rename(_fs(spark, staged)[1], target):
-        if had:
-            fs.rename(_fs(spark, old)[1], target)
-        return False
-    if had:
-        fs.delete(_fs(spark, old)[1], True)
+    versions.point(df.sparkSession, path, {"parts": [versions.add_part(df, path, fmt)]})
     return True
 
 

@@ -11,7 +11,7 @@ from meshlark.functions import text, values
 from meshlark.functions.canonical import canonical_json
 from meshlark.operators import audit, fuzzy, graph, merge, order, rules, stats, whatif
 from meshlark.operators.graph import checkpointed
-from meshlark.sources import readers, sinks
+from meshlark.sources import readers, sinks, versions
 from meshlark.streaming import telemetry as T
 
 
@@ -268,6 +268,16 @@ def test_whatif_by_difference(spark):
     assert whatif.cut_set(tree, off.filter("off_id IS NULL")).count() == 0 and whatif.rollup(base.limit(0), cut.limit(0)).count() == 0
 
 
+def test_redacted_at_any_depth(spark):
+    deep = "[" * 100000 + "]" * 100000
+    cases = {
+        '{"a": {"Api_Key": {"x": 1}, "b": [{"my-TOKEN": [1]}, "secret"]}, "é": "token"}': '{"a":{"Api_Key":"[redacted]","b":[{"my-TOKEN":"[redacted]"},"secret"]},"é":"token"}',
+        '[]': '[]', 'null': 'null', '{"k": 1.5}': '{"k":1.5}', '': '"[redacted]"', '{"password": "x"': '"[redacted]"', deep: '"[redacted]"',
+    }
+    rows = spark.createDataFrame([(k,) for k in [*cases, None]], "j string")
+    assert {r.j: r.r for r in rows.select("j", text.redact_json("j").alias("r")).collect()} == cases | {None: None}
+
+
 def test_audit_detects(spark):
     rows = spark.createDataFrame([(i, str(i), "r", "me", "step", f"p{i}") for i in range(6)], "o int, ts string, run_id string, actor string, kind string, payload string")
     log = audit.chain_append(rows, ["o"])
@@ -359,12 +369,56 @@ def test_readers_of_text(spark, tmp_path):
 def test_publish_refuses_errors(spark, tmp_path):
     path = str(tmp_path / "t")
     ok = spark.createDataFrame([("warning",)], "severity string")
+    assert versions.read_table(spark, path) is None
     assert sinks.publish(spark.range(3), path, ok)
     assert not sinks.publish(spark.range(9), path, spark.createDataFrame([("error",)], "severity string"))
-    assert spark.read.parquet(path).count() == 3
+    assert versions.read_table(spark, path).count() == 3
     with pytest.raises(ValueError):
         sinks.require(spark.range(2), 3)
-    assert spark.read.parquet(path).count() == 3
+
+
+def test_publish_is_whole_wherever_it_stops(spark, tmp_path, monkeypatch):
+    """A failure before, during and after the write of the part, or within the pointer, leaves the old table for readers."""
+    path = str(tmp_path / "t")
+    sinks.publish(spark.range(3), path)
+    bad = spark.range(5).select(F.when(F.col("id") == 4, F.raise_error(F.lit("stop"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        sinks.publish(bad, path)
+    assert versions.read_table(spark, path).count() == 3
+    with monkeypatch.context() as m:
+        m.setattr(versions, "point", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            sinks.publish(spark.range(7), path)
+    assert versions.read_table(spark, path).count() == 3
+    (tmp_path / "t" / "_pointers" / f"{2:012d}").write_text('{"parts": [')  # a pointer that was cut off
+    assert versions.read_table(spark, path).count() == 3
+    assert sinks.publish(spark.range(7), path) and versions.read_table(spark, path).count() == 7
+    assert versions.clear_old(spark, path) == 5 and versions.read_table(spark, path).count() == 7  # 3 parts, 2 pointers
+
+
+def test_view_of_parts(spark, tmp_path):
+    """Small batches beside a large view write parts of their own size; a batch that comes again changes nothing."""
+    from meshlark.operators import views
+
+    schema, want = "k long, at int, v long", {}
+    folder = str(tmp_path / "view")
+
+    def feed(batch: int, keys) -> None:
+        rows = [(k, batch, k * 100 + batch) for k in keys]
+        want.update({k: v for k, _, v in rows})
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{batch}")
+        src = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        views.keep_view(src, folder, f"{tmp_path}/stream", "k", ["at"]).awaitTermination()
+
+    for batch, keys in enumerate([range(400), range(5), range(3, 9), range(1000, 1002), range(200)]):
+        feed(batch, keys)
+        state = versions.newest(spark, folder)
+        assert [p["rows"] for p in state["parts"]] == [[400], [400, 5], [400, 9], [400, 9, 2], [402]][batch]
+        assert {r.k: r.v for r in views.read_view(spark, folder).collect()} == want
+    state = versions.newest(spark, folder)
+    versions.point(spark, folder, state | {"batch": 99})
+    feed(7, [1])  # numbered below 99: taken as done before
+    assert versions.newest(spark, folder)["batch"] == 99
 
 
 def test_views(spark, tmp_path):
