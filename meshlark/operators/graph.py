@@ -118,10 +118,46 @@ def spine(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, rels, drop_types
     return kept, e
 
 
+#: bits of one bitmap of Spark's bitmap functions
+BITS = 32768
+
+
+def marks_behind(edges: DataFrame, marks: DataFrame) -> DataFrame:
+    """edges(src, dst), marks(id, mark) -> (id, n): how many distinct marks lie on the nodes that lead to id, itself included;
+    nodes that no mark leads to are left out. Cycles end.
+
+    A node's set is a row of 4 KB for each block of 32,768 marks that it holds any of; no pair of node and mark is formed.
+    A round sends the sets that grew in the last one along the edges and unites them, and is through when none grows.
+    """
+    names = checkpointed(marks.select("mark").filter("mark IS NOT NULL").distinct().withColumn("_part", F.spark_partition_id()))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy("mark")) - 1  # within a task's share of the marks
+    blocks = F.struct("_part", F.floor(nth / BITS).cast("int").alias("nth"))
+    names = names.select("mark", blocks.alias("block"), (nth % BITS).cast("long").alias("bit"))
+    first = marks.select("id", "mark").distinct().join(names, "mark").groupBy("id", "block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    written, sets = Edges(edges.select("src", "dst").distinct()), Grown(first, "marks")
+    known = F.col("known")
+    while sets.rows:
+        sent = written.along(sets.last.withColumnRenamed("id", "src")).groupBy(F.col("dst").alias("id"), "block").agg(F.bitmap_or_agg("bits").alias("bits"))
+        sent = checkpointed(sent)
+        old = sets.all().join(sent.select("id", "block"), ["id", "block"], "left_semi").withColumn("known", F.lit(True))
+        both = old.unionByName(sent.withColumn("known", F.lit(False))).groupBy("id", "block")
+        both = both.agg(F.bitmap_or_agg("bits").alias("bits"), F.bitmap_or_agg(F.when(known, F.col("bits")).otherwise(F.lit(b""))).alias("was"))
+        sets.add(both.filter(F.bitmap_count("bits") > F.bitmap_count("was")).select("id", "block", "bits"))
+    whole = sets.all().groupBy("id", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return whole.groupBy("id").agg(F.sum(F.bitmap_count("bits")).alias("n"))
+
+
 def upstream_sets(edges: DataFrame, producers: DataFrame, reversed_rels=tuple(lists.REVERSED)) -> DataFrame:
     """producers(id, fei) -> (id, plants): how many distinct plants stand behind each node (itself included)."""
-    r = reach(oriented(edges, reversed_rels), producers.select(F.col("id").alias("seed")))
-    return r.join(producers.select(F.col("id").alias("seed"), "fei"), "seed").groupBy("id").agg(F.count_distinct("fei").alias("plants"))
+    return marks_behind(oriented(edges, reversed_rels), producers.select("id", F.col("fei").alias("mark"))).withColumnRenamed("n", "plants")
+
+
+def blast_radius(edges: DataFrame, reversed_rels=tuple(lists.REVERSED)) -> DataFrame:
+    """(id, reached): how many other nodes each node's failure can reach."""
+    flow = oriented(edges, reversed_rels).select("src", "dst")
+    nodes = flow.select(F.col("src").alias("id")).unionByName(flow.select(F.col("dst").alias("id"))).distinct().withColumn("mark", F.col("id"))
+    back = flow.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return marks_behind(back, nodes).select("id", (F.col("n") - 1).alias("reached"))
 
 
 def propagate_max(edges: DataFrame, scores: DataFrame, targets: DataFrame, weak_rels=tuple(lists.WEAK), reversed_rels=tuple(lists.REVERSED)) -> DataFrame:

@@ -268,6 +268,32 @@ def test_whatif_by_difference(spark):
     assert whatif.cut_set(tree, off.filter("off_id IS NULL")).count() == 0 and whatif.rollup(base.limit(0), cut.limit(0)).count() == 0
 
 
+def test_marks_behind_and_blast_radius(spark, monkeypatch):
+    """Against closures by walking, with cycles, a self loop, a hub, repeated edges, shared and null marks, and small blocks."""
+    links = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d"), ("e", "d"), ("d", "f"), ("d", "f"), ("g", "h"), *[("a", f"x{i}") for i in range(40)], *[(f"x{i}", "y") for i in range(0, 40, 3)]]
+    e = spark.createDataFrame([(s, t, "feeds") for s, t in links], "src string, dst string, rel string")
+
+    def reached(start):
+        seen, todo = {start}, [start]
+        while todo:
+            at = todo.pop()
+            new = {t for s, t in links if s == at} - seen
+            seen |= new
+            todo += new
+        return seen
+
+    nodes = {n for x in links for n in x}
+    assert {r.id: r.reached for r in graph.blast_radius(e).collect()} == {n: len(reached(n)) - 1 for n in nodes}
+    fei = {"a": "1", "e": "1", "d": "2", "x3": "3", "g": None, "x6": "4"}
+    made = spark.createDataFrame([*fei.items(), ("e", "5"), ("e", "5")], "id string, fei string")
+    behind = {n: {f for p, f in [*fei.items(), ("e", "5")] if f and n in reached(p)} for n in nodes}
+    want = {n: len(f) for n, f in behind.items() if f}
+    assert {r.id: r.plants for r in graph.upstream_sets(e, made).collect()} == want
+    monkeypatch.setattr(graph, "BITS", 2)
+    assert {r.id: r.plants for r in graph.upstream_sets(e, made).collect()} == want
+    assert graph.upstream_sets(e, made.limit(0)).count() == 0 and graph.upstream_sets(e.limit(0), made.filter("id = 'd'")).collect() == [("d", 1)]
+
+
 def test_redacted_at_any_depth(spark):
     deep = "[" * 100000 + "]" * 100000
     cases = {
