@@ -82,3 +82,11 @@ STRIP_SUFFIX = r"(?i)-(shi|si|gu|ku|do|gun|ken|fu)$"
 # fixed values: parts of a key whose value never reaches a log, and what stands there instead
 SECRET_HINTS = ["api_key", "apikey", "token", "secret", "password", "authorization"]
 REDACTED = "[redacted]"
+
+# fixed values: company suffixes as their owners write them, by their capitals
+SUFFIX = {
+    "GMBH": "GmbH", "SPA": "SpA", "SRL": "Srl", "SLU": "SLU", "SL": "SL", "SA": "SA", "AG": "AG",
+    "BV": "BV", "NV": "NV", "LTD": "Ltd", "LTDA": "Ltda", "LLC": "LLC", "INC": "Inc", "CO": "Co",
+    "PVT": "Pvt", "PTE": "Pte", "PLC": "PLC", "AS": "AS", "AB": "AB", "OY": "Oy", "KG": "KG",
+    "DE": "de", "CV": "CV", "USA": "USA", "UK": "UK", "API": "API", "ACS": "ACS", "DSM": "DSM",
+}

@@ -108,11 +108,12 @@ def united(df: DataFrame, key: str, values: str) -> DataFrame:
     return df.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(values)))).alias(values))
 
 
-def curated_edges(spark: SparkSession, rows: list[tuple[str, str, list[str], str]]) -> DataFrame:
-    """(src, relation, all dst, citation) of a hand-kept list -> layer 3 edges; a row without a citation is an error."""
-    if missing := [r for r in rows if not (r[3] or "").strip()]:
-        raise ValueError(f"no citation: {missing[0][0]} {missing[0][1]}")
-    return spark.createDataFrame(rows, "src string, rel string, dsts array<string>, citation string").select("src", "rel", F.explode("dsts").alias("dst"), F.lit(3).alias("layer"), "citation")
+def curated_edges(rows: DataFrame) -> DataFrame:
+    """rows(src, rel, dsts array, citation) of a hand-kept table -> layer 3 edges; a row without a citation is an error."""
+    missing = rows.filter(F.coalesce(F.trim("citation"), F.lit("")) == "").select("src", "rel").first()
+    if missing:
+        raise ValueError(f"no citation: {missing.src} {missing.rel}")
+    return rows.select("src", "rel", F.explode("dsts").alias("dst"), F.lit(3).alias("layer"), "citation")
 
 
 def sites_tier(holders: DataFrame, nodes: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text, values
+from ..functions import lists, text, values
 from ..operators import fuzzy, graph, merge, pointintime, registers, rules, stats, views, whatif
 from ..sources import readers, sinks
 from ..streaming import telemetry
 from .graphs import E, ROLL_SQL, TREE_SQL, bom, edges, nid, scenarios, tree
 from .market import CUTOFF, L, listings
+from .names import sql_list
 from .registry import Tables, query, r6
 from .signals import DAY, HIST, SIG, history, signals, universe
 
@@ -128,9 +129,10 @@ def q100(t):
     return views.united(d, "p_brand", "words").select("p_brand", F.array_join("words", ",").alias("words"))
 
 
-@query("q101_curated_edges", "SELECT * FROM (VALUES ('precursor:k', 'feeds', 'api:a', 3, 'doc 1'), ('precursor:k', 'feeds', 'api:b', 3, 'doc 1'), ('precursor:m', 'feeds', 'api:b', 3, 'doc 2')) AS v(src, rel, dst, layer, citation)")
+@query("q101_curated_edges", "SELECT DISTINCT 'precursor:' || p_partkey AS src, 'feeds' AS rel, 'company:' || l_suppkey AS dst, 3 AS layer, 'list of ' || p_brand AS citation FROM part JOIN lineitem ON l_partkey = p_partkey")
 def q101(t):
-    return views.curated_edges(t.spark, [("precursor:k", "feeds", ["api:a", "api:b"], "doc 1"), ("precursor:m", "feeds", ["api:b"], "doc 2")])
+    makers = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.collect_set(nid("company:", "l_suppkey")).alias("dsts"))
+    return views.curated_edges(t.part.join(makers, "p_partkey").select(nid("precursor:", "p_partkey").alias("src"), F.lit("feeds").alias("rel"), "dsts", nid("list of ", "p_brand").alias("citation")))
 
 
 @query("q102_sites_tier", """WITH h AS (SELECT DISTINCT l_suppkey AS id, 'p' || l_partkey AS src FROM lineitem), n AS (SELECT s_suppkey AS id, s_name AS label FROM supplier WHERE s_nationkey >= 5)
@@ -148,9 +150,12 @@ def q103(t):
     return views.facility_history(signals(t), "node_id", [F.col("observed_at"), F.col("event_id")]).select("node_id", "event_id", "place")
 
 
-@query("q104_threshold_export", "SELECT * FROM (VALUES ('share_gt', 0.75::DOUBLE), ('event_window_days', 90), ('stale_s', 30), ('dwell_s', 8), ('min_window_s', 3600)) AS v(name, value)")
+@query("q104_threshold_export", """SELECT name, value, (SELECT count(*) FROM events e WHERE e.value > v.value) AS above FROM (VALUES ('share_gt', 0.75::DOUBLE), ('event_window_days', 90), ('stale_s', 30), ('dwell_s', 8), ('min_window_s', 3600)) AS v(name, value)""")
 def q104(t):
-    return views.thresholds(t.spark)
+    """The rules' bounds, each with how many events' values lie above it."""
+    bounds = views.thresholds(t.spark)
+    above = t.events.select(F.col("value").alias("v")).join(F.broadcast(bounds), F.col("v") > F.col("value")).groupBy("name").agg(F.count(F.lit(1)).alias("above"))
+    return bounds.join(above, "name", "left").fillna(0, ["above"])
 
 
 @query("q105_sentences", """WITH g AS (SELECT s_nationkey AS nation, count(*) AS total, count(*) FILTER (s_acctbal <= 0) AS down, list(s_name ORDER BY s_name) FILTER (s_acctbal > 0) AS alive FROM supplier GROUP BY 1)
@@ -316,10 +321,12 @@ def q127(t):
     return registers.with_bodies(t.documents.select("doc_id"), t.labels.select("doc_id", F.lit("text").alias("body")).distinct(), "doc_id").select("doc_id", "has_body")
 
 
-@query("q128_resource_url", "SELECT 'prices 2023' AS title, 'u1' AS url")
+@query("q128_resource_url", """SELECT 'prices ' || (2000 + p_size) || ' ' || p_brand AS title, min('u' || p_partkey) AS url FROM part WHERE 2000 + p_size = 2023 AND p_type LIKE 'S%' GROUP BY 1 ORDER BY 1 LIMIT 1""")
 def q128(t):
-    c = t.spark.createDataFrame([("prices 2023", [("JSON", "u0"), ("csv", "u1")]), ("prices 2022", [("CSV", "u2")])], "title string, distribution array<struct<format:string,url:string>>")
-    return registers.resource_url(c, 2023)
+    """A catalog of price lists by year and brand, in the formats of their parts' types."""
+    form = F.when(F.col("p_type").startswith("S"), F.when(F.col("p_partkey") % 2 == 0, "CSV").otherwise("csv")).otherwise("JSON")
+    c = t.part.select(F.concat(F.lit("prices "), (F.col("p_size") + 2000).cast("string"), F.lit(" "), "p_brand").alias("title"), F.struct(form.alias("format"), nid("u", "p_partkey").alias("url")).alias("d"))
+    return registers.resource_url(c.groupBy("title").agg(F.collect_list("d").alias("distribution")), 2023)
 
 
 @query("q129_pinned_values", "SELECT 'rows' AS field, '1' AS expected, count(*)::VARCHAR AS found FROM nation")
@@ -449,3 +456,15 @@ def q150(t):
     """Payloads that hold the events' props, with secrets in objects and arrays."""
     payload = F.format_string('{"user": {"name": "u%d", "Api_Key": "%s", "items": [{"x-token": {"a": [%d]}, "v": %d}, [{"PASSWORDS": null}], null]}, "props": %s}', "user_id", "event_type", "event_id", "event_id", "props")
     return t.events.select("event_id", text.redact_json(payload).alias("payload"))
+
+
+@query("q152_display_names", f"""WITH f AS (SELECT {sql_list(lists.SUFFIX, False)} AS forms), n AS (SELECT p_partkey AS id, upper(p_name) || CASE p_partkey % 3 WHEN 0 THEN ' (' || upper(p_type) || ')/X-RAY ' WHEN 1 THEN ', ' ELSE '  ' END || forms[p_partkey % {len(lists.SUFFIX)} + 1] || '.' AS name FROM part, f),
+w AS (SELECT id, unnest(regexp_extract_all(name, '[\\s()/,.-]|[^\\s()/,.-]+')) AS w, generate_subscripts(regexp_extract_all(name, '[\\s()/,.-]|[^\\s()/,.-]+'), 1) AS i FROM n),
+s(k, v) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in lists.SUFFIX.items())})
+SELECT id, string_agg(coalesce(v, w[1] || lower(w[2:])), '' ORDER BY i) AS name FROM w LEFT JOIN s ON k = w GROUP BY 1""")
+def q152(t):
+    """The parts' makers in capitals, with every known suffix."""
+    k = F.col("p_partkey")
+    form = F.element_at(F.array(*map(F.lit, lists.SUFFIX)), (k % len(lists.SUFFIX) + 1).cast("int"))
+    middle = F.when(k % 3 == 0, F.concat(F.lit(" ("), F.upper("p_type"), F.lit(")/X-RAY "))).when(k % 3 == 1, ", ").otherwise("  ")
+    return t.part.select(k.alias("id"), text.display_name(F.concat(F.upper("p_name"), middle, form, F.lit("."))).alias("name"))

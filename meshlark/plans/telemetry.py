@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..streaming import telemetry as T
@@ -92,14 +94,15 @@ def q74(t):
     return T.sequence_gaps(t.events.select("event_id", "event_type", "ts"), "event_type", ["ts", "event_id"], "event_id").select("event_id", "lost")
 
 
-@query("q75_synthetic_scenarios", """WITH s AS (SELECT unnest(['nominal', 'excursion', 'breach', 'fault']) AS scenario), r AS (SELECT scenario, i, CASE scenario WHEN 'excursion' THEN CASE WHEN i < 3200 THEN 22.0::DOUBLE ELSE 22.0 + (i - 3200) * (9.0::DOUBLE / 800) END WHEN 'breach' THEN CASE WHEN i * 2 BETWEEN 3600 AND 7200 THEN 45.0::DOUBLE ELSE 23.0 END ELSE 22.0::DOUBLE END AS t FROM s, range(0, 4000) AS g(i))
-SELECT scenario, round(avg(t), 5) AS mean_c, round(max(t), 5) AS max_c, round(avg(greatest(20.0, least(95.0, 55 + (t - 22) * 1.8::DOUBLE))), 5) AS rh FROM r GROUP BY 1""")
+@query("q75_synthetic_scenarios", """WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+s AS (SELECT user_id, scenario, i, CASE scenario WHEN 'excursion' THEN CASE WHEN i < floor(n * 4 / 5) THEN 22.0::DOUBLE ELSE 22.0 + (i - floor(n * 4 / 5)) * (9.0::DOUBLE / greatest(1.0::DOUBLE, n / 5)) END WHEN 'breach' THEN CASE WHEN i * 120 BETWEEN 3600 AND 7200 THEN 45.0::DOUBLE ELSE 23.0 END ELSE 22.0::DOUBLE END AS t FROM r, (SELECT unnest(['nominal', 'excursion', 'breach', 'fault']) AS scenario))
+SELECT user_id, scenario, round(avg(t), 8) AS mean_c, round(max(t), 8) AS max_c, round(avg(greatest(20.0, least(95.0, 55 + (t - 22) * 1.8::DOUBLE))), 8) AS rh FROM s GROUP BY 1, 2""")
 def q75(t):
-    out = None
-    for s in ("nominal", "excursion", "breach", "fault"):
-        d = T.synthetic(t.spark, s, 4000).groupBy(F.lit(s).alias("scenario")).agg(F.round(F.avg("temp_c"), 5).alias("mean_c"), F.round(F.max("temp_c"), 5).alias("max_c"), F.round(F.avg("rh_pct"), 5).alias("rh"))
-        out = d if out is None else out.unionByName(d)
-    return out
+    """Each user's events as the ticks of a bin, two minutes apart, under every scenario."""
+    w = Window.partitionBy("user_id")
+    ticks = t.events.select("user_id", (F.row_number().over(w.orderBy("ts", "event_id")) - 1).alias("seq"), F.count(F.lit(1)).over(w).alias("n"))
+    runs = [T.synthetic(ticks, s, F.col("n"), 120).withColumn("scenario", F.lit(s)) for s in ("nominal", "excursion", "breach", "fault")]
+    return reduce(DataFrame.unionByName, runs).groupBy("user_id", "scenario").agg(F.round(F.avg("temp_c"), 8).alias("mean_c"), F.round(F.max("temp_c"), 8).alias("max_c"), F.round(F.avg("rh_pct"), 8).alias("rh"))
 
 
 def watched(t: Tables) -> DataFrame:

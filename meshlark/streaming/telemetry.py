@@ -16,18 +16,20 @@ def storage_classes(spark) -> DataFrame:
     return spark.createDataFrame(lists.STORAGE_CLASSES, "storage_class string, temp_c_min double, temp_c_max double, excursion_min double, excursion_max double, mkt_c_max double, rh_pct_max double")
 
 
-def synthetic(spark, scenario: str, n: int, step_s: int = 2) -> DataFrame:
-    """(seq, temp_c, rh_pct) of a scenario: nominal, excursion (a ramp over the last fifth), breach (a hot hour), fault."""
-    i, late = F.col("id"), F.floor(F.lit(n * 4 / 5))
+def synthetic(ticks: DataFrame, scenario: str, n: int | Column, step_s: int = 2) -> DataFrame:
+    """ticks(seq, ...), numbered from 0 to n - 1, with temp_c, temp2_c and rh_pct of a scenario: nominal, excursion (a ramp over
+    the last fifth), breach (a hot hour), fault. n may be a column of the ticks, where they are of several bins."""
+    n = F.lit(n) if isinstance(n, int) else n
+    i, late = F.col("seq"), F.floor(n * 4 / 5)
     temp = {
         "nominal": F.lit(22.0),
-        "excursion": F.when(i < late, 22.0).otherwise(22.0 + (i - late) * (9.0 / max(1, n / 5))),
+        "excursion": F.when(i < late, 22.0).otherwise(22.0 + (i - late) * (9.0 / F.greatest(F.lit(1.0), n / 5))),
         "breach": F.when((i * step_s).between(3600, 7200), 45.0).otherwise(23.0),
         "fault": F.lit(22.0),
     }[scenario]
     other = temp + 9.0 if scenario == "fault" else temp + 0.2
     rh = F.greatest(F.lit(20.0), F.least(F.lit(95.0), 55 + (temp - 22) * 1.8))
-    return spark.range(n).select(i.alias("seq"), temp.alias("temp_c"), other.alias("temp2_c"), rh.alias("rh_pct"))
+    return ticks.withColumns({"temp_c": temp, "temp2_c": other, "rh_pct": rh})
 
 
 def in_seconds(ts: Column) -> Column:

@@ -38,6 +38,8 @@ def one(spark, value, f):
         (text.plain_text, "<p>a &amp; b</p>\n<i>c</i>", "a & b c"),
         (text.display_name, "ORVANE LABS GMBH", "Orvane Labs GmbH"),
         (text.display_name, "Orvane LABS", "Orvane LABS"),
+        (text.display_name, "ORVANE (CHINA) PVT. LTD, S.P.A/BIO-TECH  3M", "Orvane (China) Pvt. Ltd, S.P.A/Bio-Tech  3m"),
+        (text.display_name, "12 34", "12 34"),
         (lambda c: text.balanced_after(c, "the list"), "see the list (a, b (c), d) end", "a, b (c), d"),
         (lambda c: text.balanced_after(c, "the list"), "see the list (a, b", None),
         (lambda c: F.array_join(text.top_level_split(c), "|"), "A, B (x, y), or C (gloss), , D", "A|B|C|D"),
@@ -460,7 +462,7 @@ def test_views(spark, tmp_path):
     views.keep_view(read(), f"{tmp_path}/view", f"{tmp_path}/stream", "k", ["at"]).awaitTermination()
     assert {(r.k, r.v) for r in views.read_view(spark, f"{tmp_path}/view").collect()} == {(1, "z"), (2, "y"), (3, "w")}
     with pytest.raises(ValueError):
-        views.curated_edges(spark, [("a", "feeds", ["b"], " ")])
+        views.curated_edges(spark.createDataFrame([("a", "feeds", ["b"], " ")], "src string, rel string, dsts array<string>, citation string"))
     back = sinks.csv_cache(d, f"{tmp_path}/csv")
     assert sorted(back.collect()) == sorted(d.collect())
     s = one(spark, "A b (and its subsidiaries: C, D (x))", lambda c: views.trailing_clause(c, "subsidiar"))
