@@ -50,19 +50,22 @@ s AS (SELECT p.*, x.p_name = y.p_name AS actual, x.name = y.name AS equal, x.cou
 v AS (SELECT *, CASE WHEN af IS NOT NULL AND bf IS NOT NULL THEN 'fei' WHEN ad IS NOT NULL AND bd IS NOT NULL THEN 'duns' WHEN guarded AND ac <> bc THEN 'country' WHEN bare THEN 'generic' ELSE 'core' END AS method FROM s, (SELECT unnest([true, false]) AS guarded)),
 w AS (SELECT a, b, guarded, actual, method, CASE method WHEN 'fei' THEN (af = bf)::INT::DOUBLE WHEN 'duns' THEN (ad = bd)::INT::DOUBLE WHEN 'country' THEN 0 WHEN 'generic' THEN generic ELSE core END AS score FROM v),
 z AS (SELECT *, CASE method WHEN 'fei' THEN score = 1 WHEN 'duns' THEN score = 1 WHEN 'country' THEN false WHEN 'generic' THEN score >= 0.85 ELSE score >= 0.6 END AS same FROM w)"""
-SIDES = F.col("a_side"), F.col("b_side")
+
+
+def sides() -> tuple[Column, Column]:
+    return F.col("a_side"), F.col("b_side")
 
 
 @query("q21_compare_names", f"WITH {COMPARED} SELECT a, b, actual, method, round(score, 6) AS score, same FROM z WHERE guarded")
 def q21(t):
-    return pairs(t).withColumn("v", fuzzy.compare(*SIDES)).select("a", "b", F.col("same").alias("actual"), "v.method", r6("v.score").alias("score"), F.col("v.same").alias("same"))
+    return pairs(t).withColumn("v", fuzzy.compare(*sides())).select("a", "b", F.col("same").alias("actual"), "v.method", r6("v.score").alias("score"), F.col("v.same").alias("same"))
 
 
 @query("q22_er_threshold_sweep", f"""WITH {COMPARED}, x AS (SELECT h / 100.0::DOUBLE AS threshold, actual, score >= h / 100.0::DOUBLE AS pred FROM z, range(20, 96, 5) AS g(h) WHERE guarded),
 cc AS (SELECT threshold, count(*) FILTER (pred AND actual) AS tp, count(*) FILTER (pred AND NOT actual) AS fp, count(*) FILTER (NOT pred AND NOT actual) AS tn, count(*) FILTER (NOT pred AND actual) AS fn FROM x GROUP BY 1),
 q AS (SELECT *, {CONF} FROM cc) SELECT *, f1 = max(f1) OVER () AS plateau FROM q""")
 def q22(t):
-    scored = pairs(t).select("same", fuzzy.compare(*SIDES)["score"].alias("score"))
+    scored = pairs(t).select("same", fuzzy.compare(*sides())["score"].alias("score"))
     return rounded_confusion(fuzzy.sweep(scored, "score", "same"))
 
 
@@ -72,7 +75,7 @@ SELECT *, {CONF} FROM cc""")
 def q149(t):
     """What the country guard is worth, beside plain equality of squashed names."""
     key = lambda c: text.squash(text.strip_accents(c["name"]))
-    ways = F.create_map(F.lit("guard"), fuzzy.compare(*SIDES)["same"], F.lit("no guard"), fuzzy.compare(*SIDES, country_guard=False)["same"], F.lit("equal keys"), key(SIDES[0]) == key(SIDES[1]))
+    ways = F.create_map(F.lit("guard"), fuzzy.compare(*sides())["same"], F.lit("no guard"), fuzzy.compare(*sides(), country_guard=False)["same"], F.lit("equal keys"), key(sides()[0]) == key(sides()[1]))
     return rounded_confusion(fuzzy.confusion(pairs(t).select("same", F.explode(ways).alias("way", "pred")), F.col("pred"), F.col("same"), ["way"]))
 
 

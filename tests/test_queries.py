@@ -41,3 +41,13 @@ def test_stream_equals_table(spark):
     for r in newest:
         s = stream[r.key]
         assert abs(r.s.mkt_c - s.mkt_c) < 1e-3 and r.s.latched == s.latched and r.s.excursion == s.excursion
+
+
+def test_entry_needs_no_session():
+    """The driver may list the queries before it starts Spark."""
+    import subprocess
+    import sys
+
+    from .conftest import ROOT
+
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=ROOT, check=True, timeout=120)
