@@ -63,8 +63,9 @@ def first_match(left: DataFrame, right: DataFrame, key_l: Column, key_r: Column,
 
 
 def priced_products(products: DataFrame, prices: DataFrame) -> DataFrame:
-    """products(generic, packages array of dashed codes) x prices(ndc of 11 digits, price, day): one row per price."""
-    codes = products.select("generic", F.explode("packages").alias("_p")).select("generic", text.ndc11(F.col("_p")).alias("ndc")).filter("ndc IS NOT NULL").dropDuplicates(["ndc"])
+    """products(generic, packages array of dashed codes) x prices(ndc of 11 digits, price, day): one row per price; of
+    the products that share a code, the smallest generic counts."""
+    codes = products.select("generic", F.explode("packages").alias("_p")).select("generic", text.ndc11(F.col("_p")).alias("ndc")).filter("ndc IS NOT NULL").groupBy("ndc").agg(F.min("generic").alias("generic"))
     return prices.join(codes, "ndc")
 
 

@@ -562,3 +562,12 @@ def test_chains_over_many_ranges(spark):
             assert got == {0: ("intact", None), 2: ("intact", None), 1: ("removed, reordered, or inserted", gone + 1)}
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_shared_code_goes_to_the_smallest_generic(spark):
+    from meshlark.operators import registers
+
+    rows = [(f"g{(i * 7) % 40:02d}", ["1-2-3", "bad"]) for i in range(40)]
+    products = spark.createDataFrame(rows, "generic string, packages array<string>").repartition(8)
+    prices = spark.createDataFrame([("00001000203", 5.0)], "ndc string, price double")
+    assert [(r.generic, r.price) for r in registers.priced_products(products, prices).collect()] == [("g00", 5.0)]
