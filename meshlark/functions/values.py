@@ -94,5 +94,5 @@ def fused(value_a: Column, value_b: Column, weight_a: float = 0.6, weight_b: flo
 
 
 def contamination_pct(clean: Column, now: Column) -> Column:
-    """How far a resistance has fallen below its clean value, 0 to 100."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), (1 - now / clean) * 100))
+    """How far a resistance has fallen below its clean value, 0 to 100 (100 where that is 0)."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), (1 - F.try_divide(now, clean)) * 100))

@@ -107,10 +107,11 @@ def stride(df: DataFrame, key: str, order: list[str], limit: int = 2000) -> Data
 
 
 def ratchet(df: DataFrame, key: str, order: list[str], value: str, decay: float = 0.9998) -> DataFrame:
-    """Adds clean = max(now, decay * clean before), in closed form over logarithms (values above 0)."""
+    """Adds clean = max(now, decay * clean before), in closed form over logarithms (values from 0 on)."""
     w = Window.partitionBy(key).orderBy(*order)
     d = df.withColumn("_i", F.row_number().over(w))
-    best = F.max(F.log(F.col(value)) - F.col("_i") * math.log(decay)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    log = F.when(F.col(value) == 0, F.lit(-math.inf)).otherwise(F.log(F.col(value)))
+    best = F.max(log - F.col("_i") * math.log(decay)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return d.withColumn("clean", F.exp(best + F.col("_i") * math.log(decay))).drop("_i")
 
 

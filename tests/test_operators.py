@@ -571,3 +571,9 @@ def test_shared_code_goes_to_the_smallest_generic(spark):
     products = spark.createDataFrame(rows, "generic string, packages array<string>").repartition(8)
     prices = spark.createDataFrame([("00001000203", 5.0)], "ndc string, price double")
     assert [(r.generic, r.price) for r in registers.priced_products(products, prices).collect()] == [("g00", 5.0)]
+
+
+def test_ratchet_from_zero(spark):
+    d = spark.createDataFrame([(1, 0.0), (2, 0.0), (3, 8.0), (4, 0.0)], "event_id long, value double").withColumn("k", F.lit(1))
+    d = T.ratchet(d, "k", ["event_id"], "value", 0.5).withColumn("dirt", values.contamination_pct(F.col("clean"), F.col("value")))
+    assert [(round(r.clean, 9), round(r.dirt, 9)) for r in d.orderBy("event_id").collect()] == [(0.0, 100.0), (0.0, 100.0), (8.0, 0.0), (4.0, 100.0)]
