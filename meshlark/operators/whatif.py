@@ -19,25 +19,134 @@ TREE = ["key", "id", "parent_key", "kind", "tier", "iso"]
 
 def build_tree(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """roots(id): drug <- active_in api <- feeds precursor, suppliers by produced_by at both tiers, country by incorporated_in."""
+    return Chain(edges, roots).tree()
 
-    def rel(name: str) -> DataFrame:
-        return edges.filter(F.col("rel") == name).select("src", "dst").distinct()
 
-    iso = rel("incorporated_in").groupBy(F.col("src").alias("id")).agg(F.min(F.regexp_replace("dst", "^country:", "")).alias("iso"))
-    drug = roots.select(F.col("id").alias("key"), "id", F.lit(None).cast("string").alias("parent_key"), F.lit("drug").alias("kind"), F.lit("drug").alias("tier"))
+class Chain:
+    """The tree of build_tree by its parts: its items, written once, and who makes an item, whatever the number of its rows.
 
-    def below(parents: DataFrame, links: DataFrame, kind: str) -> DataFrame:
-        """links(up, id)"""
-        p = parents.select(F.col("key").alias("parent_key"), F.col("id").alias("up"), F.col("tier").alias("_tier"))
-        tier = F.col("_tier") if kind == "supplier" else F.lit(kind)
-        return p.join(links, "up").select(F.concat_ws("|", "parent_key", "id").alias("key"), "id", "parent_key", F.lit(kind).alias("kind"), tier.alias("tier"))
+    A failure is found out for an id, not for each of its rows, and goes down the items as a list of scenarios. Suppliers
+    are by far the most rows: they are joined below the items in one pass, and only where a result has rows for them.
+    """
 
-    into = lambda name: rel(name).select(F.col("dst").alias("up"), F.col("src").alias("id"))
-    api = below(drug, into("active_in"), "api")
-    pre = below(api, into("feeds"), "precursor")
-    made = rel("produced_by").select(F.col("src").alias("up"), F.col("dst").alias("id"))
-    rows = drug.unionByName(api).unionByName(pre).unionByName(below(api, made, "supplier")).unionByName(below(pre, made, "supplier"))
-    return rows.join(iso, "id", "left").select(*TREE)
+    def __init__(self, edges: DataFrame, roots: DataFrame):
+        rel = lambda name: edges.filter(F.col("rel") == name).select("src", "dst")
+        iso = rel("incorporated_in").groupBy(F.col("src").alias("id")).agg(F.min(F.regexp_replace("dst", "^country:", "")).alias("iso"))
+
+        def below(parents: DataFrame, links: DataFrame, kind: str) -> DataFrame:
+            """links(up, id)"""
+            p = parents.select(F.col("key").alias("parent_key"), F.col("id").alias("up"))
+            return p.join(links, "up").select(F.concat_ws("|", "parent_key", "id").alias("key"), "id", "parent_key", F.lit(kind).alias("kind"), F.lit(kind).alias("tier"))
+
+        into = lambda name: rel(name).select(F.col("dst").alias("up"), F.col("src").alias("id")).distinct()
+        self.feeds = checkpointed(into("feeds"))
+        drug = roots.select(F.col("id").alias("key"), "id", F.lit(None).cast("string").alias("parent_key"), F.lit("drug").alias("kind"), F.lit("drug").alias("tier"))
+        api = below(drug, into("active_in"), "api")
+        items = drug.unionByName(api).unionByName(below(api, self.feeds, "precursor"))
+        self.items = checkpointed(items.join(iso, "id", "left").select(*TREE))
+        made = rel("produced_by").select(F.col("src").alias("up"), F.col("dst").alias("id")).repartition("up").dropDuplicates(["up", "id"])  # one shuffle; an item's makers lie together
+        self.made = checkpointed(made.join(iso, "id", "left").select("up", "id", "iso"))
+
+    def leaves(self, items: DataFrame, made: DataFrame, *more: str) -> DataFrame:
+        """The suppliers' rows below the items, with other columns of the two."""
+        p = items.filter("kind <> 'drug'").select(F.col("key").alias("parent_key"), F.col("id").alias("up"), "tier", *[c for c in more if c in items.columns])
+        return p.join(made, "up").select(F.concat_ws("|", "parent_key", "id").alias("key"), "id", "parent_key", F.lit("supplier").alias("kind"), "tier", "iso", *more)
+
+    def tree(self) -> DataFrame:
+        return self.items.unionByName(self.leaves(self.items, self.made))
+
+    def failed(self, scenarios: DataFrame) -> Failed:
+        return Failed(self, scenarios)
+
+
+class Failed:
+    """What the scenarios do to a chain; the rules are those of cut_set and rollup."""
+
+    def __init__(self, chain: Chain, scenarios: DataFrame):
+        self.chain, self.scenarios, none = chain, scenarios, F.array().cast("array<string>")
+        off = scenarios.filter("off_id IS NOT NULL").select("scenario_id", "off_id").distinct()
+        ids = chain.items.select("id", "iso").unionByName(chain.made.select("id", "iso")).distinct()
+        names = ids.select("id", F.explode(F.array_compact(F.array("id", F.concat(F.lit("country:"), "iso")))).alias("off_id"))
+        own = checkpointed(names.join(off, "off_id").groupBy("id").agg(F.collect_set("scenario_id").alias("own")))
+        self.made = chain.made.join(own, "id", "left").withColumn("own", F.coalesce("own", none))
+
+        # what an item loses of its own suppliers, whatever stands above it
+        self.makers = checkpointed(chain.made.groupBy("up").agg(F.count(F.lit(1)).alias("n")))
+        self.gone = checkpointed(chain.made.join(own, "id").select("up", F.explode("own").alias("scenario_id")).groupBy("up", "scenario_id").agg(F.count(F.lit(1)).alias("lost")))
+        idle = self.gone.join(self.makers, "up").filter("lost = n").select(F.col("up").alias("id"), "scenario_id")
+        shut = own.select("id", F.explode("own").alias("scenario_id")).unionByName(idle).distinct()
+        n = chain.feeds.groupBy("up").agg(F.count(F.lit(1)).alias("n"))
+        gated = shut.join(chain.feeds, "id").groupBy("up", "scenario_id").agg(F.count(F.lit(1)).alias("met")).join(n, "up").filter("met = n")
+        gated = gated.groupBy(F.col("up").alias("id")).agg(F.collect_set("scenario_id").alias("gated"))
+
+        def dead(kind: str, above: DataFrame | None) -> DataFrame:
+            rows = chain.items.filter(F.col("kind") == kind).join(own, "id", "left").withColumn("dead", F.coalesce("own", none)).drop("own")
+            if above is None:
+                return rows
+            over = above.filter(F.size("dead") > 0).select(F.col("key").alias("parent_key"), F.col("dead").alias("over"))
+            return rows.join(over, "parent_key", "left").withColumn("dead", F.array_union("dead", F.coalesce("over", none))).drop("over")
+
+        drugs = dead("drug", None)
+        apis = checkpointed(dead("api", drugs).join(gated, "id", "left").withColumn("under", F.array_union("dead", F.coalesce("gated", none))).drop("gated"))
+        pres = dead("precursor", apis).withColumn("under", F.col("dead"))
+        #: the items, the scenarios in which they are dead, and those in which all of their suppliers are
+        self.items = checkpointed(drugs.withColumn("under", F.col("dead")).unionByName(apis).unionByName(pres))
+
+    def dead_leaves(self) -> DataFrame:
+        rows = self.chain.leaves(self.items, self.made, "own", "under").withColumn("scenario_id", F.explode(F.array_union("own", "under")))
+        return rows.select("scenario_id", *TREE)
+
+    def cut_set(self) -> DataFrame:
+        """As cut_set over the tree."""
+        return self.items.withColumn("scenario_id", F.explode("dead")).select("scenario_id", *TREE).unionByName(self.dead_leaves())
+
+    def rolled(self) -> DataFrame:
+        """The items with their total and `lost`, an array of (scenario_id, lost) for the scenarios that take any of it."""
+        lists = lambda rows, key: rows.groupBy(key).agg(F.collect_list(F.struct("scenario_id", "lost")).alias("part"))
+        mine, none = self.makers.join(lists(self.gone, "up"), "up", "left").withColumnsRenamed({"up": "id", "part": "gone"}), F.array().cast("array<struct<scenario_id:string,lost:bigint>>")
+
+        def level(kind: str, children: DataFrame | None) -> DataFrame:
+            rows = self.items.filter(F.col("kind") == kind).join(mine, "id", "left")
+            if children is None:
+                rows = rows.withColumns({"below": F.lit(None).cast("bigint"), "part": none})
+            else:
+                rows = rows.join(children.groupBy(F.col("parent_key").alias("key")).agg(F.sum("total").alias("below")), "key", "left")
+                sent = children.select("parent_key", F.inline("lost")).groupBy(F.col("parent_key").alias("key"), "scenario_id").agg(F.sum("lost").alias("lost"))
+                rows = rows.join(lists(sent, "key"), "key", "left")
+            direct, total = F.col("n").isNotNull(), F.coalesce("n", "below", F.lit(1)).cast("bigint")
+            rows = rows.withColumn("total", total).withColumn("all", F.when(direct, F.col("under")).otherwise(F.col("dead")))
+            some = F.filter(F.coalesce(F.when(direct, F.col("gone")).otherwise(F.col("part")), none), lambda x: ~F.array_contains("all", x["scenario_id"]))
+            whole = F.transform("all", lambda x: F.struct(x.alias("scenario_id"), F.col("total").alias("lost")))
+            return checkpointed(rows.select("key", "id", "parent_key", "kind", "total", F.concat(whole, some).alias("lost")))
+
+        pre = level("precursor", None)
+        api = level("api", pre)
+        return pre.unionByName(api).unionByName(level("drug", api))
+
+    def changed(self, rolled: DataFrame) -> DataFrame:
+        rows = rolled.select("key", "id", "kind", "total", F.inline("lost")).withColumn("up", F.col("total") - F.col("lost"))
+        return rows.select("scenario_id", "key", "id", "kind", "total", "up", health(F.col("up"), F.col("total")).alias("health"))
+
+    def rollup(self) -> DataFrame:
+        """As rollup over the tree."""
+        one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+        leaves = self.dead_leaves().select("scenario_id", "key", "id", "kind", one.alias("total"), none.alias("up"), F.lit("down").alias("health"))
+        return self.changed(self.rolled()).unionByName(leaves)
+
+    def drugs(self) -> DataFrame:
+        """Every drug in every scenario, as chain_health gives them; no supplier's row is formed."""
+        drugs = self.rolled().filter("kind = 'drug'")
+        return chain_health(overlaid(drugs, self.changed(drugs), self.scenarios))
+
+    def allocate(self) -> DataFrame:
+        """As allocate over the tree: items of one id that fail alike are counted, not repeated."""
+        alike = self.items.filter("kind <> 'drug'").groupBy(F.col("id").alias("up"), F.array_sort("under").alias("under")).agg(F.count(F.lit(1)).alias("rows"))
+        iso = F.coalesce("iso", F.lit("unknown")).alias("iso")
+        rows = alike.join(self.made, "up").groupBy(iso, F.array_sort(F.array_union("own", "under")).alias("off")).agg(F.sum("rows").alias("rows"))
+        rows = checkpointed(rows)
+        total = rows.groupBy("iso").agg(F.sum("rows").alias("total"))
+        lost = rows.select("iso", "rows", F.explode("off").alias("scenario_id")).groupBy("scenario_id", "iso").agg(F.sum("rows").alias("lost"))
+        return shared_out(total, lost, self.scenarios)
 
 
 def cut_set(tree: DataFrame, scenarios: DataFrame) -> DataFrame:
@@ -135,6 +244,10 @@ def allocate(base: DataFrame, cut: DataFrame, scenarios: DataFrame) -> DataFrame
     iso = F.coalesce("iso", F.lit("unknown")).alias("iso")
     per = base.filter("kind = 'supplier'").groupBy(iso).agg(F.count(F.lit(1)).alias("total"))
     lost = cut.filter("kind = 'supplier'").groupBy("scenario_id", iso).agg(F.count(F.lit(1)).alias("lost"))
+    return shared_out(per, lost, scenarios)
+
+
+def shared_out(per: DataFrame, lost: DataFrame, scenarios: DataFrame) -> DataFrame:
     per = against(per, scenarios.select("scenario_id").distinct()).join(lost, ["scenario_id", "iso"], "left")
     per = per.withColumn("up", F.col("total") - F.coalesce("lost", F.lit(0))).drop("lost")
     share = F.coalesce(F.try_divide(F.col("up").cast("double"), F.sum("up").over(Window.partitionBy("scenario_id")).cast("double")), F.lit(0.0))

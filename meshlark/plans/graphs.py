@@ -153,8 +153,9 @@ h AS (SELECT scenario_id, key, id, kind, total::BIGINT AS total, up::BIGINT AS u
 
 
 def bom(t: Tables) -> DataFrame:
+    """The edges; one may stand there twice."""
     part = t.part.select("p_partkey", "p_brand", "p_type", "p_size", F.concat(F.lit("api:"), "p_brand", F.lit(" "), "p_name").alias("api"))
-    to = lambda df, src, rel, dst: df.select(src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst")).distinct()
+    to = lambda df, src, rel, dst: df.select(src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst"))
     pre, maker = nid("precursor:", "l_partkey"), nid("company:", "l_suppkey")
     whole = t.lineitem.filter("l_quantity = 50").join(part, F.col("p_partkey") == F.col("l_partkey"))
     return (
@@ -167,9 +168,9 @@ def bom(t: Tables) -> DataFrame:
     )
 
 
-def tree(t: Tables) -> DataFrame:
+def chain(t: Tables) -> whatif.Chain:
     roots = t.part.select(nid("drug:", "p_brand").alias("id")).unionByName(t.part.filter("p_size > 45").select(nid("drug:", "p_type").alias("id"))).distinct()
-    return graph.checkpointed(whatif.build_tree(graph.checkpointed(bom(t)), roots))
+    return whatif.Chain(bom(t), roots)
 
 
 def scenarios(t: Tables) -> DataFrame:
@@ -190,20 +191,18 @@ def scenarios(t: Tables) -> DataFrame:
 
 @query("q37_cut_set", f"WITH {TREE_SQL} SELECT scenario_id, key, id, kind FROM cut WHERE dead")
 def q37(t):
-    return whatif.cut_set(tree(t), scenarios(t)).select("scenario_id", "key", "id", "kind")
+    return chain(t).failed(scenarios(t)).cut_set().select("scenario_id", "key", "id", "kind")
 
 
 @query("q36_tree_rollup", f"WITH {ROLL_SQL} SELECT * FROM h WHERE health <> 'ok'")
 def q36(t):
-    rows = tree(t)
-    return whatif.rollup(whatif.all_up(rows), whatif.cut_set(rows, scenarios(t)))
+    return chain(t).failed(scenarios(t)).rollup()
 
 
 @query("q38_allocate_share", f"""WITH {TREE_SQL}, p AS (SELECT scenario_id, coalesce(iso, 'unknown') AS iso, count(*) AS total, count(*) FILTER (NOT dead) AS up FROM cut WHERE kind = 'supplier' GROUP BY 1, 2)
 SELECT scenario_id, iso, total, up, round(coalesce(up / nullif(sum(up) OVER (PARTITION BY scenario_id), 0)::DOUBLE, 0), 6) AS share FROM p""")
 def q38(t):
-    rows, off = tree(t), scenarios(t)
-    return whatif.allocate(whatif.all_up(rows), whatif.cut_set(rows, off), off).withColumn("share", r6("share"))
+    return chain(t).failed(scenarios(t)).allocate().withColumn("share", r6("share"))
 
 
 @query("q40_rerank_against_failure", """WITH a AS (SELECT s_nationkey AS node, s_name AS holder, CASE WHEN s_suppkey % 5 = 0 THEN [] WHEN s_suppkey % 5 < 3 THEN ['c' || (s_suppkey % 5)] ELSE ['c1', 'c' || (s_suppkey % 5)] END AS iso2, round(s_acctbal / 1000, 1) AS score, s_acctbal > 0 AS viable, s_suppkey % 6 <> 0 AS standing FROM supplier),

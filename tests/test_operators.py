@@ -589,3 +589,22 @@ def test_places_of_one_name_are_reduced_first(spark):
     same, any_ = min((-(j % 1000), j % 80, j) for j in range(2999) if j % 3 == 1), min((-(j % 1000), j % 80, j) for j in range(2999))
     assert best == {(0, "harbours", *same[1:]), (1, "harbours", *any_[1:])} and found.count() == 3000
     assert max(r["_rows"] for r in fuzzy.place_bests(places).groupBy("name").agg(F.count("*").alias("_rows")).collect()) == 3
+
+
+def test_whatif_by_parts_of_the_chain(spark):
+    """A chain's failures equal those of its whole tree; no query result but a supplier's own rows needs the tree's suppliers."""
+    e = spark.createDataFrame([*BOM, BOM[0], BOM[-6]], "src string, rel string, dst string")
+    roots = spark.createDataFrame([("drug:x",), ("drug:y",)], "id string")
+    off = spark.createDataFrame(SCENARIOS, "scenario_id string, off_id string")
+    rows = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+    chain = whatif.Chain(e, roots)
+    tree, failed = whatif.build_tree(e, roots), chain.failed(off)
+    base, cut = whatif.all_up(tree), whatif.cut_set(tree, off)
+    changed = whatif.rollup(base, cut)
+    assert rows(failed.cut_set()) == rows(cut)
+    assert rows(failed.rollup()) == rows(changed)
+    assert rows(failed.allocate()) == rows(whatif.allocate(base, cut, off))
+    drugs = whatif.chain_health(whatif.overlaid(base.filter("kind = 'drug'"), changed, off))
+    assert rows(failed.drugs()) == rows(drugs)
+    failed.leaves = chain.leaves = None
+    assert rows(failed.drugs()) == rows(drugs) and failed.allocate().count() > 0
