@@ -271,14 +271,16 @@ def rerank(alternates: DataFrame, failed: DataFrame, away: float = 2.0, same: fl
 def partner(anchors: DataFrame, others: DataFrame, by: list[str], per_point: float = 36.0) -> DataFrame:
     """For each anchor(id, lat, lng) the other(id, lat, lng, score) with the greatest score less distance / per_point.
 
-    Both tiers are short lists (suppliers of one item), grouped by `by`.
+    Of others at one spot only the two best can win (the best may be the anchor itself), so an anchor meets two rows a spot.
     """
-    o = others.select(*by, F.col("id").alias("partner"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), "score")
-    pairs = anchors.join(o, by)
-    deg = arc_degrees(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2"))
-    pairs = pairs.filter("id <> partner").withColumn("degrees", deg).withColumn("value", F.col("score") - F.col("degrees") / per_point)
-    w = Window.partitionBy(*by, "id").orderBy(F.desc("value"), "partner")
-    return pairs.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select(*by, "id", "partner", "degrees", "value")
+    spot = Window.partitionBy(*by, "lat", "lng").orderBy(F.desc("score"), "id")
+    o = others.withColumn("_rn", F.row_number().over(spot)).filter("_rn <= 2")
+    o = o.select(*by, F.col("id").alias("partner"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), "score")
+    tasks = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as a few rows here become many
+    pairs = anchors.repartition(tasks, "id").join(o, by).filter("id <> partner")
+    pairs = pairs.withColumn("degrees", arc_degrees(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2"))).withColumn("value", F.col("score") - F.col("degrees") / per_point)
+    best = F.struct(F.col("value").isNull(), (-F.col("value")).alias("less"), "partner", "degrees", "value")
+    return pairs.groupBy(*by, "id").agg(F.min(best).alias("_best")).select(*by, "id", "_best.partner", "_best.degrees", "_best.value")
 
 
 def chain_health(rolled: DataFrame) -> DataFrame:

@@ -608,3 +608,15 @@ def test_whatif_by_parts_of_the_chain(spark):
     assert rows(failed.drugs()) == rows(drugs)
     failed.leaves = chain.leaves = None
     assert rows(failed.drugs()) == rows(drugs) and failed.allocate().count() > 0
+
+
+def test_partner_meets_two_rows_a_spot(spark):
+    """Against all pairs; 600 sites of a tier stand on 12 spots, and an anchor meets at most 24 of them."""
+    rows = [(i, "t", float(i % 12 * 7), float(i % 4 * 30), float(i * 37 % 101)) for i in range(600)] + [(1000, "alone", 1.0, 1.0, 5.0)]
+    sites = spark.createDataFrame(rows, "id long, tier string, lat double, lng double, score double")
+    found = whatif.partner(sites.drop("score"), sites, by=["tier"])
+    got = {r.id: (r.partner, round(r.value, 9)) for r in found.collect()}
+    pairs = sites.drop("score").join(sites.select("tier", F.col("id").alias("p"), F.col("lat").alias("b"), F.col("lng").alias("c"), "score"), "tier").filter("id <> p")
+    pairs = pairs.withColumn("v", F.col("score") - values.arc_degrees(F.col("lat"), F.col("lng"), F.col("b"), F.col("c")) / 36.0)
+    assert got == {r.id: (r.b["p"], round(r.b["v"], 9)) for r in pairs.groupBy("id").agg(F.min(F.struct((-F.col("v")).alias("n"), "p", "v")).alias("b")).collect()}
+    assert len(got) == 600
