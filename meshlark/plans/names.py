@@ -28,13 +28,14 @@ def companies(t: Tables) -> DataFrame:
     return t.part.select(k.alias("id"), "p_name", name.alias("name"), country.alias("country"), F.when(k % 7 == 0, F.col("p_brand")).alias("fei"), F.when(k % 11 < 3, F.col("p_name")).alias("duns"))
 
 
-def pairs(t: Tables) -> DataFrame:
-    """Makers that follow each other in an order; they are truly the same if their parts have one name."""
+def pairs(t: Tables, *more: Column) -> DataFrame:
+    """Makers that follow each other in an order, with their words (and more of a company); they are truly the same if their
+    parts have one name."""
     line = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
     after = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("b"))
     met = line.join(after, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("a"), "b").distinct()
     c = companies(t)
-    one = lambda p: c.select(F.col("id").alias(p), F.col("p_name").alias(f"{p}_name"), F.struct("name", "country", "fei", "duns").alias(f"{p}_side"))
+    one = lambda p: c.select(F.col("id").alias(p), F.col("p_name").alias(f"{p}_name"), fuzzy.worded(F.struct("name", "country", "fei", "duns")).alias(f"{p}_side"), *[m.alias(f"{p}_more") for m in more])
     return met.join(one("a"), "a").join(one("b"), "b").withColumn("same", F.col("a_name") == F.col("b_name"))
 
 
@@ -58,14 +59,14 @@ def sides() -> tuple[Column, Column]:
 
 @query("q21_compare_names", f"WITH {COMPARED} SELECT a, b, actual, method, round(score, 6) AS score, same FROM z WHERE guarded")
 def q21(t):
-    return pairs(t).withColumn("v", fuzzy.compare(*sides())).select("a", "b", F.col("same").alias("actual"), "v.method", r6("v.score").alias("score"), F.col("v.same").alias("same"))
+    return pairs(t).withColumn("v", fuzzy.compare_worded(*sides())).select("a", "b", F.col("same").alias("actual"), "v.method", r6("v.score").alias("score"), F.col("v.same").alias("same"))
 
 
 @query("q22_er_threshold_sweep", f"""WITH {COMPARED}, x AS (SELECT h / 100.0::DOUBLE AS threshold, actual, score >= h / 100.0::DOUBLE AS pred FROM z, range(20, 96, 5) AS g(h) WHERE guarded),
 cc AS (SELECT threshold, count(*) FILTER (pred AND actual) AS tp, count(*) FILTER (pred AND NOT actual) AS fp, count(*) FILTER (NOT pred AND NOT actual) AS tn, count(*) FILTER (NOT pred AND actual) AS fn FROM x GROUP BY 1),
 q AS (SELECT *, {CONF} FROM cc) SELECT *, f1 = max(f1) OVER () AS plateau FROM q""")
 def q22(t):
-    scored = pairs(t).select("same", fuzzy.compare(*sides())["score"].alias("score"))
+    scored = pairs(t).select("same", fuzzy.compare_worded(*sides())["score"].alias("score"))
     return rounded_confusion(fuzzy.sweep(scored, "score", "same"))
 
 
@@ -74,9 +75,10 @@ cc AS (SELECT way, count(*) FILTER (pred AND actual) AS tp, count(*) FILTER (pre
 SELECT *, {CONF} FROM cc""")
 def q149(t):
     """What the country guard is worth, beside plain equality of squashed names."""
-    key = lambda c: text.squash(text.strip_accents(c["name"]))
-    ways = F.create_map(F.lit("guard"), fuzzy.compare(*sides())["same"], F.lit("no guard"), fuzzy.compare(*sides(), country_guard=False)["same"], F.lit("equal keys"), key(sides()[0]) == key(sides()[1]))
-    return rounded_confusion(fuzzy.confusion(pairs(t).select("same", F.explode(ways).alias("way", "pred")), F.col("pred"), F.col("same"), ["way"]))
+    key = text.squash(text.strip_accents(F.col("name")))
+    same = lambda guard: fuzzy.compare_worded(*sides(), country_guard=guard)["same"]
+    ways = F.create_map(F.lit("guard"), same(True), F.lit("no guard"), same(False), F.lit("equal keys"), F.col("a_more") == F.col("b_more"))
+    return rounded_confusion(fuzzy.confusion(pairs(t, key).select("same", F.explode(ways).alias("way", "pred")), F.col("pred"), F.col("same"), ["way"]))
 
 
 @query("q64_resolve_with_refusal", """WITH n AS (SELECT l_partkey AS l, l_suppkey AS r, round(avg(l_quantity) / 50, 2) AS s FROM lineitem GROUP BY 1, 2),

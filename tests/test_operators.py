@@ -634,3 +634,30 @@ def test_sites_tier_drops_other_edges_before_their_distinct(spark):
     after = range(distinct[0] + 1, len(plan))
     end = next((i for i in after if depth[i] <= depth[distinct[0]]), len(plan))
     assert any("Join LeftSemi" in x for x in plan[distinct[0] : end])
+
+
+def test_words_are_made_below_the_join_of_pairs(spark):
+    """A pair takes the words of its rows and splits no name again."""
+    from meshlark.plans.catalog import QUERIES
+
+    from .conftest import DATA
+
+    for name in ("q21_compare_names", "q149_guard_ablation", "q22_er_threshold_sweep"):
+        plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        above, join, _ = plan.partition("Join Inner")
+        assert join and "regexp_replace" not in above, name
+
+
+def test_equal_names_are_resolved_once(spark, monkeypatch):
+    """Rows that differ in their id alone meet candidates as one; nulls are equal to each other, other fields keep rows apart."""
+    seen, plain = [], fuzzy.ordered_sets
+    monkeypatch.setattr(fuzzy, "ordered_sets", lambda *sides: (seen.append(max(df.count() for df, *_ in sides)), plain(*sides))[1])
+    schema = "string, country string, fei string, duns string"
+    kinds = [("Blue Ring Ltd", "in", None, None), ("Blue Ring Ltd", "cn", None, None), ("Blue Ring Ltd", None, "7", None), (None, None, None, None), ("Pharma Ltd", None, None, None), ("green bolt", None, None, None)]
+    names = spark.createDataFrame([(i, *kinds[i % 6]) for i in range(300)], f"name_id long, name {schema}")
+    register = spark.createDataFrame([(1, "blue ring", "in", None, None), (2, "Blue Ring Inc", "CN", None, None), (3, "steel nut", None, "7", None), (4, "pharma", None, None, None)], f"match_id long, name {schema}")
+    got = {r.name_id: (r.match_id, r.outcome) for r in fuzzy.resolve(names, register).collect()}
+    want = [(1, "matched"), (2, "matched"), (3, "refused"), (None, "none"), (4, "matched"), (None, "none")]
+    want[2] = (None, "refused")  # by name two, by number one
+    assert got == {i: want[i % 6] for i in range(300)}
+    assert max(seen) == 6
