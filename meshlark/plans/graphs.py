@@ -17,13 +17,14 @@ def nid(prefix: str, c) -> F.Column:
     return F.concat(F.lit(prefix), F.col(c).cast("string"))
 
 
-def edges(t: Tables) -> DataFrame:
-    line = t.lineitem
+def edges(t: Tables, once: bool = True) -> DataFrame:
+    """The edges; unless each must stand there once, a line's edges stand there for every line."""
+    line, one = t.lineitem, lambda df: df.distinct() if once else df
     return (
         t.nation.select(nid("r", "n_regionkey").alias("src"), nid("n", "n_nationkey").alias("dst"), F.lit("hosts").alias("rel"))
         .unionByName(t.supplier.select(nid("n", "s_nationkey").alias("src"), nid("s", "s_suppkey").alias("dst"), F.lit("hosts").alias("rel")))
-        .unionByName(line.select(nid("p", "l_partkey").alias("src"), nid("s", "l_suppkey").alias("dst"), F.lit("produced_by").alias("rel")).distinct())
-        .unionByName(line.select(nid("p", "l_partkey").alias("src"), nid("o", "l_orderkey").alias("dst"), F.lit("formulated_into").alias("rel")).distinct())
+        .unionByName(one(line.select(nid("p", "l_partkey").alias("src"), nid("s", "l_suppkey").alias("dst"), F.lit("produced_by").alias("rel"))))
+        .unionByName(one(line.select(nid("p", "l_partkey").alias("src"), nid("o", "l_orderkey").alias("dst"), F.lit("formulated_into").alias("rel"))))
     )
 
 
@@ -66,8 +67,8 @@ k AS (SELECT id, p AS p12, 'direct' AS attribution FROM sc UNION ALL SELECT * FR
 wk AS (SELECT f.dst AS id, max(p12) AS p12, 'molecule' AS attribution FROM k JOIN f ON k.id = f.src AND f.rel = 'formulated_into' GROUP BY 1)
 SELECT id AS node_id, p12, attribution FROM k UNION ALL SELECT * FROM wk""")
 def q27(t):
-    e = graph.checkpointed(edges(t))
-    return graph.propagate_max(e, scores(t), graph_nodes(e)).select("node_id", "p12", "attribution")
+    e = edges(t, once=False)
+    return graph.propagate_max(e, scores(t)).select("node_id", "p12", "attribution")
 
 
 @query("q28_weak_fill_attribution", f"""WITH RECURSIVE {E}, sc AS (SELECT 's' || s_suppkey AS id, round((s_acctbal - 97 * floor(s_acctbal / 97)) / 97, 6) AS p FROM supplier WHERE s_acctbal > 6000),
@@ -75,15 +76,15 @@ st AS (SELECT f.dst AS id, arg_min(sc.id, (-p, sc.id)) AS origin FROM sc JOIN f
 sp AS (SELECT st.id, st.origin, p FROM st JOIN sc ON st.origin = sc.id)
 SELECT f.dst AS node_id, arg_min(sp.origin, (-p, sp.origin)) AS origin FROM sp JOIN f ON sp.id = f.src AND f.rel = 'formulated_into' GROUP BY 1""")
 def q28(t):
-    e = graph.checkpointed(edges(t))
-    return graph.propagate_max(e, scores(t), graph_nodes(e)).filter("attribution = 'molecule'").select("node_id", "origin")
+    e = edges(t, once=False)
+    return graph.propagate_max(e, scores(t)).filter("attribution = 'molecule'").select("node_id", "origin")
 
 
 @query("q71_coverage", f"""WITH {E}, n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), sc AS (SELECT 's' || s_suppkey AS id FROM supplier WHERE s_acctbal > 6000), st AS (SELECT DISTINCT dst AS id FROM f WHERE rel = 'produced_by' AND src IN (SELECT id FROM sc)), wk AS (SELECT DISTINCT dst AS id FROM f WHERE rel = 'formulated_into' AND src IN (SELECT id FROM st))
 SELECT CASE WHEN id IN (SELECT id FROM sc) THEN 'direct' WHEN id IN (SELECT id FROM st) THEN 'inherited' WHEN id IN (SELECT id FROM wk) THEN 'molecule' ELSE 'uncovered' END AS basis, count(*) AS nodes FROM n GROUP BY 1""")
 def q71(t):
-    e = graph.checkpointed(edges(t))
-    return graph.coverage(graph_nodes(e), graph.propagate_max(e, scores(t), graph_nodes(e)))
+    e = edges(t, once=False)
+    return graph.coverage(graph_nodes(e), graph.propagate_max(e, scores(t)))
 
 
 @query("q29_upstream_plant_count", f"WITH {E} SELECT id, count(DISTINCT plant) AS plants FROM (SELECT src AS id, src AS plant FROM f WHERE rel = 'produced_by' UNION ALL SELECT dst, src FROM f WHERE rel = 'produced_by' UNION ALL SELECT g.dst, f.src FROM f JOIN f g ON f.dst = g.src WHERE f.rel = 'produced_by' AND g.rel = 'formulated_into') GROUP BY 1")

@@ -661,3 +661,20 @@ def test_equal_names_are_resolved_once(spark, monkeypatch):
     want[2] = (None, "refused")  # by name two, by number one
     assert got == {i: want[i % 6] for i in range(300)}
     assert max(seen) == 6
+
+
+def test_edges_are_one_file_a_bucket(spark):
+    """Whatever the number of tasks; and a node of 1,000 edges is no hub while others have as many."""
+    e = spark.range(0, 1_200_000, 1, 16).select((F.col("id") % 1200).cast("string").alias("src"), F.col("id").cast("string").alias("dst"))
+    written = graph.Edges(e)
+    assert len(written.table.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert written.split is None and written.along(spark.createDataFrame([("7",)], "src string")).count() == 1000
+
+
+def test_propagation_without_targets(spark):
+    """Repeated edges and equal scores: the smallest origin wins; a weak tie passes on in rounds; every node receives."""
+    e = spark.createDataFrame([("a", "m", "feeds"), ("b", "m", "feeds"), ("b", "m", "feeds"), ("c", "m", "feeds"), ("m", "n", "feeds"), ("n", "m", "feeds"), ("n", "w", "formulated_into"), ("w", "v", "formulated_into")], "src string, dst string, rel string")
+    s = spark.createDataFrame([("b", 0.5), ("a", 0.5), ("c", 0.4)], "node_id string, p12 double")
+    got = {r.node_id: (r.p12, r.origin, r.attribution) for r in graph.propagate_max(e, s).collect()}
+    strong, weak = (0.5, "a", "inherited"), (0.5, "a", "molecule")
+    assert got == {"a": (0.5, "a", "direct"), "b": (0.5, "b", "direct"), "c": (0.4, "c", "direct"), "m": strong, "n": strong, "w": weak, "v": weak}
