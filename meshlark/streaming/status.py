@@ -49,6 +49,7 @@ class Window:
     def __init__(self, rules: Rules, sums: list[list], load, store, drop):
         self.rules, self.rows, self.load, self.store, self.drop = rules, sums, load, store, drop
         self.held: dict[int, tuple[list[int], list[float]]] = {}
+        self.stored = {r[0] for r in sums}  # what the state holds; other buckets live here alone until they are saved
         self.refresh()
 
     def refresh(self) -> None:
@@ -92,7 +93,9 @@ class Window:
             if i + 1 == len(at):  # the bucket is empty: its sums go, with what rounding has left in them
                 self.rows.pop(0)
                 self.held.pop(row[0])
-                self.drop(row[0])
+                if row[0] in self.stored:
+                    self.stored.remove(row[0])
+                    self.drop(row[0])
                 self.refresh()
                 continue
             seconds = max((following - at[i]) / 1e6, 1e-9)
@@ -191,11 +194,7 @@ class BinWatch(StatefulProcessor):
             at, temps = self.buckets.getValue((bucket,))
             return list(at), list(temps)
 
-        def drop(bucket: int) -> None:
-            if self.buckets.containsKey((bucket,)):
-                self.buckets.removeKey((bucket,))
-
-        return Window(self.rules, rows, load, lambda bucket, held: self.buckets.updateValue((bucket,), held), drop)
+        return Window(self.rules, rows, load, lambda bucket, held: self.buckets.updateValue((bucket,), held), lambda bucket: self.buckets.removeKey((bucket,)))
 
     def put_window(self, window: Window) -> None:
         rows = window.save()

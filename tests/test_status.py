@@ -95,3 +95,23 @@ def test_a_long_window_costs_as_many_steps_as_readings():
     assert w.n == 20_001 and len(w.rows) <= S.BUCKETS + 2 and took < 6
     temps = [20 + i % 7 for i in range(60_000 - 20_001, 60_000)]
     assert w.total == pytest.approx(sum(temps)) and w.weighed == pytest.approx(sum(map(S.rate, temps[:-1]))) and w.span == pytest.approx(20_000)
+
+
+def test_only_stored_buckets_are_removed():
+    """A bucket that comes and goes within one call costs the state store nothing."""
+    rules, kept, dropped = S.Rules(20, 25, None, window_s=640), {}, []
+
+    def window(sums):
+        return S.Window(rules, [list(r) for r in sums], lambda b: kept[b], kept.__setitem__, lambda b: (kept.pop(b), dropped.append(b)))
+
+    first = window([])
+    for s in range(0, 10_000, 100):
+        first.add(s * 1_000_000, 22.0)
+    sums = first.save()
+    assert not dropped and len(kept) == len(sums) == 7
+    second = window(sums)
+    for s in range(10_000, 20_000, 100):
+        second.add(s * 1_000_000, 23.0)
+    assert len(dropped) == 7 and second.n == 7 and abs(second.total - 161.0) < 1e-6
+    second.save()
+    assert len(kept) == 7
