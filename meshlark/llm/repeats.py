@@ -5,11 +5,13 @@ runs of 20 bytes; windows that are equal have equal ones, so whatever can match
 windows with one value make a piece of at most 80 bytes.
 
 1. Texts are packed (PACK bytes to a row, compressed), and each pack names the values of its windows: 32 bits of a
-   value go to the place that the other bits name. A value that comes from several documents is wanted, one from
-   many packs is frequent. Only the windows of wanted values go on.
+   value go to the place that the other bits name. A value that comes from several documents is wanted, one of very
+   many runs of windows is frequent. Only the windows of wanted values go on.
 2. Each pack sends its distinct pieces with the smallest doc_id that holds them to the bucket of their value. Windows of
    frequent values go one by one, by their whole content, so that no bucket holds all surroundings of a frequent passage.
-3. A bucket cuts its distinct pieces into collections of about COLLECTION symbols and builds each one's
+3. A bucket sets aside its distinct pieces that share no window with another one, as no other has their value, or none with
+   it the least hash of a longer run: the smallest document that holds such a piece is that of its windows. It cuts the
+   others into collections of about COLLECTION symbols and builds each one's
    Burrows-Wheeler transform column by column (`Collection`): a round inserts one symbol of every string, from their ends,
    and reads and writes two sequential files, the transform and the common prefixes. Runs of suffixes whose common
    prefixes reach 50 give every window the smallest document that holds it.
@@ -40,12 +42,14 @@ from .common import give_back, saved
 from .words import MIX, MIX2
 
 LENGTH, GRAM = 50, 20
+#: Bytes of the runs that tell apart windows of one value.
+LONGER = 40
 #: Bytes of texts in a pack; windows that are hashed at once; most windows in a piece.
 PACK, AT_ONCE, MOST = 1 << 20, 1 << 19, LENGTH - GRAM + 1
 #: Values that a place counts, bytes of texts for a bucket of pieces, symbols of a collection.
 VALUES, BUCKET, COLLECTION = 2_000_000, 12 << 20, 120_000
-#: A value of so many packs is frequent; bits of a part of a bucket.
-FREQUENT, PART = 4096, 0xFF
+#: A value of so many runs of windows is frequent (below, its pieces are 5 MB at most); bits of a part of a bucket.
+FREQUENT, PART = 65536, 0xFF
 LEVEL = 6
 #: No symbol (as a pair of bytes, no UTF-8 has it): stands before the first symbol of a string. LENGTH is a multiple of 10.
 END = 0xFFFF
@@ -63,12 +67,12 @@ def decompress(data: bytes, kind, size: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, size * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
 
 
-def gram_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the runs of GRAM (20) bytes that begin at each byte but the last ones."""
+def gram_hashes(data: bytes, gram: int = GRAM) -> np.ndarray:
+    """64-bit hashes of the runs of `gram` bytes (16 at least) that begin at each byte but the last ones."""
     eights = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
-    n = len(data) - GRAM + 1
+    n = len(data) - gram + 1
     h = eights[:n] * MIX
-    for at in (8, GRAM - 8):
+    for at in (*range(8, gram - 8, 8), gram - 8):
         h ^= h >> np.uint64(29)
         h *= MIX2
         h ^= eights[at : at + n] * MIX
@@ -78,13 +82,13 @@ def gram_hashes(data: bytes) -> np.ndarray:
     return h
 
 
-def window_values(data: bytes) -> np.ndarray:
+def window_values(data: bytes, gram: int = GRAM) -> np.ndarray:
     """The least hash of each window of LENGTH bytes."""
-    m, span = gram_hashes(data), 1
-    while 2 * span <= MOST:
+    m, span, most = gram_hashes(data, gram), 1, LENGTH - gram + 1
+    while 2 * span <= most:
         m = np.minimum(m[:-span], m[span:])
         span *= 2
-    return np.minimum(m[: len(m) - (MOST - span)], m[MOST - span :]) if MOST > span else m
+    return np.minimum(m[: len(m) - (most - span)], m[most - span :]) if most > span else m
 
 
 class Pack:
@@ -284,11 +288,47 @@ class Collection:
         self.prefixes.close()
 
 
+def repeated(names: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+    """Which of n owners have a name that another one has too."""
+    order = np.argsort(names, kind="stable")
+    names, owners = names[order], owners[order]
+    new = names[1:] != names[:-1]
+    group, several = np.cumsum(np.append(0, new))[: len(names)], np.zeros(len(names), bool)
+    several[group[1:][~new & (owners[1:] != owners[:-1])]] = True
+    out = np.zeros(n, bool)
+    out[owners[several[group]]] = True
+    return out
+
+
+def meeting(pieces: list[bytes]) -> list[int]:
+    """Which of the distinct pieces may share a window with another one, in order: an equal window has the same value, which is
+    one for all windows of a piece, and the same least hash of LONGER bytes."""
+
+    def blocks(some: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, bytes]]:
+        per = max(1, AT_ONCE // (MOST + LENGTH))
+        for at in range(0, len(some), per):
+            own = np.array(some[at : at + per], np.int64)
+            sizes = np.array([len(pieces[i]) for i in own], np.int64)
+            yield own, sizes, b"".join(pieces[i] for i in own)
+
+    empty = np.zeros(0, np.uint64)
+    values = np.concatenate([empty, *(window_values(text)[np.cumsum(sizes) - sizes] for _, sizes, text in blocks(list(range(len(pieces)))))])
+    some, names, owners = np.flatnonzero(repeated(values, np.arange(len(pieces)), len(pieces))).tolist(), [empty], [np.zeros(0, np.int64)]
+    for own, sizes, text in blocks(some):
+        counts = sizes - LENGTH + 1
+        nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        who, name = np.repeat(own, counts), window_values(text, LONGER)[np.repeat(np.cumsum(sizes) - sizes, counts) + nth]
+        new = np.append(True, (name[1:] != name[:-1]) | (who[1:] != who[:-1]))
+        names.append(name[new] ^ values[who[new]] * MIX)
+        owners.append(who[new])
+    return np.flatnonzero(repeated(np.concatenate(names), np.concatenate(owners), len(pieces))).tolist()
+
+
 def first_documents(pieces: list[bytes], docs: list[int], parts: list[int]) -> list[np.ndarray]:
     """For each of the distinct pieces the smallest document of each of its windows; pieces with equal windows are of one
     part."""
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pieces)
-    order, at = sorted(range(len(pieces)), key=parts.__getitem__), 0
+    out = [np.full(len(p) - LENGTH + 1, d, np.int64) for p, d in zip(pieces, docs, strict=True)]
+    order, at = sorted(meeting(pieces), key=parts.__getitem__), 0
     while at < len(order):
         end, symbols = at, 0
         while end < len(order) and (symbols < COLLECTION or parts[order[end]] == parts[order[end - 1]]):
@@ -357,31 +397,34 @@ def placed_values(values: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarr
 
 
 def named_values(packed: DataFrame, places: int) -> DataFrame:
-    """pack, place, n, marks: what a pack sends to each place."""
+    """pack, place, n, marks, runs: what a pack sends to each place, and how many runs of windows have each value."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                values, _, _ = unpacked(batch, i)[0].own_values()
-                _, place, marks = placed_values(values, places)
+                values, at, _ = unpacked(batch, i)[0].own_values()
+                order, place, marks = placed_values(values, places)
                 own, begin = np.unique(place, return_index=True)
                 parts = np.split(marks, begin[1:])
-                yield pa.RecordBatch.from_arrays([pa.array([batch["pack"][i].as_py()] * len(own), pa.int64()), pa.array(own), pa.array([len(p) for p in parts][: len(own)], pa.int64()), pa.array([p.tobytes() for p in parts][: len(own)], pa.binary())], ["pack", "place", "n", "marks"])
+                runs = np.split(np.minimum(np.bincount(at, minlength=len(values)), 0xFFFF).astype(np.uint16)[order], begin[1:])
+                yield pa.RecordBatch.from_arrays([pa.array([batch["pack"][i].as_py()] * len(own), pa.int64()), pa.array(own), pa.array([len(p) for p in parts][: len(own)], pa.int64()), pa.array([p.tobytes() for p in parts][: len(own)], pa.binary()), pa.array([compress(r) for r in runs][: len(own)], pa.binary())], ["pack", "place", "n", "marks", "runs"])
         give_back()
 
-    return packed.mapInArrow(tasks, "pack long, place long, n long, marks binary")
+    return packed.mapInArrow(tasks, "pack long, place long, n long, marks binary, runs binary")
 
 
 def judged(table: pa.Table) -> pa.Table:
-    """The rows of one place -> pack, place, n, codes: 1 for a mark of several packs, 2 for one of many."""
+    """The rows of one place -> pack, place, n, codes: 1 for a mark of several packs, 2 for one of these with very many runs."""
     sizes = np.array(table["n"].to_pylist(), np.int64)
     marks = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["marks"]])
+    runs = np.concatenate([decompress(x.as_py(), np.uint16, n) for x, n in zip(table["runs"], sizes.tolist(), strict=True)])
     order = np.argsort(marks, kind="stable")
     begin = np.flatnonzero(np.append(True, marks[order][1:] != marks[order][:-1]))
     count = np.diff(np.append(begin, len(marks)))
+    many = np.add.reduceat(runs[order], begin, dtype=np.int64) >= FREQUENT
     codes = np.empty(len(marks), np.uint8)
-    codes[order] = np.repeat((count > 1).astype(np.uint8) + (count >= FREQUENT), count)
-    return table.drop_columns(["marks"]).append_column("codes", pa.array([compress(c) for c in np.split(codes, np.cumsum(sizes)[:-1])], pa.binary()))
+    codes[order] = np.repeat((count > 1).astype(np.uint8) * (1 + many), count)
+    return table.drop_columns(["marks", "runs"]).append_column("codes", pa.array([compress(c) for c in np.split(codes, np.cumsum(sizes)[:-1])], pa.binary()))
 
 
 def wanted(pack: Pack, places: list[dict], n_places: int) -> tuple[np.ndarray, np.ndarray]:

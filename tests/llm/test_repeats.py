@@ -103,3 +103,45 @@ def test_columns_against_sorted_suffixes(letters, units):
             least[p[i : i + LENGTH]] = min(d, least.get(p[i : i + LENGTH], d))
     assert built.first_documents(np.array(docs)).tolist() == [least[p[i : i + LENGTH]] for p in pieces for i in range(len(p) - LENGTH + 1)]
     built.close()
+
+
+def test_only_pieces_that_may_share_a_window_are_transformed(monkeypatch):
+    """Pieces that share a run of 20 bytes and no more enter no collection; the others get each window's least document."""
+    from meshlark.llm import repeats
+
+    entered, build = [], repeats.Collection
+    monkeypatch.setattr(repeats, "Collection", lambda pieces: entered.extend(pieces) or build(pieces))
+    rng = random.Random(3)
+    text = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    value = lambda p: len(set(repeats.window_values(p).tolist())) == 1
+    gram = text(20)
+    grams = [p for p in (text(15) + gram + text(15) for _ in range(400)) if value(p)]
+    assert [x.tolist() for x in repeats.first_documents(grams, list(range(len(grams))), [0] * len(grams))] == [[d] for d in range(len(grams))]
+    assert len(grams) > 2 and not entered and repeats.meeting([]) == []
+    # cut from one text, each at windows of one value
+    base = text(4000)
+    values = repeats.window_values(base)
+    cuts = {(int(a), int(b)) for a in range(len(values)) for b in [a + rng.randrange(1, 32)] if len(set(values[a:b].tolist())) == 1 and b <= len(values)}
+    pieces = sorted({base[a : b + repeats.LENGTH - 1] for a, b in cuts})
+    docs, least = [rng.randrange(100) for _ in pieces], {}
+    for p, d in zip(pieces, docs, strict=True):
+        for i in range(len(p) - repeats.LENGTH + 1):
+            least[p[i : i + repeats.LENGTH]] = min(d, least.get(p[i : i + repeats.LENGTH], d))
+    found = repeats.first_documents(pieces + grams, docs + [200] * len(grams), [0] * (len(pieces) + len(grams)))
+    assert [x.tolist() for x in found[: len(pieces)]] == [[least[p[i : i + repeats.LENGTH]] for i in range(len(p) - repeats.LENGTH + 1)] for p in pieces]
+    assert entered and not set(entered) & set(grams)
+
+
+def test_a_value_is_frequent_by_its_runs():
+    """A value that 5,000 packs hold once each has few pieces and stays whole; one of very many runs goes by its windows."""
+    import pyarrow as pa
+
+    from meshlark.llm import repeats
+
+    runs = lambda *n: repeats.compress(np.array(n, np.uint16))
+    marks = np.array([7, 9], np.uint32).tobytes()
+    table = pa.table({"pack": list(range(5000)), "place": [0] * 5000, "n": [2] * 5000, "marks": pa.array([marks] * 5000, pa.binary()), "runs": pa.array([runs(1, 14)] * 5000, pa.binary())})
+    codes = [repeats.decompress(x.as_py(), np.uint8, 2).tolist() for x in repeats.judged(table)["codes"]]
+    assert codes == [[1, 2]] * 5000
+    alone = pa.table({"pack": [1], "place": [0], "n": [2], "marks": pa.array([marks], pa.binary()), "runs": pa.array([runs(65535, 1)], pa.binary())})
+    assert repeats.decompress(repeats.judged(alone)["codes"][0].as_py(), np.uint8, 2).tolist() == [0, 0]
