@@ -320,6 +320,12 @@ def test_sets_of_few_marks_are_lists(spark, monkeypatch):
     assert [r.number for r in graph.numbered(marks).orderBy("mark").collect()] == list(range(marks.count()))
 
 
+def test_blast_radius_of_few_nodes_makes_no_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(graph, "bitmaps", None)
+    e = spark.createDataFrame([("r", "n", "hosts"), ("n", "s", "hosts"), ("p", "s", "produced_by"), ("p", "o", "feeds"), ("p", "q", "feeds"), ("t", "n", "hosts")], "src string, dst string, rel string")
+    assert {r.id: r.reached for r in graph.blast_radius(e).collect()} == {"r": 5, "t": 5, "n": 4, "s": 3, "p": 2, "o": 0, "q": 0}
+
+
 def test_redacted_at_any_depth(spark):
     deep = "[" * 100000 + "]" * 100000
     cases = {
