@@ -96,7 +96,7 @@ def q29(t):
 
 @query("q151_blast_radius", f"WITH RECURSIVE {E}, x(seed, id) AS (SELECT * FROM (SELECT src, src FROM f UNION SELECT dst, dst FROM f) UNION SELECT x.seed, f.dst FROM x JOIN f ON x.id = f.src) SELECT seed AS id, count(*) - 1 AS reached FROM x GROUP BY 1")
 def q151(t):
-    return graph.blast_radius(edges(t))
+    return graph.blast_radius(edges(t, once=False))
 
 
 @query("q72_lowest_layer_country", """WITH x AS (SELECT l_suppkey AS id, l_linenumber % 3 + 1 AS layer, 'country:c' || (l_partkey % 9) AS dst FROM lineitem WHERE l_suppkey % 7 <> 3), m AS (SELECT id, arg_min(dst, (layer, dst)) AS dst FROM x GROUP BY 1)

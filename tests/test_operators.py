@@ -326,6 +326,42 @@ def test_blast_radius_of_few_nodes_makes_no_bitmap(spark, monkeypatch):
     assert {r.id: r.reached for r in graph.blast_radius(e).collect()} == {"r": 5, "t": 5, "n": 4, "s": 3, "p": 2, "o": 0, "q": 0}
 
 
+def test_blast_radius_keeps_no_set_of_last_nodes(spark, monkeypatch):
+    """Sets are kept for nodes that send on alone, whatever hangs below them; last nodes go in passes, as lists or as bitmaps."""
+    links = [("r", "n"), ("n", "s"), ("n", "t"), ("s", "p"), ("t", "p"), ("t", "q"), ("q", "t"), *[(k, f"{k}{i:02}") for k in "pq" for i in range(30)], *[("q", f"p{i:02}") for i in range(0, 30, 7)]]
+    e = spark.createDataFrame([(s, t, "feeds") for s, t in links], "src string, dst string, rel string")
+
+    def reached(start):
+        seen, todo = {start}, [start]
+        while todo:
+            at = todo.pop()
+            new = {t for s, t in links if s == at} - seen
+            seen |= new
+            todo += new
+        return len(seen) - 1
+
+    want, written, sent = {n: reached(n) for x in links for n in x}, [], []
+    add, along = graph.Grown.add, graph.Edges.along
+
+    def seen_add(self, part):
+        out = add(self, part)
+        written.append(out.agg(F.sum(F.size("marks"))).first()[0] or 0 if "marks" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(graph.Grown, "add", seen_add)
+    monkeypatch.setattr(graph.Edges, "along", lambda self, rows, *only: sent.append(only) or along(self, rows, *only))
+    assert {r.id: r.reached for r in graph.blast_radius(e).collect()} == want
+    assert sum(written) <= 6 * 6  # of the six nodes that send on
+    assert sum(len(only) for only in sent) == 1
+    for name, n in (("LEAST", 1), ("PER_EDGE", 2)):
+        monkeypatch.setattr(graph, name, n)
+    sent.clear()
+    assert {r.id: r.reached for r in graph.blast_radius(e).collect()} == want and sum(len(only) for only in sent) > 1
+    for name, n in (("MANY", 4), ("RANGE", 4), ("BITS", 2)):
+        monkeypatch.setattr(graph, name, n)
+    assert {r.id: r.reached for r in graph.blast_radius(e).collect()} == want
+
+
 def test_redacted_at_any_depth(spark):
     deep = "[" * 100000 + "]" * 100000
     cases = {
