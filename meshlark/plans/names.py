@@ -109,9 +109,9 @@ x AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d), y AS (SELECT item_id,
 j AS (SELECT doc_id, item_id, count(*) / (n + m - count(*))::DOUBLE AS score FROM x JOIN y USING (t) GROUP BY doc_id, item_id, n, m),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS rn FROM j WHERE score >= 0.1) SELECT doc_id, item_id, round(score, 6) AS score FROM r WHERE rn = 1""")
 def q20(t):
-    d = fuzzy.spread(t.documents.select("doc_id", "text")).select("doc_id", text.tokens(F.col("text"), ()).alias("core_l"))
-    b = t.benchmark.select("item_id", text.tokens(F.col("text"), ()).alias("core_r"))
-    return fuzzy.token_block_join(d, b, "doc_id", "item_id", "core_l", "core_r", 0.1).withColumn("score", r6("score"))
+    d = text.word_sets(fuzzy.spread(t.documents.select("doc_id", "text")), "doc_id", "text", "core_l")
+    b = text.word_sets(t.benchmark, "item_id", "text", "core_r")
+    return fuzzy.token_block_join(d, b, "doc_id", "item_id", "core_l", "core_r", 0.1, distinct=True).withColumn("score", r6("score"))
 
 
 @query("q66_register_search", """WITH a AS (SELECT DISTINCT p_name AS name FROM part), x AS (SELECT name, unnest(string_split(name, ' ')) AS w FROM a), n AS (SELECT name, count(DISTINCT w) AS n FROM x GROUP BY 1),

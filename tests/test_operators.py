@@ -176,6 +176,30 @@ def test_pava_by_chunks(spark):
     assert stats.pava(d.filter("id < 0"), "s", "y", "id", 5).count() == 0
 
 
+def test_word_sets_are_the_distinct_tokens(spark):
+    texts = ["Ångström São-Paulo a\u0301b c\u0301", "plain PLAIN 12-b\ttab\nline", None, "", "\u212aelvin İstanbul ΣΑΣ straße x東京y", "\u0301 \u0301e!É\u00a0É", "naïve naive NAÏVE _under_score", "ﬁne ½ ² x²y", "a\x7fb\x00c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    plain = {r.id: r.w and sorted(r.w) for r in df.select("id", F.array_distinct(text.tokens(F.col("t"), ())).alias("w")).collect()}
+    assert {r.id: r.w and sorted(r.w) for r in text.word_sets(df, "id", "t", "w").collect()} == plain
+
+
+def test_low_jaccard_counts_all_tokens_once(spark, monkeypatch):
+    """Below LOW no token is ordered and no pair counted again; the pairs are those of a plain scan, at either side of it."""
+    sets = {i: {f"w{k * k % (7 + i % 11)}" for k in range(1 + i % 9)} | {f"u{i}{k}" for k in range(i % 13)} for i in range(40)}
+    left = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "l long, t array<string>")
+    right = left.filter("l % 4 = 0").select(F.col("l").alias("r"), "t")
+    share = lambda a, b: len(a & b) / len(a | b)
+
+    def best(least):
+        found = {i: min((-share(s, sets[j]), j) for j in sets if j % 4 == 0) for i, s in sets.items()}
+        return {i: (j, round(-x, 9)) for i, (x, j) in found.items() if -x >= least}
+
+    got = lambda least, **more: {r.l: (r.r, round(r.score, 9)) for r in fuzzy.token_block_join(left, right, "l", "r", "t", "t", least, **more).collect()}
+    assert got(0.3) == best(0.3)
+    monkeypatch.setattr(fuzzy, "ordered_sets", None)
+    assert got(0.1) == got(0.1, distinct=True) == best(0.1)
+
+
 def test_blocked_pairs_by_size(spark):
     """The bound on sizes drops no pair that reaches the score, sets of exactly that ratio included."""
     sets = [(i, [f"t{(i * k) % 9}" for k in range(1, i % 10 + 1)]) for i in range(30)]
